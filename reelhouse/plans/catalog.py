@@ -1,3 +1,3 @@
 """Importing this module registers every named query."""
 
-from reelhouse.plans import views  # noqa: F401
+from reelhouse.plans import imports, views  # noqa: F401

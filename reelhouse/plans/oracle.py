@@ -105,3 +105,155 @@ SELECT rule, rows FROM (
   UNION ALL SELECT 'link is not unique', coalesce(sum(n), 0)
             FROM (SELECT link, count(*) AS n FROM library GROUP BY link HAVING count(*) > 1)
 ) WHERE rows > 0"""
+
+# ---- feed cards and their cleaning ----------------------------------------
+
+WS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+_VID = "CAST(user_id * 10 AS VARCHAR)"
+FEED = f"""
+feed AS (
+  SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS BIGINT) AS page_id,
+         event_id AS pos,
+         CASE WHEN event_id % 97 = 0 THEN ''
+              WHEN event_id % 2 = 0 THEN '/watch?v=' || {_VID} || '&t=' || CAST(event_id AS VARCHAR)
+              ELSE 'https://media.example/watch?v=' || {_VID} || '&t=' || CAST(event_id AS VARCHAR) END AS href,
+         CASE WHEN event_id % 3 = 0 THEN '' ELSE 'Video ' || {_VID} END AS title_attr,
+         ' Video ' || {_VID} || ' ' AS title_text,
+         event_type AS channel,
+         CASE WHEN event_id % 2 = 0 THEN NULL
+              ELSE 'https://media.example/img/' || {_VID} || '.jpg' END AS thumb_src,
+         CASE event_id % 7 WHEN 0 THEN 'LIVE' WHEN 1 THEN 'upcoming' WHEN 2 THEN '5:75'
+              WHEN 3 THEN '1:02:03' WHEN 4 THEN ' 4:05 ' WHEN 5 THEN 'SHORTS'
+              ELSE CAST(CAST(floor(value / 60) AS BIGINT) % 100 AS VARCHAR) || ':' ||
+                   lpad(CAST(CAST(floor(value) AS BIGINT) % 60 AS VARCHAR), 2, '0') END AS length_text,
+         CASE event_id % 4 WHEN 0 THEN 'width: 61%;' WHEN 1 THEN 'width:7%'
+              WHEN 2 THEN 'width: 61.5%' ELSE NULL END AS progress_style,
+         CASE WHEN event_id % 13 = 0 THEN NULL
+              ELSE CAST(1 + event_id % 11 AS VARCHAR) || ' ' ||
+                   CASE event_id % 6 WHEN 0 THEN 'minutes' WHEN 1 THEN 'hours' WHEN 2 THEN 'days'
+                        WHEN 3 THEN 'weeks' WHEN 4 THEN 'months' ELSE 'years' END || ' ago' END AS created_text,
+         event_id % 50 IN (7, 8, 9) AS skipped
+  FROM events
+)"""
+
+
+def link_sql(href: str, base: str = "https://media.example") -> str:
+    return (f"CASE WHEN {href} IS NULL OR {href} = '' THEN NULL ELSE split_part("
+            f"CASE WHEN starts_with({href}, 'http') THEN {href} ELSE '{base}' || {href} END, '&', 1) END")
+
+
+def thumb_sql(src: str, link: str) -> str:
+    return (f"CASE WHEN {src} IS NOT NULL AND {src} <> '' THEN {src} ELSE "
+            f"'https://i.ytimg.com/vi/' || nullif(regexp_extract({link}, '[?&]v=([^&]+)', 1), '') "
+            f"|| '/hqdefault.jpg' END")
+
+
+def progress_sql(style: str) -> str:
+    return (f"coalesce(TRY_CAST(nullif(regexp_extract(coalesce({style}, ''), "
+            f"'width:\\s*([0-9]+)%', 1), '') AS INTEGER), 0)")
+
+
+def norm_len_sql(text: str) -> str:
+    b = f"(CASE WHEN upper({text}) IN ('UPCOMING', 'LIVE') THEN NULL ELSE {text} END)"
+    s = strip_sql(b)
+    return (f"CASE WHEN {b} IS NULL THEN NULL WHEN regexp_matches({s}, "
+            f"'^[0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?$') THEN {s} ELSE '00:00' END")
+
+
+def seconds_sql(n: str, mode: str) -> str:
+    f1 = f"TRY_CAST(split_part({n}, ':', 1) AS BIGINT)"
+    f2 = f"TRY_CAST(split_part({n}, ':', 2) AS BIGINT)"
+    f3 = f"TRY_CAST(nullif(split_part({n}, ':', 3), '') AS BIGINT)"
+    nf = f"len(string_split({n}, ':'))"
+    two = f"{f1} * 60 + {f2}" if mode == "ms" else f"{f1} * 3600 + {f2} * 60"
+    return (f"CASE WHEN {f2} > 59 OR coalesce({f3}, 0) > 59 THEN NULL "
+            f"WHEN {nf} = 3 THEN {f1} * 3600 + {f2} * 60 + {f3} ELSE {two} END")
+
+
+def problem_sql(n: str) -> str:
+    f2 = f"TRY_CAST(split_part({n}, ':', 2) AS BIGINT)"
+    f3 = f"TRY_CAST(nullif(split_part({n}, ':', 3), '') AS BIGINT)"
+    return (f"CASE WHEN {n} IS NOT NULL AND ({f2} > 59 OR coalesce({f3}, 0) > 59) "
+            f"THEN 'length field out of range' END")
+
+
+def created_sql(text: str) -> str:
+    pat = r"([0-9]+)\s+(second|minute|hour|day|week|month|year)s?\s+ago"
+    n = f"TRY_CAST(regexp_extract(lower({text}), '{pat}', 1) AS BIGINT)"
+    u = f"regexp_extract(lower({text}), '{pat}', 2)"
+    return (f"CASE WHEN {n} IS NULL THEN NULL WHEN {u} = 'second' THEN {AS_OF} - to_seconds({n}) "
+            f"WHEN {u} = 'minute' THEN {AS_OF} - to_minutes({n}) WHEN {u} = 'hour' THEN {AS_OF} - to_hours({n}) "
+            f"WHEN {u} = 'day' THEN {AS_OF} - to_days({n}) WHEN {u} = 'week' THEN {AS_OF} - to_days(7 * {n}) "
+            f"WHEN {u} = 'month' THEN {AS_OF} - to_months({n}) WHEN {u} = 'year' THEN {AS_OF} - to_months(12 * {n}) END")
+
+
+def title_sql(attr: str, text: str) -> str:
+    return f"CASE WHEN {attr} IS NOT NULL AND {attr} <> '' THEN {attr} ELSE {strip_sql(text)} END"
+
+
+ITEMS = f"""
+items AS (
+  SELECT page_id, pos, {link_sql('href')} AS link,
+         CASE WHEN title_text IS NOT NULL THEN {title_sql('title_attr', 'title_text')} END AS title,
+         channel, {thumb_sql('thumb_src', link_sql('href'))} AS thumbnail,
+         {progress_sql('progress_style')} AS progress,
+         {norm_len_sql('length_text')} AS length_text,
+         {created_sql('created_text')} AS video_created
+  FROM feed WHERE NOT skipped
+),
+clean AS (SELECT * FROM items WHERE link IS NOT NULL AND title IS NOT NULL),
+firsts AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id, pos) AS rn FROM clean) WHERE rn = 1
+),
+fresh AS (
+  SELECT *, {seconds_sql('length_text', 'ms')} AS length_seconds, {problem_sql('length_text')} AS problem
+  FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM library l WHERE l.link = f.link)
+)"""
+
+SQL["length_normalised"] = _with(FEED) + f"""
+SELECT pos, {norm_len_sql('length_text')} AS length_text FROM feed"""
+
+SQL["length_seconds"] = _with(FEED, f"""
+n AS (SELECT pos, {norm_len_sql('length_text')} AS n FROM feed)""") + f"""
+SELECT pos, {seconds_sql('n', 'ms')} AS seconds_ms, {seconds_sql('n', 'hm')} AS seconds_hm,
+       {problem_sql('n')} AS problem FROM n"""
+
+SQL["progress_pct"] = _with(FEED) + f"""
+SELECT pos, {progress_sql('progress_style')} AS progress FROM feed"""
+
+SQL["link_thumbnail"] = _with(FEED) + f"""
+SELECT pos, {link_sql('href')} AS link, {thumb_sql('thumb_src', link_sql('href'))} AS thumbnail FROM feed"""
+
+SQL["created_from_relative"] = _with(FEED) + f"""
+SELECT pos, {created_sql('created_text')} AS video_created FROM feed"""
+
+SQL["card_title"] = _with(FEED) + f"""
+SELECT pos, {title_sql('title_attr', 'title_text')} AS title FROM feed"""
+
+SQL["clean_cards"] = _with(LIBRARY, FEED, ITEMS) + """
+SELECT * FROM clean"""
+
+SQL["first_per_link"] = _with(LIBRARY, FEED, ITEMS) + """
+SELECT * FROM firsts"""
+
+SQL["import_new_links"] = _with(LIBRARY, FEED, ITEMS) + """
+SELECT link, page_id, pos, title FROM fresh"""
+
+SQL["ingest_rejects"] = _with(LIBRARY, FEED, ITEMS) + """
+SELECT link, length_text, problem FROM fresh WHERE problem IS NOT NULL"""
+
+SQL["append_items"] = _with(LIBRARY, FEED, ITEMS) + f"""
+SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY page_id, pos) AS id,
+       title, link, channel, thumbnail, CAST(NULL AS VARCHAR) AS subtitles,
+       CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS blurb, CAST(NULL AS VARCHAR) AS themes,
+       progress, CAST(NULL AS VARCHAR) AS category, video_created, length_seconds,
+       {AS_OF} AS record_created, false AS hidden
+FROM fresh WHERE problem IS NULL"""
