@@ -257,3 +257,216 @@ SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY page_id, pos)
        progress, CAST(NULL AS VARCHAR) AS category, video_created, length_seconds,
        {AS_OF} AS record_created, false AS hidden
 FROM fresh WHERE problem IS NULL"""
+
+# ---- transcripts, chunks, answers ------------------------------------------
+
+CAPTIONS = """
+captions AS (
+  SELECT 'https://media.example/watch?v=' || CAST(conv_id AS VARCHAR) AS link,
+         CASE WHEN conv_id % 4 = 3 THEN 'en' ELSE 'a.en' END AS track,
+         replace(string_agg(text, '' ORDER BY turn), chr(10), ' ') AS transcript
+  FROM conversations GROUP BY conv_id
+)"""
+
+PREAMBLE = r"'^Here( are| is|''s)\s[^\n]*?\n\n'"
+
+
+def join_answers_sql(agg: str) -> str:
+    """Joined answers (already newline-joined by ``agg``) -> cleaned answer."""
+    return strip_sql(f"regexp_replace({agg} || chr(10), {PREAMBLE}, '')")
+
+
+ANSWERS = """
+answers AS (
+  SELECT conv_id AS id, turn AS chunk,
+         CASE WHEN conv_id % 3 = 0 THEN 'Here is a summary:' || chr(10) || chr(10) || text
+              WHEN conv_id % 3 = 1 THEN 'Here are notes' || chr(10) || text || chr(10)
+              ELSE '  ' || text || ' ' || chr(10) END AS response
+  FROM conversations WHERE role = 'assistant'
+)"""
+
+_NAME = "('cat_' || lang)"
+CAT_ANSWERS = f"""
+cat_answers AS (
+  SELECT doc_id AS id,
+         CASE doc_id % 5 WHEN 0 THEN 'Category: **' || {_NAME} || '** fits'
+                         WHEN 1 THEN ' ' || {_NAME} || chr(10)
+                         WHEN 2 THEN 'The best one is ' || {_NAME}
+                         WHEN 3 THEN '"' || {_NAME} || '"'
+                         ELSE '*' || upper({_NAME}) || '*' END AS answer
+  FROM documents
+)"""
+
+
+def clean_cat_sql(answer: str) -> str:
+    s = f"replace({strip_sql(answer)}, 'Category: ', '')"
+    inner = f"regexp_extract({s}, '\\*\\*([^*]+)\\*\\*', 1)"
+    return f"CASE WHEN contains({s}, '**') AND {inner} <> '' THEN {inner} ELSE {s} END"
+
+
+def words_sql(x: str) -> str:
+    return f"CAST(len(list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')) AS BIGINT)"
+
+
+CONFIGURED = "News, Music ,,Science & Tech, cat_en, uncategorized"
+VOCAB = f"""
+configured AS (
+  SELECT DISTINCT {strip_sql('x')} AS category
+  FROM (SELECT unnest(string_split('{CONFIGURED}', ',')) AS x) WHERE {strip_sql('x')} <> ''
+),
+vocab AS (
+  SELECT category FROM configured
+  UNION SELECT DISTINCT category FROM library WHERE category IS NOT NULL AND NOT category ILIKE 'Uncategorized'
+)"""
+
+SQL["captions_to_text"] = _with(CAPTIONS) + """
+SELECT link, transcript FROM captions WHERE track = 'a.en'"""
+
+SQL["backfill_subtitles"] = _with(LIBRARY, CAPTIONS) + """
+SELECT id, CAST(length(s) AS BIGINT) AS subtitle_chars, sha256(coalesce(s, '')) AS subtitle_hash
+FROM (SELECT l.id, CASE WHEN NOT l.hidden AND l.subtitles IS NULL AND c.transcript IS NOT NULL
+                        THEN c.transcript ELSE l.subtitles END AS s
+      FROM library l LEFT JOIN captions c ON c.link = l.link AND c.track = 'a.en')"""
+
+SQL["text_chunks"] = """
+SELECT doc_id, CAST(i // 4096 AS BIGINT) AS chunk_no, substring(text, i + 1, 4096) AS chunk
+FROM (SELECT doc_id, text, unnest(range(0, length(text), 4096)) AS i FROM documents)"""
+
+SQL["chunks_rejoined"] = """
+WITH parts AS (
+  SELECT doc_id, i, substring(text, i + 1, 4096) AS c
+  FROM (SELECT doc_id, text, unnest(range(0, length(text), 4096)) AS i FROM documents))
+SELECT p.doc_id, count(*) AS n_chunks, string_agg(p.c, '' ORDER BY p.i) = any_value(d.text) AS same
+FROM parts p JOIN documents d USING (doc_id) GROUP BY p.doc_id"""
+
+SQL["clean_response"] = _with(ANSWERS) + f"""
+SELECT id, CAST(chunk AS BIGINT) AS chunk, {join_answers_sql('response')} AS answer FROM answers"""
+
+SQL["reassemble_answers"] = _with(ANSWERS) + f"""
+SELECT id, {join_answers_sql("string_agg(response, chr(10) ORDER BY chunk)")} AS answer
+FROM answers GROUP BY id"""
+
+SQL["clean_category"] = _with(CAT_ANSWERS, f"""
+c AS (SELECT id, {clean_cat_sql('answer')} AS category FROM cat_answers)""") + f"""
+SELECT id, category, {words_sql('category')} AS words, contains(category, '"') AS has_quote FROM c"""
+
+SQL["category_membership"] = _with(LIBRARY, CAT_ANSWERS, f"""
+c AS (SELECT id, {clean_cat_sql('answer')} AS category FROM cat_answers),
+k AS (SELECT id, category,
+             EXISTS (SELECT 1 FROM library l WHERE l.category ILIKE c.category) AS known FROM c)""") + f"""
+SELECT id, category, known,
+       known AND NOT contains(category, '"') AND {words_sql('category')} <= 3 AS valid FROM k"""
+
+SQL["candidate_vocabulary"] = _with(LIBRARY, VOCAB) + """
+SELECT category FROM vocab"""
+
+SQL["vocabulary_text"] = _with(LIBRARY, VOCAB) + """
+SELECT string_agg(category, chr(10) ORDER BY category) AS vocabulary FROM vocab"""
+
+SQL["tool_call_category"] = """
+SELECT conv_id AS id, arg_max('cat_' || role, turn) AS category FROM conversations GROUP BY conv_id"""
+
+SQL["rename_categories"] = _with(LIBRARY) + """
+SELECT id, CASE category WHEN 'cat_de' THEN 'Deutsch' WHEN 'German' THEN 'Deutsch'
+                         WHEN 'cat_fr' THEN 'cat_en' ELSE category END AS category
+FROM library"""
+
+SQL["set_hidden"] = _with(LIBRARY) + """
+SELECT l.id, CASE WHEN b.doc_id IS NOT NULL THEN b.quality = 0 ELSE l.hidden END AS hidden
+FROM library l LEFT JOIN labels b ON b.doc_id = l.id"""
+
+SQL["apply_updates"] = _with(LIBRARY) + """
+SELECT l.id,
+       CASE WHEN b.doc_id IS NOT NULL THEN CASE WHEN b.quality = 1 THEN 'reviewed' END ELSE l.summary END AS summary,
+       CASE WHEN b.doc_id IS NOT NULL THEN '- toxic ' || CAST(b.toxic AS VARCHAR) ELSE l.themes END AS themes,
+       l.category
+FROM library l LEFT JOIN labels b ON b.doc_id = l.id"""
+
+# ---- model passes ------------------------------------------------------------
+
+LEAD = strip_sql("regexp_extract(c, '^[^.!?]*[.!?]?', 0)")
+BULLET = "'- ' || " + LEAD
+
+
+def passes_sql(src: str, name: str, size: int, model: str, passes: int = 4, chunk: int = 4096) -> str:
+    """CTEs answering ``x`` of ``src(id, x)`` once, then again while longer than
+    ``size``; the final CTE is ``{name}`` with columns (id, x)."""
+    ctes = []
+    prev = src
+    for k in range(passes + 1):
+        out = name if k == passes else f"{name}_{k}"
+        cond = "TRUE" if k == 0 else f"length(s.x) > {size}"
+        ctes.append(f"""
+{out}_c AS (
+  SELECT id, i, substring(x, i + 1, {chunk}) AS c
+  FROM (SELECT s.id, s.x, unnest(range(0, length(s.x), {chunk})) AS i FROM {prev} s
+        WHERE s.x IS NOT NULL AND {cond})),
+{out}_a AS (
+  SELECT id, {join_answers_sql(f"string_agg({model}, chr(10) ORDER BY i)")} AS y FROM {out}_c GROUP BY id),
+{out} AS (
+  SELECT s.id, CASE WHEN s.x IS NULL THEN NULL WHEN {cond} THEN coalesce(a.y, '') ELSE s.x END AS x
+  FROM {prev} s LEFT JOIN {out}_a a USING (id))""")
+        prev = out
+    return ",".join(ctes)
+
+
+SQL["summarize_lead"] = _with(LIBRARY, """
+q AS (SELECT id, subtitles AS x FROM library WHERE NOT hidden AND subtitles IS NOT NULL AND summary IS NULL)""",
+                               passes_sql("q", "summ", 4096, LEAD)) + """
+SELECT id, x AS summary FROM summ"""
+
+SQL["summarize_batch"] = SQL["summarize_lead"]
+
+SQL["summarize_import"] = _with(LIBRARY, """
+q AS (SELECT id, title || ' - ' || subtitles AS x FROM library WHERE subtitles IS NOT NULL)""",
+                                 passes_sql("q", "summ", 4096, LEAD)) + """
+SELECT id, x AS summary FROM summ"""
+
+SQL["blurb_lead"] = _with(LIBRARY, """
+q AS (SELECT id, subtitles AS x FROM library WHERE subtitles IS NOT NULL)""",
+                           passes_sql("q", "bl", 0, LEAD, passes=0)) + """
+SELECT id, x AS blurb FROM bl"""
+
+TOKEN = r"'[^\p{L}\p{N}]+'"
+
+
+def keyword_scores_sql(items: str) -> str:
+    """CTEs kw and sc: candidate keywords and (id, category, score) for ``items(id, t)``."""
+    return f"""
+kw AS (SELECT DISTINCT category, token FROM
+         (SELECT category, unnest(regexp_split_to_array(lower(category), {TOKEN})) AS token FROM vocab)
+       WHERE token <> ''),
+tok AS (SELECT id, unnest(regexp_split_to_array(lower(t), {TOKEN})) AS token FROM {items}),
+sc AS (SELECT id, category, count(*) AS score FROM tok JOIN kw USING (token) GROUP BY id, category),
+rk AS (SELECT id, category, row_number() OVER (PARTITION BY id ORDER BY score DESC, category) AS rank FROM sc)"""
+
+
+SQL["backfill_themes"] = _with(LIBRARY, VOCAB, """
+q AS (SELECT id, title, title || ' - ' || subtitles AS x FROM library
+      WHERE NOT hidden AND themes IS NULL AND subtitles IS NOT NULL)""",
+                                passes_sql("q", "th", 1024, BULLET), """
+items AS (SELECT id, title AS t FROM q)""", keyword_scores_sql("items")) + """
+SELECT th.id, th.x AS themes, rk.category FROM th LEFT JOIN rk ON rk.id = th.id AND rk.rank = 1"""
+
+SQL["categorize_keyword"] = _with(LIBRARY, VOCAB, """
+items AS (SELECT id, title || chr(10) || coalesce(summary, '') AS t FROM library WHERE NOT hidden)""",
+                                   keyword_scores_sql("items")) + """
+SELECT items.id, rk.category FROM items LEFT JOIN rk ON rk.id = items.id AND rk.rank = 1"""
+
+SQL["categorize_free"] = _with(LIBRARY, VOCAB, """
+items AS (SELECT id, title || chr(10) || coalesce(summary, '') || chr(10) || coalesce(themes, '') AS t
+          FROM library WHERE NOT hidden)""", keyword_scores_sql("items"), f"""
+ans AS (SELECT id, rank, {clean_cat_sql('category')} AS answer FROM rk WHERE rank <= 4),
+val AS (SELECT *, (EXISTS (SELECT 1 FROM library l WHERE l.category ILIKE ans.answer))
+                  AND NOT contains(answer, '"') AND {words_sql('answer')} <= 3 AS valid,
+               {words_sql('answer')} > 3 AS too_long FROM ans),
+per AS (SELECT id, min(rank) FILTER (WHERE valid) AS kv,
+               min(rank) FILTER (WHERE NOT valid AND too_long) AS kl, count(*) AS m FROM val GROUP BY id),
+pick AS (SELECT p.id,
+           CASE WHEN p.kv IS NOT NULL AND (p.kl IS NULL OR p.kv < p.kl)
+                  THEN (SELECT answer FROM val v WHERE v.id = p.id AND v.rank = p.kv)
+                WHEN p.kl IS NOT NULL THEN 'Uncategorized'
+                WHEN p.m >= 4 THEN (SELECT answer FROM val v WHERE v.id = p.id AND v.rank = 4)
+                ELSE 'Uncategorized' END AS c FROM per p)""") + """
+SELECT items.id, coalesce(replace(replace(pick.c, '*', ''), chr(10), ''), 'Uncategorized') AS category
+FROM items LEFT JOIN pick USING (id)"""
