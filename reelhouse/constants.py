@@ -60,10 +60,11 @@ CARD_TAG = "ytd-rich-item-renderer"
 AD_TAG = "ytd-ad-slot-renderer"
 SPONSORED_TEXT = "Sponsored"
 COLLECTION_CLASS = "ytCollectionsStackCollectionStack2"
+# (tag, class, id); None = any
 LINK_SELECTORS = (
-    ("a", "yt-lockup-metadata-view-model__title"),
-    ("a", "yt-lockup-view-model__content-image"),
-    ("a#thumbnail", None),
+    ("a", "yt-lockup-metadata-view-model__title", None),
+    ("a", "yt-lockup-view-model__content-image", None),
+    ("a", None, "thumbnail"),
 )
 TITLE_SELECTOR = ("h3", "yt-lockup-metadata-view-model__heading-reset")
 METADATA_ROW_CLASS = "yt-content-metadata-view-model__metadata-row"

@@ -198,7 +198,8 @@ def title_sql(attr: str, text: str) -> str:
     return f"CASE WHEN {attr} IS NOT NULL AND {attr} <> '' THEN {attr} ELSE {strip_sql(text)} END"
 
 
-ITEMS = f"""
+def items_sql(src: str) -> str:
+    return f"""
 items AS (
   SELECT page_id, pos, {link_sql('href')} AS link,
          CASE WHEN title_text IS NOT NULL THEN {title_sql('title_attr', 'title_text')} END AS title,
@@ -206,7 +207,7 @@ items AS (
          {progress_sql('progress_style')} AS progress,
          {norm_len_sql('length_text')} AS length_text,
          {created_sql('created_text')} AS video_created
-  FROM feed WHERE NOT skipped
+  FROM {src} WHERE NOT skipped
 ),
 clean AS (SELECT * FROM items WHERE link IS NOT NULL AND title IS NOT NULL),
 firsts AS (
@@ -218,6 +219,9 @@ fresh AS (
   FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM library l WHERE l.link = f.link)
 )"""
 
+
+ITEMS = items_sql("feed")
+
 SQL["length_normalised"] = _with(FEED) + f"""
 SELECT pos, {norm_len_sql('length_text')} AS length_text FROM feed"""
 
@@ -470,3 +474,36 @@ pick AS (SELECT p.id,
                 ELSE 'Uncategorized' END AS c FROM per p)""") + """
 SELECT items.id, coalesce(replace(replace(pick.c, '*', ''), chr(10), ''), 'Uncategorized') AS category
 FROM items LEFT JOIN pick USING (id)"""
+
+# ---- pages -------------------------------------------------------------------
+
+
+def unescape_sql(x: str) -> str:
+    for a, b in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "\u00a9"),
+                 ("&middot;", "\u00b7"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+SQL["page_facts"] = f"""
+SELECT page_id,
+       {strip_sql(unescape_sql("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} AS title,
+       {strip_sql(unescape_sql("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))} AS heading,
+       regexp_matches(html, '<[a-z0-9]+ [^>]*class="([^"]* )?ad( [^"]*)?"') AS has_ad,
+       CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS n_links
+FROM pages"""
+
+_A = """'<a href="([^"]*)">([^<]*)</a>'"""
+SQL["page_links"] = f"""
+SELECT page_id, CAST(k AS BIGINT) AS pos, {unescape_sql('hrefs[k + 1]')} AS href,
+       {strip_sql(unescape_sql('texts[k + 1]'))} AS text
+FROM (SELECT page_id, hrefs, texts, unnest(range(len(hrefs))) AS k
+      FROM (SELECT page_id, regexp_extract_all(html, {_A}, 1) AS hrefs,
+                   regexp_extract_all(html, {_A}, 2) AS texts FROM pages))"""
+
+SQL["feed_html_cards"] = _with(FEED, """
+feed_html AS (
+  SELECT * REPLACE (pos // 100 AS page_id, pos % 100 AS pos,
+                    CASE WHEN pos % 11 = 0 THEN '' ELSE href END AS href)
+  FROM feed)""", items_sql("feed_html").split(",\nfirsts AS")[0]) + """
+SELECT * FROM clean"""

@@ -140,3 +140,61 @@ def category_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(k % 5 == 3, F.concat(F.lit('"'), name, F.lit('"')))
                .otherwise(F.concat(F.lit("*"), F.upper(name), F.lit("*"))))
     return d.select(k.alias("id"), answer.alias("answer"))
+
+
+def _esc(c):
+    """HTML-escape text or an attribute value."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+CARDS_PER_PAGE = 100
+
+
+def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed rendered back to HTML pages of ``CARDS_PER_PAGE`` cards.
+
+    Round-trip input for the card extractor: one page per hundred events, in
+    event order.  A page is a bounded group (at most a hundred cards).  Every
+    eleventh card has a title link without ``href`` in front of its image
+    link, so the first-match rule drops it.
+    """
+    f = feed(spark, sf_dir)
+    k = F.col("pos")
+    cls = lambda name: F.lit(f' class="{name}"')
+    opt = lambda cond, html: F.when(cond, html).otherwise(F.lit(""))
+    spans = F.array_join(F.transform("meta_spans", lambda s: F.concat(
+        F.lit('<span class="yt-content-metadata-view-model__metadata-text">'), _esc(s), F.lit("</span>"))), "")
+    card = F.concat(
+        F.lit("<ytd-rich-item-renderer><div id=\"content\">"),
+        opt(F.col("is_ad"), F.lit("<ytd-ad-slot-renderer></ytd-ad-slot-renderer>")),
+        opt(F.col("is_sponsored"), F.lit("<p><span>Sponsored</span></p>")),
+        opt(k % 50 == 10, F.lit("<p><span>Sponsored by Acme</span></p>")),
+        opt(F.col("is_collection"), F.lit('<div class="ytCollectionsStackCollectionStack2"></div>')),
+        F.lit("<a"), cls("yt-lockup-view-model__content-image"),
+        F.lit(' href="'), _esc(F.col("href")), F.lit('"><div'), cls("ytThumbnailViewModelImage"), F.lit(">"),
+        opt(F.col("thumb_src").isNotNull(), F.concat(F.lit('<img src="'), _esc(F.col("thumb_src")), F.lit('">'))),
+        F.lit("</div><yt-thumbnail-badge-view-model><div"), cls("yt-badge-shape__text"), F.lit(">"),
+        _esc(F.col("length_text")), F.lit("</div></yt-thumbnail-badge-view-model>"),
+        opt(F.col("progress_style").isNotNull(), F.concat(
+            F.lit("<div"), cls("ytThumbnailOverlayProgressBarHostWatchedProgressBarSegment"),
+            F.lit(' style="'), _esc(F.col("progress_style")), F.lit('"></div>'))),
+        F.lit("</a>"),
+        opt(k % 11 == 0, F.concat(F.lit("<a"), cls("yt-lockup-metadata-view-model__title"), F.lit(">"))),
+        F.lit("<h3"), cls("yt-lockup-metadata-view-model__heading-reset"),
+        F.concat(F.lit(' title="'), _esc(F.col("title_attr")), F.lit('"')),
+        F.lit(">"), _esc(F.col("title_text")), F.lit("</h3>"),
+        opt(k % 11 == 0, F.lit("</a>")),
+        F.lit("<div"), cls("yt-content-metadata-view-model__metadata-row"), F.lit('><a href="/c">'),
+        _esc(F.col("channel")), F.lit("</a></div>"),
+        F.lit("<div"), cls("yt-content-metadata-view-model__metadata-row"), F.lit(">"), spans, F.lit("</div>"),
+        F.lit("</div></ytd-rich-item-renderer>\n"),
+    )
+    per_page = f.select((k / CARDS_PER_PAGE).cast("bigint").alias("page_id"), k, card.alias("card")) \
+                .groupBy("page_id").agg(F.array_join(F.transform(
+                    F.array_sort(F.collect_list(F.struct("pos", "card"))), lambda x: x["card"]), "").alias("body"))
+    return per_page.select(
+        "page_id",
+        F.concat(F.lit(MEDIA_BASE + "/feed/"), F.col("page_id").cast("string")).alias("url"),
+        F.concat(F.lit("<html><body><div id=\"contents\">"), F.col("body"), F.lit("</div></body></html>")).alias("html"))
