@@ -266,7 +266,7 @@ FROM fresh WHERE problem IS NULL"""
 
 CAPTIONS = """
 captions AS (
-  SELECT 'https://media.example/watch?v=' || CAST(conv_id AS VARCHAR) AS link,
+  SELECT 'https://media.example/watch?v=' || CAST(conv_id * 15 AS VARCHAR) AS link,
          CASE WHEN conv_id % 4 = 3 THEN 'en' ELSE 'a.en' END AS track,
          replace(string_agg(text, '' ORDER BY turn), chr(10), ' ') AS transcript
   FROM conversations GROUP BY conv_id
@@ -434,7 +434,7 @@ SELECT id, x AS blurb FROM bl"""
 TOKEN = r"'[^\p{L}\p{N}]+'"
 
 
-def keyword_scores_sql(items: str) -> str:
+def keyword_scores_sql(items: str) -> str:  # noqa: D401
     """CTEs kw and sc: candidate keywords and (id, category, score) for ``items(id, t)``."""
     return f"""
 kw AS (SELECT DISTINCT category, token FROM
@@ -507,3 +507,28 @@ feed_html AS (
                     CASE WHEN pos % 11 = 0 THEN '' ELSE href END AS href)
   FROM feed)""", items_sql("feed_html").split(",\nfirsts AS")[0]) + """
 SELECT * FROM clean"""
+
+# ---- maintenance, streaming, full import -------------------------------------
+
+SQL["snapshot_retention"] = """
+SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) <= 5 AS keep
+FROM (SELECT DISTINCT strftime(ts, '%Y%m%d') AS snapshot_date FROM events)"""
+
+SQL["snapshot_publish"] = _with(LIBRARY) + """
+SELECT '20240201' AS snapshot_date, count(*) AS n, sum(CAST(hidden AS BIGINT)) AS hidden FROM library"""
+
+SQL["stream_import_links"] = _with(LIBRARY, FEED, ITEMS) + """
+SELECT link FROM fresh"""
+
+SQL["ingest_full"] = _with(LIBRARY, FEED, ITEMS, CAPTIONS, VOCAB, """
+ok AS (SELECT * FROM fresh WHERE problem IS NULL),
+q AS (SELECT o.link AS id, o.title || ' - ' || c.transcript AS x
+      FROM ok o LEFT JOIN captions c ON c.link = o.link AND c.track = 'a.en')""",
+                            passes_sql("q", "summ", 4096, LEAD), """
+citems AS (SELECT o.link AS id, o.title || chr(10) || coalesce(s.x, '') AS t FROM ok o JOIN summ s ON s.id = o.link)""",
+                            keyword_scores_sql("citems")) + """
+SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY o.page_id, o.pos) AS id,
+       o.link, o.title, o.length_seconds, o.video_created,
+       sha256(coalesce(c.transcript, '')) AS subtitle_hash, s.x AS summary, rk.category
+FROM ok o LEFT JOIN captions c ON c.link = o.link AND c.track = 'a.en'
+     LEFT JOIN summ s ON s.id = o.link LEFT JOIN rk ON rk.id = o.link AND rk.rank = 1"""

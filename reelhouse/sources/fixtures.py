@@ -21,6 +21,7 @@ AS_OF = "2024-02-01 00:00:00"
 MEDIA_BASE = "https://media.example"
 WATCH_PREFIX = MEDIA_BASE + "/watch?v="
 FEED_LINK_STRIDE = 10     # feed video key = user_id * stride; about 1/3 are new
+CAPTION_LINK_STRIDE = 15  # caption video key = conv_id * stride (meets library and feed)
 FIRST_SENTENCE = r"^[^.!?]*[.!?]?"
 
 
@@ -113,7 +114,7 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = F.array(F.struct(F.lit(None).cast("array<struct<utf8:string>>").alias("segs")))
     events = F.when(F.col("conv_id") % 2 == 0, F.concat(empty, events)).otherwise(events)
     return per_conv.select(
-        F.concat(F.lit(WATCH_PREFIX), F.col("conv_id").cast("string")).alias("link"),
+        F.concat(F.lit(WATCH_PREFIX), (F.col("conv_id") * CAPTION_LINK_STRIDE).cast("string")).alias("link"),
         F.when(F.col("conv_id") % 4 == 3, F.lit("en")).otherwise(F.lit("a.en")).alias("track"),
         F.to_json(F.struct(events.alias("events"))).alias("json"),
     )
