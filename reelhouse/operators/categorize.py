@@ -78,11 +78,14 @@ def categorize_free(items: DataFrame, key: str, text: F.Column, vocab: DataFrame
     computed at once; the attempt loop becomes a minimum over ranks.
     """
     attempts = retries + 1
-    props = ranked(items, key, text, vocab, attempts, **kw)
-    props = props.withColumn("answer", TX.clean_category("category"))
-    props = membership(props, "answer", library)
-    props = props.withColumn("valid", is_valid_answer(F.col("known"), F.col("answer"))) \
-                 .withColumn("too_long", TX.word_count("answer") > K.MAX_CATEGORY_WORDS)
+    # validity depends on the candidate only: decide it once per candidate
+    cands = vocab.select("category").distinct().withColumn("answer", TX.clean_category("category"))
+    cands = membership(cands, "answer", library, **kw)
+    cands = cands.select("category", "answer",
+                         is_valid_answer(F.col("known"), F.col("answer")).alias("valid"),
+                         (TX.word_count("answer") > K.MAX_CATEGORY_WORDS).alias("too_long"))
+    props = ranked(items, key, text, vocab, attempts, **kw) \
+        .join(maybe_broadcast(cands, kw.get("max_broadcast_rows", DEFAULT_BROADCAST_ROWS)), "category")
     per_item = props.groupBy(key).agg(
         F.min(F.when(F.col("valid"), F.col("rank"))).alias("kv"),
         F.min(F.when(~F.col("valid") & F.col("too_long"), F.col("rank"))).alias("kl"),

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from reelhouse import constants as K
 from reelhouse.functions import dates as D
 from reelhouse.functions import fields as FF
-from reelhouse.operators.joins import maybe_broadcast, stable
+from reelhouse.operators.joins import fits, stable
 from reelhouse.schema import LIBRARY_COLUMNS, conform
 
 ITEM_COLUMNS = ["page_id", "pos", "link", "title", "channel", "thumbnail", "progress",
@@ -64,16 +64,19 @@ def skip_known(items: DataFrame, library: DataFrame,
                max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Drop items whose link is already stored (hidden rows included).
 
-    New items are usually few against a large library.  When their links fit
-    the broadcast bound, the library's ``link`` column is semi-joined against
-    the broadcast new links (the library is scanned, never shuffled) and the
-    short list of known links is anti-joined back.  Beyond the bound it is a
-    plain shuffle anti join.
+    New items are usually few against a large library.  The items are
+    checkpointed once (so the size check and the join read the same rows
+    without recomputing the feed), then, when their links fit the broadcast
+    bound, the library's ``link`` column is semi-joined against the broadcast
+    new links (the library is scanned, never shuffled) and the short list of
+    known links is anti-joined back.  Beyond the bound it is a plain shuffle
+    anti join.
     """
+    items = stable(items)
     links = items.select("link")
-    if links.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    if fits(links, max_broadcast_rows):
         known = library.select("link").join(F.broadcast(links), "link", "left_semi")
-        return items.join(maybe_broadcast(known, max_broadcast_rows), "link", "left_anti")
+        return items.join(F.broadcast(known), "link", "left_anti")
     return items.join(library.select("link"), "link", "left_anti")
 
 
