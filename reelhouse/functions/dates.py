@@ -36,18 +36,19 @@ def relative_created(text: ColumnOrName, as_of: Column) -> Column:
     """``as_of`` minus the amount in "N unit(s) ago"; NULL when unmatched.
 
     Months and years move the calendar (31 Mar - 1 month = 29 Feb); the other
-    units are exact durations.
+    units are exact durations.  The unit is looked up in two literal maps
+    (seconds per unit, months per unit) instead of one branch per unit, so
+    the text is matched a fixed number of times whatever the unit list.
     """
     low = F.lower(_col(text))
     n = F.regexp_extract(low, RELATIVE_PATTERN, 1).try_cast("bigint")
     unit = F.regexp_extract(low, RELATIVE_PATTERN, 2)
-    expr = None
-    for name, secs in _SECONDS.items():
-        branch = F.timestamp_add("SECOND", -n * secs, as_of)
-        expr = F.when(unit == name, branch) if expr is None else expr.when(unit == name, branch)
-    expr = expr.when(unit == "month", F.timestamp_add("MONTH", -n, as_of)) \
-               .when(unit == "year", F.timestamp_add("MONTH", -n * 12, as_of))
-    return F.when(n.isNotNull(), expr)
+    secs = F.create_map(*[F.lit(x) for kv in _SECONDS.items() for x in kv])
+    months = F.create_map(F.lit("month"), F.lit(1), F.lit("year"), F.lit(12))
+    unit_secs = F.coalesce(F.try_element_at(secs, unit), F.lit(0))
+    unit_months = F.coalesce(F.try_element_at(months, unit), F.lit(0))
+    shifted = F.timestamp_add("SECOND", -n * unit_secs, F.timestamp_add("MONTH", -n * unit_months, as_of))
+    return F.when(n.isNotNull(), shifted)
 
 
 def age_seconds(created: ColumnOrName, as_of: Column) -> Column:

@@ -29,20 +29,8 @@ def normalize_length(c: ColumnOrName) -> Column:
 
     NULL stays NULL.  The text is stripped first.
     """
-    s = strip(c)
-    return (F.when(_col(c).isNull(), F.lit(None).cast("string"))
-             .when(s.rlike(K.LENGTH_PATTERN), s)
-             .otherwise(F.lit(K.LENGTH_FALLBACK)))
-
-
-def length_parts(normalized: ColumnOrName):
-    """Split a normalised length into (first, second, third, n_fields)."""
-    parts = F.split(_col(normalized), ":")
-    n = F.size(parts)
-    first = F.try_element_at(parts, F.lit(1)).try_cast("bigint")
-    second = F.try_element_at(parts, F.lit(2)).try_cast("bigint")
-    third = F.try_element_at(parts, F.lit(3)).try_cast("bigint")
-    return first, second, third, n
+    valid = F.regexp_substr(strip(c), F.lit(K.LENGTH_PATTERN))   # NULL when no match
+    return F.when(_col(c).isNotNull(), F.coalesce(valid, F.lit(K.LENGTH_FALLBACK)))
 
 
 def length_seconds(normalized: ColumnOrName, two_field: str = "ms") -> Column:
@@ -51,23 +39,21 @@ def length_seconds(normalized: ColumnOrName, two_field: str = "ms") -> Column:
     ``two_field="ms"`` reads "5:30" as 5 min 30 s (the intended meaning);
     ``"hm"`` reads it as 5 h 30 min, which is what an INTERVAL column stores.
     A minute or second field above 59 cannot be stored and yields NULL (see
-    :func:`length_problem`).
+    :func:`length_problem`).  The fields are folded base-60 left to right.
     """
-    first, second, third, n = length_parts(normalized)
     if two_field not in ("ms", "hm"):
         raise ValueError("two_field must be 'ms' or 'hm'")
-    two = first * 60 + second if two_field == "ms" else first * 3600 + second * 60
-    three = first * 3600 + second * 60 + third
-    return (F.when(length_problem(normalized).isNotNull(), F.lit(None).cast("bigint"))
-             .when(n == 3, three)
-             .otherwise(two))
+    parts = F.split(_col(normalized), ":")
+    total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, x: acc * 60 + x.try_cast("bigint"))
+    if two_field == "hm":
+        total = F.when(F.size(parts) == 2, total * 60).otherwise(total)
+    return F.when(length_problem(normalized).isNull(), total)
 
 
 def length_problem(normalized: ColumnOrName) -> Column:
     """Reason a normalised length cannot be stored, else NULL."""
-    _, second, third, n = length_parts(normalized)
-    bad = (second > 59) | (F.coalesce(third, F.lit(0)) > 59)
-    return F.when(_col(normalized).isNotNull() & bad, F.lit("length field out of range"))
+    later = F.slice(F.split(_col(normalized), ":"), 2, 2)
+    return F.when(F.exists(later, lambda x: x.try_cast("bigint") > 59), F.lit("length field out of range"))
 
 
 def badge_length(text: ColumnOrName) -> Column:
@@ -101,7 +87,7 @@ def thumbnail(thumb_src: ColumnOrName, link: ColumnOrName) -> Column:
 def progress_pct(style: ColumnOrName) -> Column:
     """Integer percent from a progress-bar style; 0 when absent or unmatched."""
     m = F.regexp_extract(F.coalesce(_col(style), F.lit("")), K.PROGRESS_PATTERN, 1)
-    return F.coalesce(F.when(m != "", m.try_cast("int")), F.lit(0))
+    return F.coalesce(m.try_cast("int"), F.lit(0))     # '' (no match) -> NULL -> 0
 
 
 def title(attr: ColumnOrName, text: ColumnOrName) -> Column:

@@ -34,16 +34,23 @@ def clean_cards(cards: DataFrame, as_of: str, site_base: str = K.SITE_BASE) -> D
     ts = D.as_of_literal(as_of)
     kept = cards.where(~(F.coalesce("is_ad", F.lit(False)) | F.coalesce("is_sponsored", F.lit(False))
                          | F.coalesce("is_collection", F.lit(False))))
-    link = FF.canonical_link("href", site_base)
-    items = kept.select(
+    # Stage 1 computes the values later rules read more than once; Catalyst
+    # keeps the two projections apart (one codegen stage, each value once).
+    staged = kept.select(
         "page_id", "pos",
-        link.alias("link"),
+        FF.canonical_link("href", site_base).alias("link"),
         F.when(F.col("title_text").isNotNull(), FF.title("title_attr", "title_text")).alias("title"),
-        "channel",
-        FF.thumbnail("thumb_src", link).alias("thumbnail"),
+        "channel", "thumb_src",
         FF.progress_pct("progress_style").alias("progress"),
-        FF.normalize_length(FF.badge_length("length_text")).alias("length_text"),
-        D.relative_created(first_date_span(F.col("meta_spans")), ts).alias("video_created"),
+        FF.badge_length("length_text").alias("_badge"),
+        first_date_span(F.col("meta_spans")).alias("_date"),
+    )
+    items = staged.select(
+        "page_id", "pos", "link", "title", "channel",
+        FF.thumbnail("thumb_src", "link").alias("thumbnail"),
+        "progress",
+        FF.normalize_length("_badge").alias("length_text"),
+        D.relative_created("_date", ts).alias("video_created"),
     )
     return items.where(F.col("link").isNotNull() & F.col("title").isNotNull())
 
