@@ -223,3 +223,24 @@ def page_anchors(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "pos", "href", "text"])
 
     return pages.select("page_id", "html").mapInPandas(run, ANCHOR_SCHEMA)
+
+
+CARD_DDL = ("page_id bigint, pos bigint, href string, title_attr string, title_text string, "
+            "channel string, thumb_src string, length_text string, progress_style string, "
+            "meta_spans array<string>, is_ad boolean, is_sponsored boolean, is_collection boolean")
+
+
+def register_sql_functions(spark) -> None:
+    """Register ``extract_cards`` as a table function for SQL users::
+
+        SELECT c.* FROM pages, LATERAL extract_cards(page_id, html) c
+    """
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType=CARD_DDL)
+    class ExtractCards:
+        def eval(self, page_id: int, html: str):
+            for c in cards_of_page(int(page_id), html):
+                yield tuple(c[f.name] for f in CARD_SCHEMA.fields)
+
+    spark.udtf.register("extract_cards", ExtractCards)

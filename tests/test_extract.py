@@ -82,3 +82,12 @@ def test_extract_and_clean(spark):
 def test_malformed_html_does_not_fail():
     assert H.cards_of_page(1, "<div><ytd-rich-item-renderer><a class='x'>") [0]["href"] is None
     assert H.cards_of_page(1, "") == []
+
+
+def test_sql_table_function(spark):
+    pages = spark.createDataFrame([(7, "u", PAGE)], "page_id bigint, url string, html string")
+    pages.createOrReplaceTempView("feed_pages_t")
+    H.register_sql_functions(spark)
+    rows = spark.sql("SELECT c.pos, c.href FROM feed_pages_t, LATERAL extract_cards(page_id, html) c "
+                     "ORDER BY c.pos").collect()
+    assert [r.href for r in rows] == [c["href"] for c in H.cards_of_page(7, PAGE)]
