@@ -49,9 +49,9 @@ def publish(df: DataFrame, root: str) -> str:
     """Write ``df`` as the next version; returns its path.  Readers of the
     previous version are unaffected."""
     spark = df.sparkSession
-    cur = latest_version(spark, root)
-    nxt = 0 if cur is None else cur + 1
-    path = f"{root}/v={nxt}"
+    taken = [int(v) for v in _children(spark, root, "v=") if v.isdigit()]
+    # past every folder, complete or not: a crashed writer's leftovers are never reused
+    path = f"{root}/v={max(taken) + 1 if taken else 0}"
     df.write.mode("errorifexists").parquet(path)
     return path
 
@@ -84,10 +84,12 @@ def snapshot(library: DataFrame, root: str, as_of: str, keep: int = K.SNAPSHOT_K
     stamp = spark.range(1).select(F.date_format(F.lit(as_of).cast("timestamp_ntz"),
                                                 K.SNAPSHOT_DATE_FORMAT)).first()[0]
     path = f"{root}/snapshot_date={stamp}"
-    existing = _children(spark, root, "snapshot_date=")
+    existing = [d for d in _children(spark, root, "snapshot_date=")
+                if _complete(spark, f"{root}/snapshot_date={d}")]
     if stamp in existing:
         return None
-    library.write.mode("errorifexists").parquet(path)
+    # an unfinished folder from a failed run is replaced
+    library.write.mode("overwrite").parquet(path)
     dates = sorted(set(existing) | {stamp}, reverse=True)
     fs, _ = _fs(spark, root)
     for old in dates[keep:]:
