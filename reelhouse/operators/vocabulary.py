@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reelhouse import constants as K
 from reelhouse.functions import fields as FF
 from reelhouse.functions import text as TX
-from reelhouse.operators.joins import DEFAULT_BROADCAST_ROWS, fits, maybe_broadcast
+from reelhouse.operators.joins import DEFAULT_BROADCAST_ROWS, fits, maybe_broadcast, stable
 
 
 def configured_categories(spark: SparkSession, csv: str) -> DataFrame:
@@ -51,7 +51,8 @@ def membership(answers: DataFrame, col: str, library: DataFrame,
     broadcast after a size check.
     """
     stored = stored_categories(library).select(F.lower("category").alias("_low"))
-    pats = answers.select(F.col(col).alias("_pat")).where(F.col("_pat").isNotNull()).distinct()
+    # the distinct answers are read by the size checks and the joins: computed once
+    pats = stable(answers.select(F.col(col).alias("_pat")).where(F.col("_pat").isNotNull()).distinct())
     plain = pats.where(~_has_wildcard(F.col("_pat"))) \
                 .join(stored.distinct(), F.lower(F.col("_pat")) == F.col("_low"), "left_semi")
     wild = pats.where(_has_wildcard(F.col("_pat")))

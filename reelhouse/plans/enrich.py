@@ -12,6 +12,7 @@ from reelhouse.operators import library as L
 from reelhouse.operators import models as M
 from reelhouse.operators import updates as U
 from reelhouse.operators import vocabulary as V
+from reelhouse.plans import jobs as J
 from reelhouse.plans.registry import query
 from reelhouse.sources import captions as CP
 from reelhouse.sources import fixtures as X
@@ -35,10 +36,7 @@ def captions_to_text(spark, sf_dir):
 
 @query("backfill_subtitles")
 def backfill_subtitles(spark, sf_dir):
-    lib = X.library(spark, sf_dir)
-    todo = L.queue_subtitles(lib).select("id", "link")
-    found = CP.attach(todo, X.captions(spark, sf_dir)).where(F.col("subtitles").isNotNull())
-    return U.apply_updates(lib, found.select("id", "subtitles"), ["subtitles"]) \
+    return J.backfill_subtitles(X.library(spark, sf_dir), X.captions(spark, sf_dir)) \
             .select("id", F.length("subtitles").cast("bigint").alias("subtitle_chars"),
                     F.sha2(F.coalesce("subtitles", F.lit("")), 256).alias("subtitle_hash"))
 

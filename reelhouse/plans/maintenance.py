@@ -7,16 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelhouse.functions import fields as FF
-from reelhouse.functions import text as TX
-from reelhouse.operators import categorize as C
-from reelhouse.operators import ingest as I
-from reelhouse.operators import models as M
 from reelhouse.operators import snapshots as S
-from reelhouse.plans.enrich import _vocab
+from reelhouse.plans import jobs as J
+from reelhouse.plans.enrich import CONFIGURED
 from reelhouse.plans.registry import query
 from reelhouse.session import checkpoint_dir
-from reelhouse.sources import captions as CP
 from reelhouse.sources import fixtures as X
+from reelhouse.sources import html_cards as H
 from reelhouse.sources.tables import read_table
 from reelhouse.streaming import incremental as ST
 
@@ -53,29 +50,31 @@ def snapshot_publish(spark, sf_dir):
                                              F.sum(F.col("hidden").cast("bigint")).alias("hidden"))
 
 
-def ingest(spark, sf_dir, allow_any_category: bool = False):
-    """L1: feed cards -> new library rows (transcript, summary, category, ids)
-    and rejects."""
-    lib = X.library(spark, sf_dir)
-    items = I.new_items(X.feed(spark, sf_dir), lib, X.AS_OF, X.MEDIA_BASE)
-    ok, rejects = I.split_rejects(items)
-    with_subs = CP.attach(ok, X.captions(spark, sf_dir))
-    summed = M.summarize(with_subs.withColumn("summary", F.lit(None).cast("string")),
-                         "subtitles", "summary", title_col="title")
-    # no transcript -> no summary
-    summed = summed.withColumn("summary", F.when(F.col("subtitles").isNotNull(), F.col("summary")))
-    text = TX.category_text(F.col("title"), F.col("summary"))
-    vocab = _vocab(spark, lib)
-    if allow_any_category:
-        cat = C.categorize_free(summed, "link", text, vocab, lib)
-    else:
-        cat = C.categorize(summed, "link", text, vocab)
-    return I.append_items(lib, cat, X.AS_OF), rejects
+CFG = J.ImportConfig(categories=CONFIGURED, site_base=X.MEDIA_BASE)
 
 
 @query("ingest_full")
 def ingest_full(spark, sf_dir):
-    rows, _ = ingest(spark, sf_dir)
+    rows, _ = J.ingest(X.feed(spark, sf_dir), X.library(spark, sf_dir), X.captions(spark, sf_dir),
+                       X.AS_OF, CFG)
     return rows.select("id", "link", "title", "length_seconds", "video_created",
                        F.sha2(F.coalesce("subtitles", F.lit("")), 256).alias("subtitle_hash"),
                        "summary", "category")
+
+
+@query("backfill_summaries")
+def backfill_summaries(spark, sf_dir):
+    lib = J.backfill_summaries(X.library(spark, sf_dir), CFG, reset_unused=True)
+    return lib.select("id", "summary", "themes", "blurb")
+
+
+@query("retry_summaries")
+def retry_summaries(spark, sf_dir):
+    ids = read_table(spark, sf_dir, "labels").where(F.col("quality") == 1).select(F.col("doc_id").alias("id"))
+    return J.retry_summaries(X.library(spark, sf_dir), ids, CFG).select("id", "summary")
+
+
+@query("cards_found")
+def cards_found(spark, sf_dir):
+    cards = H.extract_cards(X.feed_pages(spark, sf_dir))
+    return cards.groupBy("page_id").agg(F.count(F.lit(1)).alias("cards"))

@@ -532,3 +532,21 @@ SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY o.page_id, o.
        sha256(coalesce(c.transcript, '')) AS subtitle_hash, s.x AS summary, rk.category
 FROM ok o LEFT JOIN captions c ON c.link = o.link AND c.track = 'a.en'
      LEFT JOIN summ s ON s.id = o.link LEFT JOIN rk ON rk.id = o.link AND rk.rank = 1"""
+
+SQL["backfill_summaries"] = _with(LIBRARY, """
+q AS (SELECT id, subtitles AS x FROM library WHERE NOT hidden AND subtitles IS NOT NULL AND summary IS NULL)""",
+                                   passes_sql("q", "summ", 4096, LEAD)) + """
+SELECT l.id, CASE WHEN s.id IS NOT NULL THEN s.x ELSE l.summary END AS summary,
+       CASE WHEN s.id IS NOT NULL THEN NULL ELSE l.themes END AS themes,
+       CAST(NULL AS VARCHAR) AS blurb
+FROM library l LEFT JOIN summ s ON s.id = l.id"""
+
+SQL["retry_summaries"] = _with(LIBRARY, """
+q AS (SELECT id, subtitles AS x FROM library
+      WHERE subtitles IS NOT NULL AND id IN (SELECT doc_id FROM labels WHERE quality = 1))""",
+                                passes_sql("q", "summ", 4096, LEAD)) + """
+SELECT l.id, CASE WHEN s.id IS NOT NULL THEN s.x ELSE l.summary END AS summary
+FROM library l LEFT JOIN summ s ON s.id = l.id"""
+
+SQL["cards_found"] = """
+SELECT CAST(event_id // 100 AS BIGINT) AS page_id, count(*) AS cards FROM events GROUP BY 1"""
