@@ -102,7 +102,7 @@ SELECT rule, rows FROM (
   UNION ALL SELECT 'link is null', count(*) FILTER (WHERE link IS NULL) FROM library
   UNION ALL SELECT 'record_created is null', count(*) FILTER (WHERE record_created IS NULL) FROM library
   UNION ALL SELECT 'hidden is null', count(*) FILTER (WHERE hidden IS NULL) FROM library
-  UNION ALL SELECT 'link is not unique', coalesce(sum(n), 0)
+  UNION ALL SELECT 'link is not unique', CAST(coalesce(sum(n), 0) AS BIGINT)
             FROM (SELECT link, count(*) AS n FROM library GROUP BY link HAVING count(*) > 1)
 ) WHERE rows > 0"""
 
@@ -515,7 +515,7 @@ SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date DESC) <= 5 AS ke
 FROM (SELECT DISTINCT strftime(ts, '%Y%m%d') AS snapshot_date FROM events)"""
 
 SQL["snapshot_publish"] = _with(LIBRARY) + """
-SELECT '20240201' AS snapshot_date, count(*) AS n, sum(CAST(hidden AS BIGINT)) AS hidden FROM library"""
+SELECT '20240201' AS snapshot_date, count(*) AS n, CAST(sum(CAST(hidden AS BIGINT)) AS BIGINT) AS hidden FROM library"""
 
 SQL["stream_import_links"] = _with(LIBRARY, FEED, ITEMS) + """
 SELECT link FROM fresh"""
