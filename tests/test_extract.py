@@ -91,3 +91,19 @@ def test_sql_table_function(spark):
     rows = spark.sql("SELECT c.pos, c.href FROM feed_pages_t, LATERAL extract_cards(page_id, html) c "
                      "ORDER BY c.pos").collect()
     assert [r.href for r in rows] == [c["href"] for c in H.cards_of_page(7, PAGE)]
+
+
+def test_fragments_equal_whole_page(spark):
+    from reelhouse.sources import fixtures as X
+    from tests.conftest import SF_SMALL
+    pages = X.feed_pages(spark, SF_SMALL)
+    whole = []
+    for r in pages.collect():
+        whole.extend(H.cards_of_page(r.page_id, r.html))
+    got = [r.asDict(recursive=True) for r in H.extract_cards(pages, parallelism=5).collect()]
+    key = lambda d: (d["page_id"], d["pos"])
+    assert sorted(got, key=key) == sorted(whole, key=key)
+    # the hand-written page, including malformed bits
+    one = spark.createDataFrame([(7, "u", PAGE)], "page_id bigint, url string, html string")
+    assert sorted(r.asDict(recursive=True)["href"] or "" for r in H.extract_cards(one).collect()) == \
+        sorted(c["href"] or "" for c in H.cards_of_page(7, PAGE))
