@@ -1,10 +1,14 @@
 """Feed pages -> raw card rows (S1, H1-H4), and generic page facts.
 
 Pages are rows of ``(page_id, url, html)``.  Each Spark task parses its own
-pages with the standard-library HTML parser inside ``mapInPandas`` (Arrow
-batches in, Arrow batches out) and emits raw strings only; every cleaning
-rule is a Column expression applied afterwards (see
-:func:`reelhouse.operators.ingest.clean_cards`).
+pages inside ``mapInPandas`` (Arrow batches in, Arrow batches out) and emits
+raw strings only; every cleaning rule is a Column expression applied
+afterwards (see :func:`reelhouse.operators.ingest.clean_cards`).
+
+The parser is a small tolerant tokenizer (one compiled regular expression
+per token, the standard library's tokenizing rules) that builds an element
+tree; each element knows its span in the document-order element list, so
+"descendants of" is a list slice.  Markup is never assumed well-formed.
 
 Element rules are plain tuples, not CSS text: a *simple selector* is
 ``(tag, class, id)`` with ``None`` for "any", and a *chain* is a tuple of
@@ -13,8 +17,9 @@ simple selectors read as "descendant of".
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,26 +33,27 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "classes", "children", "parent")
+    """An element.  ``doc`` lists every element of the document in order;
+    the descendants of a node are ``doc[index + 1:end]``."""
+    __slots__ = ("tag", "attrs", "classes", "children", "parent", "doc", "index", "end")
 
-    def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
+    def __init__(self, tag: str, attrs: dict, parent: "Node | None", doc: list):
         self.tag = tag
         self.attrs = attrs
         self.classes = set((attrs.get("class") or "").split())
         self.children: list = []          # Node or str, in document order
         self.parent = parent
+        self.doc = doc
+        self.index = len(doc) - 1         # the root is not in doc
+        self.end = len(doc)
 
     def get(self, name: str, default=None):
         v = self.attrs.get(name, default)
         return default if v is None and default is not None else v
 
-    def iter(self) -> Iterator["Node"]:
+    def iter(self) -> list["Node"]:
         """Descendant elements in document order (not self)."""
-        stack = list(reversed([c for c in self.children if isinstance(c, Node)]))
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(reversed([c for c in n.children if isinstance(c, Node)]))
+        return self.doc[self.index + 1:self.end]
 
     def strings(self) -> Iterator[str]:
         stack = list(reversed(self.children))
@@ -63,37 +69,102 @@ class Node:
         return "".join(s.strip() for s in self.strings() if s.strip())
 
 
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root", {}, None)
-        self.stack = [self.root]
+# One token of markup.  The grammar follows the standard library's tolerant
+# HTML tokenizer: quotes only group an attribute value that follows "=",
+# comments, declarations and processing instructions are skipped, "</" not
+# followed by a letter is a bogus comment, and a "<" that starts nothing is
+# text of its own.
+_MARKUP = re.compile(
+    r"<!--.*?(?:--\s*>|\Z)"
+    r"|</(?:\s*([a-zA-Z][^\t\n\r\f />\x00]*)[^>]*>|[^>]*>)"
+    r"|<([a-zA-Z][^\t\n\r\f />\x00]*)"
+    r"((?:[\s/]*(?:(?<=['\"\s/])[^\s/>][^\s/=>]*"
+    r"(?:\s*=+\s*(?:'[^']*'|\"[^\"]*\"|(?!['\"])[^>\s]*)\s*)?(?:\s|/(?!>))*)*)?\s*)>"
+    r"|<[!?][^>]*>"
+    r"|<",
+    re.S)
+_ATTR = re.compile(r"((?<=['\"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|\"[^\"]*\"|(?![\'\"])[^>\s]*))?"
+                   r"(?:\s|/(?!>))*")
+# Elements whose content is raw text up to the matching end tag.
+RAW_TEXT = {"script", "style"}
+_RAW_END = {t: re.compile(r"</\s*%s\s*>" % t, re.I) for t in RAW_TEXT}
 
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.stack[-1])
-        self.stack[-1].children.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        node = Node(tag, {k: (v if v is not None else "") for k, v in attrs}, self.stack[-1])
-        self.stack[-1].children.append(node)
+_LEAD = re.compile(r"(?:\s|/(?!>))*")
 
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
 
-    def handle_data(self, data):
-        self.stack[-1].children.append(data)
+def _start_tag(html: str, start: int, end: int) -> tuple[dict, bool]:
+    """Attributes of a start tag whose attribute text is ``html[start:end]``
+    (``html[end]`` is its ``>``), and whether it closes itself (``/>``).
+
+    A repeated attribute keeps its last value; one without a value is ``''``.
+    """
+    out = {}
+    k = _LEAD.match(html, start, end + 1).end()
+    while k < end:
+        m = _ATTR.match(html, k, end + 1)
+        if not m:
+            break
+        name, rest, value = m.group(1, 2, 3)
+        if not rest:
+            value = ""
+        elif value[:1] in ("'", '"') and value[:1] == value[-1:]:
+            value = value[1:-1]
+        out[name.lower()] = unescape(value) if value else ""
+        k = m.end()
+    return out, html[k:end].strip() == "/"
 
 
 def parse(html: str) -> Node:
-    b = _TreeBuilder()
-    b.feed(html or "")
-    b.close()
-    return b.root
+    """Element tree of ``html``; end tags close the nearest open element of
+    their name (unmatched end tags are ignored)."""
+    html = html or ""
+    doc: list[Node] = []
+    root = Node("#root", {}, None, doc)
+    stack = [root]
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            node.end = len(doc)
+        del stack[k:]
+
+    pos, n = 0, len(html)
+    while pos < n:
+        m = _MARKUP.search(html, pos)
+        if m is None:
+            stack[-1].children.append(unescape(html[pos:]))
+            break
+        if m.start() > pos:
+            stack[-1].children.append(unescape(html[pos:m.start()]))
+        pos = m.end()
+        end_name, tag = m.group(1), m.group(2)
+        if tag is not None:
+            tag = tag.lower()
+            attrs, closed = _start_tag(html, m.start(3), m.end(3)) if m.end(3) > m.start(3) else ({}, False)
+            doc.append(None)
+            node = doc[-1] = Node(tag, attrs, stack[-1], doc)
+            stack[-1].children.append(node)
+            if closed or tag in VOID:
+                continue
+            stack.append(node)
+            if tag in RAW_TEXT:
+                raw_end = _RAW_END[tag].search(html, pos)
+                stop = raw_end.start() if raw_end else n
+                if stop > pos:
+                    node.children.append(html[pos:stop])
+                if raw_end:
+                    close(len(stack) - 1)
+                pos = raw_end.end() if raw_end else n
+        elif end_name is not None:
+            name = end_name.lower()
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == name:
+                    close(i)
+                    break
+        elif m.group(0) == "<":
+            stack[-1].children.append("<")
+    close(0)
+    return root
 
 
 def _simple(node: Node, sel) -> bool:

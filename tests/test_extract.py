@@ -107,3 +107,28 @@ def test_fragments_equal_whole_page(spark):
     one = spark.createDataFrame([(7, "u", PAGE)], "page_id bigint, url string, html string")
     assert sorted(r.asDict(recursive=True)["href"] or "" for r in H.extract_cards(one).collect()) == \
         sorted(c["href"] or "" for c in H.cards_of_page(7, PAGE))
+
+
+def test_tokenizer_rules():
+    root = H.parse('<!DOCTYPE html><HTML><head><script>var t="</p><b>";</SCRIPT >'
+                   '<style>p{x:"</div>"}</style></head><body>'
+                   '<!-- <a href="/hidden">no</a> --><?pi x?>'
+                   '<A HREF="/x?a=1&amp;b=2" data-x a=1 a=2>One &amp; two</a>'
+                   '<a href=/y/>y</a><br/><p>a < b</p></b></body></html>')
+    scripts = [n for n in root.iter() if n.tag == "script"]
+    assert scripts[0].children == ['var t="</p><b>";']        # raw text up to </script>
+    anchors = [n for n in root.iter() if n.tag == "a"]
+    assert [a.attrs.get("href") for a in anchors] == ["/x?a=1&b=2", "/y/"]
+    assert anchors[0].attrs["data-x"] == "" and anchors[0].attrs["a"] == "2"   # last value wins
+    assert anchors[0].text() == "One & two"
+    assert anchors[1].text() == "y"                            # href=/y/> is not self-closing
+    p = [n for n in root.iter() if n.tag == "p"][0]
+    assert p.text() == "a<b"                                   # a lone "<" is its own text node
+    assert [n.tag for n in root.iter() if n.tag in ("b", "br")] == ["br"]   # stray </b> ignored
+
+
+def test_descendants_are_document_order():
+    root = H.parse("<div><p><i>x</i></p><p>y<img src=a></p></div><span>z</span>")
+    div = root.iter()[0]
+    assert [n.tag for n in div.iter()] == ["p", "i", "p", "img"]
+    assert [n.tag for n in root.iter()] == ["div", "p", "i", "p", "img", "span"]
