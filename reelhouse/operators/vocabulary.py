@@ -4,6 +4,8 @@ membership test and bulk renames (S5, U1, A3, J2, K4, J5).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,19 +58,35 @@ def membership(answers: DataFrame, col: str, library: DataFrame,
     plain = pats.where(~_has_wildcard(F.col("_pat"))) \
                 .join(stored.distinct(), F.lower(F.col("_pat")) == F.col("_low"), "left_semi")
     wild = pats.where(_has_wildcard(F.col("_pat")))
-    cond = F.expr("_low ILIKE _pat")
-    if fits(wild, max_broadcast_rows):
-        wild_known = stored.join(F.broadcast(wild), cond, "inner").select("_pat").distinct()
-    elif fits(stored, max_broadcast_rows):
-        wild_known = wild.join(F.broadcast(stored), cond, "left_semi")
-    else:
-        raise ValueError("wildcard answers and stored vocabulary both exceed the broadcast bound")
+    wild_known = _pattern_known(wild, stored.distinct(), max_broadcast_rows)
     known = plain.union(wild_known).distinct().withColumn("_known", F.lit(True))
     out = answers.join(maybe_broadcast(known, max_broadcast_rows),
                        answers[col].eqNullSafe(known["_pat"]), "left")
     return out.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_pat", "_known")
 
 
+def _pattern_known(wild: DataFrame, stored: DataFrame, max_rows: int) -> DataFrame:
+    """Distinct ``_pat`` of ``wild`` that match some ``_low`` of ``stored`` (ILIKE).
+
+    A pattern join has no equi key, so one side is broadcast: the patterns
+    when they fit the bound, else the stored names.  When neither fits, the
+    stored names are cut into hash blocks of about half the bound and each
+    block is broadcast in turn; the union of the per-block semi joins is the
+    exact answer and no executor ever holds more than one block.
+    """
+    cond = F.expr("_low ILIKE _pat")
+    if fits(wild, max_rows):
+        return stored.join(F.broadcast(wild), cond, "inner").select("_pat").distinct()
+    if fits(stored, max_rows):
+        return wild.join(F.broadcast(stored), cond, "left_semi")
+    stored = stable(stored)
+    blocks = -(-2 * stored.count() // max_rows)
+    keyed = stored.withColumn("_b", F.pmod(F.xxhash64("_low"), F.lit(blocks)))
+    parts = [wild.join(maybe_broadcast(keyed.where(F.col("_b") == b).drop("_b"), max_rows), cond, "left_semi")
+             for b in range(blocks)]
+    return reduce(DataFrame.union, parts).distinct()
+
+
 def is_valid_answer(known: F.Column, answer: F.Column) -> F.Column:
     """F16: known, no double quote, at most three words."""
     return known & ~answer.contains('"') & (TX.word_count(answer) <= K.MAX_CATEGORY_WORDS)

@@ -3,7 +3,12 @@
 New card files arrive in a folder; each micro-batch is cleaned with the same
 Column expressions as the batch import, de-duplicated on ``link`` against
 every link seen before (streaming state) and against the stored library
-(anti join in ``foreachBatch``), then appended.  ``trigger(availableNow=True)``
+(in ``foreachBatch``, with the batch import's known-link skip: the batch's
+links are broadcast after a size check and the library's ``link`` column is
+scanned, never shuffled), then appended.  Links seen are kept in the state
+store; on a cluster use the RocksDB provider
+(``spark.sql.streaming.stateStore.providerClass``) so the state lives on
+disk and is checkpointed incrementally.  ``trigger(availableNow=True)``
 processes what is there and stops, so a scheduler can run it as a job; the
 checkpoint folder makes a restarted run resume where the last one stopped.
 """
@@ -35,11 +40,9 @@ def run_import(spark: SparkSession, cards_dir: str, library: DataFrame, out_dir:
     Output rows are ``(link, page_id, pos, title)`` of links not in the
     library, appended to ``out_dir``.
     """
-    links = library.select("link")
-
     def write_batch(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch, overwritten on replay: a retried batch never duplicates rows
-        fresh = batch.join(links, "link", "left_anti").select("link", "page_id", "pos", "title")
+        fresh = I.skip_known(batch, library).select("link", "page_id", "pos", "title")
         fresh.write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
 
     q = (new_link_stream(spark, cards_dir, as_of, site_base, files_per_batch)

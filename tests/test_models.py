@@ -71,3 +71,13 @@ def test_membership_wildcards(spark):
                                 "id bigint, a string")
     out = {r.id: r.known for r in V.membership(ans, "a", lib).collect()}
     assert out == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_membership_blocked_pattern_join(spark):
+    """Both sides over the broadcast bound: blocks of the stored names, same answer."""
+    lib = _lib(spark, ["cat_en", "Music", "cat_fr", "news_x", "sport"])
+    ans = spark.createDataFrame([(1, "CAT_EN"), (2, "cat%"), (3, "mus_c"), (4, "news"), (5, None),
+                                 (6, "n_ws_x"), (7, "%t"), (8, "x_y")], "id bigint, a string")
+    want = {r.id: r.known for r in V.membership(ans, "a", lib).collect()}
+    got = {r.id: r.known for r in V.membership(ans, "a", lib, max_broadcast_rows=2).collect()}
+    assert got == want == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: True, 8: False}
