@@ -1,35 +1,55 @@
 """Incremental import on Structured Streaming (ST1).
 
-New card files arrive in a folder; each micro-batch is cleaned with the same
-Column expressions as the batch import, de-duplicated on ``link`` against
-every link seen before (streaming state) and against the stored library
-(in ``foreachBatch``, with the batch import's known-link skip: the batch's
-links are broadcast after a size check and the library's ``link`` column is
-scanned, never shuffled), then appended.  Links seen are kept in the state
-store; on a cluster use the RocksDB provider
-(``spark.sql.streaming.stateStore.providerClass``) so the state lives on
-disk and is checkpointed incrementally.  ``trigger(availableNow=True)``
-processes what is there and stops, so a scheduler can run it as a job; the
-checkpoint folder makes a restarted run resume where the last one stopped.
+New card files arrive in a folder.  Each micro-batch runs the batch import's
+set operations in ``foreachBatch``: cards are cleaned with the same Column
+expressions, the first card of every link in feed order ``(page_id, pos)``
+is kept (a grouped minimum, partially aggregated before the shuffle, so a
+link that fills a third of a batch leaves every map task as one row), and
+links already stored are skipped: the library and the output of every
+earlier micro-batch.  The skip is the batch import's known-link skip (the
+batch's links are broadcast after a size check and the stored ``link``
+columns are scanned, never shuffled).  A link therefore comes out once, in
+the first micro-batch that holds it, without a state store that grows with
+every link ever seen.
+
+``trigger(availableNow=True)`` processes what is there and stops, so a
+scheduler can run it as a job; the checkpoint folder makes a restarted run
+resume where the last one stopped.  Each micro-batch writes its own folder
+``batch=<epoch>``, overwritten on replay, and reads only the folders of
+earlier epochs, so a replayed batch never duplicates or hides rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelhouse import constants as K
 from reelhouse.operators import ingest as I
 from reelhouse.schema import CARD_SCHEMA
 
+OUTPUT_COLUMNS = ["link", "page_id", "pos", "title"]
+
 
-def new_link_stream(spark: SparkSession, cards_dir: str, as_of: str,
-                    site_base: str = K.SITE_BASE, files_per_batch: int | None = None) -> DataFrame:
-    """Streaming cleaned items with each link emitted once (state on ``link``)."""
+def card_stream(spark: SparkSession, cards_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    """Raw cards as they arrive (extractor schema, no inference)."""
     reader = spark.readStream.schema(CARD_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    cards = reader.parquet(cards_dir)
-    return I.clean_cards(cards, as_of, site_base).dropDuplicates(["link"])
+    return reader.parquet(cards_dir)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def import_batch(cards: DataFrame, known_links: DataFrame, as_of: str,
+                 site_base: str = K.SITE_BASE) -> DataFrame:
+    """One micro-batch: first card per link, links not in ``known_links``."""
+    items = I.first_per_link(I.clean_cards(cards, as_of, site_base))
+    return I.skip_known(items, known_links).select(*OUTPUT_COLUMNS)
 
 
 def run_import(spark: SparkSession, cards_dir: str, library: DataFrame, out_dir: str,
@@ -37,15 +57,20 @@ def run_import(spark: SparkSession, cards_dir: str, library: DataFrame, out_dir:
                files_per_batch: int | None = None) -> None:
     """Run the incremental import until the folder is drained.
 
-    Output rows are ``(link, page_id, pos, title)`` of links not in the
-    library, appended to ``out_dir``.
+    Output rows are ``(link, page_id, pos, title)`` of links neither in the
+    library nor output by an earlier micro-batch, one folder per epoch.
     """
+    stored = library.select("link")
+
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        # one folder per epoch, overwritten on replay: a retried batch never duplicates rows
-        fresh = I.skip_known(batch, library).select("link", "page_id", "pos", "title")
-        fresh.write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
+        known = stored
+        if epoch > 0 and _exists(spark, out_dir):
+            earlier = spark.read.parquet(out_dir).where(F.col("batch") < epoch).select("link")
+            known = known.unionByName(earlier)
+        import_batch(batch, known, as_of, site_base) \
+            .write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
 
-    q = (new_link_stream(spark, cards_dir, as_of, site_base, files_per_batch)
+    q = (card_stream(spark, cards_dir, files_per_batch)
          .writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)
@@ -60,4 +85,3 @@ def read_output(spark: SparkSession, out_dir: str) -> DataFrame:
 def stage_cards(cards: DataFrame, cards_dir: str) -> None:
     """Write cards as one folder of files per page (what a collector would drop)."""
     cards.repartition("page_id").write.mode("append").parquet(cards_dir)
-

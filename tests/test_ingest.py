@@ -62,3 +62,16 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {r.link for r in I.skip_known(I.first_per_link(I.clean_cards(feed, X.AS_OF, X.MEDIA_BASE)), lib)
              .collect()}
     assert streamed == batch and streamed
+
+
+def test_stream_one_batch_keeps_feed_order_first(spark, tmp_path):
+    """A single micro-batch picks the same first card per link as the batch import."""
+    lib = X.library(spark, SF_SMALL)
+    feed = X.feed(spark, SF_SMALL)
+    ST.stage_cards(feed, str(tmp_path / "cards"))
+    ST.run_import(spark, str(tmp_path / "cards"), lib, str(tmp_path / "out"), str(tmp_path / "ck"),
+                  X.AS_OF, X.MEDIA_BASE)
+    streamed = sorted((r.link, r.page_id, r.pos) for r in ST.read_output(spark, str(tmp_path / "out")).collect())
+    batch = sorted((r.link, r.page_id, r.pos) for r in
+                   I.skip_known(I.first_per_link(I.clean_cards(feed, X.AS_OF, X.MEDIA_BASE)), lib).collect())
+    assert streamed == batch and streamed
