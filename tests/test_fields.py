@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reelhouse.functions import dates as D
 from reelhouse.functions import fields as FF
 from reelhouse.functions import text as TX
-from tests.conftest import col_values, one_col
+from tests.conftest import SF_CHECK, SF_SMALL, col_values, one_col
 
 
 def test_length_normalise_and_seconds(spark):
@@ -112,3 +112,11 @@ def test_tool_call(spark):
 def test_date_stamp(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 2, 1, 13),)], "t timestamp_ntz")
     assert col_values(df.select(FF.date_stamp("t"))) == ["20240201"]
+
+
+def test_declared_table_schemas_match_files(spark):
+    from reelhouse.sources.tables import GIVEN_SCHEMAS, read_table, table_path
+    for sf in (SF_SMALL, SF_CHECK):
+        for name in GIVEN_SCHEMAS:
+            inferred = spark.read.parquet(table_path(sf, name)).schema
+            assert read_table(spark, sf, name).schema.simpleString() == inferred.simpleString(), name
