@@ -121,7 +121,8 @@ def shorten_loop(df: DataFrame, col: str, size: int, first: str, again: str,
     ``passes`` more times).  Replaces ``col`` with the final answer.
 
     With an expression model each pass is one more projection (no shuffle);
-    with a batch model each pass only sends the rows still too long.
+    with a batch model each pass only sends the rows still too long, and the
+    loop stops as soon as none is.
     """
     if isinstance(model, ExprModel):
         out = df.withColumn(col, complete_expr(_prepare(F.col(col), max_input_chars), first, model,
@@ -135,6 +136,8 @@ def shorten_loop(df: DataFrame, col: str, size: int, first: str, again: str,
     cur = stable(_complete_batch(cur, key, col, first, model, chunk_size, max_chunks))
     for _ in range(passes):
         long = cur.where(F.length(col) > size)
+        if long.isEmpty():          # reads the checkpoint; nothing left to shorten
+            break
         short = cur.where(~(F.length(col) > size) | F.col(col).isNull())
         cur = stable(short.unionByName(_complete_batch(long, key, col, again, model, chunk_size, max_chunks)))
     return df.drop(col).join(cur, key, "left").select(*df.columns)
