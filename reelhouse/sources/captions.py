@@ -10,8 +10,15 @@ from reelhouse.functions import text as TX
 
 
 def pick_track(captions: DataFrame, track: str = K.CAPTION_TRACK) -> DataFrame:
-    """``(link, json)`` of the wanted track (automatic English by default)."""
-    return captions.where(F.col("track") == track).select("link", "json")
+    """``(link, json)`` of the wanted track (automatic English by default),
+    exactly one row per link.
+
+    A link with several copies of the track keeps the smallest JSON text.
+    The grouping is combined map side, so a link with a third of all copies
+    leaves every task as one row, and its output is already partitioned on
+    ``link`` for the join that attaches it (no second exchange).
+    """
+    return captions.where(F.col("track") == track).groupBy("link").agg(F.min("json").alias("json"))
 
 
 def transcripts(captions: DataFrame, track: str = K.CAPTION_TRACK) -> DataFrame:

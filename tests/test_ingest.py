@@ -75,3 +75,15 @@ def test_stream_one_batch_keeps_feed_order_first(spark, tmp_path):
     batch = sorted((r.link, r.page_id, r.pos) for r in
                    I.skip_known(I.first_per_link(I.clean_cards(feed, X.AS_OF, X.MEDIA_BASE)), lib).collect())
     assert streamed == batch and streamed
+
+
+def test_attach_one_transcript_per_link(spark):
+    from reelhouse.sources import captions as CP
+    cap = spark.createDataFrame(
+        [("l1", "a.en", '{"events":[{"segs":[{"utf8":"b"}]}]}'),
+         ("l1", "a.en", '{"events":[{"segs":[{"utf8":"a"}]}]}'),
+         ("l1", "en", '{"events":[{"segs":[{"utf8":"x"}]}]}'),
+         ("l2", "a.en", '{"events":[{"segs":[{"utf8":"c"}]}]}')], "link string, track string, json string")
+    items = spark.createDataFrame([(1, "l1"), (2, "l2"), (3, "l3")], "id bigint, link string")
+    out = sorted((r.id, r.subtitles) for r in CP.attach(items, cap).collect())
+    assert out == [(1, "a"), (2, "c"), (3, None)]      # the smaller copy wins
