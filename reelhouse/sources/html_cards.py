@@ -128,22 +128,25 @@ def parse(html: str) -> Node:
             node.end = len(doc)
         del stack[k:]
 
+    search = _MARKUP.search
     pos, n = 0, len(html)
     while pos < n:
-        m = _MARKUP.search(html, pos)
+        m = search(html, pos)
         if m is None:
             stack[-1].children.append(unescape(html[pos:]))
             break
-        if m.start() > pos:
-            stack[-1].children.append(unescape(html[pos:m.start()]))
+        start = m.start()
+        if start > pos:
+            stack[-1].children.append(unescape(html[pos:start]))
         pos = m.end()
-        end_name, tag = m.group(1), m.group(2)
+        end_name, tag, attr_text = m.groups()
         if tag is not None:
             tag = tag.lower()
-            attrs, closed = _start_tag(html, m.start(3), m.end(3)) if m.end(3) > m.start(3) else ({}, False)
+            attrs, closed = _start_tag(html, m.start(3), m.end(3)) if attr_text else ({}, False)
+            parent = stack[-1]
             doc.append(None)
-            node = doc[-1] = Node(tag, attrs, stack[-1], doc)
-            stack[-1].children.append(node)
+            node = doc[-1] = Node(tag, attrs, parent, doc)
+            parent.children.append(node)
             if closed or tag in VOID:
                 continue
             stack.append(node)
@@ -161,7 +164,7 @@ def parse(html: str) -> Node:
                 if stack[i].tag == name:
                     close(i)
                     break
-        elif m.group(0) == "<":
+        elif pos - start == 1:
             stack[-1].children.append("<")
     close(0)
     return root
