@@ -17,10 +17,16 @@ def apply_updates(library: DataFrame, changes: DataFrame, cols: list[str],
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """K2: set ``cols`` from ``changes`` (keyed by ``id``) on matching rows.
 
-    A change set within the broadcast bound is broadcast (no shuffle of the
-    library); a larger one is a shuffle join on ``id``.
+    The change set is first reduced to one row per ``id`` (combined map side;
+    several changes for one id keep the greatest, so a row is never
+    duplicated).  A change set within the broadcast bound is then broadcast
+    (no shuffle of the library); a larger one is a shuffle join on ``id``
+    that reuses the reduction's partitioning.
     """
-    ch = changes.select(F.col("id").alias("_cid"), *[F.col(c).alias(f"_new_{c}") for c in cols])
+    # one change per id, so the join can never duplicate a library row; of
+    # several changes for one id the greatest (by the changed values) wins
+    one = changes.groupBy("id").agg(F.max(F.struct(*cols)).alias("_v"))
+    ch = one.select(F.col("id").alias("_cid"), *[F.col(f"_v.{c}").alias(f"_new_{c}") for c in cols])
     ch = maybe_broadcast(ch, max_broadcast_rows)
     joined = library.join(ch, library["id"] == ch["_cid"], "left")
     matched = F.col("_cid").isNotNull()

@@ -82,3 +82,11 @@ def test_publish_and_snapshot(spark):
     assert S.snapshot(lib, f"{root}/snaps", "2024-01-07 23:00:00") is None   # today's exists
     kept = sorted(os.listdir(f"{root}/snaps"))
     assert kept == [f"snapshot_date=2024010{d}" for d in range(3, 8)]
+
+
+def test_updates_never_duplicate_rows(spark):
+    from reelhouse.operators import updates as U
+    lib = spark.createDataFrame([(1, "a", False), (2, "b", False)], "id bigint, summary string, hidden boolean")
+    ch = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "id bigint, summary string")
+    out = sorted((r.id, r.summary) for r in U.apply_updates(lib, ch, ["summary"]).collect())
+    assert out == [(1, "y"), (2, None)]     # one row per id; a NULL change still wins
