@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelhouse.llm import bpe, ledger, token_cache
+from reelhouse.llm import bpe, ledger, repetition, sketch, token_cache
 from reelhouse.llm.common import documents, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +33,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of every document."""
+    return repetition.repetition(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, then decode the ids."""
     ids = bpe.encode(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
@@ -52,7 +58,13 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_list(F.col("findings"), "rule").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_byte_bpe, op9_secret_scans)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit with the next one."""
+    return sketch.compare_with_next(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_token_counts, op5_repetition, op6_byte_bpe, op9_secret_scans, op10_fingerprints)}
 
 #: DuckDB SQL by query name, where SQL can express it.
 SQL: dict[str, str] = {}
