@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelhouse.llm import bpe, ledger, mixing, repetition, sketch, token_cache
-from reelhouse.llm.common import documents, shared_path
+from reelhouse.llm import bpe, ledger, mixing, repetition, sketch, token_cache, warc
+from reelhouse.llm.common import documents, pages, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as captures, index them, and read them back through the index."""
+    table, folder = pages(spark, sf_dir), shared_path(spark, "archives")
+    index = warc.archive(table, folder)
+    found = warc.read_records(warc.look_up(warc.keys_of(table), index), folder, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
     return repetition.repetition(documents(spark, sf_dir)).select(
@@ -69,7 +77,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_mix_sources, op3_token_counts, op5_repetition, op6_byte_bpe, op9_secret_scans, op10_fingerprints)}
+    op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op9_secret_scans, op10_fingerprints)}
 
 #: DuckDB SQL by query name, where SQL can express it.
-SQL: dict[str, str] = {"op2_mix_sources": mixing.MIX_SQL}
+SQL: dict[str, str] = {"op2_mix_sources": mixing.MIX_SQL, "op4_warc": warc.WARC_SQL}
