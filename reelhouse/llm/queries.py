@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelhouse.llm import bpe, ledger, mixing, repetition, sketch, token_cache, warc
+from reelhouse.llm import bpe, hmm, ledger, mixing, repetition, sketch, token_cache, warc
 from reelhouse.llm.common import documents, pages, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +27,11 @@ def hex_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those not held out."""
+    return hmm.language_model_scores(documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a weighted mix of all sources takes of every document."""
     return mixing.mix(documents(spark, sf_dir)).drop("n_servings")
@@ -77,7 +82,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op9_secret_scans, op10_fingerprints)}
+    op1_hidden_markov, op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op9_secret_scans, op10_fingerprints)}
 
 #: DuckDB SQL by query name, where SQL can express it.
 SQL: dict[str, str] = {"op2_mix_sources": mixing.MIX_SQL, "op4_warc": warc.WARC_SQL}
