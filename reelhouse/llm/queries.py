@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelhouse.llm import bpe, hmm, jaccard, ledger, mixing, repetition, sketch, token_cache, warc
+from reelhouse.llm import bpe, hmm, jaccard, ledger, mixing, pii, repetition, sketch, token_cache, warc
 from reelhouse.llm.common import documents, pages, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -66,6 +66,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", *[count_of(F.col("base"), "kind", k).alias(f"n_{k}") for k in pii.KINDS],
+        hex_digest(span_list(F.col("base"), "kind")).alias("base_sha256"),
+        span_list(F.col("spans"), "kind").alias("spans"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and near-duplicate component of every document."""
     return jaccard.near_duplicates(documents(spark, sf_dir)).drop("point")
@@ -87,7 +96,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_hidden_markov, op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op8_jaccard_join, op9_secret_scans, op10_fingerprints)}
+    op1_hidden_markov, op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op7_personal_data, op8_jaccard_join, op9_secret_scans, op10_fingerprints)}
 
 #: DuckDB SQL by query name, where SQL can express it.
 SQL: dict[str, str] = {"op2_mix_sources": mixing.MIX_SQL, "op4_warc": warc.WARC_SQL}
