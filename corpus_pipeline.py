@@ -1,12 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
-from reelhouse.llm.common import documents, written
+"""The corpus pipeline over ``documents``: rules, near duplicates, secrets, mix, token ids.
 
-STAGES = []
+Every stage takes all that its predecessor kept and returns the columns of
+``documents``, the last one token ids.  ``run`` writes each stage's result to
+the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelhouse.llm import bpe, jaccard, ledger, mixing, repetition
+from reelhouse.llm.common import documents, shared_path, written
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the repetition rules (operator 5)."""
+    return repetition.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (operator 8)."""
+    return jaccard.keep_one(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark (operator 9)."""
+    clean = ledger.redact(docs, shared_path(spark, "blob-ledger"))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the weighted mix serves, once a serving (operator 2)."""
+    mixed = mixing.mixed_documents(docs).drop("mix_position")
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, decoded again as a proof (operator 6)."""
+    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    return bpe.decode(ids, RANKS, public_tokenizers.PATTERN).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixing_sources),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
+
+#: SQL cannot express the stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for number, (_, stage) in enumerate(STAGES, 1):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{number}")
     return docs

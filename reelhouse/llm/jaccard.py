@@ -206,9 +206,10 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def points_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(_id, n, point, hashes)`` of every row; equal sets are one point.
+    """``(_id, n, content, point, hashes)`` of every row; equal sets are one point.
 
-    ``hashes`` is there for the first row of a task with this point only.
+    ``content`` is the MD5 of the text; ``hashes`` is there for the first row
+    of a task with this point only.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
@@ -223,11 +224,14 @@ def points_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for name, s in zip(names, sets):
                     packed.append(None if name in seen else s.astype("<u8").tobytes())
                     seen.add(name)
+                content = [hashlib.md5(t.encode()).digest() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
-                    pa.array(packed, pa.binary())], ["_id", "n", "point", "hashes"])
+                    part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.binary()),
+                    pa.array(names, pa.binary()), pa.array(packed, pa.binary())],
+                    ["_id", "n", "content", "point", "hashes"])
 
-    return written(rows.mapInArrow(run, f"_id {kind}, n bigint, point binary, hashes binary"), "jaccard-points")
+    return written(rows.mapInArrow(run, f"_id {kind}, n bigint, content binary, point binary, hashes binary"),
+                   "jaccard-points")
 
 
 def cells_of(points: DataFrame) -> DataFrame:
@@ -461,21 +465,38 @@ def links(points: DataFrame, all_links: bool = False) -> DataFrame:
     return stars.union(checked)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, n_shingles, component_id, point)`` of every row.
-
-    ``point`` (the set's digest) is null where no other row could link.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that no other can link to, the others with ``root``, a point of their component)."""
     sized = common_counts(docs, id_col, text_col)
     some = sized.where(may_link(F.col("common"), F.col("n"))).select(F.col("_id").alias("_some")).distinct()
+    single = sized.join(some, F.col("_id").eqNullSafe(F.col("_some")), "left_anti").select("_id", "n")
     rows = points_of(docs.join(some, F.col(id_col).eqNullSafe(F.col("_some")), "left_semi"), id_col, text_col)
     points = distinct_contents(rows.where("hashes is not null and n > 0").select("point", "hashes"))
     own = written(components(links(points)), "jaccard-components")
-    rows = rows.select("_id", "n", "point").join(own.withColumnRenamed("node", "point"), "point", "left").select(
-        "_id", "n", F.when(F.col("n") > 0, F.col("point")).alias("point"), F.coalesce("root", "point").alias("root"))
+    rows = rows.select("_id", "n", "content", "point").join(own.withColumnRenamed("node", "point"), "point", "left")
+    return single, rows.select("_id", "n", "content", F.coalesce("root", "point").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, n_shingles, component_id)`` of every row."""
+    single, rows = _grouped(docs, id_col, text_col)
     least = rows.where("n > 0").groupBy("root").agg(F.min("_id").alias("_least"))
     grouped = rows.join(least, "root", "left").select(
-        "_id", "n", F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"), "point")
-    single = sized.join(some, F.col("_id").eqNullSafe(F.col("_some")), "left_anti").select(
-        "_id", "n", F.col("_id").alias("component_id"), F.lit(None).cast("binary").alias("point"))
-    return grouped.unionByName(single).withColumnsRenamed({"_id": id_col, "n": "n_shingles"})
+        "_id", "n", F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"))
+    return grouped.unionByName(single.withColumn("component_id", F.col("_id"))).withColumnsRenamed(
+        {"_id": id_col, "n": "n_shingles"})
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id, then content.
+
+    Rows equal in id and text are one document, which stays or goes as a whole.
+    """
+    _, rows = _grouped(docs, id_col, text_col)
+    rows = rows.where("n > 0")
+    name = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("_id"), F.col("content").alias("content"))
+    first = rows.groupBy("root").agg(F.min(name).alias("first"))
+    gone = rows.join(first, "root").where(~name.eqNullSafe(F.col("first"))).select(
+        F.col("_id").alias("_gone"), F.col("content").alias("_content")).distinct()
+    content = F.unhex(F.md5(text_of(text_col).cast("binary")))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (content == F.col("_content")), "left_anti")

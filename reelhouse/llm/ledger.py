@@ -131,3 +131,35 @@ def scan_versions(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
         lambda f: F.struct(f["rule"], f["start"], f["end"])).alias("findings"))
     rows = versions.select(*key_cols, blob(text_of(text_col)).alias("blob"))
     return rows.join(known, "blob").select(*key_cols, "blob", "findings")
+
+
+def redact(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
+           mark: str = "[secret]") -> DataFrame:
+    """``versions`` with every span found replaced by ``mark``; other columns as they are.
+
+    Texts are joined to the findings of their blobs; only blobs with findings
+    are on the other side.
+    """
+    unseen(versions, path, rules, text_col).mapInArrow(_scan(rules), SCHEMA).write.mode("append").parquet(path)
+    names = [r.name for r in rules]
+    found = ledger(versions.sparkSession, path).select("blob", F.filter(
+        "findings", lambda f: f["rule"].isin(*names)).alias("_found")).where(F.size("_found") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, last = batch.schema.get_field_index(text_col), batch.num_columns - 1
+            texts = batch.column(at).to_pylist()
+            for i, spans in enumerate(batch.column(last).to_pylist()):
+                end = len(texts[i] or "")
+                for a, b in sorted(((f["start"], f["end"]) for f in spans or ()), reverse=True):
+                    b = min(b, end)  # spans of two rules may overlap
+                    if a < b:
+                        texts[i], end = texts[i][:a] + mark + texts[i][b:], a
+            columns = [*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1:last]]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last])
+
+    # the ledger's column must not meet one of the same name
+    known = found.withColumnRenamed("blob", "_blob")
+    rows = versions.join(known, blob(text_of(text_col)) == F.col("_blob"), "left").select(
+        *[versions[c] for c in versions.columns], "_found")
+    return rows.mapInArrow(run, versions.schema)

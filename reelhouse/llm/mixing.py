@@ -67,7 +67,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def schedule(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
              repeats: int = REPEATS, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(documents, servings) for rows ``(id, source, size)``.
+    """(documents, servings) for rows ``(id, source, size)`` and what else they carry.
 
     documents: every row, its source's totals and ``row``, its place in the
     shuffled order.  servings: ``(row, pass, position, finish, taken)`` of every
@@ -78,7 +78,7 @@ def schedule(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     shuffled = running(sized.withColumn("_key", key), order, "size", "mix-shuffled")
     goal = targets(sized, weights, share, repeats).withColumnRenamed("source", "_source")
     docs = written(shuffled.join(goal, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "id", "source", "size", "source_size", "target", F.col("_at").alias("row"),
+        *sized.columns, "source_size", "target", F.col("_at").alias("row"),
         (F.col("_before") - F.col("earlier_size")).alias("start")), "mix-documents")
 
     begin = F.col("start") + F.col("pass") * F.col("source_size")
@@ -105,6 +105,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("n_servings", F.lit(0)).alias("n_servings"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+                    **how) -> DataFrame:
+    """The rows of ``docs`` that the mix serves, once for each serving, and ``mix_position``.
+
+    A serving in part has the text's first words only.  Row numbers are fixed
+    by writing the rows to the shared folder first.
+    """
+    stamped = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    sized = stamped.select("_row", F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                           word_count(text_of(text_col)).alias("size"))
+    every, servings = schedule(sized, **how)
+    served = servings.join(every.select("row", "_row", "size"), "row").select(
+        "_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("position").alias("mix_position"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
+                                1, F.col("_taken").cast("int")), "")
+    rows = stamped.join(served, "_row").withColumn(
+        text_col, F.when(F.col("_taken") < F.col("_size"), part).otherwise(F.col(text_col)))
+    return rows.select(*docs.columns, "mix_position")
+
+
 #: The same mix in DuckDB SQL (tables: documents).
 MIX_SQL = r"""
 with recursive sized as (

@@ -77,7 +77,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and near-duplicate component of every document."""
-    return jaccard.near_duplicates(documents(spark, sf_dir)).drop("point")
+    return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
