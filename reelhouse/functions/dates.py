@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from reelhouse import constants as K
 from reelhouse.functions.fields import ColumnOrName, _col
 
-RELATIVE_PATTERN = r"([0-9]+)\s+(second|minute|hour|day|week|month|year)s?\s+ago"
+# "2 hours ago", "an hour ago", "2 hrs ago", "1 mo ago", "yesterday", "today".
+RELATIVE_PATTERN = (r"(?:^|[^a-z0-9])([0-9]+|an?|one|a few|yesterday|today)\s*"
+                    r"(seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|wks?|months?|mos?|years?|yrs?)?\s*(?:ago|$)")
 
-_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+_SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "day": 86400, "week": 604800, "wk": 604800}
+_MONTHS = {"month": 1, "mo": 1, "year": 12, "yr": 12}
+_AMOUNTS = {"a": 1, "an": 1, "one": 1, "a few": 3}
 
 
 def as_of_literal(as_of: str) -> Column:
@@ -35,20 +39,26 @@ def is_date_text(text: ColumnOrName) -> Column:
 def relative_created(text: ColumnOrName, as_of: Column) -> Column:
     """``as_of`` minus the amount in "N unit(s) ago"; NULL when unmatched.
 
+    The amount may be "a", "an", "one" or "a few" (three), the unit shortened
+    ("hrs", "mo"); "yesterday" is one day, "today" none.
+
     Months and years move the calendar (31 Mar - 1 month = 29 Feb); the other
     units are exact durations.  The unit is looked up in two literal maps
     (seconds per unit, months per unit) instead of one branch per unit, so
     the text is matched a fixed number of times whatever the unit list.
     """
-    low = F.lower(_col(text))
-    n = F.regexp_extract(low, RELATIVE_PATTERN, 1).try_cast("bigint")
-    unit = F.regexp_extract(low, RELATIVE_PATTERN, 2)
-    secs = F.create_map(*[F.lit(x) for kv in _SECONDS.items() for x in kv])
-    months = F.create_map(F.lit("month"), F.lit(1), F.lit("year"), F.lit(12))
-    unit_secs = F.coalesce(F.try_element_at(secs, unit), F.lit(0))
-    unit_months = F.coalesce(F.try_element_at(months, unit), F.lit(0))
-    shifted = F.timestamp_add("SECOND", -n * unit_secs, F.timestamp_add("MONTH", -n * unit_months, as_of))
-    return F.when(n.isNotNull(), shifted)
+    low = F.trim(F.lower(_col(text)))
+    amount = F.regexp_extract(low, RELATIVE_PATTERN, 1)
+    unit = F.regexp_replace(F.regexp_extract(low, RELATIVE_PATTERN, 2), "s$", "")
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    day = amount.isin("yesterday", "today")
+    n = F.when(day, (amount == "yesterday").cast("bigint")).otherwise(
+        F.coalesce(F.try_element_at(table(_AMOUNTS), amount).cast("bigint"), amount.try_cast("bigint")))
+    unit = F.when(day, "day").otherwise(unit)
+    secs = F.try_element_at(table(_SECONDS), unit)
+    months = F.try_element_at(table(_MONTHS), unit)
+    shifted = F.timestamp_add("SECOND", -n * F.coalesce(secs, F.lit(0)), F.timestamp_add("MONTH", -n * F.coalesce(months, F.lit(0)), as_of))
+    return F.when(n.isNotNull() & (secs.isNotNull() | months.isNotNull()), shifted)
 
 
 def age_seconds(created: ColumnOrName, as_of: Column) -> Column:

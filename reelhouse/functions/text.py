@@ -27,11 +27,10 @@ CAPTION_SCHEMA = T.StructType([
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def chunks(text: ColumnOrName, size: int, max_chunks: int | None = None) -> Column:
+def chunks(text: ColumnOrName, size: int) -> Column:
     """Fixed-size character chunks covering the whole text, in order.
 
-    ``''`` gives an empty array, NULL gives NULL.  ``max_chunks`` keeps only
-    the first chunks; the default keeps them all.
+    ``''`` gives an empty array, NULL gives NULL.
     """
     if size <= 0:
         raise ValueError("chunk size must be positive")
@@ -39,16 +38,9 @@ def chunks(text: ColumnOrName, size: int, max_chunks: int | None = None) -> Colu
     starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(size))
     arr = F.filter(F.transform(starts, lambda i: F.substring(t, i + 1, size)),
                    lambda x: x != "")
-    if max_chunks is not None:
-        arr = F.slice(arr, 1, max_chunks)
     return F.when(t.isNotNull(), arr)
 
 
-def truncate(text: ColumnOrName, n: int) -> Column:
-    """First ``n`` characters (code points)."""
-    return F.substring(_col(text), 1, n)
-
-
 def strip_preamble(text: ColumnOrName) -> Column:
     """Drop a leading "Here is/are/'s ..." line that is followed by a blank line."""
     return F.regexp_replace(_col(text), K.PREAMBLE_PATTERN, "")

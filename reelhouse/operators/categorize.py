@@ -8,10 +8,9 @@ those keywords.  It is computed as joins and grouped counts:
     item tokens (exploded in place)  JOIN  candidate keywords   on token
       -> count per (item, candidate)  -> best candidate per item
 
-The keyword side is the vocabulary (broadcast after a size check).  The
-token side is never shuffled whole: the join drops every token that is not a
-keyword before the first shuffle, and the count is partially aggregated, so
-an item with a third of all tokens leaves each task as a few rows.
+Tokens are counted per item before the join (combined map side, so an item
+with a third of all tokens leaves each task as one row a token), and adaptive
+execution decides by bytes how the keyword side is joined.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from pyspark.sql.window import Window
 
 from reelhouse import constants as K
 from reelhouse.functions import text as TX
-from reelhouse.operators.joins import DEFAULT_BROADCAST_ROWS, maybe_broadcast
 from reelhouse.operators.vocabulary import is_valid_answer, membership
 
 
@@ -31,12 +29,15 @@ def keywords(vocab: DataFrame) -> DataFrame:
     return vocab.select("category", F.explode(TX.tokens("category")).alias("token")).distinct()
 
 
-def scores(items: DataFrame, key: str, text: F.Column, vocab: DataFrame,
-           max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``(key, category, score)`` for candidates with a positive score."""
-    kw = maybe_broadcast(keywords(vocab), max_broadcast_rows)
-    toks = items.select(key, F.explode(TX.tokens(text)).alias("token"))
-    return toks.join(kw, "token").groupBy(key, "category").agg(F.count(F.lit(1)).alias("score"))
+def scores(items: DataFrame, key: str, text: F.Column, vocab: DataFrame) -> DataFrame:
+    """``(key, category, score)`` for candidates with a positive score.
+
+    An item's equal tokens are counted before the join, so a token said a
+    thousand times joins once.
+    """
+    toks = items.select(key, F.explode(TX.tokens(text)).alias("token")).groupBy(key, "token").agg(
+        F.count(F.lit(1)).alias("times"))
+    return toks.join(keywords(vocab), "token").groupBy(key, "category").agg(F.sum("times").alias("score"))
 
 
 def categorize(items: DataFrame, key: str, text: F.Column, vocab: DataFrame,
@@ -85,7 +86,7 @@ def categorize_free(items: DataFrame, key: str, text: F.Column, vocab: DataFrame
                          is_valid_answer(F.col("known"), F.col("answer")).alias("valid"),
                          (TX.word_count("answer") > K.MAX_CATEGORY_WORDS).alias("too_long"))
     props = ranked(items, key, text, vocab, attempts, **kw) \
-        .join(maybe_broadcast(cands, kw.get("max_broadcast_rows", DEFAULT_BROADCAST_ROWS)), "category")
+        .join(cands, "category")
     per_item = props.groupBy(key).agg(
         F.min(F.when(F.col("valid"), F.col("rank"))).alias("kv"),
         F.min(F.when(~F.col("valid") & F.col("too_long"), F.col("rank"))).alias("kl"),

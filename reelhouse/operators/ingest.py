@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from reelhouse import constants as K
 from reelhouse.functions import dates as D
 from reelhouse.functions import fields as FF
-from reelhouse.operators.joins import fits, stable
+from reelhouse.operators.joins import stable
 from reelhouse.schema import LIBRARY_COLUMNS, conform
 
 ITEM_COLUMNS = ["page_id", "pos", "link", "title", "channel", "thumbnail", "progress",
@@ -58,32 +58,25 @@ def clean_cards(cards: DataFrame, as_of: str, site_base: str = K.SITE_BASE) -> D
 def first_per_link(items: DataFrame) -> DataFrame:
     """The first card of every link in feed order (page_id, pos).
 
-    A grouped ``min`` over a (page_id, pos, ...) struct: partial aggregation
-    runs before the shuffle, so a link that fills a third of the feed leaves
-    each map task as a single row.  No window, no per-link sort.
+    The order is packed in one fixed-width decimal, so the grouped minimum is
+    a hash aggregate (no sort of wide rows) and a link that fills a third of
+    the feed leaves each map task as one row.  The winners are then joined to
+    their rows; rows equal in link and order are one card.
     """
-    rest = [c for c in items.columns if c not in ("link", "page_id", "pos")]
-    first = items.groupBy("link").agg(F.min(F.struct("page_id", "pos", *rest)).alias("f"))
-    return first.select("link", "f.*").select(*items.columns)
+    last = F.lit(2 ** 63 - 1)  # a missing page or position comes last
+    part = lambda c: F.coalesce(F.col(c), last).cast("decimal(19,0)")
+    order = (part("page_id") * F.lit(str(2 ** 63)).cast("decimal(19,0)") + part("pos")).cast("decimal(38,0)")
+    keyed = items.withColumn("_order", order)
+    first = keyed.groupBy("link").agg(F.min("_order").alias("_order"))
+    return keyed.join(first, ["link", "_order"], "left_semi").dropDuplicates(["link", "_order"]).select(*items.columns)
 
 
-def skip_known(items: DataFrame, library: DataFrame,
-               max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def skip_known(items: DataFrame, library: DataFrame) -> DataFrame:
     """Drop items whose link is already stored (hidden rows included).
 
-    New items are usually few against a large library.  The items are
-    checkpointed once (so the size check and the join read the same rows
-    without recomputing the feed), then, when their links fit the broadcast
-    bound, the library's ``link`` column is semi-joined against the broadcast
-    new links (the library is scanned, never shuffled) and the short list of
-    known links is anti-joined back.  Beyond the bound it is a plain shuffle
-    anti join.
+    A plain anti join on the ``link`` column; adaptive execution decides by
+    bytes how it runs.
     """
-    items = stable(items)
-    links = items.select("link")
-    if fits(links, max_broadcast_rows):
-        known = library.select("link").join(F.broadcast(links), "link", "left_semi")
-        return items.join(F.broadcast(known), "link", "left_anti")
     return items.join(library.select("link"), "link", "left_anti")
 
 
@@ -100,17 +93,18 @@ def split_rejects(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, bad
 
 
-def assign_ids(new: DataFrame, start_after: int, order: list[str]) -> DataFrame:
+def assign_ids(new: DataFrame, start_after: int, order: list[str], key: str = "link") -> DataFrame:
     """K1: ids ``start_after + 1 ...`` in ``order``, computed without a
     single-partition window.
 
-    Rows are range-sorted across tasks; each task numbers its rows
-    (``monotonically_increasing_id`` is dense within a partition); the
-    per-partition row counts (one row per partition) give each partition its
-    offset, joined back by broadcast.  The numbered rows are checkpointed so a
-    retried task sees the same numbers.
+    Only the unique ``key`` and the order columns are range-sorted across
+    tasks; each task numbers its rows (``monotonically_increasing_id`` is dense
+    within a partition); the per-partition row counts (one row per partition)
+    give each partition its offset, joined back by broadcast.  The numbered
+    keys are checkpointed so a retried task sees the same numbers, and joined
+    to the rows.
     """
-    numbered = stable(new.orderBy(*order)
+    numbered = stable(new.select(key, *order).orderBy(*order)
                       .withColumn("_p", F.spark_partition_id())
                       .withColumn("_m", F.monotonically_increasing_id()))
     per_part = numbered.groupBy("_p").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
@@ -120,8 +114,8 @@ def assign_ids(new: DataFrame, start_after: int, order: list[str]) -> DataFrame:
                     F.lit(0))).alias("_off"))
     # one row per partition: a proven small side
     joined = numbered.join(F.broadcast(offsets), "_p")
-    return joined.withColumn("id", F.lit(start_after) + F.col("_off") + (F.col("_m") - F.col("_m0")) + 1) \
-                 .drop("_p", "_m", "_m0", "_off")
+    ids = joined.select(key, (F.lit(start_after) + F.col("_off") + (F.col("_m") - F.col("_m0")) + 1).alias("id"))
+    return new.join(ids, key)
 
 
 def max_id(library: DataFrame) -> int:

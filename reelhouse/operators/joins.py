@@ -1,27 +1,8 @@
-"""Join helpers: broadcast only behind a size check, otherwise shuffle."""
+"""Cutting lineage where a result is read twice."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Rows a side may have and still be broadcast.  Checked with a bounded count,
-# so the check itself never scans more than this many rows past the limit.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting early)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` as is.
-
-    Beyond the bound the join planner picks a shuffle join (sort-merge with
-    AQE skew splitting), which has no size limit.
-    """
-    return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def stable(df: DataFrame) -> DataFrame:

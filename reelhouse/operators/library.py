@@ -87,9 +87,18 @@ def library_view(lib: DataFrame, category: str | None = None, as_of: str = "",
     )
 
 
-def queue_subtitles(lib: DataFrame, n: int | None = None) -> DataFrame:
-    """P5: visible items without a transcript, newest first."""
-    return newest(visible(lib).where(F.col("subtitles").isNull()), n)
+def queue_subtitles(lib: DataFrame, attempts: DataFrame | None = None, most: int = 1) -> DataFrame:
+    """P5: visible items without a transcript.
+
+    ``attempts (id)``, one row for each try that found no captions, takes out
+    the items tried ``most`` times, so a run does not pick them again.  The
+    queue is a set; a view orders it by ``newest``.
+    """
+    todo = visible(lib).where(F.col("subtitles").isNull())
+    if attempts is None:
+        return todo
+    tried = attempts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
+    return todo.join(tried.select("id"), "id", "left_anti")
 
 
 def queue_themes(lib: DataFrame) -> DataFrame:
@@ -97,9 +106,9 @@ def queue_themes(lib: DataFrame) -> DataFrame:
     return visible(lib).where(F.col("themes").isNull() & F.col("subtitles").isNotNull())
 
 
-def queue_summaries(lib: DataFrame, n: int | None = None) -> DataFrame:
-    """Visible items with a transcript and no summary, newest first."""
-    return newest(visible(lib).where(F.col("subtitles").isNotNull() & F.col("summary").isNull()), n)
+def queue_summaries(lib: DataFrame) -> DataFrame:
+    """Visible items with a transcript and no summary."""
+    return visible(lib).where(F.col("subtitles").isNotNull() & F.col("summary").isNull())
 
 
 def lookup(lib: DataFrame, ids: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reelhouse import constants as K
+from reelhouse.schema import validate_library
 
 
 def _fs(spark: SparkSession, root: str):
@@ -45,14 +46,35 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return None
 
 
-def publish(df: DataFrame, root: str) -> str:
+def prune_versions(spark: SparkSession, root: str, keep: int) -> None:
+    """Drop all complete versions but the newest ``keep``."""
+    done = sorted((int(v) for v in _children(spark, root, "v=") if v.isdigit() and _complete(spark, f"{root}/v={v}")), reverse=True)
+    for v in done[keep:]:
+        fs, path = _fs(spark, f"{root}/v={v}")
+        fs.delete(path, True)
+
+
+def publish(df: DataFrame, root: str, check: bool = True, keep: int | None = None) -> str:
     """Write ``df`` as the next version; returns its path.  Readers of the
-    previous version are unaffected."""
+    previous version are unaffected.
+
+    ``check``: the written version must keep the library's rules (NOT NULL
+    columns, unique links); one that does not is deleted and the call fails.
+    ``keep``: complete versions to keep, older ones are deleted.
+    """
     spark = df.sparkSession
     taken = [int(v) for v in _children(spark, root, "v=") if v.isdigit()]
     # past every folder, complete or not: a crashed writer's leftovers are never reused
     path = f"{root}/v={max(taken) + 1 if taken else 0}"
     df.write.mode("errorifexists").parquet(path)
+    if check:
+        broken = validate_library(spark.read.schema(df.schema).parquet(path)).collect()  # one row a rule
+        if broken:
+            fs, at = _fs(spark, path)
+            fs.delete(at, True)
+            raise ValueError("not published: " + ", ".join(f"{r['rule']} ({r['rows']} rows)" for r in broken))
+    if keep is not None:
+        prune_versions(spark, root, keep)
     return path
 
 

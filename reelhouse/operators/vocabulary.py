@@ -4,15 +4,13 @@ membership test and bulk renames (S5, U1, A3, J2, K4, J5).
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelhouse import constants as K
 from reelhouse.functions import fields as FF
 from reelhouse.functions import text as TX
-from reelhouse.operators.joins import DEFAULT_BROADCAST_ROWS, fits, maybe_broadcast, stable
+from reelhouse.operators.joins import stable
 
 
 def configured_categories(spark: SparkSession, csv: str) -> DataFrame:
@@ -39,52 +37,55 @@ def vocabulary_text(vocab: DataFrame, sep: str = "\n") -> DataFrame:
     return vocab.agg(F.array_join(F.array_sort(F.collect_set("category")), sep).alias("vocabulary"))
 
 
-def _has_wildcard(c: F.Column) -> F.Column:
-    return c.contains("%") | c.contains("_") | c.contains("\\")
+#: Characters of a pattern's literal run that serve as its join key.
+RUN = 3
+
+
+def plain_pattern(pattern: Column) -> Column:
+    """An ILIKE pattern as the original database reads it: a backslash before
+    an ordinary character stands for nothing; one at the end matches nothing
+    (NULL)."""
+    escaped = F.regexp_replace(pattern, r"(\\[%_\\])|\\", "$1")
+    dangling = F.length(F.regexp_extract(pattern, r"(\\*)\z", 1)) % 2 == 1
+    return F.when(~dangling, escaped)
 
 
-def membership(answers: DataFrame, col: str, library: DataFrame,
-               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def _literal_run(pattern: Column) -> Column:
+    """The first ``RUN`` characters of the longest run without wildcards, lower-cased."""
+    runs = F.transform(F.regexp_extract_all(pattern, F.lit(r"(?:\\.|[^%_\\])+"), F.lit(0)),
+                       lambda r: F.regexp_replace(r, r"\\(.)", "$1"))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    return F.substring(F.lower(longest["run"]), 1, RUN)
+
+
+def membership(answers: DataFrame, col: str, library: DataFrame) -> DataFrame:
     """``known`` = some stored category matches ``col`` as an ILIKE pattern.
 
-    Answers without ``%``, ``_`` or ``\\`` match exactly case-insensitively:
-    an equi join on ``lower()``.  Only the distinct wildcard answers need a
-    pattern join; the smaller of (wildcard answers, stored vocabulary) is
-    broadcast after a size check.
-    """
-    stored = stored_categories(library).select(F.lower("category").alias("_low"))
-    # the distinct answers are read by the size checks and the joins: computed once
-    pats = stable(answers.select(F.col(col).alias("_pat")).where(F.col("_pat").isNotNull()).distinct())
-    plain = pats.where(~_has_wildcard(F.col("_pat"))) \
-                .join(stored.distinct(), F.lower(F.col("_pat")) == F.col("_low"), "left_semi")
-    wild = pats.where(_has_wildcard(F.col("_pat")))
-    wild_known = _pattern_known(wild, stored.distinct(), max_broadcast_rows)
-    known = plain.union(wild_known).distinct().withColumn("_known", F.lit(True))
-    out = answers.join(maybe_broadcast(known, max_broadcast_rows),
-                       answers[col].eqNullSafe(known["_pat"]), "left")
-    return out.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_pat", "_known")
-
-
-def _pattern_known(wild: DataFrame, stored: DataFrame, max_rows: int) -> DataFrame:
-    """Distinct ``_pat`` of ``wild`` that match some ``_low`` of ``stored`` (ILIKE).
-
-    A pattern join has no equi key, so one side is broadcast: the patterns
-    when they fit the bound, else the stored names.  When neither fits, the
-    stored names are cut into hash blocks of about half the bound and each
-    block is broadcast in turn; the union of the per-block semi joins is the
-    exact answer and no executor ever holds more than one block.
+    A pattern and a name can only match if the name holds the pattern's
+    literal run, so the run's first characters are an equi key against the
+    short substrings of the distinct names, and ILIKE verifies the candidates.
+    A pattern of wildcards alone only asks for a name's length.
     """
-    cond = F.expr("_low ILIKE _pat")
-    if fits(wild, max_rows):
-        return stored.join(F.broadcast(wild), cond, "inner").select("_pat").distinct()
-    if fits(stored, max_rows):
-        return wild.join(F.broadcast(stored), cond, "left_semi")
-    stored = stable(stored)
-    blocks = -(-2 * stored.count() // max_rows)
-    keyed = stored.withColumn("_b", F.pmod(F.xxhash64("_low"), F.lit(blocks)))
-    parts = [wild.join(maybe_broadcast(keyed.where(F.col("_b") == b).drop("_b"), max_rows), cond, "left_semi")
-             for b in range(blocks)]
-    return reduce(DataFrame.union, parts).distinct()
+    stored = stored_categories(library).select(F.lower("category").alias("_low")).distinct()
+    pats = answers.select(F.col(col).alias("_raw")).where(F.col(col).isNotNull()).distinct().withColumn(
+        "_pat", plain_pattern(F.col("_raw")))
+    pats = stable(pats.where(F.col("_pat").isNotNull()).withColumn("_run", F.coalesce(_literal_run(F.col("_pat")), F.lit(""))))
+    n = F.length("_low")
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    grams = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.lit(RUN)), lambda k: F.substring("_low", i, k)))))
+    keyed = stored.select("_low", F.explode(grams).alias("_run")).distinct()
+    by_run = pats.where(F.col("_run") != "").join(keyed, "_run").where(F.expr("_low ILIKE _pat")).select("_raw")
+    # wildcards only: '_' asks for one character each, '%' for any number more
+    marks = pats.where(F.col("_run") == "").select(
+        "_raw", F.length(F.regexp_replace("_pat", "%", "")).alias("_least"), F.col("_pat").contains("%").alias("_open"))
+    lengths = stored.select(n.alias("_len")).distinct()
+    exact = marks.where(~F.col("_open")).join(lengths, F.col("_least") == F.col("_len")).select("_raw")
+    longest = lengths.agg(F.max("_len")).first()[0]
+    longer = marks.where(F.col("_open") & (F.col("_least") <= F.lit(-1 if longest is None else longest))).select("_raw")
+    known = by_run.union(exact).union(longer).distinct().withColumn("_known", F.lit(True))
+    out = answers.join(known, answers[col] == known["_raw"], "left")
+    return out.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_raw", "_known")
 
 
 def is_valid_answer(known: F.Column, answer: F.Column) -> F.Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelhouse import constants as K
 from reelhouse.functions import text as TX
 from reelhouse.operators import categorize as C
+from reelhouse.operators import categorize_model as CM
 from reelhouse.operators import library as L
 from reelhouse.operators import models as M
 from reelhouse.operators import updates as U
@@ -87,6 +88,7 @@ def clean_category(spark, sf_dir):
 def category_membership(spark, sf_dir):
     lib = X.library(spark, sf_dir)
     a = X.category_answers(spark, sf_dir).select("id", TX.clean_category("answer").alias("category"))
+    a = a.union(X.pattern_answers(spark, sf_dir))
     m = V.membership(a, "category", lib)
     return m.select("id", "category", "known",
                     V.is_valid_answer(F.col("known"), F.col("category")).alias("valid"))
@@ -120,9 +122,10 @@ def rename_categories(spark, sf_dir):
 
 @query("set_hidden")
 def set_hidden(spark, sf_dir):
-    flags = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"),
-                                                       (F.col("quality") == 0).alias("hidden"))
-    return U.set_hidden(X.library(spark, sf_dir), flags).select("id", "hidden")
+    lab = read_table(spark, sf_dir, "labels")
+    hide = lab.select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("hidden"), F.lit(1).alias("ord"))
+    back = lab.where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("hidden"), F.lit(2).alias("ord"))
+    return U.set_hidden(X.library(spark, sf_dir), back.union(hide), "ord").select("id", "hidden")
 
 
 @query("apply_updates")
@@ -130,8 +133,12 @@ def apply_updates(spark, sf_dir):
     lab = read_table(spark, sf_dir, "labels")
     changes = lab.select(F.col("doc_id").alias("id"),
                          F.when(F.col("quality") == 1, F.lit("reviewed")).alias("summary"),
-                         F.concat(F.lit("- toxic "), F.col("toxic").cast("string")).alias("themes"))
-    return U.apply_updates(X.library(spark, sf_dir), changes, ["summary", "themes"]) \
+                         F.concat(F.lit("- toxic "), F.col("toxic").cast("string")).alias("themes"),
+                         F.lit(5).alias("ord"))
+    # a later change of every third id empties both columns again
+    later = changes.where(F.col("id") % 3 == 0).select(
+        "id", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("themes"), F.lit(9).alias("ord"))
+    return U.apply_updates(X.library(spark, sf_dir), later.union(changes), ["summary", "themes"], "ord") \
             .select("id", "summary", "themes", "category")
 
 
@@ -146,7 +153,7 @@ def summarize_lead(spark, sf_dir):
 @query("summarize_batch")
 def summarize_batch(spark, sf_dir):
     q = L.queue_summaries(X.library(spark, sf_dir)).select("id", "subtitles")
-    return M.summarize(q, "subtitles", "summary", model=M.lead_batch_model(8)).select("id", "summary")
+    return M.summarize(q, "subtitles", "summary", model=M.extract_batch_model()).select("id", "summary")
 
 
 @query("summarize_import")
@@ -155,6 +162,20 @@ def summarize_import(spark, sf_dir):
     return M.summarize(lib, "subtitles", "summary", title_col="title").select("id", "summary")
 
 
+@query("enrich_rejects")
+def enrich_rejects(spark, sf_dir):
+    """A model that fails on some chunks: every row comes back, answered or with its error."""
+    def fails(_instructions, texts):
+        if any(len(t) % 5 == 0 for t in texts):
+            raise ValueError("refused")
+        return [t[-20:] for t in texts]
+
+    q = L.queue_summaries(X.library(spark, sf_dir)).select("id", "subtitles")
+    ok, bad = M.split_failures(M.summarize(q, "subtitles", "summary", model=M.BatchModel(fails, 7)), "summary")
+    return ok.select("id", "summary", F.lit(None).cast("string").alias("problem")).unionByName(
+        bad.select("id", "summary", "problem"))
+
+
 @query("blurb_lead")
 def blurb_lead(spark, sf_dir):
     lib = X.library(spark, sf_dir).where(F.col("subtitles").isNotNull()).select("id", "subtitles")
@@ -185,3 +206,42 @@ def categorize_free(spark, sf_dir):
     text = TX.category_text(F.col("title"), F.col("summary"), F.col("themes"))
     out = C.categorize_free(items, "id", text, _vocab(spark, lib), lib)
     return out.select("id", "category")
+
+
+# ---- categories by a model --------------------------------------------------------
+
+def _naming_model() -> M.BatchModel:
+    """Deterministic: reads the mark in an item and what was turned down before."""
+    import re
+
+    def fn(_instructions, prompts):
+        out = []
+        for p in prompts:
+            kind, retried = re.search(r"#([0-9])", p)[1], "PREVIOUS" in p
+            if kind == "4" and not retried:
+                raise ValueError("no answer")
+            out.append({"0": "Category: **cat_EN** fits", "1": "an answer of five words", "2": "cat_fr" if retried else '"cat_fr"',
+                        "3": "nothing known", "4": "x"}[kind])
+        return out
+    return M.BatchModel(fn, 16)
+
+
+def _marked_items(spark, sf_dir):
+    lib = X.library(spark, sf_dir)
+    items = L.visible(lib).select("id", "title", "summary", "themes")
+    mark = F.concat(F.col("title"), F.lit(" #"), (F.col("id") % 5).cast("string"))
+    return lib, items, CM.item_text(mark, F.col("summary"), F.col("themes"))
+
+
+@query("categorize_model")
+def categorize_model(spark, sf_dir):
+    lib, items, item = _marked_items(spark, sf_dir)
+    out = CM.categorize_by_model(items, "id", item, _vocab(spark, lib), _naming_model())
+    return out.select("id", "category", F.col("category_error").alias("problem"))
+
+
+@query("categorize_free_model")
+def categorize_free_model(spark, sf_dir):
+    lib, items, item = _marked_items(spark, sf_dir)
+    out = CM.categorize_free_by_model(items, "id", item, _vocab(spark, lib), lib, _naming_model())
+    return out.select("id", "category", F.col("category_error").alias("problem"))

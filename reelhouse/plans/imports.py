@@ -9,6 +9,7 @@ from reelhouse.functions import fields as FF
 from reelhouse.operators import ingest as I
 from reelhouse.plans.registry import query
 from reelhouse.sources import fixtures as X
+from reelhouse.sources.tables import read_table
 
 
 def _feed(spark, sf_dir):
@@ -50,6 +51,19 @@ def created_from_relative(spark, sf_dir):
                                               D.as_of_literal(X.AS_OF)).alias("video_created"))
 
 
+PHRASES = ("an hour ago", "a day ago", "Yesterday", "2 hrs ago", "today", "Streamed one week ago", "3 mos ago",
+           "a few minutes ago", "soon", "10yrs ago")
+
+
+@query("created_phrases")
+def created_phrases(spark, sf_dir):
+    """Relative dates in words and short units."""
+    phrases = F.array(*[F.lit(p) for p in PHRASES])
+    e = read_table(spark, sf_dir, "events")
+    phrase = F.element_at(phrases, (F.col("event_id") % len(PHRASES) + 1).cast("int"))
+    return e.select("event_id", D.relative_created(phrase, D.as_of_literal(X.AS_OF)).alias("video_created"))
+
+
 @query("card_title")
 def card_title(spark, sf_dir):
     return _feed(spark, sf_dir).select("pos", FF.title("title_attr", "title_text").alias("title"))

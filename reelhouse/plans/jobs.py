@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from reelhouse import constants as K
 from reelhouse.functions import text as TX
 from reelhouse.operators import categorize as C
+from reelhouse.operators import categorize_model as CM
 from reelhouse.operators import ingest as I
 from reelhouse.operators import library as L
 from reelhouse.operators import models as M
+from reelhouse.operators import snapshots as S
 from reelhouse.operators import updates as U
 from reelhouse.operators import vocabulary as V
+from reelhouse.schema import LIBRARY_SCHEMA
 from reelhouse.sources import captions as CP
+from reelhouse.sources import html_cards as H
 
 
 @dataclass(frozen=True)
@@ -32,13 +36,10 @@ class ImportConfig:
     two_field: str = "ms"                # "5:30" as M:SS ("hm" = stored H:MM reading)
     summary_size: int = K.SUMMARY_SIZE
     chunk_size: int = K.MAX_TOKENS // 2
-    max_input_chars: int | None = None   # whole text by default (original: 4096)
-    max_chunks: int | None = None        # every chunk by default (original: 5)
 
 
 def _model_kw(cfg: ImportConfig) -> dict:
-    return {"chunk_size": cfg.chunk_size, "max_input_chars": cfg.max_input_chars,
-            "max_chunks": cfg.max_chunks}
+    return {"chunk_size": cfg.chunk_size}
 
 
 def vocabulary(library: DataFrame, cfg: ImportConfig) -> DataFrame:
@@ -47,31 +48,60 @@ def vocabulary(library: DataFrame, cfg: ImportConfig) -> DataFrame:
 
 
 def ingest(cards: DataFrame, library: DataFrame, captions: DataFrame, as_of: str,
-           cfg: ImportConfig = ImportConfig(), model=None) -> tuple[DataFrame, DataFrame]:
+           cfg: ImportConfig = ImportConfig(), model=None, category_model=None) -> tuple[DataFrame, DataFrame]:
     """L1: raw cards -> (new library rows, rejects).
 
     Cards are cleaned, the first card of each link kept, known links
     skipped; transcripts are attached by link, summarised with the title,
-    categorised, and the storable rows numbered after the current max id.
+    categorised, and the storable rows numbered after the current max id.  An
+    item whose length cannot be stored or whose model call failed is a reject
+    with its problem; the others are not held up by it.
     """
     items = I.new_items(cards, library, as_of, cfg.site_base, cfg.two_field)
     ok, rejects = I.split_rejects(items)
     with_subs = CP.attach(ok, captions)
     summed = M.summarize(with_subs, "subtitles", "summary", model=model, size=cfg.summary_size,
                          title_col="title", key="link", **_model_kw(cfg))
-    text = TX.category_text(F.col("title"), F.col("summary"))
+    summed, failed = M.split_failures(summed, "summary")
+    rejects = rejects.unionByName(failed.select(*[c for c in rejects.columns]))
     vocab = vocabulary(library, cfg)
-    if cfg.allow_any_category:
-        cat = C.categorize_free(summed, "link", text, vocab, library)
+    if category_model is not None:
+        item = CM.item_text(F.col("title"), F.col("summary"))
+        if cfg.allow_any_category:
+            cat = CM.categorize_free_by_model(summed, "link", item, vocab, library, category_model)
+        else:
+            cat = CM.categorize_by_model(summed, "link", item, vocab, category_model)
+        cat, failed = M.split_failures(cat, "category")
+        rejects = rejects.unionByName(failed.select(*[c for c in rejects.columns]))
+    elif cfg.allow_any_category:
+        cat = C.categorize_free(summed, "link", TX.category_text(F.col("title"), F.col("summary")), vocab, library)
     else:
-        cat = C.categorize(summed, "link", text, vocab)
+        cat = C.categorize(summed, "link", TX.category_text(F.col("title"), F.col("summary")), vocab)
     return I.append_items(library, cat, as_of), rejects
 
 
-def backfill_subtitles(library: DataFrame, captions: DataFrame, limit: int | None = None) -> DataFrame:
-    """L2: attach transcripts to visible items that have none; returns the new library."""
-    todo = L.queue_subtitles(library, limit).select("id", "link")
-    found = CP.attach(todo, captions).where(F.col("subtitles").isNotNull())
+def import_pages(pages: DataFrame, root: str, captions: DataFrame, as_of: str,
+                 cfg: ImportConfig = ImportConfig(), model=None, category_model=None) -> DataFrame:
+    """L1 from stored pages to the stored library under ``root``: extract, ingest, publish.
+
+    The new rows are published with the library's as its next version (which
+    checks the library's rules); returns the rejects.  A second run over the
+    same pages adds nothing.
+    """
+    library = S.read_latest(pages.sparkSession, root, LIBRARY_SCHEMA)
+    rows, rejects = ingest(H.extract_cards(pages), library, captions, as_of, cfg, model, category_model)
+    S.publish(library.unionByName(rows), root)
+    return rejects
+
+
+def backfill_subtitles(library: DataFrame, captions: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+    """L2: attach transcripts to visible items that have none; returns the new library.
+
+    Only the captions of links in the queue are parsed.
+    """
+    todo = L.queue_subtitles(library, attempts).select("id", "link")
+    wanted = captions.join(todo.select("link"), "link", "left_semi")
+    found = CP.attach(todo, wanted).where(F.col("subtitles").isNotNull())
     return U.apply_updates(library, found.select("id", "subtitles"), ["subtitles"])
 
 
@@ -79,26 +109,27 @@ def backfill_themes(library: DataFrame, cfg: ImportConfig = ImportConfig(), mode
     """L3: themes (and a category from the title) for items with a transcript
     and no themes; the blurb is written empty as the original does."""
     q = L.queue_themes(library).select("id", "title", "subtitles")
-    t = M.themes(q, "subtitles", "themes", model=model, title_col="title", **_model_kw(cfg))
+    t, _ = M.split_failures(M.themes(q, "subtitles", "themes", model=model, title_col="title", **_model_kw(cfg)), "themes")
     cat = C.categorize(t, "id", TX.category_text(F.col("title")), vocabulary(library, cfg))
     changes = cat.select("id", "themes", F.lit(None).cast("string").alias("blurb"), "category")
     return U.apply_updates(library, changes, ["themes", "blurb", "category"])
 
 
 def summaries(items: DataFrame, cfg: ImportConfig = ImportConfig(), model=None) -> DataFrame:
-    """``(id, summary)`` of the transcripts of ``items``."""
-    return M.summarize(items.select("id", "subtitles"), "subtitles", "summary", model=model,
-                       size=cfg.summary_size, **_model_kw(cfg)).select("id", "summary")
+    """``(id, summary)`` of the transcripts of ``items``; a failed call changes nothing."""
+    out = M.summarize(items.select("id", "subtitles"), "subtitles", "summary", model=model,
+                      size=cfg.summary_size, **_model_kw(cfg))
+    return M.split_failures(out, "summary")[0].select("id", "summary")
 
 
 def backfill_summaries(library: DataFrame, cfg: ImportConfig = ImportConfig(), model=None,
-                       limit: int | None = None, reset_unused: bool = False) -> DataFrame:
+                       reset_unused: bool = False) -> DataFrame:
     """L4: summaries for visible items with a transcript and none yet.
 
     ``reset_unused=True`` also writes NULL over ``themes`` and ``blurb``, as
     the original backfill does.
     """
-    changes = summaries(L.queue_summaries(library, limit), cfg, model)
+    changes = summaries(L.queue_summaries(library), cfg, model)
     cols = ["summary"]
     if reset_unused:
         changes = changes.withColumn("themes", F.lit(None).cast("string")) \

@@ -11,6 +11,7 @@ from reelhouse.operators import snapshots as S
 from reelhouse.plans import jobs as J
 from reelhouse.plans.enrich import CONFIGURED
 from reelhouse.plans.registry import query
+from reelhouse.schema import LIBRARY_SCHEMA
 from reelhouse.session import checkpoint_dir
 from reelhouse.sources import fixtures as X
 from reelhouse.sources import html_cards as H
@@ -62,6 +63,17 @@ def ingest_full(spark, sf_dir):
                        "summary", "category")
 
 
+@query("ingest_pages")
+def ingest_pages(spark, sf_dir):
+    """Pages to a stored library, twice (the second run adds nothing), read back."""
+    root = _scratch(spark, "imported")
+    S.publish(X.library(spark, sf_dir), root)
+    for _ in range(2):
+        J.import_pages(X.feed_pages(spark, sf_dir), root, X.captions(spark, sf_dir), X.AS_OF, CFG)
+    out = S.read_latest(spark, root, LIBRARY_SCHEMA)
+    return out.select("id", "link", "title", "category", F.sha2(F.coalesce("summary", F.lit("")), 256).alias("summary_hash"))
+
+
 @query("backfill_summaries")
 def backfill_summaries(spark, sf_dir):
     lib = J.backfill_summaries(X.library(spark, sf_dir), CFG, reset_unused=True)
@@ -76,5 +88,4 @@ def retry_summaries(spark, sf_dir):
 
 @query("cards_found")
 def cards_found(spark, sf_dir):
-    cards = H.extract_cards(X.feed_pages(spark, sf_dir))
-    return cards.groupBy("page_id").agg(F.count(F.lit(1)).alias("cards"))
+    return H.card_counts(X.feed_pages(spark, sf_dir)).where("cards > 0")

@@ -95,17 +95,23 @@ FROM library WHERE NOT hidden AND subtitles IS NOT NULL AND summary IS NULL ORDE
 SQL["lookup_links"] = _with(LIBRARY) + """
 SELECT id, link FROM library WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0)"""
 
-SQL["validate_library"] = _with(LIBRARY) + """
+SQL["validate_library"] = _with(LIBRARY, """
+torn AS (SELECT id, CASE WHEN id % 10 = 3 THEN NULL ELSE title END AS title, link, record_created, hidden FROM library
+         UNION ALL SELECT id, title, link, record_created, hidden FROM library WHERE id % 7 = 0)""") + """
 SELECT rule, rows FROM (
-  SELECT 'id is null' AS rule, CAST(count(*) FILTER (WHERE id IS NULL) AS BIGINT) AS rows FROM library
-  UNION ALL SELECT 'title is null', count(*) FILTER (WHERE title IS NULL) FROM library
-  UNION ALL SELECT 'link is null', count(*) FILTER (WHERE link IS NULL) FROM library
-  UNION ALL SELECT 'record_created is null', count(*) FILTER (WHERE record_created IS NULL) FROM library
-  UNION ALL SELECT 'hidden is null', count(*) FILTER (WHERE hidden IS NULL) FROM library
+  SELECT 'id is null' AS rule, CAST(count(*) FILTER (WHERE id IS NULL) AS BIGINT) AS rows FROM torn
+  UNION ALL SELECT 'title is null', count(*) FILTER (WHERE title IS NULL) FROM torn
+  UNION ALL SELECT 'link is null', count(*) FILTER (WHERE link IS NULL) FROM torn
+  UNION ALL SELECT 'record_created is null', count(*) FILTER (WHERE record_created IS NULL) FROM torn
+  UNION ALL SELECT 'hidden is null', count(*) FILTER (WHERE hidden IS NULL) FROM torn
   UNION ALL SELECT 'link is not unique', CAST(coalesce(sum(n), 0) AS BIGINT)
-            FROM (SELECT link, count(*) AS n FROM library GROUP BY link HAVING count(*) > 1)
+            FROM (SELECT link, count(*) AS n FROM torn GROUP BY link HAVING count(*) > 1)
 ) WHERE rows > 0"""
 
+SQL["queue_subtitles_retry"] = _with(LIBRARY) + """
+SELECT id, link FROM library WHERE NOT hidden AND subtitles IS NULL AND id % 3 <> 0"""
+
+
 # ---- feed cards and their cleaning ----------------------------------------
 
 WS = (r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -355,9 +361,15 @@ c AS (SELECT id, {clean_cat_sql('answer')} AS category FROM cat_answers)""") + f
 SELECT id, category, {words_sql('category')} AS words, contains(category, '"') AS has_quote FROM c"""
 
 SQL["category_membership"] = _with(LIBRARY, CAT_ANSWERS, f"""
-c AS (SELECT id, {clean_cat_sql('answer')} AS category FROM cat_answers),
-k AS (SELECT id, category,
-             EXISTS (SELECT 1 FROM library l WHERE l.category ILIKE c.category) AS known FROM c)""") + f"""
+pats AS (SELECT -doc_id - 1 AS id, (['AC\\DC', 'cat\\', '%', 'cat\\_en', 'c_t\\_FR', '______', '_', 'c%\\n', 'zz%', 'C%_d%'])
+                [((doc_id // 50) % 10 + 1)::INT] AS category FROM documents WHERE doc_id % 50 = 0),
+c AS (SELECT id, {clean_cat_sql('answer')} AS category FROM cat_answers UNION ALL SELECT id, category FROM pats),
+names AS (SELECT DISTINCT category FROM library WHERE category IS NOT NULL),
+-- a backslash before an ordinary character stands for nothing, one at the end matches nothing
+u AS (SELECT DISTINCT category, regexp_replace(category, '(\\\\[%_\\\\])|\\\\', '\\1', 'g') AS pattern,
+             length(regexp_extract(category, '(\\\\*)$', 1)) % 2 = 1 AS dangling FROM c),
+kn AS (SELECT category, NOT dangling AND EXISTS (SELECT 1 FROM names l WHERE l.category ILIKE u.pattern ESCAPE '\\') AS known FROM u),
+k AS (SELECT c.id, c.category, kn.known FROM c JOIN kn ON kn.category = c.category)""") + f"""
 SELECT id, category, known,
        known AND NOT contains(category, '"') AND {words_sql('category')} <= 3 AS valid FROM k"""
 
@@ -376,20 +388,35 @@ SELECT id, CASE category WHEN 'cat_de' THEN 'Deutsch' WHEN 'German' THEN 'Deutsc
 FROM library"""
 
 SQL["set_hidden"] = _with(LIBRARY) + """
-SELECT l.id, CASE WHEN b.doc_id IS NOT NULL THEN b.quality = 0 ELSE l.hidden END AS hidden
+SELECT l.id, CASE WHEN b.doc_id % 2 = 0 THEN b.quality = 1 WHEN b.doc_id IS NOT NULL THEN b.quality = 0 ELSE l.hidden END AS hidden
 FROM library l LEFT JOIN labels b ON b.doc_id = l.id"""
 
 SQL["apply_updates"] = _with(LIBRARY) + """
 SELECT l.id,
-       CASE WHEN b.doc_id IS NOT NULL THEN CASE WHEN b.quality = 1 THEN 'reviewed' END ELSE l.summary END AS summary,
-       CASE WHEN b.doc_id IS NOT NULL THEN '- toxic ' || CAST(b.toxic AS VARCHAR) ELSE l.themes END AS themes,
+       CASE WHEN b.doc_id % 3 = 0 THEN NULL
+            WHEN b.doc_id IS NOT NULL THEN CASE WHEN b.quality = 1 THEN 'reviewed' END ELSE l.summary END AS summary,
+       CASE WHEN b.doc_id % 3 = 0 THEN NULL WHEN b.doc_id IS NOT NULL THEN '- toxic ' || CAST(b.toxic AS VARCHAR) ELSE l.themes END AS themes,
        l.category
 FROM library l LEFT JOIN labels b ON b.doc_id = l.id"""
 
 # ---- model passes ------------------------------------------------------------
 
-LEAD = strip_sql("regexp_extract(c, '^[^.!?]*[.!?]?', 0)")
-BULLET = "'- ' || " + LEAD
+SENTENCES = "regexp_extract_all(c, '[^.!?]+[.!?]?')"
+
+
+def sentence_sql(sign: str) -> str:
+    """The longest (``-``) or shortest (``+``) sentence of chunk ``c``, the earliest of equals."""
+    ranked = (f"list_transform(range(1, len({SENTENCES}) + 1), lambda i: struct_pack("
+              f"o := {sign}length({SENTENCES}[i]), i := i, s := {SENTENCES}[i]))")
+    return strip_sql(f"coalesce(list_sort({ranked})[1].s, '')")
+
+
+LONGEST = sentence_sql("-")
+SHORTEST = sentence_sql("+")
+TOKEN = r"'[^\p{L}\p{N}]+'"
+TERMS = f"""array_to_string(list_transform(list_slice(list_sort(list_transform(list_distinct(list_filter(
+  regexp_split_to_array(lower(c), {TOKEN}), lambda t: t <> '')), lambda t: struct_pack(o := -length(t), t := t))), 1, 3),
+  lambda r: '- ' || r.t), chr(10))"""
 
 
 def passes_sql(src: str, name: str, size: int, model: str, passes: int = 4, chunk: int = 4096) -> str:
@@ -416,22 +443,21 @@ def passes_sql(src: str, name: str, size: int, model: str, passes: int = 4, chun
 
 SQL["summarize_lead"] = _with(LIBRARY, """
 q AS (SELECT id, subtitles AS x FROM library WHERE NOT hidden AND subtitles IS NOT NULL AND summary IS NULL)""",
-                               passes_sql("q", "summ", 4096, LEAD)) + """
+                               passes_sql("q", "summ", 4096, LONGEST)) + """
 SELECT id, x AS summary FROM summ"""
 
 SQL["summarize_batch"] = SQL["summarize_lead"]
 
 SQL["summarize_import"] = _with(LIBRARY, """
 q AS (SELECT id, title || ' - ' || subtitles AS x FROM library WHERE subtitles IS NOT NULL)""",
-                                 passes_sql("q", "summ", 4096, LEAD)) + """
+                                 passes_sql("q", "summ", 4096, LONGEST)) + """
 SELECT id, x AS summary FROM summ"""
 
 SQL["blurb_lead"] = _with(LIBRARY, """
 q AS (SELECT id, subtitles AS x FROM library WHERE subtitles IS NOT NULL)""",
-                           passes_sql("q", "bl", 0, LEAD, passes=0)) + """
+                           passes_sql("q", "bl", 0, SHORTEST, passes=0)) + """
 SELECT id, x AS blurb FROM bl"""
 
-TOKEN = r"'[^\p{L}\p{N}]+'"
 
 
 def keyword_scores_sql(items: str) -> str:  # noqa: D401
@@ -448,7 +474,7 @@ rk AS (SELECT id, category, row_number() OVER (PARTITION BY id ORDER BY score DE
 SQL["backfill_themes"] = _with(LIBRARY, VOCAB, """
 q AS (SELECT id, title, title || ' - ' || subtitles AS x FROM library
       WHERE NOT hidden AND themes IS NULL AND subtitles IS NOT NULL)""",
-                                passes_sql("q", "th", 1024, BULLET), """
+                                passes_sql("q", "th", 1024, TERMS), """
 items AS (SELECT id, title AS t FROM q)""", keyword_scores_sql("items")) + """
 SELECT th.id, th.x AS themes, rk.category FROM th LEFT JOIN rk ON rk.id = th.id AND rk.rank = 1"""
 
@@ -501,11 +527,13 @@ FROM (SELECT page_id, hrefs, texts, unnest(range(len(hrefs))) AS k
       FROM (SELECT page_id, regexp_extract_all(html, {_A}, 1) AS hrefs,
                    regexp_extract_all(html, {_A}, 2) AS texts FROM pages))"""
 
-SQL["feed_html_cards"] = _with(FEED, """
+FEED_HTML = """
 feed_html AS (
   SELECT * REPLACE (pos // 100 AS page_id, pos % 100 AS pos,
                     CASE WHEN pos % 11 = 0 THEN '' ELSE href END AS href)
-  FROM feed)""", items_sql("feed_html").split(",\nfirsts AS")[0]) + """
+  FROM feed)"""
+
+SQL["feed_html_cards"] = _with(FEED, FEED_HTML, items_sql("feed_html").split(",\nfirsts AS")[0]) + """
 SELECT * FROM clean"""
 
 # ---- maintenance, streaming, full import -------------------------------------
@@ -524,7 +552,7 @@ SQL["ingest_full"] = _with(LIBRARY, FEED, ITEMS, CAPTIONS, VOCAB, """
 ok AS (SELECT * FROM fresh WHERE problem IS NULL),
 q AS (SELECT o.link AS id, o.title || ' - ' || c.transcript AS x
       FROM ok o LEFT JOIN captions c ON c.link = o.link AND c.track = 'a.en')""",
-                            passes_sql("q", "summ", 4096, LEAD), """
+                            passes_sql("q", "summ", 4096, LONGEST), """
 citems AS (SELECT o.link AS id, o.title || chr(10) || coalesce(s.x, '') AS t FROM ok o JOIN summ s ON s.id = o.link)""",
                             keyword_scores_sql("citems")) + """
 SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY o.page_id, o.pos) AS id,
@@ -535,7 +563,7 @@ FROM ok o LEFT JOIN captions c ON c.link = o.link AND c.track = 'a.en'
 
 SQL["backfill_summaries"] = _with(LIBRARY, """
 q AS (SELECT id, subtitles AS x FROM library WHERE NOT hidden AND subtitles IS NOT NULL AND summary IS NULL)""",
-                                   passes_sql("q", "summ", 4096, LEAD)) + """
+                                   passes_sql("q", "summ", 4096, LONGEST)) + """
 SELECT l.id, CASE WHEN s.id IS NOT NULL THEN s.x ELSE l.summary END AS summary,
        CASE WHEN s.id IS NOT NULL THEN NULL ELSE l.themes END AS themes,
        CAST(NULL AS VARCHAR) AS blurb
@@ -544,9 +572,49 @@ FROM library l LEFT JOIN summ s ON s.id = l.id"""
 SQL["retry_summaries"] = _with(LIBRARY, """
 q AS (SELECT id, subtitles AS x FROM library
       WHERE subtitles IS NOT NULL AND id IN (SELECT doc_id FROM labels WHERE quality = 1))""",
-                                passes_sql("q", "summ", 4096, LEAD)) + """
+                                passes_sql("q", "summ", 4096, LONGEST)) + """
 SELECT l.id, CASE WHEN s.id IS NOT NULL THEN s.x ELSE l.summary END AS summary
 FROM library l LEFT JOIN summ s ON s.id = l.id"""
 
 SQL["cards_found"] = """
 SELECT CAST(event_id // 100 AS BIGINT) AS page_id, count(*) AS cards FROM events GROUP BY 1"""
+
+
+SQL["created_phrases"] = f"""
+SELECT event_id, CASE event_id % 10 WHEN 0 THEN {AS_OF} - INTERVAL 1 HOUR WHEN 1 THEN {AS_OF} - INTERVAL 1 DAY
+  WHEN 2 THEN {AS_OF} - INTERVAL 1 DAY WHEN 3 THEN {AS_OF} - INTERVAL 2 HOUR WHEN 4 THEN {AS_OF}
+  WHEN 5 THEN {AS_OF} - INTERVAL 7 DAY WHEN 6 THEN {AS_OF} - INTERVAL 3 MONTH WHEN 7 THEN {AS_OF} - INTERVAL 3 MINUTE
+  WHEN 9 THEN {AS_OF} - INTERVAL 120 MONTH END AS video_created
+FROM events"""
+
+SQL["enrich_rejects"] = _with(LIBRARY, f"""
+q AS (SELECT id, subtitles AS x FROM library WHERE NOT hidden AND subtitles IS NOT NULL AND summary IS NULL),
+c AS (SELECT id, i, substring(x, i + 1, 4096) AS c FROM (SELECT id, x, unnest(range(0, length(x), 4096)) AS i FROM q)),
+a AS (SELECT id, bool_or(length(c) % 5 = 0) AS failed, {join_answers_sql("string_agg(right(c, 20), chr(10) ORDER BY i)")} AS y
+      FROM c GROUP BY id)""") + """
+SELECT q.id, CASE WHEN coalesce(a.failed, false) THEN NULL ELSE coalesce(a.y, '') END AS summary,
+       CASE WHEN a.failed THEN 'ValueError: refused' END AS problem
+FROM q LEFT JOIN a USING (id)"""
+
+SQL["categorize_model"] = _with(LIBRARY, VOCAB) + """
+SELECT l.id, CASE WHEN l.id % 5 = 0 THEN (SELECT min(category) FROM vocab WHERE lower(category) = 'cat_en') END AS category,
+       CASE WHEN l.id % 5 = 4 THEN 'ValueError: no answer' END AS problem
+FROM library l WHERE NOT hidden"""
+
+SQL["categorize_free_model"] = _with(LIBRARY) + """
+SELECT id, CASE id % 5 WHEN 0 THEN 'cat_EN' WHEN 1 THEN 'Uncategorized' WHEN 2 THEN 'cat_fr' WHEN 3 THEN 'nothing known' END AS category,
+       CASE WHEN id % 5 = 4 THEN 'ValueError: no answer' END AS problem
+FROM library WHERE NOT hidden"""
+
+
+SQL["ingest_pages"] = _with(LIBRARY, FEED, FEED_HTML, items_sql("feed_html"), CAPTIONS, VOCAB, """
+ok AS (SELECT * FROM fresh WHERE problem IS NULL),
+q AS (SELECT o.link AS id, o.title || ' - ' || c.transcript AS x
+      FROM ok o LEFT JOIN captions c ON c.link = o.link AND c.track = 'a.en')""",
+                             passes_sql("q", "summ", 4096, LONGEST), """
+citems AS (SELECT o.link AS id, o.title || chr(10) || coalesce(s.x, '') AS t FROM ok o JOIN summ s ON s.id = o.link)""",
+                             keyword_scores_sql("citems")) + """
+SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY o.page_id, o.pos) AS id,
+       o.link, o.title, rk.category, sha256(coalesce(s.x, '')) AS summary_hash
+FROM ok o LEFT JOIN summ s ON s.id = o.link LEFT JOIN rk ON rk.id = o.link AND rk.rank = 1
+UNION ALL SELECT id, link, title, category, sha256(coalesce(summary, '')) FROM library"""

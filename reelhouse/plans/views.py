@@ -62,4 +62,14 @@ def lookup_links(spark, sf_dir):
 
 @query("validate_library")
 def validate_library_q(spark, sf_dir):
-    return validate_library(X.library(spark, sf_dir))
+    """A library with missing titles and links stored twice."""
+    lib = X.library(spark, sf_dir)
+    torn = lib.withColumn("title", F.when(F.col("id") % 10 == 3, F.lit(None)).otherwise(F.col("title")))
+    return validate_library(torn.unionByName(lib.where(F.col("id") % 7 == 0)))
+
+
+@query("queue_subtitles_retry")
+def queue_subtitles_retry(spark, sf_dir):
+    """The transcript queue after one failed try of every third item."""
+    lib = X.library(spark, sf_dir)
+    return L.queue_subtitles(lib, lib.where(F.col("id") % 3 == 0).select("id")).select("id", "link")

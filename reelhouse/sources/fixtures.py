@@ -143,6 +143,17 @@ def category_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(k.alias("id"), answer.alias("answer"))
 
 
+PATTERNS = ("AC\\DC", "cat\\", "%", "cat\\_en", "c_t\\_FR", "______", "_", "c%\\n", "zz%", "C%_d%")
+
+
+def pattern_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that read as patterns, with escapes and wildcards (one for every fiftieth document)."""
+    d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 50 == 0)
+    names = F.array(*[F.lit(p) for p in PATTERNS])
+    return d.select((-F.col("doc_id") - 1).alias("id"),
+                    F.element_at(names, ((F.col("doc_id") / 50).cast("int") % len(PATTERNS)) + 1).alias("category"))
+
+
 def _esc(c):
     """HTML-escape text or an attribute value."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -159,7 +170,9 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Round-trip input for the card extractor: one page per hundred events, in
     event order.  A page is a bounded group (at most a hundred cards).  Every
     eleventh card has a title link without ``href`` in front of its image
-    link, so the first-match rule drops it.
+    link, so the first-match rule drops it.  Before every thirteenth card stands
+    the same card in a comment and a script that mentions one; every
+    seventeenth card's tag is in upper case.
     """
     f = feed(spark, sf_dir)
     k = F.col("pos")
@@ -168,7 +181,9 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("meta_spans", lambda s: F.concat(
         F.lit('<span class="yt-content-metadata-view-model__metadata-text">'), _esc(s), F.lit("</span>"))), "")
     card = F.concat(
-        F.lit("<ytd-rich-item-renderer><div id=\"content\">"),
+        opt(k % 13 == 0, F.lit('<!-- <ytd-rich-item-renderer><a id="thumbnail" href="/x"></a> --><script>"<ytd-rich-item-renderer>"</script>')),
+        F.when(k % 17 == 0, F.lit("<YTD-Rich-Item-Renderer>")).otherwise(F.lit("<ytd-rich-item-renderer>")),
+        F.lit("<div id=\"content\">"),
         opt(F.col("is_ad"), F.lit("<ytd-ad-slot-renderer></ytd-ad-slot-renderer>")),
         opt(F.col("is_sponsored"), F.lit("<p><span>Sponsored</span></p>")),
         opt(k % 50 == 10, F.lit("<p><span>Sponsored by Acme</span></p>")),

@@ -5,8 +5,8 @@ pages inside ``mapInPandas`` (Arrow batches in, Arrow batches out) and emits
 raw strings only; every cleaning rule is a Column expression applied
 afterwards (see :func:`reelhouse.operators.ingest.clean_cards`).
 
-The parser is a small tolerant tokenizer (one compiled regular expression
-per token, the standard library's tokenizing rules) that builds an element
+The parser is a small tolerant tokenizer that reads a page once, front to
+back, in time linear in its length whatever the markup, and builds an element
 tree; each element knows its span in the document-order element list, so
 "descendants of" is a list slice.  Markup is never assumed well-formed.
 
@@ -18,7 +18,9 @@ simple selectors read as "descendant of".
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pandas as pd
@@ -69,50 +71,32 @@ class Node:
         return "".join(s.strip() for s in self.strings() if s.strip())
 
 
-# One token of markup.  The grammar follows the standard library's tolerant
-# HTML tokenizer: quotes only group an attribute value that follows "=",
-# comments, declarations and processing instructions are skipped, "</" not
-# followed by a letter is a bogus comment, and a "<" that starts nothing is
-# text of its own.
-_MARKUP = re.compile(
-    r"<!--.*?(?:--\s*>|\Z)"
-    r"|</(?:\s*([a-zA-Z][^\t\n\r\f />\x00]*)[^>]*>|[^>]*>)"
-    r"|<([a-zA-Z][^\t\n\r\f />\x00]*)"
-    r"((?:[\s/]*(?:(?<=['\"\s/])[^\s/>][^\s/=>]*"
-    r"(?:\s*=+\s*(?:'[^']*'|\"[^\"]*\"|(?!['\"])[^>\s]*)\s*)?(?:\s|/(?!>))*)*)?\s*)>"
-    r"|<[!?][^>]*>"
-    r"|<",
-    re.S)
-_ATTR = re.compile(r"((?<=['\"\s/])[^\s/>][^\s/=>]*)(\s*=+\s*('[^']*'|\"[^\"]*\"|(?![\'\"])[^>\s]*))?"
-                   r"(?:\s|/(?!>))*")
+# Markup is read in one forward pass: from every "<" to the ">" that ends it.
+# Where no ">" is left, the rest of the page is an unfinished tag and is
+# dropped, as HTML5 does at the end of a file, so no text is scanned twice.
+_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />]*+")
+# Up to the ">" of a start tag; quotes only count right after "=".
+_TAG_END = re.compile(r"""(?:[^>=]++|=++\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+# One attribute: a name, and the value after "=" (quoted, or up to a space).
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/=>][^\s/=>]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
 # Elements whose content is raw text up to the matching end tag.
 RAW_TEXT = {"script", "style"}
-_RAW_END = {t: re.compile(r"</\s*%s\s*>" % t, re.I) for t in RAW_TEXT}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW_TEXT}
 
 
-_LEAD = re.compile(r"(?:\s|/(?!>))*")
-
-
-def _start_tag(html: str, start: int, end: int) -> tuple[dict, bool]:
-    """Attributes of a start tag whose attribute text is ``html[start:end]``
-    (``html[end]`` is its ``>``), and whether it closes itself (``/>``).
+def _attributes(text: str) -> tuple[dict[str, str], bool]:
+    """Attributes of a start tag's text after its name, and whether the tag closes itself.
 
     A repeated attribute keeps its last value; one without a value is ``''``.
+    A slash at the end that belongs to an unquoted value closes nothing.
     """
-    out = {}
-    k = _LEAD.match(html, start, end + 1).end()
-    while k < end:
-        m = _ATTR.match(html, k, end + 1)
-        if not m:
-            break
-        name, rest, value = m.group(1, 2, 3)
-        if not rest:
-            value = ""
-        elif value[:1] in ("'", '"') and value[:1] == value[-1:]:
+    out, end = {}, 0
+    for m in _ATTRIBUTE.finditer(text):
+        value, end = m[2] or "", m.end()
+        if value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0]:
             value = value[1:-1]
-        out[name.lower()] = unescape(value) if value else ""
-        k = m.end()
-    return out, html[k:end].strip() == "/"
+        out[m[1].lower()] = unescape(value)
+    return out, text[end:].strip() == "/"
 
 
 def parse(html: str) -> Node:
@@ -122,51 +106,64 @@ def parse(html: str) -> Node:
     doc: list[Node] = []
     root = Node("#root", {}, None, doc)
     stack = [root]
+    opened: Counter[str] = Counter()  # names on the stack
 
     def close(k: int) -> None:
         for node in stack[k:]:
             node.end = len(doc)
+            opened[node.tag] -= 1
         del stack[k:]
 
-    search = _MARKUP.search
+    def text(a: int, b: int) -> None:
+        if b > a:
+            stack[-1].children.append(unescape(html[a:b]))
+
     pos, n = 0, len(html)
     while pos < n:
-        m = search(html, pos)
-        if m is None:
-            stack[-1].children.append(unescape(html[pos:]))
+        start = html.find("<", pos)
+        if start < 0:
+            text(pos, n)
             break
-        start = m.start()
-        if start > pos:
-            stack[-1].children.append(unescape(html[pos:start]))
-        pos = m.end()
-        end_name, tag, attr_text = m.groups()
-        if tag is not None:
-            tag = tag.lower()
-            attrs, closed = _start_tag(html, m.start(3), m.end(3)) if attr_text else ({}, False)
-            parent = stack[-1]
+        text(pos, start)
+        mark = html[start + 1:start + 2]
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            pos = n if end < 0 else end + 3
+        elif mark in ("!", "?", "/"):
+            end = html.find(">", start)
+            if end < 0:
+                break
+            name = _NAME.match(html, start + 2) if mark == "/" else None
+            if name and opened[name[0].lower()]:
+                tag = name[0].lower()
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
+            pos = end + 1
+        elif name := _NAME.match(html, start + 1):
+            end = _TAG_END.match(html, name.end())
+            if end is None:
+                break
+            tag, inside = name[0].lower(), html[name.end():end.end() - 1]
+            attributes, closed = _attributes(inside) if inside else ({}, False)
             doc.append(None)
-            node = doc[-1] = Node(tag, attrs, parent, doc)
-            parent.children.append(node)
+            node = doc[-1] = Node(tag, attributes, stack[-1], doc)
+            stack[-1].children.append(node)
+            pos = end.end()
             if closed or tag in VOID:
                 continue
             stack.append(node)
+            opened[tag] += 1
             if tag in RAW_TEXT:
-                raw_end = _RAW_END[tag].search(html, pos)
-                stop = raw_end.start() if raw_end else n
-                if stop > pos:
-                    node.children.append(html[pos:stop])
-                if raw_end:
-                    close(len(stack) - 1)
-                pos = raw_end.end() if raw_end else n
-        elif end_name is not None:
-            name = end_name.lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    close(i)
-                    break
-        elif pos - start == 1:
+                stop = _RAW_END[tag].search(html, pos)
+                raw = html[pos:stop.start() if stop else n]
+                if raw:
+                    node.children.append(raw)
+                close(len(stack) - 1)
+                pos = stop.end() if stop else n
+        else:
             stack[-1].children.append("<")
-    close(0)
+            pos = start + 1
+    close(1)
+    root.end = len(doc)
     return root
 
 
@@ -201,35 +198,46 @@ def select_one(scope: Node, chain) -> Node | None:
     return None
 
 
-# Card rules (fixed selectors of the feed markup, see reelhouse.constants).
-LINK_CHAINS = tuple((sel,) for sel in K.LINK_SELECTORS)
-TITLE_CHAIN = ((K.TITLE_SELECTOR[0], K.TITLE_SELECTOR[1], None),)
-CHANNEL_CHAIN = ((None, K.METADATA_ROW_CLASS, None), ("a", None, None))
-THUMB_CHAIN = ((None, K.THUMBNAIL_IMAGE_CLASS, None), ("img", None, None))
-LENGTH_CHAIN = ((K.LENGTH_BADGE_TAG, None, None), (None, K.LENGTH_TEXT_CLASS, None))
-PROGRESS_CHAIN = ((None, K.PROGRESS_CLASS, None),)
-ROW_CHAIN = ((None, K.METADATA_ROW_CLASS, None),)
-SPAN_CHAIN = ((K.METADATA_TEXT_SELECTOR[0], K.METADATA_TEXT_SELECTOR[1], None),)
+@dataclass(frozen=True)
+class CardRules:
+    """What is read of a card: chains of simple selectors, the first match counts.
 
+    The defaults are the fixed selectors of the feed markup.
+    """
+    card: str = K.CARD_TAG
+    links: tuple = tuple((sel,) for sel in K.LINK_SELECTORS)
+    title: tuple = ((K.TITLE_SELECTOR[0], K.TITLE_SELECTOR[1], None),)
+    channel: tuple = ((None, K.METADATA_ROW_CLASS, None), ("a", None, None))
+    thumbnail: tuple = ((None, K.THUMBNAIL_IMAGE_CLASS, None), ("img", None, None))
+    length: tuple = ((K.LENGTH_BADGE_TAG, None, None), (None, K.LENGTH_TEXT_CLASS, None))
+    progress: tuple = ((None, K.PROGRESS_CLASS, None),)
+    row: tuple = ((None, K.METADATA_ROW_CLASS, None),)
+    span: tuple = ((K.METADATA_TEXT_SELECTOR[0], K.METADATA_TEXT_SELECTOR[1], None),)
+    ad: str = K.AD_TAG
+    sponsored: str = K.SPONSORED_TEXT
+    collection: str = K.COLLECTION_CLASS
+
+
+CARD_RULES = CardRules()
 
-def cards_of_page(page_id: int, html: str) -> list[dict]:
-    """Raw card fields of one page, one dict per card element, in order."""
+
+def cards_of_page(page_id: int, html: str, rules: CardRules = CARD_RULES) -> list[dict]:
+    """Raw card fields of one page, one dict per card element, in order.
+
+    A card inside another is a card of its own as well.
+    """
     root = parse(html)
     out = []
-    cards = [n for n in root.iter() if n.tag == K.CARD_TAG]
+    cards = [n for n in root.iter() if n.tag == rules.card]
     for pos, card in enumerate(cards):
-        link_el = None
-        for chain in LINK_CHAINS:
-            link_el = select_one(card, chain)
-            if link_el is not None:
-                break
-        title_el = select_one(card, TITLE_CHAIN)
-        channel_el = select_one(card, CHANNEL_CHAIN)
-        thumb_el = select_one(card, THUMB_CHAIN)
-        length_el = select_one(card, LENGTH_CHAIN)
-        progress_el = select_one(card, PROGRESS_CHAIN)
-        rows = select(card, ROW_CHAIN)
-        spans = [s.text() for s in select(rows[1], SPAN_CHAIN)] if len(rows) >= 2 else None
+        link_el = next((el for chain in rules.links if (el := select_one(card, chain)) is not None), None)
+        title_el = select_one(card, rules.title)
+        channel_el = select_one(card, rules.channel)
+        thumb_el = select_one(card, rules.thumbnail)
+        length_el = select_one(card, rules.length)
+        progress_el = select_one(card, rules.progress)
+        rows = select(card, rules.row)
+        spans = [s.text() for s in select(rows[1], rules.span)] if len(rows) >= 2 else None
         out.append({
             "page_id": page_id, "pos": pos,
             "href": None if link_el is None else link_el.attrs.get("href", ""),
@@ -240,56 +248,33 @@ def cards_of_page(page_id: int, html: str) -> list[dict]:
             "length_text": None if length_el is None else length_el.text(),
             "progress_style": None if progress_el is None else progress_el.attrs.get("style", ""),
             "meta_spans": spans,
-            "is_ad": any(n.tag == K.AD_TAG for n in card.iter()),
-            "is_sponsored": any(s == K.SPONSORED_TEXT for s in card.strings()),
-            "is_collection": any(K.COLLECTION_CLASS in n.classes for n in card.iter()),
+            "is_ad": any(n.tag == rules.ad for n in card.iter()),
+            "is_sponsored": any(s == rules.sponsored for s in card.strings()),
+            "is_collection": any(rules.collection in n.classes for n in card.iter()),
         })
     return out
 
 
-# Card start tag, as a split point that keeps the tag with the text after it.
-CARD_START = f"(?=<{K.CARD_TAG}[\\s>/])"
-
-
-def card_of_fragment(page_id: int, pos: int, fragment: str) -> dict | None:
-    """The card that starts a fragment, with its position in the page."""
-    cards = cards_of_page(page_id, fragment)
-    if not cards:
-        return None
-    cards[0]["pos"] = pos
-    return cards[0]
-
-
-def card_fragments(pages: DataFrame) -> DataFrame:
-    """``(page_id, pos, html)``: each page cut at every card start tag (JVM side).
-
-    The text before the first card is dropped; a fragment runs from its card
-    start tag to the next one.
-    """
-    parts = pages.select("page_id", F.posexplode(F.split("html", CARD_START)).alias("k", "html"))
-    return parts.where(F.col("k") > 0).select("page_id", (F.col("k") - 1).cast("bigint").alias("pos"), "html")
-
-
-def extract_cards(pages: DataFrame, parallelism: int | None = None) -> DataFrame:
+def extract_cards(pages: DataFrame, rules: CardRules = CARD_RULES) -> DataFrame:
     """Pages -> raw cards (schema :data:`reelhouse.schema.CARD_SCHEMA`).
 
-    Pages are cut into one fragment per card on the JVM side, inside the task
-    that reads them; the fragments are dealt round-robin over ``parallelism``
-    tasks and each is parsed on its own.  The work per task is then even
-    whatever the page sizes (one enormous feed page cannot hold up a single
-    task), for the price of one shuffle of the HTML, which is small next to
-    the parse itself.
+    Every page is parsed once, whole, in the task that reads it: no HTML is
+    shuffled, and the SQL table function gives the same cards.
     """
     cols = [f.name for f in CARD_SCHEMA.fields]
 
     def run(batches):
         for pdf in batches:
-            rows = [card_of_fragment(int(pid), int(pos), html)
-                    for pid, pos, html in zip(pdf["page_id"], pdf["pos"], pdf["html"])]
-            yield pd.DataFrame([r for r in rows if r is not None], columns=cols)
+            yield pd.DataFrame([c for pid, html in zip(pdf["page_id"], pdf["html"])
+                                for c in cards_of_page(int(pid), html, rules)], columns=cols)
+
+    return pages.select("page_id", "html").mapInPandas(run, CARD_SCHEMA)
+
 
-    n = parallelism or 2 * pages.sparkSession.sparkContext.defaultParallelism
-    return card_fragments(pages).repartition(n).mapInPandas(run, CARD_SCHEMA)
+def card_counts(pages: DataFrame, card: str = K.CARD_TAG) -> DataFrame:
+    """``(page_id, cards)``, by counting start tags outside comments and raw text, in the JVM."""
+    bare = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\z)", "")
+    return pages.select("page_id", F.regexp_count(bare, F.lit(rf"(?i)<{card}(?=[\s/>])")).cast("bigint").alias("cards"))
 
 
 PAGE_FACTS_SCHEMA = "page_id bigint, title string, heading string, has_ad boolean, n_links bigint"

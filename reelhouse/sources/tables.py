@@ -29,40 +29,11 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def _parse_bytes(text: str) -> int:
-    t = str(text).strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    return int(float(t[:-1]) * mult[t[-1]]) if t and t[-1] in mult else int(t)
-
-
-def _bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getContentSummary(p).getLength()
-
-
-def spread_small(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Spread a table that Spark would read in fewer tasks than there are cores.
-
-    A table smaller than one split per core (often a single file with a
-    single row group) is read by one task, leaving the other cores idle for
-    every CPU-heavy step after it.  Such a table is dealt round-robin to the
-    default parallelism; the shuffle moves at most one split per core.  Large
-    tables are returned untouched: their files already give every core work.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    split = _parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    if cores > 1 and _bytes(spark, path) < split * cores:
-        return df.repartition(cores)
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table; Catalyst prunes columns and pushes filters into the scan."""
     path = table_path(sf_dir, name)
     reader = spark.read.schema(GIVEN_SCHEMAS[name]) if name in GIVEN_SCHEMAS else spark.read
-    return spread_small(spark, reader.parquet(path), path)
+    return reader.parquet(path)
 
 
 def read_library(spark: SparkSession, path: str) -> DataFrame:

@@ -93,14 +93,14 @@ def test_sql_table_function(spark):
     assert [r.href for r in rows] == [c["href"] for c in H.cards_of_page(7, PAGE)]
 
 
-def test_fragments_equal_whole_page(spark):
+def test_frame_and_page_agree(spark):
     from reelhouse.sources import fixtures as X
     from tests.conftest import SF_SMALL
     pages = X.feed_pages(spark, SF_SMALL)
     whole = []
     for r in pages.collect():
         whole.extend(H.cards_of_page(r.page_id, r.html))
-    got = [r.asDict(recursive=True) for r in H.extract_cards(pages, parallelism=5).collect()]
+    got = [r.asDict(recursive=True) for r in H.extract_cards(pages).collect()]
     key = lambda d: (d["page_id"], d["pos"])
     assert sorted(got, key=key) == sorted(whole, key=key)
     # the hand-written page, including malformed bits
@@ -132,3 +132,31 @@ def test_descendants_are_document_order():
     div = root.iter()[0]
     assert [n.tag for n in div.iter()] == ["p", "i", "p", "img"]
     assert [n.tag for n in root.iter()] == ["div", "p", "i", "p", "img", "span"]
+
+
+def test_comments_case_nesting_and_scripts(spark):
+    card = '<{t}><a id="thumbnail" href="/{h}"></a>{inner}</{t}>'
+    name = "ytd-rich-item-renderer"
+    html = ("<!-- " + card.format(t=name, h="comment", inner="") + " --><script>'<" + name + ">'</script>"
+            + card.format(t=name.upper(), h="upper", inner="")
+            + card.format(t=name, h="outer", inner=card.format(t=name, h="inner", inner="")))
+    assert [c["href"] for c in H.cards_of_page(1, html)] == ["/upper", "/outer", "/inner"]
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id bigint, url string, html string")
+    assert sorted(r.href for r in H.extract_cards(pages).collect()) == ["/inner", "/outer", "/upper"]
+    assert [(r.page_id, r.cards) for r in H.card_counts(pages).where("cards > 0").collect()] == [(1, 3)]
+
+
+def test_rules_are_a_parameter():
+    rules = H.CardRules(card="item", links=((("a", "l", None),),), title=(("b", None, None),))
+    got = H.cards_of_page(1, '<item><a class="l" href="/x"></a><b title="T">t</b></item>', rules)
+    assert (got[0]["href"], got[0]["title_attr"], got[0]["title_text"]) == ("/x", "T", "t")
+
+
+def test_malformed_markup_takes_linear_time():
+    import time
+    n = 1 << 20
+    for piece in ("<a ", "</a ", "<!", "<a b='", '<a b="', "<a =", "<", "<i>", "</b>", "<script>", "<!--", "<a b=c>", "a='<a =\"", "< a/ "):
+        began = time.time()
+        H.parse(piece * (n // len(piece)))
+        assert time.time() - began < 20, piece  # a quadratic scan of 1 MB takes hours
+    assert H.parse("<p>x</p><a href='y").iter()[0].text() == "x"

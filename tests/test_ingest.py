@@ -47,7 +47,7 @@ def test_hidden_items_are_not_reimported(spark):
 def test_assign_ids_dense_and_ordered(spark):
     df = spark.range(0, 5000).select((F.col("id") % 37).alias("page_id"), F.col("id").alias("pos")) \
               .repartition(7)
-    out = I.assign_ids(df, 100, ["page_id", "pos"]).orderBy("id").collect()
+    out = I.assign_ids(df, 100, ["page_id", "pos"], "pos").orderBy("id").collect()
     assert [r.id for r in out] == list(range(101, 5101))
     assert [(r.page_id, r.pos) for r in out] == sorted((r.page_id, r.pos) for r in out)
 

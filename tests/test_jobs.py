@@ -26,7 +26,7 @@ def test_ingest_with_python_model_matches_expression_model(spark):
     lib = X.library(spark, SF_CHECK)
     args = (X.feed(spark, SF_CHECK), lib, X.captions(spark, SF_CHECK), X.AS_OF, CFG)
     a = {r.link: r.summary for r in J.ingest(*args)[0].collect()}
-    b = {r.link: r.summary for r in J.ingest(*args, model=M.lead_batch_model(4))[0].collect()}
+    b = {r.link: r.summary for r in J.ingest(*args, model=M.extract_batch_model(4))[0].collect()}
     assert a == b and any(v for v in a.values())
 
 

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -74,8 +76,8 @@ def test_retention(spark):
 def test_publish_and_snapshot(spark):
     root = tempfile.mkdtemp(prefix="reelhouse-test-")
     lib = spark.createDataFrame([(1, "a")], "id bigint, link string")
-    S.publish(lib, f"{root}/v")
-    S.publish(lib.union(spark.createDataFrame([(2, "b")], "id bigint, link string")), f"{root}/v")
+    S.publish(lib, f"{root}/v", check=False)
+    S.publish(lib.union(spark.createDataFrame([(2, "b")], "id bigint, link string")), f"{root}/v", check=False)
     assert S.read_latest(spark, f"{root}/v").count() == 2
     for day in range(1, 8):
         S.snapshot(lib, f"{root}/snaps", f"2024-01-0{day} 10:00:00")
@@ -84,9 +86,37 @@ def test_publish_and_snapshot(spark):
     assert kept == [f"snapshot_date=2024010{d}" for d in range(3, 8)]
 
 
-def test_updates_never_duplicate_rows(spark):
-    from reelhouse.operators import updates as U
-    lib = spark.createDataFrame([(1, "a", False), (2, "b", False)], "id bigint, summary string, hidden boolean")
-    ch = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "id bigint, summary string")
-    out = sorted((r.id, r.summary) for r in U.apply_updates(lib, ch, ["summary"]).collect())
-    assert out == [(1, "y"), (2, None)]     # one row per id; a NULL change still wins
+def test_the_last_change_of_an_id_wins(spark):
+    lib = spark.createDataFrame([(1, "a", False), (2, "b", False), (3, "c", True)], "id bigint, summary string, hidden boolean")
+    ch = spark.createDataFrame([(1, "z", 1), (1, "b", 3), (1, "y", 2), (2, "x", 1), (2, None, 2), (9, "q", 1)],
+                               "id bigint, summary string, ord int")
+    out = sorted((r.id, r.summary) for r in U.apply_updates(lib, ch, ["summary"], "ord").collect())
+    assert out == [(1, "b"), (2, None), (3, "c")]     # one row per id; a NULL change still wins
+    flags = spark.createDataFrame([(1, True, 1), (1, False, 2), (2, False, 1), (2, True, 2)], "id bigint, hidden boolean, ord int")
+    assert {r.id: r.hidden for r in U.set_hidden(lib, flags, "ord").collect()} == {1: False, 2: True, 3: True}
+
+
+def test_repeated_changes_need_an_order(spark):
+    lib = spark.createDataFrame([(1, "a")], "id bigint, summary string")
+    ch = spark.createDataFrame([(1, "x"), (1, "y")], "id bigint, summary string")
+    with pytest.raises(Exception, match="without an order column"):
+        U.apply_updates(lib, ch, ["summary"]).collect()
+
+
+def test_publish_checks_the_rules_and_prunes(spark):
+    root = tempfile.mkdtemp(prefix="reelhouse-test-")
+    lib = X.library(spark, SF_SMALL)
+    for _ in range(4):
+        S.publish(lib, root, keep=2)
+    assert sorted(d for d in os.listdir(root)) == ["v=2", "v=3"]
+    with pytest.raises(ValueError, match="link is not unique"):
+        S.publish(lib.unionByName(lib.limit(2)), root)
+    assert S.latest_version(spark, root) == 3 and not os.path.exists(f"{root}/v=4")
+
+
+def test_attempts_leave_the_queue(spark):
+    lib = spark.createDataFrame([(1, None, False), (2, None, False), (3, "x", False)], "id bigint, subtitles string, hidden boolean")
+    tries = spark.createDataFrame([(1,), (1,), (2,)], "id bigint")
+    assert {r.id for r in L.queue_subtitles(lib).collect()} == {1, 2}
+    assert {r.id for r in L.queue_subtitles(lib, tries).collect()} == set()
+    assert {r.id for r in L.queue_subtitles(lib, tries, most=2).collect()} == {2}

@@ -19,6 +19,33 @@ def test_summary_passes_shorten(spark):
     assert len(out[1]) <= 200          # several passes were needed
 
 
+def test_every_sentence_of_a_text_counts(spark):
+    """Changing the last sentence of a text changes its summary and its themes."""
+    head = "Some words. " * 900
+    df = spark.createDataFrame([(1, head + "End."), (2, head + "The last one is extraordinarily long."), (3, head + "a.")], "id bigint, t string")
+    summary = {r.id: r.t for r in M.summarize(df, "t", "t").collect()}
+    themes = {r.id: r.t for r in M.themes(df, "t", "t").collect()}
+    assert "extraordinarily" in summary[2] and summary[2] != summary[1]
+    assert "- extraordinarily" in themes[2] and themes[2] != themes[1]
+    assert M.blurb(df, "t", "t").where("id = 1").first().t != summary[1]
+
+
+def test_a_failing_model_keeps_the_row(spark):
+    calls = []
+
+    def fn(instructions, texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("refused")
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "x" * 5000 + "bad"), (4, None), (5, "")], "id bigint, t string")
+    out = M.summarize(df, "t", "t", model=M.BatchModel(fn, 2))
+    good, bad = M.split_failures(out, "t")
+    assert {r.id: r.t for r in good.collect()} == {1: "OK", 4: None, 5: ""}
+    assert {r.id: r.problem for r in bad.collect()} == {2: "RuntimeError: refused", 3: "RuntimeError: refused"}
+    assert calls == []
+
+
 def test_summary_single_pass_when_short_enough(spark):
     df = _docs(spark)
     once = {r.id: r.t for r in M.summarize(df, "t", "t", size=10**9).collect()}
@@ -29,16 +56,10 @@ def test_summary_single_pass_when_short_enough(spark):
 def test_batch_model_equals_expression_model(spark):
     df = _docs(spark)
     a = {r.id: r.t for r in M.summarize(df, "t", "t", size=300).collect()}
-    b = {r.id: r.t for r in M.summarize(df, "t", "t", size=300, model=M.lead_batch_model(4)).collect()}
+    b = {r.id: r.t for r in M.summarize(df, "t", "t", size=300, model=M.extract_batch_model(4)).collect()}
     assert a == b
 
 
-def test_reference_input_caps(spark):
-    df = _docs(spark)
-    out = {r.id: r.t for r in M.summarize(df, "t", "t", size=10**9, max_input_chars=4096, max_chunks=5).collect()}
-    assert "\n" not in out[1]           # 4096 chars -> a single chunk
-
-
 def _lib(spark, cats):
     return spark.createDataFrame([(i, c) for i, c in enumerate(cats)], "id bigint, category string")
 
@@ -73,11 +94,30 @@ def test_membership_wildcards(spark):
     assert out == {1: True, 2: True, 3: True, 4: False, 5: False}
 
 
-def test_membership_blocked_pattern_join(spark):
-    """Both sides over the broadcast bound: blocks of the stored names, same answer."""
-    lib = _lib(spark, ["cat_en", "Music", "cat_fr", "news_x", "sport"])
-    ans = spark.createDataFrame([(1, "CAT_EN"), (2, "cat%"), (3, "mus_c"), (4, "news"), (5, None),
-                                 (6, "n_ws_x"), (7, "%t"), (8, "x_y")], "id bigint, a string")
-    want = {r.id: r.known for r in V.membership(ans, "a", lib).collect()}
-    got = {r.id: r.known for r in V.membership(ans, "a", lib, max_broadcast_rows=2).collect()}
-    assert got == want == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: True, 8: False}
+def test_membership_patterns(spark):
+    lib = _lib(spark, ["cat_en", "Music", "cat_fr", "news_x", "sport", "ACDC", "100%", None])
+    ans = {1: "CAT_EN", 2: "cat%", 3: "mus_c", 4: "news", 6: "n_ws_x", 7: "%t", 8: "x_y", 9: "AC\\DC", 10: "sport\\",
+           11: "%", 12: "_____", 13: "________", 14: "______%", 15: "_______%", 16: "cat\\_en", 17: "mus\\_c", 18: "100\\%", 19: "1\\%",
+           20: "", 21: "a%\\c", 22: "\\\\"}
+    df = spark.createDataFrame([*ans.items(), (5, None)], "id bigint, a string")
+    got = {r.id for r in V.membership(df, "a", lib).where("known").collect()}
+    assert got == {1, 2, 3, 6, 7, 9, 11, 12, 14, 16, 18, 21}
+
+
+def test_prompts_and_model_categories(spark):
+    from reelhouse.operators import categorize_model as CM
+    lib = _lib(spark, ["Music", "Sport"])
+    vocab = spark.createDataFrame([("Music",), ("Sport",)], "category string")
+    items = spark.createDataFrame([(1, "t", "s"), (2, "t2", None)], "id bigint, title string, summary string")
+    seen = items.select(CM.prompt(CM.item_text(F.col("title"), F.col("summary")), F.lit("A\nB"), F.array(F.lit("C"))).alias("p")).collect()
+    assert seen[0].p == "ITEM\nt\n\nSUMMARY\ns\n\nCATEGORIES\nA\nB\n\nPREVIOUS\nC"
+    assert "SUMMARY" not in seen[1].p
+
+    def fn(_i, prompts):
+        return ["music" if "PREVIOUS\nRock" in p else "Rock" if "t2" in p else "Category: **SPORT**" for p in prompts]
+
+    item = CM.item_text(F.col("title"), F.col("summary"))
+    one = {r.id: r.category for r in CM.categorize_by_model(items, "id", item, vocab, M.BatchModel(fn)).collect()}
+    assert one == {1: "Sport", 2: None}
+    free = {r.id: r.category for r in CM.categorize_free_by_model(items, "id", item, vocab, lib, M.BatchModel(fn)).collect()}
+    assert free == {1: "SPORT", 2: "music"}

@@ -6,6 +6,7 @@ from reelhouse.functions import text as TX
 from reelhouse.operators import categorize as C
 from reelhouse.operators import ingest as I
 from reelhouse.operators import library as L
+from reelhouse.operators import updates as U
 from reelhouse.schema import conform
 from reelhouse.sources import fixtures as X
 from reelhouse.sources.tables import read_library
@@ -16,14 +17,22 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_known_links_never_shuffle_the_library(spark, tmp_path):
+def test_known_links_read_only_the_link_column(spark, tmp_path):
     path = str(tmp_path / "lib")
     conform(X.library(spark, SF_CHECK)).write.parquet(path)
     lib = read_library(spark, path)
     items = I.first_per_link(I.clean_cards(X.feed(spark, SF_CHECK), X.AS_OF, X.MEDIA_BASE))
     p = plan(I.skip_known(items, lib))
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p and "LeftAnti" in p
-    assert "SortMergeJoin" not in p
+    assert "LeftAnti" in p and "ReadSchema: struct<link:string>" in p
+
+
+def test_winners_are_found_by_hash_aggregates(spark):
+    items = I.clean_cards(X.feed(spark, SF_CHECK), X.AS_OF, X.MEDIA_BASE)
+    lib = X.library(spark, SF_CHECK)
+    flags = lib.select("id", "hidden", F.col("id").alias("ord"))
+    p = plan(I.first_per_link(items).select("link", "title")) + plan(U.set_hidden(lib.select("id", "hidden"), flags, "ord").select("id"))
+    assert "partial_min" in p and "partial_max" in p
+    assert "rangepartitioning" not in plan(L.queue_summaries(lib))
 
 
 def test_first_per_link_is_partial_aggregate_not_window(spark):
@@ -55,4 +64,4 @@ def test_keyword_scores_broadcast_vocab_and_combine_map_side(spark):
     vocab = spark.createDataFrame([("News",), ("Music",)], "category string")
     items = X.library(spark, SF_CHECK).select("id", "title")
     p = plan(C.scores(items, "id", TX.category_text(F.col("title")), vocab))
-    assert "BroadcastHashJoin" in p and "partial_count" in p
+    assert "partial_count" in p and "partial_sum" in p and "CartesianProduct" not in p
