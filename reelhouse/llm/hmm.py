@@ -7,14 +7,15 @@ counts in the training texts.  So the states' tables have a fixed size whatever
 the vocabulary, and every word of the corpus counts.
 
 Training: all texts become blocks of about ``BLOCK`` bytes, a block's words as
-numbers into its own vocabulary.  Word counts are summed over blocks by one
-grouping of ``(word, count)`` rows.  In each Baum-Welch round every task runs
+numbers into its own vocabulary.  Word counts are summed by ranges of the
+words' hashes: a block sends each range one packed row and gets the sums back
+as one.  In each Baum-Welch round every task runs
 the scaled forward-backward recursion over its blocks and emits its expected
 counts as fixed-point integers, which one grouping sums, so that the sum does
 not depend on the order of tasks; the driver reads tables of fixed size.
 
-Scoring: counts go back to the blocks (one row a block and distinct word), and
-the scaled forward recursion gives each whole text's exact likelihood: that of
+Scoring: a block meets its words' counts again, and the scaled forward
+recursion gives each whole text's exact likelihood: that of
 its class sequence, and its words' given their classes.
 
 Cases: a null text counts as the empty text (one token, its end); a null id
@@ -36,21 +37,21 @@ from pyspark.sql import functions as F
 
 from reelhouse.llm import kernel
 from reelhouse.llm.common import text_of, written
+from reelhouse.llm.ranges import by_range, held_by_range, range_count
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Word classes (a power of two), latent states, training rounds.
 CLASSES = 4096
 STATES = 8
 ROUNDS = 4
 #: Longer texts are trained in windows of so many tokens; they are scored whole.
-WINDOW = 2048
+WINDOW = 1024
 #: Tokens of the forward-backward recursion at once.
-GROUP = 1 << 18
+GROUP = 1 << 17
 #: Expected counts travel as integers of this unit.
 UNIT = float(1 << 20)
 #: Weight of the corpus-wide class shares in a state's emissions.
 PRIOR = 10.0
-END = -1
 
 
 @dataclass(frozen=True)
@@ -92,7 +93,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFra
 
     kind = rows.schema["_id"].dataType.simpleString()
     return written(rows.mapInArrow(run, f"block bigint, ids array<{kind}>, held array<boolean>, sizes array<bigint>, "
-                                        "words binary, vocabulary binary"), "lm-blocks")
+                                        "words binary, vocabulary binary"), "lm-blocks", "zstd")
 
 
 class Block:
@@ -118,29 +119,65 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(batch.slice(i, 1).to_pylist()[0])
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``(word, n)`` over all training texts; the end is the word -1."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_COUNTED = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("counts", pa.binary()), ("class", pa.int32()),
+                      ("n", pa.int64()), ("v", pa.int64())])
+
+
+def word_counts(rows: DataFrame, classes: int) -> DataFrame:
+    """Rows ``(block, range, counts)`` and rows ``(class, n, v)``.
+
+    counts: how often each of the block's words of that range occurs in all
+    training texts (uint64).  n and v: tokens and distinct words of a class in
+    one range's training words.
+    """
+    ranges = range_count(rows)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            trained = np.repeat(~b.held, b.sizes)
-            n = np.bincount(b.words[trained], minlength=len(b.vocabulary))
-            some = np.flatnonzero(n)
-            ends = int((~b.held).sum())
+            n = np.bincount(b.words[np.repeat(~b.held, b.sizes)], minlength=len(b.vocabulary))
+            order, bounds = by_range(b.vocabulary, ranges)
+            word, n = b.vocabulary[order], n[order].astype("<u4")
+            some = np.flatnonzero(np.diff(bounds))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some), pa.array(np.full(len(some), b.number)),
+                    pa.array([word[bounds[r]:bounds[r + 1]].tobytes() for r in some], pa.binary()),
+                    pa.array([n[bounds[r]:bounds[r + 1]].tobytes() for r in some], pa.binary())],
+                    ["range", "block", "words", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in held_by_range(batches):
+            words = [np.frombuffer(r["words"], "<u8") for r in held]
+            word, at = np.unique(np.concatenate(words), return_inverse=True)
+            total = np.bincount(at, np.concatenate([np.frombuffer(r["n"], "<u4") for r in held])).astype(np.int64)
+            parts = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
+            k = len(held)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r["block"] for r in held], pa.int64()), pa.array([r["range"] for r in held], pa.int64()),
+                pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary()), pa.nulls(k, pa.int32()),
+                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=_COUNTED)
+            own = (word & np.uint64(classes - 1)).astype(np.int64)[total > 0]
+            n, v = np.bincount(own, total[total > 0]).astype(np.int64), np.bincount(own)
+            some = np.flatnonzero(v)
+            k = len(some)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.append(b.vocabulary[some].view(np.int64), [END] * bool(ends))),
-                pa.array(np.append(n[some], [ends] * bool(ends)).astype(np.int64))], ["word", "n"])
+                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(some.astype(np.int32)),
+                pa.array(n[some]), pa.array(v[some])], schema=_COUNTED)
 
-    sums = rows.select("block", "held", "sizes", "words", "vocabulary").mapInArrow(run, "word bigint, n bigint")
-    return written(sums.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts")
+    packed = rows.select("block", "held", "sizes", "words", "vocabulary").mapInArrow(
+        spread, "range bigint, block bigint, words binary, n binary")
+    return written(packed.repartition("range").sortWithinPartitions("range").mapInArrow(
+        count, "block bigint, range bigint, counts binary, class int, n bigint, v bigint"), "lm-counts", "zstd")
 
 
-def class_totals(counts: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def class_totals(rows: DataFrame, counts: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, distinct words) of each class in the training texts; the end last."""
-    own = F.when(F.col("word") == END, F.lit(classes).cast("long")).otherwise(F.col("word").bitwiseAND(classes - 1))
     tokens, distinct = np.zeros(classes + 1, np.int64), np.zeros(classes + 1, np.int64)
     # at most one row a class
-    for g, n, v in counts.groupBy(own.alias("class")).agg(F.sum("n"), F.count(F.lit(1))).collect():
+    for g, n, v in counts.where("class is not null").groupBy("class").agg(F.sum("n"), F.sum("v")).collect():
         tokens[g], distinct[g] = n, v
+    ends = rows.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
+    tokens[classes], distinct[classes] = ends, int(ends > 0)
     return tokens, distinct
 
 
@@ -277,89 +314,66 @@ def train(rows: DataFrame, tokens: np.ndarray, states: int = STATES, rounds: int
     return model
 
 
-def _counts_by_block(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(block, counts)``: the training count of every word of a block's vocabulary (binary)."""
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                vocabulary = np.frombuffer(raw, "<i8")
-                for at in range(0, len(vocabulary), 100_000):
-                    some = vocabulary[at:at + 100_000]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(some), number)), pa.array(np.arange(at, at + len(some), dtype=np.int32)),
-                        pa.array(some)], ["block", "at", "word"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = None, []
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([b"".join(held)], pa.binary())], ["block", "counts"])
-
-        for batch in batches:
-            block, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(block)]):
-                if b > a and block[a] != number:
-                    if number is not None:
-                        yield row()
-                    number, held = int(block[a]), []
-                held.append(n[a:b].astype("<i8").tobytes())
-        if number is not None:
-            yield row()
-
-    # a frequent word has one row a block here, and one row in counts
-    words = rows.select("block", "vocabulary").mapInArrow(each, "block bigint, at int, word bigint")
-    known = words.join(counts, "word", "left").select("block", "at", F.coalesce("n", F.lit(0)).alias("n"))
-    return known.repartition("block").sortWithinPartitions("block", "at").mapInArrow(pack, "block bigint, counts binary")
-
-
 def score(rows: DataFrame, counts: DataFrame, model: Model, tokens: np.ndarray, distinct: np.ndarray,
           id_col: str) -> DataFrame:
     """Base and model scores of every text of the blocks."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((model, tokens, distinct))  # fixed size
+    shared = rows.sparkSession.sparkContext.broadcast((model, tokens, distinct))  # fixed size
     kind = rows.schema["ids"].dataType.elementType.simpleString()
+    ranges = range_count(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(b: Block, ids: pa.Array, raw: dict[int, bytes]) -> pa.RecordBatch:
         m, n_class, v_class = shared.value
         classes, total, types = len(m.emit) - 1, int(n_class.sum()), int(v_class.sum())
         in_class = np.log10(n_class + v_class + 1.0)  # one unseen word a class
+        known = np.zeros(len(b.vocabulary), np.int64)
+        order, bounds = by_range(b.vocabulary, ranges)
+        for r, counted in raw.items():
+            known[order[bounds[r]:bounds[r + 1]]] = np.frombuffer(counted, "<u8")
+        lengths = b.sizes + 1
+        count = np.insert(known[b.words], np.cumsum(b.sizes), n_class[classes])
+        own = b.classes(classes)
+        ends = np.cumsum(lengths)
+
+        def per_text(values: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(values)])
+            return sums[ends] - sums[ends - lengths]
+
+        log_count = np.log10(count + 1.0)
+        # the end is alone in its class, whatever its count
+        words = per_text(np.where(own == classes, 0.0, log_count - in_class[own]))
+        likelihood = log_likelihood(own, lengths, m) / np.log(10.0)
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(b.held), pa.array(lengths), pa.array(per_text((count > 0).astype(np.int64))),
+            pa.array(np.full(len(lengths), total)), pa.array(per_text(log_count) - lengths * np.log10(total + types + 1.0)),
+            pa.array(likelihood + words)],
+            ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, raw = None, None, {}
         for batch in batches:
-            at = batch.schema.get_field_index("counts")
-            for i in range(batch.num_rows):
+            at, column = batch.schema.get_field_index("range"), batch.schema.get_field_index("ids")
+            for i in range(batch.num_rows):  # a block's own row, then its counts
                 one = batch.slice(i, 1)
-                b, raw = Block(one.to_pylist()[0]), one.column(at)[0].as_py()
-                known = np.frombuffer(raw or b"", "<i8")  # a block without words has no counts
-                lengths = b.sizes + 1
-                count = np.insert(known[b.words], np.cumsum(b.sizes), n_class[classes])
-                own = b.classes(classes)
-                ends = np.cumsum(lengths)
-
-                def per_text(values: np.ndarray) -> np.ndarray:
-                    sums = np.concatenate([[0], np.cumsum(values)])
-                    return sums[ends] - sums[ends - lengths]
-
-                log_count = np.log10(count + 1.0)
-                # the end is alone in its class, whatever its count
-                words = per_text(np.where(own == classes, 0.0, log_count - in_class[own]))
-                likelihood = log_likelihood(own, lengths, m) / np.log(10.0)
-                ids = one.column(one.schema.get_field_index("ids"))
-                yield pa.RecordBatch.from_arrays([
-                    ids.flatten(), pa.array(b.held), pa.array(lengths), pa.array(per_text((count > 0).astype(np.int64))),
-                    pa.array(np.full(len(lengths), total)),
-                    pa.array(per_text(log_count) - lengths * np.log10(total + types + 1.0)),
-                    pa.array(likelihood + words)],
-                    ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    joined = rows.join(_counts_by_block(rows, counts), "block", "left")
-    return joined.mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                                  "base_score double, score double").withColumnRenamed("_id", id_col)
+                if one.column(at)[0].as_py() < 0:
+                    if block is not None:
+                        yield scored(block, ids, raw)
+                    block, ids, raw = Block(one.to_pylist()[0]), one.column(column).flatten(), {}
+                else:
+                    raw[one.column(at)[0].as_py()] = one.column(at + 1)[0].as_py()
+        if block is not None:
+            yield scored(block, ids, raw)
+
+    both = rows.withColumns({"range": F.lit(-1).cast("long"), "counts": F.lit(None).cast("binary")}).unionByName(
+        counts.where("block is not null").select("block", "range", "counts"), allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", "range").mapInArrow(
+        run, f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+             "base_score double, score double").withColumnRenamed("_id", id_col)
 
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None,
                           states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """Train on the texts that are not held out and score all."""
     rows = blocks(docs, id_col, text_col, held_out(id_col) if held is None else held)
-    counts = word_counts(rows)
-    tokens, distinct = class_totals(counts, classes)
+    counts = word_counts(rows, classes)
+    tokens, distinct = class_totals(rows, counts, classes)
     return score(rows, counts, train(rows, tokens, states, rounds), tokens, distinct, id_col)

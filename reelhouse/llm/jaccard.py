@@ -14,12 +14,13 @@ sets link at a distance of at most 0.2.  Equal sets are one point.
    only, without the lone ones.
 3. In every region the most central point (smallest lone share) is its pivot.
    Points within 0.2 of it link to it.  Two points can only link if their
-   distances to every pivot that both were held against differ by at most 0.2,
-   if their sizes allow it, and if their cores do.  The points of a region that
-   some partner may remain for form the next, smaller region, which takes a
-   new pivot, and so on; regions of at most ``LEAF`` points, and what is left
-   after ``ROUNDS`` rounds, compare the remaining pairs by blocks.  All pairs
-   found are verified on their whole sets.
+   distances to the region's pivot differ by at most 0.2, and if their cores,
+   counted in fixed parts of the hash's range, have enough in common.  The
+   points that some partner may remain for, of all regions with the same pivot
+   together, form the next, smaller region, which takes a new pivot, and so on;
+   regions of at most ``LEAF`` points, and what is left after ``ROUNDS``
+   rounds, compare the remaining pairs by blocks.  All pairs found are verified
+   on their whole sets.
 
 For components, pairs that are already connected need no comparison
 (``all_links=False``), which is what keeps large groups of near copies linear.
@@ -46,18 +47,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 from reelhouse.llm import kernel
 from reelhouse.llm.common import text_of, written
 from reelhouse.llm.components import components
-from reelhouse.llm.distinct import distinct_contents
+from reelhouse.llm.ranges import by_range, held_by_range, range_count
 
 #: Words of a shingle, and the least similarity of a link, in percent.
 WORDS = 5
 PERCENT = 80
-BLOCK = 8 << 20
-#: Ranges of the hash for each shuffle partition.
-RANGES = 4
+#: Bytes of text, or of hashes, of a block.
+BLOCK = 2 << 20
 #: Points of a region that is compared pair by pair.
 LEAF = 128
 #: Rounds of pivots.
 ROUNDS = 3
+#: Parts of the hash's range in which common shingles are counted.
+SLOT_BITS = 6
+SLOTS = 1 << SLOT_BITS
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
@@ -66,22 +69,12 @@ def _sets(texts: pa.Array) -> list[np.ndarray]:
 
 # --- 1. what is common -----------------------------------------------------
 
-def _ranges(df: DataFrame) -> int:
-    return RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _by_range(flat: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the hashes by range, bounds of each range in it)."""
-    own = ((flat >> np.uint64(32)) % np.uint64(ranges)).astype(np.uint16 if ranges < 1 << 16 else np.int64)
-    return np.argsort(own, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(own, minlength=ranges))])
-
-
 def _packed(number: int, sets: list[np.ndarray], ranges: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
     """``(range, block, points, keys, point of each key)`` for the ranges that the block's sets touch."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate([np.empty(0, np.uint64), *sets])
-    owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-    order, bounds = _by_range(flat, ranges)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)  # kernel.ROWS points at most
+    order, bounds = by_range(flat, ranges)
     low, owner = flat[order].astype(np.uint32), owner[order]
     for r in np.flatnonzero(np.diff(bounds)):
         a, b = bounds[r], bounds[r + 1]
@@ -92,19 +85,6 @@ _PACKED = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("points", pa
                      ("owner", pa.binary())])
 
 
-def _held_by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """All rows of one range after another (rows come sorted by range)."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[-1]["range"] != row["range"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
 def _frequencies(rows: list[dict]) -> list[np.ndarray]:
     """For every row, how many points of the range's rows have each of its keys."""
     keys = [np.frombuffer(r["keys"], np.uint32) for r in rows]
@@ -118,7 +98,7 @@ def common_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``common`` may be too large where two hashes agree in all the bits kept.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    ranges = _ranges(docs)
+    ranges = range_count(docs)
     kind = rows.schema["_id"].dataType.simpleString()
     ids_type = pa.list_(to_arrow_type(rows.schema["_id"].dataType))
 
@@ -143,53 +123,56 @@ def common_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 number += 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: list, counts: list, ids: pa.Array, sizes: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(counts, pa.binary()), ids,
-                                               pa.array(sizes, pa.list_(pa.int64()))], ["block", "counts", "ids", "sizes"])
+        def out(block: list, at: list, counts: list, ids: pa.Array, sizes: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array(block, pa.int64()), pa.array(at, pa.binary()), pa.array(counts, pa.binary()), ids,
+                pa.array(sizes, pa.list_(pa.int64()))], ["block", "at", "counts", "ids", "sizes"])
 
         def packed() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = batch.filter(pa.array([k is None for k in batch.column(3).to_pylist()], pa.bool_()))
                 if own.num_rows:
-                    whole.append(out(own.column(1).to_pylist(), [None] * own.num_rows, own.column(5), own.column(6).to_pylist()))
+                    none = [None] * own.num_rows
+                    whole.append(out(own.column(1).to_pylist(), none, none, own.column(5), own.column(6).to_pylist()))
                 yield batch.filter(pa.array([k is not None for k in batch.column(3).to_pylist()], pa.bool_())).select(_PACKED.names)
 
         whole: list[pa.RecordBatch] = []
-        for rows_ in _held_by_range(packed()):
+        for rows_ in held_by_range(packed()):
             yield from whole
             whole.clear()
-            counts = []
+            some = []  # only points with a common hash in this range
             for row, df in zip(rows_, _frequencies(rows_)):
-                owner = np.frombuffer(row["owner"], np.uint32)
-                counts.append(np.bincount(owner[df >= 2], minlength=row["points"]).astype("<u4").tobytes())
-            yield out([r["block"] for r in rows_], counts, pa.nulls(len(rows_), ids_type), [None] * len(rows_))
+                common = np.bincount(np.frombuffer(row["owner"], np.uint16)[df >= 2])
+                at = np.flatnonzero(common)
+                if len(at):
+                    some.append((row["block"], at.astype("<u2").tobytes(), common[at].astype("<u4").tobytes()))
+            if some:
+                yield out(*map(list, zip(*some)), pa.nulls(len(some), ids_type), [None] * len(some))
         yield from whole
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, sums, ids, sizes = None, None, None, None
+        number, sums, ids, sizes = None, np.empty(0), None, None
 
         def row() -> pa.RecordBatch:
-            common = np.zeros(len(sizes), np.int64) if sums is None else sums
-            return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(common)], ["_id", "n", "common"])
+            return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sums[:len(sizes)])], ["_id", "n", "common"])
 
         for batch in batches:
-            for i, (block, counts, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)))):
+            for i, (block, at, counts, own) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)))):
                 if block != number:
                     if number is not None:
                         yield row()
-                    number, sums = block, None
+                    number, sums = block, np.zeros(1 << 16, np.int64)
                 if counts is None:
-                    ids, sizes = batch.column(2).slice(i, 1).flatten(), own
+                    ids, sizes = batch.column(3).slice(i, 1).flatten(), own
                 else:
-                    more = np.frombuffer(counts, "<u4").astype(np.int64)
-                    sums = more if sums is None else sums + more
+                    sums[np.frombuffer(at, "<u2")] += np.frombuffer(counts, "<u4")
         if number is not None:
             yield row()
 
     spreads = rows.mapInArrow(spread, f"range bigint, block bigint, points bigint, keys binary, owner binary, "
                                       f"ids array<{kind}>, sizes array<bigint>")
     counts = spreads.repartition("range").sortWithinPartitions("range").mapInArrow(
-        count, f"block bigint, counts binary, ids array<{kind}>, sizes array<bigint>")
+        count, f"block bigint, at binary, counts binary, ids array<{kind}>, sizes array<bigint>")
     return written(counts.repartition("block").sortWithinPartitions("block").mapInArrow(
         total, f"_id {kind}, n bigint, common bigint"), "jaccard-common")
 
@@ -235,16 +218,19 @@ def points_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def cells_of(points: DataFrame) -> DataFrame:
-    """``(point, n, lone, hashes, cells)`` of the points that may have partners.
+    """``(pid, point, n, lone, hashes, profile, cells)`` of the points that may have partners.
 
-    ``points`` are distinct ``(point, hashes)``.  ``cells`` are the common ones
+    ``points`` are ``(point, hashes)``, repeated or not; ``pid`` numbers them.
+    ``cells`` are the common ones
     of the first ``floor(0.2 n) + 1`` hashes in the order of frequency, then
-    hash: a linked pair has one of them in common.
+    hash: a linked pair has one of them in common.  ``profile`` counts a
+    point's common hashes in ``SLOTS`` parts of the hash's range.
     """
-    ranges = _ranges(points)
+    ranges = range_count(points)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        number, held, size = TaskContext.get().partitionId() << 40, [], 0
+        seen: set[bytes] = set()
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([[k for k, _ in held]], pa.list_(pa.binary())),
@@ -253,56 +239,62 @@ def cells_of(points: DataFrame) -> DataFrame:
 
         for batch in batches:
             for name, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name in seen:
+                    continue
+                seen.add(name)
                 held.append((name, hashes))
                 size += len(hashes)
                 if size >= BLOCK:
                     yield row()
-                    number, held, size = number + 1, [], 0
+                    number, held, size = number + len(held), [], 0
         if held:
             yield row()
 
-    blocks = written(points.mapInArrow(gather, "block bigint, names array<binary>, sets array<binary>"), "jaccard-blocks")
+    # a block's number is that of its first point
+    blocks = written(points.select("point", "hashes").repartition("point").mapInArrow(gather, "block bigint, names array<binary>, sets array<binary>"), "jaccard-blocks")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, sets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 chunks = [(r, b, keys) for r, b, _, keys, _ in
                           _packed(number, [np.frombuffer(s, "<u8") for s in sets], ranges)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunks), _PACKED.types[:2] + [pa.binary()])],
-                                                 ["range", "block", "keys"])
+                if chunks:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunks), (pa.int64(), pa.int64(), pa.binary()))],
+                                                     ["range", "block", "keys"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _held_by_range(batches):
+        for rows in held_by_range(batches):
             yield pa.RecordBatch.from_arrays([
                 pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["range"] for r in rows], pa.int64()),
                 pa.array([np.minimum(f, (1 << 32) - 1).astype("<u4").tobytes() for f in _frequencies(rows)], pa.binary())],
                 ["block", "range", "counts"])
 
-    def choose(names: list[bytes], sets: list[bytes], counts: dict[int, bytes]) -> Iterator[tuple]:
+    def choose(number: int, names: list[bytes], sets: list[bytes], counts: dict[int, bytes]) -> Iterator[tuple]:
         hashes = [np.frombuffer(s, "<u8") for s in sets]
         flat = np.concatenate(hashes)
-        order, bounds = _by_range(flat, ranges)
+        order, bounds = by_range(flat, ranges)
         df = np.empty(len(flat), np.uint32)
         for r, raw in counts.items():
             df[order[bounds[r]:bounds[r + 1]]] = np.frombuffer(raw, "<u4")
         at = 0
-        for name, h, raw in zip(names, hashes, sets):
+        for k, (name, h, raw) in enumerate(zip(names, hashes, sets)):
             n, own = len(h), df[at:at + len(h)]
             at += n
             lone = int((own == 1).sum())
             if 100 * (n - lone) >= PERCENT * n:
                 shared = np.flatnonzero(own > 1)
                 first = shared[np.lexsort((h[shared], own[shared]))][:n - -(-PERCENT * n // 100) + 1 - lone]
-                yield name, n, lone, raw, h[first].view(np.int64).tolist()
+                profile = np.bincount((h[shared] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+                yield number + k, name, n, lone, raw, profile.astype("<u4").tobytes(), h[first].view(np.int64).tolist()
 
-    schema = pa.schema([("point", pa.binary()), ("n", pa.int64()), ("lone", pa.int64()), ("hashes", pa.binary()),
-                        ("cells", pa.list_(pa.int64()))])
+    schema = pa.schema([("pid", pa.int64()), ("point", pa.binary()), ("n", pa.int64()), ("lone", pa.int64()),
+                        ("hashes", pa.binary()), ("profile", pa.binary()), ("cells", pa.list_(pa.int64()))])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, names, sets, counts = None, [], [], {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(choose(names, sets, counts))
+            rows = list(choose(number, names, sets, counts))
             for low in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[low:low + 500]), schema.types)], schema=schema)
 
@@ -324,7 +316,7 @@ def cells_of(points: DataFrame) -> DataFrame:
     both = blocks.withColumns({"range": F.lit(-1).cast("long"), "counts": F.lit(None).cast("binary")}).unionByName(
         counts, allowMissingColumns=True)
     return written(both.repartition("block").sortWithinPartitions("block", "range").mapInArrow(
-        combine, "point binary, n bigint, lone bigint, hashes binary, cells array<bigint>"), "jaccard-cells")
+        combine, "pid bigint, point binary, n bigint, lone bigint, hashes binary, profile binary, cells array<bigint>"), "jaccard-cells")
 
 
 # --- 2. and 3. regions and pivots --------------------------------------------
@@ -351,98 +343,108 @@ def overlaps(pairs: DataFrame, points: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())],
                                              ["a", "b", "overlap"])
 
-    sets = points.select("point", "hashes")
-    joined = (pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb"))
-    return joined.mapInArrow(run, "a binary, b binary, overlap bigint")
+    sets = points.select("pid", "hashes")
+    joined = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
+    return joined.mapInArrow(run, "a bigint, b bigint, overlap bigint")
 
 
 def _held_against(members: DataFrame, points: DataFrame, every: bool) -> DataFrame:
     """Members with their region's pivot: linked, open, and the (least) distance ``low``."""
     best = members.groupBy("cell").agg(F.min(F.struct(
-        (F.col("lone") / F.col("n")).alias("share"), F.col("point").alias("p"), F.col("n").alias("pn"),
+        (F.col("lone") / F.col("n")).alias("share"), F.col("pid").alias("p"), F.col("n").alias("pn"),
         F.col("lone").alias("pl"))).alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = members.join(best, "cell").select("cell", "point", "n", "lone", "best.p", "best.pn", "best.pl")
+    rows = members.join(best, "cell").select("cell", "pid", "n", "lone", "best.p", "best.pn", "best.pl")
     most = _bound("n", "lone", "pn", "pl")
-    pairs = rows.where((F.col("point") != F.col("p")) & _similar(most, F.col("n"), F.col("pn")))
-    found = overlaps(pairs.select(F.col("point").alias("a"), F.col("p").alias("b")).distinct(), points)
-    rows = rows.join(found.withColumnsRenamed({"a": "point", "b": "p"}), ["point", "p"], "left")
-    itself = F.col("point") == F.col("p")
+    pairs = rows.where((F.col("pid") != F.col("p")) & _similar(most, F.col("n"), F.col("pn")))
+    found = overlaps(pairs.select(F.col("pid").alias("a"), F.col("p").alias("b")).distinct(), points)
+    rows = rows.join(found.withColumnsRenamed({"a": "pid", "b": "p"}), ["pid", "p"], "left")
+    itself = F.col("pid") == F.col("p")
     linked = itself | F.coalesce(_similar(F.col("overlap"), F.col("n"), F.col("pn")), F.lit(False))
     return written(rows.select(
-        "cell", "point", "n", "lone", "p", linked.alias("linked"),
+        "cell", "pid", "n", "lone", "p", linked.alias("linked"),
         (~itself if every else ~linked).alias("open"),
         F.when(itself, 0.0).otherwise(_distance(F.coalesce("overlap", most), F.col("n"), F.col("pn"))).alias("low"),
         (itself | F.col("overlap").isNotNull()).alias("exact")), "jaccard-round")
 
 
-def _possible(a: dict, b: dict) -> bool:
-    """Whether the sizes, cores and distances to a common pivot leave a link possible."""
-    most = min(a["n"] - a["lone"], b["n"] - b["lone"])
-    if 100 * most < PERCENT * (a["n"] + b["n"] - most):
-        return False
-    far = 1 - PERCENT / 100 + 1e-9
-    return not (b["exact"] and a["low"] > b["low"] + far or a["exact"] and b["low"] > a["low"] + far)
+def _possible_pairs(left: list[dict], right: list[dict], across: bool = False) -> list[tuple[int, int]]:
+    """Pairs of a left and a right member that may link, one of them open at least.
+
+    A pair is out if the overlap of its cores, part by part of the hash's
+    range, is too small, or if its distances to the region's pivot differ by
+    more than a link spans.  ``across``: only pairs of an open and a linked
+    member.
+    """
+    def columns(members: list[dict]) -> tuple[np.ndarray, ...]:
+        return (*(np.array([m[c] for m in members]) for c in ("pid", "n", "open", "low", "exact")),
+                np.stack([np.frombuffer(m["profile"], "<u4") for m in members]).astype(np.int64))
+
+    if not left or not right:
+        return []
+    far, out = 1 - PERCENT / 100 + 1e-9, []
+    pid, n, open_, low, exact, profile = columns(right)
+    for one in zip(*columns(left)):
+        most = np.minimum(one[5], profile).sum(1)
+        fits = 100 * most >= PERCENT * (one[1] + n - most)
+        fits &= ~(exact & (one[3] > low + far)) & ~(one[4] & (low > one[3] + far))
+        fits &= (one[2] != open_) if across else (one[2] | open_)
+        out += [(min(int(one[0]), b), max(int(one[0]), b)) for b in pid[fits & (pid != one[0])].tolist()]
+    return out
 
 
 def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row's members, the pairs that remain possible, one of them open at least."""
+    """Of each row's members, the pairs that may link."""
     for batch in batches:
-        for members in batch.column(0).to_pylist():
-            pairs = [(min(a["point"], b["point"]), max(a["point"], b["point"]))
-                     for i, a in enumerate(members) for b in members[:i]
-                     if (a["open"] or b["open"]) and a["point"] != b["point"] and _possible(a, b)]
+        for i in range(batch.num_rows):
+            members = batch.column(0)[i].as_py()
+            pairs = sorted(set(_possible_pairs(members, members)))
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
 
 
-def _block_pairs(rows: DataFrame, across: bool = False) -> DataFrame:
-    """The same for regions of any size, by pairs of blocks of about ``LEAF`` members.
+_MEMBER = ("pid", "n", "open", "low", "exact", "profile")
 
-    ``across``: only pairs of an open and a linked member.
-    """
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("blocks"))
-    own = rows.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+
+def _block_pairs(rows: DataFrame, across: bool = False) -> DataFrame:
+    """The same for regions of any size, by pairs of blocks of about ``LEAF`` members."""
+    sizes = rows.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("blocks"))
+    own = rows.join(sizes, "p").withColumn("own", F.pmod(F.xxhash64("pid"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
         both = members.to_dict("records")
-        left = [m for m in both if m["own"] == i]
-        right = [m for m in both if m["own"] == j]
-        pairs = {(min(a["point"], b["point"]), max(a["point"], b["point"])) for a in left for b in right
-                 if (a["open"] != b["open"] if across else a["open"] or b["open"])
-                 and a["point"] != b["point"] and _possible(a, b)}
-        return pd.DataFrame(list(pairs), columns=["a", "b"])
+        pairs = set(_possible_pairs([m for m in both if m["own"] == i], [m for m in both if m["own"] == j], across))
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
-    return dealt.select("cell", "i", "j", "own", "point", "n", "lone", "open", "low", "exact").groupBy(
-        "cell", "i", "j").applyInPandas(run, "a binary, b binary")
+    return dealt.select("p", "i", "j", "own", *_MEMBER).groupBy("p", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
 def links(points: DataFrame, all_links: bool = False) -> DataFrame:
-    """``(a, b)``: links between distinct points ``(point, hashes)``.
+    """``(a, b)``: links between the points of ``cells_of``, by their ``pid``.
 
     All of them, or enough of them to connect what is connected.
     """
-    points = cells_of(points)
-    members = points.select(F.explode("cells").alias("cell"), "point", "n", "lone")
+    members = points.select(F.explode("cells").alias("cell"), "pid", "n", "lone")
     spark = points.sparkSession
-    stars = spark.createDataFrame([], "a binary, b binary")
+    stars = spark.createDataFrame([], "a bigint, b bigint")
     rest = stars
     far = 1 - PERCENT / 100 + 1e-9
     for number in range(ROUNDS):
         held = _held_against(members, points, all_links)
-        stars = stars.union(held.where(F.col("linked") & (F.col("point") != F.col("p"))).select(
-            F.col("point").alias("a"), F.col("p").alias("b")).distinct())
+        stars = stars.union(held.where(F.col("linked") & (F.col("pid") != F.col("p"))).select(
+            F.col("pid").alias("a"), F.col("p").alias("b")).distinct())
+        # what follows goes by pivots, not cells: points that share many cells share a pivot in most of them;
         # an open member may link to a linked one only across the triangle's window
-        state = held.where("open").groupBy("cell").agg(F.min("low").alias("least"))
-        kept = held.join(state, "cell").where(
-            F.col("open") | (F.col("linked") & (F.lit(not all_links)) & (F.col("least") <= F.col("low") + far)))
-        sizes = kept.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        kept = kept.join(sizes, "cell").select("cell", "point", "n", "lone", "open", "low", "exact", "m")
-        small = kept.where(F.col("m") <= LEAF).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(
-            "point", "n", "lone", "open", "low", "exact"))).alias("members"))
-        rest = rest.union(small.select("members").distinct().mapInArrow(_leaf_pairs, "a binary, b binary"))
+        state = held.where("open").groupBy("p").agg(F.min("low").alias("least"))
+        kept = held.join(state, "p").where(
+            F.col("open") | (F.col("linked") & (F.lit(not all_links)) & (F.col("least") <= F.col("low") + far))).select(
+            "p", "pid", "n", "open", "low", "exact").distinct()
+        sizes = kept.groupBy("p").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        kept = kept.join(sizes, "p").join(points.select("pid", "profile"), "pid").select("p", "m", *_MEMBER)
+        small = kept.where(F.col("m") <= LEAF).groupBy("p").agg(F.array_sort(F.collect_list(F.struct(*_MEMBER))).alias("members"))
+        rest = rest.union(small.select("members").mapInArrow(_leaf_pairs, "a bigint, b bigint"))
         large = written(kept.where(F.col("m") > LEAF), "jaccard-large")
         if large.isEmpty():
             break
@@ -450,16 +452,16 @@ def links(points: DataFrame, all_links: bool = False) -> DataFrame:
             rest = rest.union(_block_pairs(large))
         else:  # open members go on as a region; across to the linked ones now
             if not all_links:
-                closed = large.where(~F.col("open")).select("cell").distinct()
-                rest = rest.union(_block_pairs(large.join(closed, "cell", "left_semi"), across=True))
-            members = large.where("open").select("cell", "point", "n", "lone")
+                closed = large.where(~F.col("open")).select("p").distinct()
+                rest = rest.union(_block_pairs(large.join(closed, "p", "left_semi"), across=True))
+            members = held.where("open").join(large.select("p").distinct(), "p", "left_semi").select("cell", "pid", "n", "lone")
     stars = written(stars.distinct(), "jaccard-stars")
     rest = rest.distinct()
     if not all_links:
         own = components(stars)
         rest = (rest.join(own.toDF("a", "ra"), "a", "left").join(own.toDF("b", "rb"), "b", "left")
                 .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    size = points.select("point", "n")
+    size = points.select("pid", "n")
     checked = overlaps(rest, points).join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(
         _similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
     return stars.union(checked)
@@ -470,11 +472,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     sized = common_counts(docs, id_col, text_col)
     some = sized.where(may_link(F.col("common"), F.col("n"))).select(F.col("_id").alias("_some")).distinct()
     single = sized.join(some, F.col("_id").eqNullSafe(F.col("_some")), "left_anti").select("_id", "n")
-    rows = points_of(docs.join(some, F.col(id_col).eqNullSafe(F.col("_some")), "left_semi"), id_col, text_col)
-    points = distinct_contents(rows.where("hashes is not null and n > 0").select("point", "hashes"))
-    own = written(components(links(points)), "jaccard-components")
-    rows = rows.select("_id", "n", "content", "point").join(own.withColumnRenamed("node", "point"), "point", "left")
-    return single, rows.select("_id", "n", "content", F.coalesce("root", "point").alias("root"))
+    # by a shuffle at every size: these ids grow with the table and are never broadcast
+    rows = points_of(docs.join(some.hint("merge"), F.col(id_col).eqNullSafe(F.col("_some")), "left_semi"), id_col, text_col)
+    points = cells_of(rows.where("hashes is not null and n > 0"))
+    own = written(components(links(points)).join(points.select(F.col("pid").alias("node"), "point"), "node").select(
+        "point", F.col("root").cast("string").alias("root")), "jaccard-components")
+    rows = rows.select("_id", "n", "content", "point").join(own, "point", "left")
+    return single, rows.select("_id", "n", "content", F.coalesce("root", F.hex("point")).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -499,4 +503,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = rows.join(first, "root").where(~name.eqNullSafe(F.col("first"))).select(
         F.col("_id").alias("_gone"), F.col("content").alias("_content")).distinct()
     content = F.unhex(F.md5(text_of(text_col).cast("binary")))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (content == F.col("_content")), "left_anti")
+    # by a shuffle at every size, as these rows grow with the table
+    return docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone")) & (content == F.col("_content")), "left_anti")

@@ -100,7 +100,12 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False,
     The second array has one entry more than there are texts.  ``fold``
     lower-cases A-Z.
     """
-    return words_at(data, offsets, fold, piece)[:2]
+    hashes, first = [np.empty(0, np.uint64)], np.zeros(len(offsets), np.int64)
+    for a, b in _cuts(data, offsets, piece):
+        h, s, _ = _scan(data, offsets, a, b, fold)
+        hashes.append(h)
+        first += np.searchsorted(s + a, offsets, side="left")
+    return np.concatenate(hashes), first
 
 
 def words_at(data: np.ndarray, offsets: np.ndarray, fold: bool = False,
@@ -214,12 +219,17 @@ def shingle_sets(word: np.ndarray, first: np.ndarray, n: int = 5) -> Iterator[np
             yield np.empty(0, np.uint64)
 
 
+#: Rows of a slice at most.
+ROWS = 1 << 15
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most ``limit`` bytes of text (one row at least)."""
+    """The batch in runs of at most ``ROWS`` rows and ``limit`` bytes of text (one row at least)."""
     texts = batch.column(batch.schema.get_field_index(column))
     _, offsets = utf8(texts)
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = min(to, at + ROWS)
         yield batch.slice(at, to - at)
         at = to
