@@ -39,9 +39,9 @@ from reelhouse.llm.common import text_of
 from reelhouse.llm.distinct import distinct_contents
 
 #: Bytes of text whose distinct words are encoded together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Word counts a task remembers between blocks (then it starts anew).
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 SCHEMA = "content binary, n_tokens bigint"
 
 
