@@ -133,6 +133,16 @@ def scan_versions(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
     return rows.join(known, "blob").select(*key_cols, "blob", "findings")
 
 
+def _marked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with one mark for every run of overlapping spans."""
+    out, end = [], 0
+    for a, b in spans:
+        if a >= end:
+            out += [text[end:a], mark]
+        end = max(end, b)
+    return "".join([*out, text[end:]])
+
+
 def redact(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
            mark: str = "[secret]") -> DataFrame:
     """``versions`` with every span found replaced by ``mark``; other columns as they are.
@@ -150,16 +160,13 @@ def redact(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text
             at, last = batch.schema.get_field_index(text_col), batch.num_columns - 1
             texts = batch.column(at).to_pylist()
             for i, spans in enumerate(batch.column(last).to_pylist()):
-                end = len(texts[i] or "")
-                for a, b in sorted(((f["start"], f["end"]) for f in spans or ()), reverse=True):
-                    b = min(b, end)  # spans of two rules may overlap
-                    if a < b:
-                        texts[i], end = texts[i][:a] + mark + texts[i][b:], a
+                if spans:
+                    texts[i] = _marked(texts[i], sorted((f["start"], f["end"]) for f in spans), mark)
             columns = [*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1:last]]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:last])
 
     # the ledger's column must not meet one of the same name
     known = found.withColumnRenamed("blob", "_blob")
-    rows = versions.join(known, blob(text_of(text_col)) == F.col("_blob"), "left").select(
+    rows = versions.join(known.hint("merge"), blob(text_of(text_col)) == F.col("_blob"), "left").select(
         *[versions[c] for c in versions.columns], "_found")
     return rows.mapInArrow(run, versions.schema)

@@ -1,0 +1,67 @@
+import random
+import re
+
+from reelhouse.llm import ledger
+from reelhouse.llm.common import shared_path
+from tests.llm.helpers import ODD, documents
+
+PARTS = ["token", "API_key", "apikey", "Password", "=", ":", " = ", '"', "'", "abcdef", "ABC123", "AKIA", "ABCDEFGHIJKLMNOP", " ", "\n",
+         "deadbeef01234567", "89abcdef", "é", "日", "ſecret: longvalue", "toKen:", "/+_.-", "short"]
+
+
+def base(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [("assign", m.start(), m.end()) for m in assign.finditer(text or "") if len(m[2]) >= 6]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+    return sorted(found, key=lambda f: (f[1], ledger.BASE.index(f[0])))
+
+
+def test_base_spans_match_brute_force_for_every_path(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.choice([1, 4, 15]))) for _ in range(300)] + ODD
+    texts += [texts[0]] * 40
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(None, texts[1], None), (1, texts[1], "s")])
+    got = ledger.scan_versions(df, shared_path(spark, "test-ledger")).collect()
+    assert len(got) == df.count()
+    for row in got:
+        text = texts[row.doc_id if row.doc_id is not None else 1]
+        assert [tuple(f) for f in row.findings if f.rule in ledger.BASE] == base(text)
+
+
+def test_other_kinds_and_clean_texts(spark):
+    secrets = {"pem": "-----BEGIN RSA PRIVATE KEY-----", "jwt": "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK",
+               "forge": "ghp_" + "a1B2" * 9, "chat": "xoxb-123456789012-abc"}
+    df = documents(spark, [(i, f"see {s} there", "s") for i, s in enumerate(secrets.values())] + [(9, "a tokenised key word", "s")])
+    got = {r.doc_id: [f.rule for f in r.findings] for r in ledger.scan_versions(df, shared_path(spark, "test-ledger")).collect()}
+    assert got == {**{i: [k] for i, k in enumerate(secrets)}, 9: []}
+
+
+def test_only_unseen_pairs_are_scanned(spark):
+    path = shared_path(spark, "test-ledger")
+    old = documents(spark, [(1, "token=abcdefgh", "s"), (2, "token=abcdefgh", "s"), (3, "clean", "s")])
+    assert ledger.unseen(old, path).count() == 2
+    ledger.scan_versions(old, path).collect()
+    assert ledger.unseen(old, path).count() == 0
+    new = old.union(documents(spark, [(4, "new text", "s")]))
+    assert [r._text for r in ledger.unseen(new, path).collect()] == ["new text"]
+    # a raised rule version is owed for every blob, the others for the new one only
+    raised = tuple(r if r.name != "hex" else ledger.Rule("hex", r"[0-9a-f]{30,}", least=30, version=2) for r in ledger.RULES)
+    owed = {r._text: r.rules for r in ledger.unseen(new, path, raised).collect()}
+    assert owed["clean"] == ["hex@2"] and len(owed["new text"]) == len(raised)
+    got = {r.doc_id: [f.rule for f in r.findings] for r in ledger.scan_versions(new, path, raised).collect()}
+    assert got == {1: ["assign"], 2: ["assign"], 3: [], 4: []}
+    assert ledger.unseen(new, path, raised).count() == 0
+
+
+def test_redaction_keeps_all_but_the_secrets(spark):
+    df = documents(spark, [(1, "é token=abcdefgh end", "s"), (2, "clean", "s"), (None, None, None),
+                           (4, 'secret: "0123456789abcdef0123456789abcdef" x', "s")])
+    out = ledger.redact(df, shared_path(spark, "test-ledger"))
+    assert out.columns == df.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {1: "é [secret] end", 2: "clean", None: None, 4: '[secret]" x'}
+
+
+def test_empty_table(spark):
+    assert ledger.scan_versions(documents(spark, []), shared_path(spark, "test-ledger")).collect() == []
