@@ -46,8 +46,9 @@ LOOSE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9A-Za-z+.)-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])(?! [0-9])",
 }
-#: A text without a match of the hint has no span of the kind.
-HINT = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9][.:]|:[0-9A-Fa-f]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"[0-9]{3}"}
+#: A text without a match of the hint has no span of the pattern: every match of a pattern holds one of its own hint.
+BASE_HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]"}
+LOOSE_HINT = {"email": r"[\[(]at[\])]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"[0-9]{3}"}
 TOP_LEVEL = r"(?i)[.\])] ?(com|org|net|edu|gov|mil|int|info|io|de|fr|es|it|uk|eu|nl|ch|at|us|ca|jp|cn|in|br|ru|au)$"
 ISSUER = r"^(4|5[1-5]|2[2-7]|3[47]|30|36|38|6011|62|64|65|35)"
 NO_HOST = r"^(0|10|127|22[4-9]|2[3-5][0-9])\."
@@ -168,8 +169,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``(_id, spans)``: base spans and candidates with their votes and shapes."""
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     for kind in KINDS:
-        for name, patterns in (("base", BASE), ("loose", LOOSE)):
-            found, between = _matches(F.col("_text"), patterns[kind], HINT[kind])
+        for name, patterns, hints in (("base", BASE, BASE_HINT), ("loose", LOOSE, LOOSE_HINT)):
+            found, between = _matches(F.col("_text"), patterns[kind], hints[kind])
             rows = rows.withColumns({f"{kind}_{name}_m": found, f"{kind}_{name}_s": between})
     rows = rows.drop("_text")
     parts = []

@@ -44,6 +44,18 @@ def test_base_spans_match_brute_force(spark):
         assert order == sorted(order)
 
 
+def test_short_runs_of_digits_match_brute_force(spark):
+    # numbers written in pairs, in texts without three digits in a row
+    r = random.Random(21)
+    parts = ["+", "+33 6 12 34 56 78", "1", "22", " ", "-", ".", "(", ")", ":", "a", "@b.c", "4 1 1 1-1 1 1 1 1 1 1 1 1 1 1 1"]
+    texts = ["+33 6 12 34 56 78", "tel +49-30-12-34-56.", "1.2.3.4", "x@y.z"]
+    texts += ["".join(r.choice(parts) for _ in range(r.choice([1, 3, 12]))) for _ in range(300)]
+    got = {row.doc_id: row for row in pii.find_personal_data(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(s) for s in got[i].base] == base(t), t
+    assert [tuple(s) for s in got[0].base] == [("phone", 0, 17)]
+
+
 @pytest.mark.parametrize("text", ["a" * 200000, "1" * 200000, "+1" * 50000, "a@" * 50000, "1 " * 100000])
 def test_long_runs_take_linear_time(spark, text):
     # a quadratic match of these would take many minutes
