@@ -62,6 +62,17 @@ class Rule:
         return spans
 
 
+#: What stands between the pieces of a key's body: white space, also escaped, and the marks of quoted or indented lines.
+_GAP = r"""(?:\\[nrt]|[\s"'`,;>#*|\\])++"""
+_BASE64 = r"(?:[A-Za-z0-9+/=]|\\/)"
+#: A private key from its BEGIN line to the END line before any other BEGIN; without one, to the end of
+#: its base64 lines.  Short pieces count there if they are a line of their own or end in padding.
+PEM = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:"
+       r"(?:[^-]++|-(?!----BEGIN ))*?-----END [A-Z ]{0,40}PRIVATE KEY-----|"
+       rf"(?:{_GAP}(?:Proc-Type|DEK-Info): ?[\w,-]++)*+"
+       rf"(?:{_GAP}{_BASE64}{{16,}}+|{_GAP}[A-Za-z0-9+/]++={{1,2}}+|"
+       rf"""[\x20\t"']*+(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>#*|"']*+{_BASE64}++(?=[\x20\t"',]*+(?:\Z|[\r\n]|\\[nr])))*+)""")
+
 #: The base kinds in their order, then kinds with a fixed shape of their own.
 BASE = ("assign", "access", "hex")
 RULES = (
@@ -70,7 +81,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20, hint="AKIA"),
     # runs are maximal, so asking for 24 in the pattern finds the same runs
     Rule("hex", r"[0-9a-f]{24,}", least=24),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    Rule("pem", PEM, hint="PRIVATE KEY-----", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),

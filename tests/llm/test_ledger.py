@@ -37,6 +37,37 @@ def test_other_kinds_and_clean_texts(spark):
     assert got == {**{i: [k] for i, k in enumerate(secrets)}, 9: []}
 
 
+def test_private_keys_are_redacted_whole(spark):
+    r = random.Random(3)
+    body = ["".join(r.choice("ABCXYZabcxyz0189+/") for _ in range(64)) for _ in range(12)] + ["Qk9EWQ+/9w=="]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    crypt = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\n"
+    whole = [f"{head}{nl}{nl.join(body)}{nl}{tail}" for nl in ("\n", "\r\n", "\\n", " ", "\n    ", '\\n" +\n "')]
+    whole += [f"{head}\n{crypt}" + "\n".join(body) + f"\n{tail}", f"{head}{tail}"]
+    cut = [f"{head}{nl}{nl.join(body)}" for nl in ("\n", "\r\n", "\\n", " ", "\n  ")] + [f"{head}\n{crypt}" + "\n".join(body)]
+    cut += [f"{head}\n" + "\n".join([*body[:3], "Zm9vYg"])]
+    texts = [f"é before {k}\nand words after" for k in whole + cut]
+    texts += [f"{cut[0]}\n{whole[0]}\nand words after", f"{head} is how a key begins\nand words after"]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {x.doc_id: x.text for x in ledger.redact(df, shared_path(spark, "test-ledger")).collect()}
+    for i in range(len(whole + cut)):
+        assert got[i] == "é before [secret]\nand words after", texts[i]
+    assert got[len(texts) - 2] == "[secret]\n[secret]\nand words after"
+    assert got[len(texts) - 1] == "[secret] is how a key begins\nand words after"
+    found = {x.doc_id: x.findings for x in ledger.scan_versions(df, shared_path(spark, "test-ledger")).collect()}
+    pem = [f for f in found[0] if f.rule == "pem"]
+    assert [(f.start, f.end) for f in pem] == [(9, 9 + len(whole[0]))]
+    assert {k.key for k in ledger.RULES if k.name == "pem"} == {"pem@2"}
+
+
+def test_private_key_headers_take_linear_time():
+    find = next(r for r in ledger.RULES if r.name == "pem").finder()
+    head = "-----BEGIN PRIVATE KEY-----"
+    for text in (head * 20000, head + "-" * 500000, head + "\n" * 500000, head + "A " * 250000, head + "A" * 500000,
+                 (head + "\n") * 20000, head + "\\" * 300000):
+        assert find(text)
+
+
 def test_only_unseen_pairs_are_scanned(spark):
     path = shared_path(spark, "test-ledger")
     old = documents(spark, [(1, "token=abcdefgh", "s"), (2, "token=abcdefgh", "s"), (3, "clean", "s")])
