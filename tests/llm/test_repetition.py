@@ -55,6 +55,39 @@ def test_clean_and_repetitive_texts(spark):
     assert repetition.keep_good(df).columns == df.columns
 
 
+def top_covered(w, n):
+    grams, count, first = [tuple(w[i:i + n]) for i in range(len(w) - n + 1)], Counter(), {}
+    for i, g in enumerate(grams):
+        count[g] += 1
+        first.setdefault(g, i)
+    some = [g for g in count if count[g] >= 3]
+    if not some:
+        return set()
+    top = max(some, key=lambda g: (count[g] * sum(map(len, g)), -first[g]))
+    return {k for i, g in enumerate(grams) if g == top for k in range(i, i + n)}
+
+
+def test_top_ngrams_match_brute_force(spark):
+    texts = repeated_texts() + random_texts(30, 17, vocabulary=6, longest=300) + ODD + ["a " * 50, "b b b", "c c"]
+    got = {r.doc_id: r for r in repetition.repetition(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        w = words(t)
+        for n in (2, 3, 4):
+            assert got[i][f"top_chars_{n}"] == sum(len(w[k]) for k in top_covered(w, n)), (n, t and t[:80])
+
+
+def test_short_phrases_and_boilerplate_lines(spark):
+    phrase = " ".join(f"click here to buy item{i}" for i in range(100))
+    clean = [" ".join(f"word{i}x{k}" for k in range(4)) for i in range(30)]
+    lines = "\n".join(x for i, c in enumerate(clean) for x in ([c, "read more"] if i % 5 < 4 else [c]))  # 23 of 54 lines
+    function = " ".join(f"of the noun{i} and verb{i} it was adjective{i} then adverb{i}" for i in range(40))
+    once = "\n".join([*clean[:8], clean[0]])  # a line said twice
+    ends = "first line of it\n" + "\n".join(clean[:1]) + "\n" + " ".join(clean[1:6]) + "\nfirst line of it"
+    df = documents(spark, [(1, phrase, "s"), (2, lines, "s"), (3, function, "s"), (4, once, "s"), (5, ends, "s")])
+    assert {r.doc_id for r in repetition.keep_good(df).collect()} == {3, 4, 5}
+    assert {r.doc_id for r in repetition.repetition(df).where("kept").collect()} == {3, 4, 5}
+
+
 def test_empty_table(spark):
     assert repetition.repetition(documents(spark, [])).collect() == []
     assert repetition.keep_good(documents(spark, [])).collect() == []
