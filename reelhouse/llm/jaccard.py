@@ -492,16 +492,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id, then content.
+    """``docs`` with one row of each component: that with the smallest id, then content, then row number.
 
-    Rows equal in id and text are one document, which stays or goes as a whole.
+    Rows equal in id and text are rows like others.  Row numbers are fixed by
+    writing the rows to the shared folder first.
     """
-    _, rows = _grouped(docs, id_col, text_col)
-    rows = rows.where("n > 0")
-    name = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("_id"), F.col("content").alias("content"))
-    first = rows.groupBy("root").agg(F.min(name).alias("first"))
-    gone = rows.join(first, "root").where(~name.eqNullSafe(F.col("first"))).select(
-        F.col("_id").alias("_gone"), F.col("content").alias("_content")).distinct()
-    content = F.unhex(F.md5(text_of(text_col).cast("binary")))
+    stamped = written(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    _, rows = _grouped(stamped, "_row", text_col)
+    ids = stamped.select(F.col("_row").alias("_id"), F.col(id_col).alias("_own"))
     # by a shuffle at every size, as these rows grow with the table
-    return docs.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone")) & (content == F.col("_content")), "left_anti")
+    rows = rows.where("n > 0").join(ids.hint("merge"), "_id")
+    name = F.struct(F.col("_own").isNull().alias("no_id"), F.col("_own").alias("own"), F.col("content").alias("content"),
+                    F.col("_id").alias("row"))
+    first = rows.groupBy("root").agg(F.min(name)["row"].alias("_first"))
+    gone = rows.join(first, "root").where("_id != _first").select(F.col("_id").alias("_row"))
+    return stamped.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)

@@ -86,6 +86,26 @@ def test_one_of_each_group_stays(spark):
     assert not Counter(alone) - Counter(texts)
 
 
+def test_one_row_of_equal_rows_stays(spark):
+    r = random.Random(14)
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(4)]
+    near = " ".join([*texts[3].split(), "more"])
+    rows_ = [(7, texts[0], "a")] * 30 + [(None, texts[1], "b")] * 20 + [(1, texts[2], "s"), (None, texts[2], "s"), (1, texts[2], "s")]
+    rows_ += [(5, texts[3], "s"), (4, near, "s"), (4, near, "s")] + [(8, "", "s"), (8, "", "s"), (None, None, "s")]
+    r.shuffle(rows_)
+    got = Counter((x.doc_id, x.text) for x in jaccard.keep_one(documents(spark, rows_).repartition(5)).collect())
+    assert got == {(7, texts[0]): 1, (None, texts[1]): 1, (1, texts[2]): 1, (4, near): 1, (8, ""): 2, (None, None): 1}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows_ = rows(15)
+    rows_ += rows_[::3]
+    groups = {g: n for g, n in brute(rows_)[1].items() if g[1] == 0}  # texts without words all stay
+    _, by_component = brute([(k, t, s) for k, (_, t, s) in enumerate(rows_)])  # ids by row: one component each
+    kept = jaccard.keep_one(documents(spark, rows_)).collect()
+    assert len(kept) == len({c for _, n, c in by_component if n}) + sum(groups.values())
+
+
 def test_large_group_of_near_copies(spark):
     r = random.Random(5)
     own = [f"w{i}" for i in range(120)]
