@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelhouse.llm import bpe, hmm, jaccard, ledger, mixing, pii, repetition, sketch, token_cache, warc
+from reelhouse.llm import alignment, bpe, hmm, jaccard, ledger, mixing, pii, repetition, sketch, token_cache, warc
 from reelhouse.llm.common import documents, pages, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -95,8 +97,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_with_next(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    return alignment.align(documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_hidden_markov, op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op7_personal_data, op8_jaccard_join, op9_secret_scans, op10_fingerprints)}
+    op1_hidden_markov, op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op7_personal_data, op8_jaccard_join, op9_secret_scans, op10_fingerprints,
+    op11_alignment)}
 
 #: DuckDB SQL by query name, where SQL can express it.
 SQL: dict[str, str] = {"op2_mix_sources": mixing.MIX_SQL, "op4_warc": warc.WARC_SQL}
