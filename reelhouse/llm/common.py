@@ -36,6 +36,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ``conversations`` table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+
+
 def text_of(column: str) -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
