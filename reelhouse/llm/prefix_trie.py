@@ -209,9 +209,9 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
 TRIE_SQL = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
-    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS at
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),
-own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY at) AS ts FROM t GROUP BY conv_id),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS ts FROM t GROUP BY conv_id),
 sized AS (
   SELECT conv_id, ts, xor(list_reduce(
     list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
