@@ -31,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ``labels`` table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``pages`` table."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelhouse.llm import alignment, bpe, hmm, jaccard, ledger, mixing, pii, prefix_trie, repetition, sketch, token_cache, warc
-from reelhouse.llm.common import conversations, documents, pages, shared_path
+from reelhouse.llm import alignment, bpe, hmm, jaccard, ledger, mixing, pairwise, pii, prefix_trie, repetition, sketch, token_cache, warc
+from reelhouse.llm.common import conversations, documents, labels, pages, shared_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,9 +107,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(conversations(spark, sf_dir))
 
 
+def op13_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by preferences learnt from the labels that are not held out."""
+    return pairwise.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hidden_markov, op2_mix_sources, op3_token_counts, op4_warc, op5_repetition, op6_byte_bpe, op7_personal_data, op8_jaccard_join, op9_secret_scans, op10_fingerprints,
-    op11_alignment, op12_prefix_trie)}
+    op11_alignment, op12_prefix_trie, op13_pairwise_quality)}
 
 #: DuckDB SQL by query name, where SQL can express it.
 SQL: dict[str, str] = {"op2_mix_sources": mixing.MIX_SQL, "op4_warc": warc.WARC_SQL,
