@@ -20,8 +20,8 @@ vocabularies: A's identity counts and B's highest counts.
 Cases: a null or empty text, and one whose tokens do not give back its bytes,
 has no tokens (zeros, an empty ``groups_sha256``); null ids and repeated rows
 are kept, one result row each; an empty table gives an empty result; only the
-two named columns are read.  A very long text is encoded in pieces, cut where a
-space follows an ASCII letter or digit and no token of either side can cross.
+two named columns are read.  Texts are cut at spaces that no token of either
+side goes over, and a part that a task has met is not encoded again.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,27 +46,39 @@ from reelhouse.llm.common import text_of, written
 
 #: Bytes of text in a block (one text at least).
 BLOCK = 4 << 20
-#: Characters encoded by one library call (one piece at least).
-CALL = 1 << 19
-#: Texts over this many code points are cut at safe places.
-LONG = 1 << 18
-_SAFE = re.compile(r"(?<=[A-Za-z0-9])(?= .)", re.S)
+#: Characters encoded by one library call (one part at least).
+CALL = 1 << 18
+#: Sequences put together at once.
+RUN = 1 << 16
+#: Parts a task remembers between blocks (then it starts anew).
+REMEMBERED = 300_000
+#: A space between a character that is no white space in any table and another character.
+_BETWEEN = re.compile("(?<=[!-~\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff\u3041-\u30ff\u4e00-\u9fff]) (?=.)", re.S)
 
 
 class Ragged:
-    """Byte strings by id, held in one buffer."""
+    """Sequences of unlike length by id, held in one buffer."""
 
-    def __init__(self, items: list[bytes]) -> None:
-        self.size = np.array([len(i) for i in items], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(items), np.uint8)
+    def __init__(self, data: np.ndarray, size: np.ndarray) -> None:
+        self.data, self.size = data, size
+        self.start = np.cumsum(size) - size
+
+    @classmethod
+    def of_bytes(cls, items: list[bytes]) -> Ragged:
+        return cls(np.frombuffer(b"".join(items), np.uint8), np.array([len(i) for i in items], np.int64))
+
+    def more(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.data, other.data]), np.concatenate([self.size, other.size]))
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of all ids, one after another."""
-        size = self.size[ids]
-        total = int(size.sum())
-        shift = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
-        return self.data[shift + np.arange(total)]
+        """What all ids hold, one after another."""
+        bounds = _bounds(self.size[ids])
+        out = np.empty(bounds[-1], self.data.dtype)
+        for at in range(0, len(ids), RUN):  # so that the places take little memory
+            some, own = ids[at:at + RUN], bounds[at:at + RUN + 1]
+            shift = np.repeat(self.start[some] - own[:-1], np.diff(own))
+            out[own[0]:own[-1]] = self.data[shift + np.arange(own[0], own[-1])]
+        return out
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -104,22 +116,21 @@ class Pair:
             if not (self.b.is_control(i) or self.b.is_unknown(i)) and (raw not in usual or self.b.is_byte(usual[raw])):
                 usual[raw] = i
         self.same = np.array([usual.get(raw, -1) for raw in bytes_a], np.int64)
-        self.raw_a, self.raw_b = Ragged(bytes_a), Ragged(bytes_b)
+        self.raw_a, self.raw_b = Ragged.of_bytes(bytes_a), Ragged.of_bytes(bytes_b)
         # decimal ids, each with room for the sign that follows it
-        self.text_a = Ragged([b"%d," % i for i in range(len(bytes_a))])
-        self.text_b = Ragged([b"%d," % i for i in range(len(bytes_b))])
+        self.text_a = Ragged.of_bytes([b"%d," % i for i in range(len(bytes_a))])
+        self.text_b = Ragged.of_bytes([b"%d," % i for i in range(len(bytes_b))])
         #: True if no piece of B goes over the start of a space.
         self.cuttable = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, texts: list[str], long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of A, their number in each text, ids of B, their number); a space goes before every text."""
-        parts, owner = [], []
-        for i, text in enumerate(texts):
-            for piece in _pieces(text, long) if self.cuttable else [text]:
-                parts.append(piece)
-                owner.append(i)
+    def parts(self, text: str) -> list[str]:
+        """The text without the spaces that no token of either side goes over; encoding adds one before every part."""
+        return _BETWEEN.split(text) if self.cuttable else [text]
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, their number in each part, ids of B, their number)."""
         ids: tuple[list, list] = ([], [])
-        counts = np.zeros((2, len(texts)), np.int64)
+        counts: tuple[list, list] = ([], [])
         at = 0
         while at < len(parts):
             to, size = at + 1, len(parts[at])
@@ -127,27 +138,14 @@ class Pair:
                 size += len(parts[to])
                 to += 1
             some = parts[at:to]
-            own = np.array(owner[at:to])
             both = ([e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)],
                     self.b.encode(some, num_threads=1))
             for side, found in enumerate(both):
                 ids[side].append(np.fromiter(chain.from_iterable(found), np.int32))
-                np.add.at(counts[side], own, [len(f) for f in found])
+                counts[side].extend(map(len, found))
             at = to
         a, b = (np.concatenate([np.empty(0, np.int32), *side]) for side in ids)
-        return a, counts[0], b, counts[1]
-
-
-def _pieces(text: str, long: int) -> Iterator[str]:
-    """Pieces of a long text; the space that starts each later one is left out, as encoding adds it."""
-    at = 0
-    while len(text) - at > long:
-        cut = _SAFE.search(text, at + long)
-        if cut is None:
-            break
-        yield text[at:cut.start()]
-        at = cut.start() + 1
-    yield text[at:]
+        return a, np.array(counts[0], np.int64), b, np.array(counts[1], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -155,6 +153,12 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
+@lru_cache(maxsize=1)
+def known(path_a: str, path_b: str) -> Known:
+    """One a worker, so that its next task remembers too."""
+    return Known(pair(path_a, path_b))
+
+
 def _bounds(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
@@ -164,38 +168,36 @@ def _per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.diff(_bounds(values)[_bounds(sizes)])
 
 
-class Aligned:
-    """The groups of some texts.
+class Parts:
+    """The groups of some parts, encoded one by one.
 
-    ``n_a``, ``n_b``, ``n_groups``: by text.  ``same``: A ids of the identity
-    groups, ``odd``: ``a * |B| + b`` of the other groups' links, text by text,
-    with ``n_same`` and ``n_odd`` of each text.  ``digests``: of the groups.
+    ``whole``: True if the tokens give back the part.  ``n_a``, ``n_b``: tokens.
+    ``same``: A ids of the identity groups, ``odd``: ``a * |B| + b`` of the
+    other groups' links, ``text``: the groups as ``a1,a2|b1;`` each.
     """
 
-    def __init__(self, p: Pair, texts: list[str], long: int = LONG) -> None:
-        a, n_a, b, n_b = p.encode(texts, long)
-        whole = _gives_back(p.raw_a, a, n_a, texts) & _gives_back(p.raw_b, b, n_b, texts)
-        whole &= np.array([t != "" for t in texts], bool)
-        a, b = a[np.repeat(whole, n_a)], b[np.repeat(whole, n_b)]
-        self.n_a, self.n_b = np.where(whole, n_a, 0), np.where(whole, n_b, 0)
-        # both sides now cover the same bytes, so their ends are comparable over all texts
+    def __init__(self, p: Pair, parts: list[str]) -> None:
+        a, n_a, b, n_b = p.encode(parts)
+        self.whole = _gives_back(p.raw_a, a, n_a, parts) & _gives_back(p.raw_b, b, n_b, parts)
+        self.whole &= np.array([t != "" for t in parts], bool)
+        a, b = a[np.repeat(self.whole, n_a)], b[np.repeat(self.whole, n_b)]
+        self.n_a, self.n_b = np.where(self.whole, n_a, 0), np.where(self.whole, n_b, 0)
+        # both sides now cover the same bytes, so their ends are comparable over all parts
         ends_a, ends_b = np.cumsum(p.raw_a.size[a]), np.cumsum(p.raw_b.size[b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last_a, last_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        text_end = np.concatenate([[0], ends_a])[np.cumsum(self.n_a)]
-        self.n_groups = np.diff(np.searchsorted(cuts, np.concatenate([[0], text_end]), side="right"))
+        part_end = np.concatenate([[0], ends_a])[np.cumsum(self.n_a)]
+        n_groups = np.diff(np.searchsorted(cuts, np.concatenate([[0], part_end]), side="right"))
         link_a, link_b = a[last_a].astype(np.int64), b[last_b].astype(np.int64)
         one = (np.diff(last_a, prepend=-1) == 1) & (np.diff(last_b, prepend=-1) == 1)
         one &= p.same[link_a] == link_b
-        self.same, self.odd = link_a[one].astype(np.int32), (link_a * len(p.raw_b.size) + link_b)[~one]
-        self.n_same = _per_text(one.astype(np.int64), self.n_groups)
-        self.n_odd = self.n_groups - self.n_same
-        self.digests = self._digests(p, a, b, last_a, last_b)
-
-    def _digests(self, p: Pair, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> list[str]:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3`` for each text."""
-        groups = len(last_a)
-        before_a = np.repeat(np.concatenate([[0], last_b[:-1] + 1]) if groups else last_b, np.diff(last_a, prepend=-1))
+        n_same = _per_text(one.astype(np.int64), n_groups)
+        self.same = Ragged(link_a[one].astype(np.int32), n_same)
+        self.odd = Ragged((link_a * len(p.raw_b.size) + link_b)[~one], n_groups - n_same)
+        self.text = self._text(p, a, b, last_a, last_b)
+
+    def _text(self, p: Pair, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> Ragged:
+        before_a = np.repeat(np.concatenate([[0], last_b + 1])[:len(last_a)], np.diff(last_a, prepend=-1))
         after_b = np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
         place_a, place_b = np.arange(len(a)) + before_a, np.arange(len(b)) + after_b
         sizes = np.empty(len(a) + len(b), np.int64)
@@ -203,17 +205,61 @@ class Aligned:
         starts = _bounds(sizes)
         out = np.empty(starts[-1], np.uint8)
         for table, ids, place in ((p.text_a, a, place_a), (p.text_b, b, place_b)):
-            size = table.size[ids]
-            shift = np.repeat(starts[place] - (np.cumsum(size) - size), size)
-            out[shift + np.arange(len(shift))] = table.joined(ids)
+            for at in range(0, len(ids), RUN):
+                some = ids[at:at + RUN]
+                size = table.size[some]
+                shift = np.repeat(starts[place[at:at + RUN]] - (np.cumsum(size) - size), size)
+                out[shift + np.arange(len(shift))] = table.joined(some)
         out[starts[place_a[last_a] + 1] - 1] = ord("|")
         out[starts[place_b[last_b] + 1] - 1] = ord(";")
-        ends = starts[np.cumsum(self.n_a + self.n_b)]
-        begin, found = 0, []
-        for end in ends.tolist():  # the sign after a text's last id is not part of it
-            found.append(hashlib.sha256(out[begin:end - 1]).hexdigest() if end > begin else "")
-            begin = end
-        return found
+        return Ragged(out, np.diff(starts[_bounds(self.n_a + self.n_b)]))
+
+
+class Known:
+    """The parts that a task has met, each encoded once."""
+
+    def __init__(self, p: Pair) -> None:
+        self.pair = p
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.held = Parts(self.pair, [])
+
+    def look_up(self, parts: list[str]) -> np.ndarray:
+        """The places of the parts in ``held``."""
+        if len(self.place) > REMEMBERED:
+            self.clear()
+        before, place = len(self.place), self.place
+        out = np.array([place.setdefault(p, len(place)) for p in parts], np.int64)
+        new = Parts(self.pair, list(islice(place, before, None)))
+        for name in ("whole", "n_a", "n_b"):
+            setattr(self.held, name, np.concatenate([getattr(self.held, name), getattr(new, name)]))
+        for name in ("same", "odd", "text"):
+            setattr(self.held, name, getattr(self.held, name).more(getattr(new, name)))
+        return out
+
+
+class Aligned:
+    """The groups of some texts, put together from those of their parts.
+
+    Tokens of both sides end where a part ends, so no group goes over it.
+    """
+
+    def __init__(self, known: Known, texts: list[str]) -> None:
+        parts = [known.pair.parts(t) for t in texts]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        at, held = known.look_up([x for one in parts for x in one]), known.held
+        whole = _per_text((~held.whole[at]).astype(np.int64), sizes) == 0
+        at, sizes = at[np.repeat(whole, sizes)], np.where(whole, sizes, 0)
+        self.n_a, self.n_b = _per_text(held.n_a[at], sizes), _per_text(held.n_b[at], sizes)
+        self.n_same, self.n_odd = _per_text(held.same.size[at], sizes), _per_text(held.odd.size[at], sizes)
+        self.n_groups = self.n_same + self.n_odd
+        self.same, self.odd = held.same.joined(at), held.odd.joined(at)
+        text = held.text.joined(at)
+        bounds = _bounds(_per_text(held.text.size[at], sizes)).tolist()
+        # the sign after a text's last group is not part of it
+        self.digests = [hashlib.sha256(text[a:b - 1]).hexdigest() if b > a else "" for a, b in zip(bounds, bounds[1:])]
 
 
 def _gives_back(raw: Ragged, ids: np.ndarray, counts: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -223,16 +269,16 @@ def _gives_back(raw: Ragged, ids: np.ndarray, counts: np.ndarray, texts: list[st
     return np.array([joined[a:b] == b" " + t.encode() for a, b, t in zip(ends, ends[1:], texts)], bool)
 
 
-def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, long: int = LONG) -> DataFrame:
+def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
     """One row a block: its ids, their measures, and its links (``same``: int32, ``odd``: int64)."""
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pair(path_a, path_b)
+        own = known(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in kernel.slices(batch, "_text", BLOCK):
-                got = Aligned(p, part.column(1).to_pylist(), long)
+                got = Aligned(own, part.column(1).to_pylist())
                 whole = pa.array([0, part.num_rows], pa.int32())
                 lists = [pa.ListArray.from_arrays(whole, x) for x in (
                     part.column(0), *map(pa.array, (got.n_a, got.n_b, got.n_same, got.n_odd)),
@@ -294,8 +340,7 @@ def best_counts(identity: np.ndarray, same: np.ndarray, counts: DataFrame, size:
     return best
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
-          long: int = LONG) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` of every row.
 
     A link's count is how many links of the whole table join the same two ids;
@@ -303,7 +348,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     every group.
     """
     spark = docs.sparkSession
-    rows = blocks(docs, path_a, path_b, id_col, text_col, long)
+    rows = blocks(docs, path_a, path_b, id_col, text_col)
     p = pair(path_a, path_b)
     size_b = len(p.raw_b.size)
     identity = identity_counts(rows, len(p.same))

@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import duckdb
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -96,22 +97,30 @@ def test_empty_table(spark):
     assert got.collect() == []
 
 
-def test_cuts_change_nothing(spark):
-    docs = table(spark, list(enumerate(random_texts(60, 5) + ODD)))
-    assert (same(map(tuple, alignment.align(docs, A, B, long=40).collect()))
-            == same(map(tuple, alignment.align(docs, A, B).collect())))
+def test_parts_of_a_text_give_the_whole_texts_tokens():
+    p = alignment.pair(A, B)
+    texts = [t for t in ODD + EDGES[:8] if t] + ["word 12 " * 400 + "  end", "Größe und  Maß, s. 3 " * 90, " x\x1c y\u180e z\u2003 a"]
+    texts += [r.text for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").df().itertuples()]
+    for text in texts:
+        assert " ".join(p.parts(text)) == text
+        whole, cut = p.encode([text]), p.encode(p.parts(text))
+        assert whole[0].tolist() == cut[0].tolist() and whole[2].tolist() == cut[2].tolist()
 
 
-def test_pieces_of_a_long_text():
+def test_remembering_changes_nothing(monkeypatch):
     p = alignment.pair(A, B)
-    for text in [t for t in ODD if t] + ["word 12 " * 400 + "  end", "Größe und  Maß, s. 3 " * 90]:
-        whole, cut = alignment.Aligned(p, [text]), alignment.Aligned(p, [text], long=16)
-        assert (whole.digests, whole.n_groups.tolist()) == (cut.digests, cut.n_groups.tolist())
+    texts = [t or "" for t in random_texts(30, 5) + ODD]
+    want = alignment.Aligned(alignment.Known(p), texts)
+    known = alignment.Known(p)
+    monkeypatch.setattr(alignment, "REMEMBERED", 20)
+    for _ in range(3):
+        got = alignment.Aligned(known, texts)
+        for name in ("n_a", "n_b", "n_same", "n_odd", "same", "odd", "digests"):
+            assert list(getattr(got, name)) == list(getattr(want, name))
 
 
 def test_identity_pairs_never_end_an_irregular_group():
     p = alignment.pair(A, B)
-    texts = [t for t in ODD if t] + ["The quick brown fox, 1234567 times: naïveté."]
-    got = alignment.Aligned(p, texts)
+    got = alignment.Aligned(alignment.Known(p), [t for t in ODD if t] + ["The quick brown fox, 1234567 times: naïveté."])
     a, b = got.odd // len(p.raw_b.size), got.odd % len(p.raw_b.size)
     assert len(got.same) and not (p.same[a] == b).any()
