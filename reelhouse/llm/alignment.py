@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelhouse.llm import kernel
-from reelhouse.llm.common import text_of, written
+from reelhouse.llm.common import text_of, tidy, written
 
 #: Bytes of text in a block (one text at least).
 BLOCK = 4 << 20
@@ -291,7 +291,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
 
     kind = rows.schema["_id"].dataType.simpleString()
     longs = ", ".join(f"{c} array<bigint>" for c in ("n_a", "n_b", "n_same", "n_odd"))
-    return written(rows.mapInArrow(run, f"block bigint, ids array<{kind}>, {longs}, digests array<string>, "
+    return written(rows.mapInArrow(tidy(run), f"block bigint, ids array<{kind}>, {longs}, digests array<string>, "
                                         "same binary, odd binary"), "alignment", "zstd")
 
 
@@ -309,7 +309,7 @@ def identity_counts(rows: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["a", "n"])
 
     out = np.zeros(size, np.int64)
-    sums = rows.select("same").mapInArrow(run, "a bigint, n bigint").groupBy("a").agg(F.sum("n"))
+    sums = rows.select("same").mapInArrow(tidy(run), "a bigint, n bigint").groupBy("a").agg(F.sum("n"))
     for a, n in sums.collect():  # at most one row an id of A
         out[a] = n
     return out
@@ -327,7 +327,7 @@ def irregular_pairs(rows: DataFrame) -> DataFrame:
                         [pa.array(np.full(len(code[some]), batch.column(0)[i].as_py(), np.int64)),
                          pa.array(code[some]), pa.array(n[some])], ["block", "code", "n"])
 
-    return rows.select("block", "odd").mapInArrow(run, "block bigint, code bigint, n bigint")
+    return rows.select("block", "odd").mapInArrow(tidy(run), "block bigint, code bigint, n bigint")
 
 
 def best_counts(identity: np.ndarray, same: np.ndarray, counts: DataFrame, size: int) -> np.ndarray:
@@ -402,4 +402,4 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         answers.withColumn("own", F.lit(False)), allowMissingColumns=True)
     longs = ", ".join(f"{c} bigint" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
     return both.repartition("block").sortWithinPartitions("block", "own").mapInArrow(
-        run, f"_id {kind}, {longs}, groups_sha256 string").withColumnRenamed("_id", id_col)
+        tidy(run), f"_id {kind}, {longs}, groups_sha256 string").withColumnRenamed("_id", id_col)

@@ -28,13 +28,13 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelhouse.llm.common import text_of
+from reelhouse.llm.common import text_of, tidy
 from reelhouse.llm.kernel import slices
 
 #: Texts over this many code points are cut at safe places.
 LONG = 1 << 16
 #: Bytes of text encoded between two outputs of a task.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -77,7 +77,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidy(run), f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
+               text_col: str = "text", size: int = LONG) -> DataFrame:
+    """``(id_col, ids array<int>, decoded binary)`` of every row: ``encode`` and ``decode`` in one Python worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(ranks_path, pattern)
+        for batch in batches:
+            for part in slices(batch, "_text", SLICE):
+                ids = [encode_text(enc, t, size) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(ids, pa.list_(pa.int32())),
+                     pa.array([enc.decode_bytes(i) for i in ids], pa.binary())], ["_id", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(tidy(run), f"_id {kind}, ids array<int>, decoded binary").withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
@@ -94,4 +111,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
                                                  [*part.schema.names, out_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, `{out_col}` binary")
+    return encoded.mapInArrow(tidy(run), f"{fields}, `{out_col}` binary")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,31 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, giving freed memory back to the system when a task ends.
+
+    Spark keeps idle Python workers for the next task; without this each holds
+    on to the most it ever needed.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = _libc()
+            if libc is not None and hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")

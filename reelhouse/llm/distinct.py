@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from reelhouse.llm.common import tidy
+
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
@@ -28,5 +30,5 @@ def distinct_contents(rows: DataFrame) -> DataFrame:
     of its own partition only.
     """
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    own = rows.mapInArrow(_first_of_each, kind)
-    return own.repartition(own.columns[0]).mapInArrow(_first_of_each, kind)
+    own = rows.mapInArrow(tidy(_first_of_each), kind)
+    return own.repartition(own.columns[0]).mapInArrow(tidy(_first_of_each), kind)

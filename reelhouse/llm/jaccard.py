@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from reelhouse.llm import kernel
-from reelhouse.llm.common import text_of, written
+from reelhouse.llm.common import text_of, tidy, written
 from reelhouse.llm.components import components
 from reelhouse.llm.ranges import by_range, held_by_range, range_count
 
@@ -169,12 +169,12 @@ def common_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if number is not None:
             yield row()
 
-    spreads = rows.mapInArrow(spread, f"range bigint, block bigint, points bigint, keys binary, owner binary, "
+    spreads = rows.mapInArrow(tidy(spread), f"range bigint, block bigint, points bigint, keys binary, owner binary, "
                                       f"ids array<{kind}>, sizes array<bigint>")
     counts = spreads.repartition("range").sortWithinPartitions("range").mapInArrow(
-        count, f"block bigint, at binary, counts binary, ids array<{kind}>, sizes array<bigint>")
+        tidy(count), f"block bigint, at binary, counts binary, ids array<{kind}>, sizes array<bigint>")
     return written(counts.repartition("block").sortWithinPartitions("block").mapInArrow(
-        total, f"_id {kind}, n bigint, common bigint"), "jaccard-common")
+        tidy(total), f"_id {kind}, n bigint, common bigint"), "jaccard-common")
 
 
 def may_link(common: Column, n: Column) -> Column:
@@ -213,7 +213,7 @@ def points_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array(names, pa.binary()), pa.array(packed, pa.binary())],
                     ["_id", "n", "content", "point", "hashes"])
 
-    return written(rows.mapInArrow(run, f"_id {kind}, n bigint, content binary, point binary, hashes binary"),
+    return written(rows.mapInArrow(tidy(run), f"_id {kind}, n bigint, content binary, point binary, hashes binary"),
                    "jaccard-points")
 
 
@@ -251,7 +251,7 @@ def cells_of(points: DataFrame) -> DataFrame:
             yield row()
 
     # a block's number is that of its first point
-    blocks = written(points.select("point", "hashes").repartition("point").mapInArrow(gather, "block bigint, names array<binary>, sets array<binary>"), "jaccard-blocks")
+    blocks = written(points.select("point", "hashes").repartition("point").mapInArrow(tidy(gather), "block bigint, names array<binary>, sets array<binary>"), "jaccard-blocks")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,12 +311,12 @@ def cells_of(points: DataFrame) -> DataFrame:
         if number is not None:
             yield from out()
 
-    counts = blocks.select("block", "sets").mapInArrow(spread, "range bigint, block bigint, keys binary").repartition(
-        "range").sortWithinPartitions("range").mapInArrow(count, "block bigint, range bigint, counts binary")
+    counts = blocks.select("block", "sets").mapInArrow(tidy(spread), "range bigint, block bigint, keys binary").repartition(
+        "range").sortWithinPartitions("range").mapInArrow(tidy(count), "block bigint, range bigint, counts binary")
     both = blocks.withColumns({"range": F.lit(-1).cast("long"), "counts": F.lit(None).cast("binary")}).unionByName(
         counts, allowMissingColumns=True)
     return written(both.repartition("block").sortWithinPartitions("block", "range").mapInArrow(
-        combine, "pid bigint, point binary, n bigint, lone bigint, hashes binary, profile binary, cells array<bigint>"), "jaccard-cells")
+        tidy(combine), "pid bigint, point binary, n bigint, lone bigint, hashes binary, profile binary, cells array<bigint>"), "jaccard-cells")
 
 
 # --- 2. and 3. regions and pivots --------------------------------------------
@@ -345,7 +345,7 @@ def overlaps(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     sets = points.select("pid", "hashes")
     joined = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("a", "b", "ha", "hb")
-    return joined.mapInArrow(run, "a bigint, b bigint, overlap bigint")
+    return joined.mapInArrow(tidy(run), "a bigint, b bigint, overlap bigint")
 
 
 def _held_against(members: DataFrame, points: DataFrame, every: bool) -> DataFrame:
@@ -437,14 +437,16 @@ def links(points: DataFrame, all_links: bool = False) -> DataFrame:
             F.col("pid").alias("a"), F.col("p").alias("b")).distinct())
         # what follows goes by pivots, not cells: points that share many cells share a pivot in most of them;
         # an open member may link to a linked one only across the triangle's window
-        state = held.where("open").groupBy("p").agg(F.min("low").alias("least"))
-        kept = held.join(state, "p").where(
+        # (what is joined by pivot is written, so that a frequent pivot's rows can be split)
+        state = written(held.where("open").groupBy("p").agg(F.min("low").alias("least")), "jaccard-state")
+        kept = held.join(state.hint("merge"), "p").where(
             F.col("open") | (F.col("linked") & (F.lit(not all_links)) & (F.col("least") <= F.col("low") + far))).select(
             "p", "pid", "n", "open", "low", "exact").distinct()
-        sizes = kept.groupBy("p").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        kept = kept.join(sizes, "p").join(points.select("pid", "profile"), "pid").select("p", "m", *_MEMBER)
+        kept = written(kept, "jaccard-kept")
+        sizes = written(kept.groupBy("p").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-sizes")
+        kept = kept.join(sizes.hint("merge"), "p").join(points.select("pid", "profile"), "pid").select("p", "m", *_MEMBER)
         small = kept.where(F.col("m") <= LEAF).groupBy("p").agg(F.array_sort(F.collect_list(F.struct(*_MEMBER))).alias("members"))
-        rest = rest.union(small.select("members").mapInArrow(_leaf_pairs, "a bigint, b bigint"))
+        rest = rest.union(small.select("members").mapInArrow(tidy(_leaf_pairs), "a bigint, b bigint"))
         large = written(kept.where(F.col("m") > LEAF), "jaccard-large")
         if large.isEmpty():
             break
@@ -484,8 +486,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles, component_id)`` of every row."""
     single, rows = _grouped(docs, id_col, text_col)
-    least = rows.where("n > 0").groupBy("root").agg(F.min("_id").alias("_least"))
-    grouped = rows.join(least, "root", "left").select(
+    rows = written(rows.select("_id", "n", "root"), "jaccard-roots")
+    least = written(rows.where("n > 0").groupBy("root").agg(F.min("_id").alias("_least")), "jaccard-least")
+    grouped = rows.join(least.hint("merge"), "root", "left").select(
         "_id", "n", F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"))
     return grouped.unionByName(single.withColumn("component_id", F.col("_id"))).withColumnsRenamed(
         {"_id": id_col, "n": "n_shingles"})
@@ -504,6 +507,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.where("n > 0").join(ids.hint("merge"), "_id")
     name = F.struct(F.col("_own").isNull().alias("no_id"), F.col("_own").alias("own"), F.col("content").alias("content"),
                     F.col("_id").alias("row"))
-    first = rows.groupBy("root").agg(F.min(name)["row"].alias("_first"))
-    gone = rows.join(first, "root").where("_id != _first").select(F.col("_id").alias("_row"))
+    rows = written(rows.select("root", "_id", name.alias("name")), "jaccard-named")
+    first = written(rows.groupBy("root").agg(F.min("name")["row"].alias("_first")), "jaccard-first")
+    gone = rows.join(first.hint("merge"), "root").where("_id != _first").select(F.col("_id").alias("_row"))
     return stamped.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)

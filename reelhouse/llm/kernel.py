@@ -10,11 +10,15 @@ word ends, so temporary memory does not grow with the length of a text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
+#: Bytes up to which a polynomial names a segment.  Of longer ones unlike segments of equal polynomials can be
+#: written down, whatever the base, so those are named by a cryptographic digest.
+SHORT = 64
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -44,22 +48,28 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64 for i < a power of two over n."""
-    size = max(1 << 16, 1 << (n - 1).bit_length()) if n > 1 else 1 << 16
+    size = max(2 * PIECE, 1 << max(n - 1, 0).bit_length())
+    if size > 2 * PIECE:  # one segment longer than a piece: not kept
+        return _powers_upto(size)
     if size not in _POWERS:
-        out = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.ones(size, dtype=np.uint64)
-            done = 1
-            step = base
-            while done < size:  # doubling: p[done:2 done] = p[:done] * base**done
-                p[done:2 * done] = p[:done] * np.uint64(step)
-                step = step * step & MASK
-                done *= 2
-            out.append(p)
-        _POWERS[size] = (out[0], out[1])
+        _POWERS[size] = _powers_upto(size)
     return _POWERS[size]
 
 
+def _powers_upto(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.ones(size, dtype=np.uint64)
+        done = 1
+        step = base
+        while done < size:  # doubling: p[done:2 done] = p[:done] * base**done
+            p[done:2 * done] = p[:done] * np.uint64(step)
+            step = step * step & MASK
+            done *= 2
+        out.append(p)
+    return out[0], out[1]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     column = column.cast(pa.large_string())
@@ -141,7 +151,11 @@ def _segment_hash(part: np.ndarray, n: int, starts: np.ndarray, ends: np.ndarray
     power, inverse = _powers(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_FOLDED if fold else _RAW)[part] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    out = mix((sums[ends] - sums[starts]) * inverse[starts])
+    for i in np.flatnonzero(ends - starts > SHORT):
+        raw = part[starts[i]:ends[i]].tobytes()
+        out[i] = int.from_bytes(blake2b(raw.lower() if fold else raw, digest_size=8).digest(), "little")
+    return out
 
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelhouse.llm.common import text_of
+from reelhouse.llm.common import text_of, tidy, written
 from reelhouse.llm.distinct import distinct_contents
 from reelhouse.llm.token_cache import _exists
 
@@ -120,10 +120,11 @@ def unseen(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text
     every = F.array(*[F.lit(r.key) for r in rules])
     if not _exists(spark, path):
         return distinct_contents(rows.withColumn("rules", every))
+    # digests only; texts then meet nothing but the digests that are missing
     known = ledger(spark, path).select("blob", F.col("rules").alias("_done"))
-    rows = rows.join(known, "blob", "left").withColumn(
-        "rules", F.array_except(every, F.coalesce("_done", F.array().cast("array<string>")))).drop("_done")
-    return distinct_contents(rows.where(F.size("rules") > 0))
+    todo = written(rows.select("blob").distinct().join(known, "blob", "left").select("blob", F.array_except(
+        every, F.coalesce("_done", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0), "unseen")
+    return distinct_contents(rows.join(todo, "blob"))
 
 
 def scan_versions(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES,
@@ -132,7 +133,7 @@ def scan_versions(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
 
     ``findings`` holds the spans of the given rules by start, then rule order.
     """
-    unseen(versions, path, rules, text_col).mapInArrow(_scan(rules), SCHEMA).write.mode("append").parquet(path)
+    unseen(versions, path, rules, text_col).mapInArrow(tidy(_scan(rules)), SCHEMA).write.mode("append").parquet(path)
     names = F.array(*[F.lit(r.name) for r in rules])
     order = F.transform("findings", lambda f: F.struct(
         f["start"].alias("start"), F.array_position(names, f["rule"]).alias("at"), f["rule"].alias("rule"),
@@ -141,7 +142,8 @@ def scan_versions(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
         F.array_sort(F.filter(order, lambda f: f["at"] > 0)),
         lambda f: F.struct(f["rule"], f["start"], f["end"])).alias("findings"))
     rows = versions.select(*key_cols, blob(text_of(text_col)).alias("blob"))
-    return rows.join(known, "blob").select(*key_cols, "blob", "findings")
+    # written: with a bare shuffle on either side Spark can split a blob that very many paths hold
+    return rows.join(written(known, "findings").hint("merge"), "blob").select(*key_cols, "blob", "findings")
 
 
 def _marked(text: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -161,7 +163,7 @@ def redact(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text
     Texts are joined to the findings of their blobs; only blobs with findings
     are on the other side.
     """
-    unseen(versions, path, rules, text_col).mapInArrow(_scan(rules), SCHEMA).write.mode("append").parquet(path)
+    unseen(versions, path, rules, text_col).mapInArrow(tidy(_scan(rules)), SCHEMA).write.mode("append").parquet(path)
     names = [r.name for r in rules]
     found = ledger(versions.sparkSession, path).select("blob", F.filter(
         "findings", lambda f: f["rule"].isin(*names)).alias("_found")).where(F.size("_found") > 0)
@@ -180,4 +182,4 @@ def redact(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text
     known = found.withColumnRenamed("blob", "_blob")
     rows = versions.join(known.hint("merge"), blob(text_of(text_col)) == F.col("_blob"), "left").select(
         *[versions[c] for c in versions.columns], "_found")
-    return rows.mapInArrow(run, versions.schema)
+    return rows.mapInArrow(tidy(run), versions.schema)

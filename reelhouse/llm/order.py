@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelhouse.llm.common import written
+from reelhouse.llm.common import tidy, written
 
 
 def running(df: DataFrame, order: list[Column], amount: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def running(df: DataFrame, order: list[Column], amount: str, name: str) -> DataF
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                   .mapInArrow(sums, f"{kind}, _part int, _before bigint, _at bigint"), name)
+                   .mapInArrow(tidy(sums), f"{kind}, _part int, _before bigint, _at bigint"), name)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_part").agg(
         F.max(F.col("_before") + F.col(amount)).alias("_sum"), F.count(F.lit(1)).alias("_n")).select(

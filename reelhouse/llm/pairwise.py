@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelhouse.llm import kernel
-from reelhouse.llm.common import text_of, written
+from reelhouse.llm.common import text_of, tidy, written
 
 #: Score at the threshold.
 CUT = 0.7
@@ -137,7 +137,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ["_id", "held_out", "measures"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"_id {kind}, held_out boolean, measures binary"), "measures")
+    return written(rows.mapInArrow(tidy(run), f"_id {kind}, held_out boolean, measures binary"), "measures")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -154,7 +154,7 @@ def examples(rows: DataFrame, labels: DataFrame, label_id: str, label_col: str)
 
 def _summed(rows: DataFrame, run, kind: str = "i int, n bigint") -> dict[int, float]:
     """Fixed-point sums by place; there are as many as the model has numbers."""
-    return {i: n / UNIT for i, n in rows.mapInArrow(run, kind).groupBy("i").agg(F.sum("n")).collect()}
+    return {i: n / UNIT for i, n in rows.mapInArrow(tidy(run), kind).groupBy("i").agg(F.sum("n")).collect()}
 
 
 def _fixed(values: np.ndarray) -> pa.RecordBatch:
@@ -216,7 +216,7 @@ def pairs(rows: DataFrame, count: int, mean: np.ndarray, spread: np.ndarray) ->
 
     dealt = rows.select("measures", "good", F.pmod(F.xxhash64("measures", "good"), F.lit(buckets)).alias("bucket"))
     return written(dealt.repartition("bucket").sortWithinPartitions("bucket", "good", "measures").mapInArrow(
-        run, "differences binary"), "preferences")
+        tidy(run), "differences binary"), "preferences")
 
 
 def fit(preferences: DataFrame) -> np.ndarray:
@@ -249,7 +249,7 @@ def threshold(rows: DataFrame, worth) -> float:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(worth(_matrix(batch.column(0)))), batch.column(1)], ["worth", "good"])
 
-    found = rows.mapInArrow(run, "worth double, good boolean")
+    found = rows.mapInArrow(tidy(run), "worth double, good boolean")
     levels = [(i + 0.5) / QUANTILES for i in range(QUANTILES)]
     cuts = sorted(set(found.agg(F.percentile_approx("worth", levels, 10_000)).first()[0]))
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("worth")))
@@ -288,5 +288,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["_id", "held_out", "score"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, held_out boolean, score double").withColumn(
+    return rows.mapInArrow(tidy(run), f"_id {kind}, held_out boolean, score double").withColumn(
         "predicted", F.when(F.col("score") >= CUT, 1).otherwise(0)).withColumnRenamed("_id", id_col)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelhouse.llm.common import written
+from reelhouse.llm.common import tidy, written
 from reelhouse.llm.scan import MODULUS, running_sums
 
 #: Conversations that share a base.
@@ -144,9 +144,9 @@ def ends(members: DataFrame) -> DataFrame:
     """``(depth, p1, p2, ends_sha256)`` of every sequence of ``members (depth, p1, p2, conv_id)``."""
     kind = "depth bigint, p1 bigint, p2 bigint"
     chunks = members.select(*NODE, "conv_id").repartitionByRange(*NODE, "conv_id").sortWithinPartitions(
-        *NODE, "conv_id").mapInArrow(_chunks, f"{kind}, first bigint, ids string")
+        *NODE, "conv_id").mapInArrow(tidy(_chunks), f"{kind}, first bigint, ids string")
     return chunks.repartition(*NODE).sortWithinPartitions(*NODE, "first").mapInArrow(
-        _digests, f"{kind}, ends_sha256 string")
+        tidy(_digests), f"{kind}, ends_sha256 string")
 
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:

@@ -61,11 +61,10 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, then decode the ids."""
-    ids = bpe.encode(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
-    ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                     hex_digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"))
-    return bpe.decode(ids, RANKS, public_tokenizers.PATTERN).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        hex_digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelhouse.llm import kernel
-from reelhouse.llm.common import text_of
+from reelhouse.llm.common import text_of, tidy
 
 SLICE = 2 << 20
 _SYMBOL = np.zeros(256, np.int64)
@@ -183,7 +183,7 @@ def repetition(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id
 
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    found = rows.mapInArrow(tidy(run), f"_id {kind}, " + ", ".join(f"{n} bigint" for n in names))
     m = {n: F.col(n) for n in names}
     failed, bad = _failed(m, limits), _bad(m, limits)
     return (found.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)
@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text"
                 m = measure(part.column(part.schema.get_field_index(text_col)), limits)
                 yield part.filter(pa.array(~(_failed(m, limits) | _bad(m, limits))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

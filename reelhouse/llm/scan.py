@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelhouse.llm.common import written
+from reelhouse.llm.common import tidy, written
 
 #: Sums are taken modulo this; amounts lie below it.
 MODULUS = 1 << 60
@@ -67,7 +67,7 @@ def running_sums(df: DataFrame, key: str, order: list[Column], amounts: list[str
     ordered = [F.col(key), *order, F.col("_tie")]
     rows = written(df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*ordered)
                    .sortWithinPartitions(*ordered).drop("_tie")
-                   .mapInArrow(run, f"{kind}, _part int, _open boolean, _head bigint, {longs}"), name)
+                   .mapInArrow(tidy(run), f"{kind}, _part int, _open boolean, _head bigint, {longs}"), name)
     tails = rows.where("_head is not null")
     marks = tails.select(F.col(key).alias("_key"), "_part", F.lit(1).alias("_end"), *sums).union(
         tails.select("_head", "_part", F.lit(0), *[F.lit(0).cast("long") for _ in sums]))

@@ -8,8 +8,7 @@ encodes each distinct missing content once, appends the counts, and joins all
 rows to the cache again.
 
 Only missing texts are shuffled (by digest, copies dropped first); everything
-else moves digests.  A hot content is one key of a plain join between narrow
-rows, which Spark splits by size.
+else moves digests: a run with few misses sends their digests to the texts.
 
 The library is called for the distinct words of a block of texts rather than
 for every text: the tokenizer's pattern has no match that holds ASCII white
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelhouse.llm import kernel
-from reelhouse.llm.common import text_of
+from reelhouse.llm.common import text_of, tidy, written
 from reelhouse.llm.distinct import distinct_contents
 
 #: Bytes of text whose distinct words are encoded together.
@@ -111,7 +110,9 @@ def missing(docs: DataFrame, cache: str, path: str, text_col: str = "text") -> D
     rows = docs.select(content(text_of(text_col)).alias("content"), text_of(text_col).alias("_text"))
     spark, v = docs.sparkSession, version(path)
     if _exists(spark, f"{cache}/tokenizer={v}"):
-        rows = rows.join(stored(spark, cache, v), "content", "left_anti")
+        # digests only; texts then meet nothing but the digests that are missing
+        todo = written(rows.select("content").distinct().join(stored(spark, cache, v), "content", "left_anti"), "missing")
+        rows = rows.join(todo, "content", "left_semi")
     return distinct_contents(rows)
 
 
@@ -119,8 +120,9 @@ def token_counts(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``(id_col, n_bytes, n_tokens)`` of every row; ``cache`` gains what it lacked."""
     spark, v = docs.sparkSession, version(path)
-    (missing(docs, cache, path, text_col).mapInArrow(_counts(path), SCHEMA)
+    (missing(docs, cache, path, text_col).mapInArrow(tidy(_counts(path)), SCHEMA)
      .write.mode("append").parquet(f"{cache}/tokenizer={v}"))
     rows = docs.select(F.col(id_col), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"),
                        content(text_of(text_col)).alias("content"))
-    return rows.join(stored(spark, cache, v), "content").drop("content")
+    # written: with a bare shuffle on either side Spark can split a content that very many rows hold
+    return rows.join(written(stored(spark, cache, v), "counts").hint("merge"), "content").drop("content")

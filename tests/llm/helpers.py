@@ -39,3 +39,9 @@ ODD = [None, "", " \n\t ", "one", "a b c d", "a b c d e", "\x85   ", "é日
 
 def as_counter(rows):
     return Counter(tuple(r) for r in rows)
+
+
+def alike_modulo_a_power_of_two(n=1024, letters="ab"):
+    """Two strings whose polynomials agree modulo 2**64 for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelhouse.llm import jaccard
 from reelhouse.llm.components import components
-from tests.llm.helpers import ODD, documents, random_texts, shingles
+from tests.llm.helpers import ODD, alike_modulo_a_power_of_two, documents, random_texts, shingles
 
 
 def linked(a, b):
@@ -127,3 +127,9 @@ def test_components_of_paths_and_stars(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 151)}, 200: 200, 250: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    x, y = alike_modulo_a_power_of_two()
+    got = jaccard.near_duplicates(documents(spark, [(1, f"p q {x}", "s"), (2, f"p q {y}", "s"), (3, f"P q {x}", "s")]))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 2, 3: 1}

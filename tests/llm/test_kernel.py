@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from reelhouse.llm import kernel
-from tests.llm.helpers import words
+from tests.llm.helpers import alike_modulo_a_power_of_two, words
 
 ALPHABET = " \t\n\x0b\x0c\r aabBcé日\x85 "
 
@@ -40,3 +40,12 @@ def test_sliced_columns_and_long_texts():
     hashes, first = kernel.words(*kernel.utf8(column), piece=1000)
     assert list(np.diff(first)) == [100000, 0, 2]
     assert len(set(hashes.tolist())) == 3
+
+
+@pytest.mark.parametrize("n", [16, 64, 65, 512, 1024, 4096])
+def test_long_segments_that_a_polynomial_confuses(n):
+    x, y = alike_modulo_a_power_of_two(n)
+    hashes, _ = kernel.words(*kernel.utf8(pa.array([f"{x} {y} {x.upper()} {x}"])), fold=True)
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2] == hashes[3]
+    line, *_ = kernel.lines(*kernel.utf8(pa.array([f"{x}\n{y}\n{x}"])))
+    assert line[0] != line[1] and line[0] == line[2]

@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 from reelhouse.llm import repetition
-from tests.llm.helpers import ODD, documents, random_texts, words
+from tests.llm.helpers import ODD, alike_modulo_a_power_of_two, documents, random_texts, words
 
 
 def repeated_texts():
@@ -91,3 +93,9 @@ def test_short_phrases_and_boilerplate_lines(spark):
 def test_empty_table(spark):
     assert repetition.repetition(documents(spark, [])).collect() == []
     assert repetition.keep_good(documents(spark, [])).collect() == []
+
+
+def test_long_lines_that_a_polynomial_confuses():
+    x, y = alike_modulo_a_power_of_two()
+    got = repetition.measure(pa.array([f"{x}\n{y}", f"{x}\n{y}\n{x}"]), repetition.Limits())
+    assert got["n_dup_lines"].tolist() == [0, 1]

@@ -76,3 +76,12 @@ def test_null_ids_decode_to_nothing(spark):
     got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(df, RANKS, public_tokenizers.PATTERN).collect()}
     assert got[1] == b"" and len(got[2]) == 1
     assert df.where(F.col("ids").isNull()).count() == 1
+
+
+def test_round_trip_is_encode_then_decode(spark):
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(ODD)] + [(None, "a b", "s")])
+    pattern = public_tokenizers.PATTERN
+    two = bpe.decode(bpe.encode(docs, RANKS, pattern), RANKS, pattern)
+    one = bpe.round_trip(docs, RANKS, pattern)
+    assert one.columns == two.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
