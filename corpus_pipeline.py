@@ -41,8 +41,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again as a proof (operator 6)."""
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return bpe.decode(ids, RANKS, public_tokenizers.PATTERN).select(
+    return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
