@@ -437,12 +437,12 @@ def links(points: DataFrame, all_links: bool = False) -> DataFrame:
             F.col("pid").alias("a"), F.col("p").alias("b")).distinct())
         # what follows goes by pivots, not cells: points that share many cells share a pivot in most of them;
         # an open member may link to a linked one only across the triangle's window
-        # (what is joined by pivot is written, so that a frequent pivot's rows can be split)
-        state = written(held.where("open").groupBy("p").agg(F.min("low").alias("least")), "jaccard-state")
-        kept = held.join(state.hint("merge"), "p").where(
+        # (what is joined by pivot is made distinct and written before, so that a frequent pivot's rows can be split)
+        near = written(held.select("p", "pid", "n", "open", "low", "exact", "linked").distinct(), "jaccard-near")
+        state = written(near.where("open").groupBy("p").agg(F.min("low").alias("least")), "jaccard-state")
+        kept = written(near.join(state.hint("merge"), "p").where(
             F.col("open") | (F.col("linked") & (F.lit(not all_links)) & (F.col("least") <= F.col("low") + far))).select(
-            "p", "pid", "n", "open", "low", "exact").distinct()
-        kept = written(kept, "jaccard-kept")
+            "p", "pid", "n", "open", "low", "exact"), "jaccard-kept")
         sizes = written(kept.groupBy("p").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-sizes")
         kept = kept.join(sizes.hint("merge"), "p").join(points.select("pid", "profile"), "pid").select("p", "m", *_MEMBER)
         small = kept.where(F.col("m") <= LEAF).groupBy("p").agg(F.array_sort(F.collect_list(F.struct(*_MEMBER))).alias("members"))

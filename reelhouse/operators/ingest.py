@@ -24,6 +24,22 @@ def first_date_span(spans) -> F.Column:
     return F.try_element_at(F.filter(spans, D.is_date_text), F.lit(1))
 
 
+def _shown(cards: DataFrame) -> DataFrame:
+    """Cards that are no ad, sponsored or collection card."""
+    return cards.where(~(F.coalesce("is_ad", F.lit(False)) | F.coalesce("is_sponsored", F.lit(False))
+                         | F.coalesce("is_collection", F.lit(False))))
+
+
+def _title() -> F.Column:
+    return F.when(F.col("title_text").isNotNull(), FF.title("title_attr", "title_text"))
+
+
+def kept_cards(cards: DataFrame, site_base: str = K.SITE_BASE) -> DataFrame:
+    """Raw cards that cleaning keeps, with their ``link``."""
+    linked = _shown(cards).withColumn("link", FF.canonical_link("href", site_base))
+    return linked.where(F.col("link").isNotNull() & _title().isNotNull())
+
+
 def clean_cards(cards: DataFrame, as_of: str, site_base: str = K.SITE_BASE) -> DataFrame:
     """Raw cards -> items: skip ads, sponsored and collection cards; canonical
     link; title; thumbnail fallback; length badge; progress; created date.
@@ -32,14 +48,13 @@ def clean_cards(cards: DataFrame, as_of: str, site_base: str = K.SITE_BASE) -> D
     projection and filter: no shuffle, runs in one codegen stage.
     """
     ts = D.as_of_literal(as_of)
-    kept = cards.where(~(F.coalesce("is_ad", F.lit(False)) | F.coalesce("is_sponsored", F.lit(False))
-                         | F.coalesce("is_collection", F.lit(False))))
+    kept = _shown(cards)
     # Stage 1 computes the values later rules read more than once; Catalyst
     # keeps the two projections apart (one codegen stage, each value once).
     staged = kept.select(
         "page_id", "pos",
         FF.canonical_link("href", site_base).alias("link"),
-        F.when(F.col("title_text").isNotNull(), FF.title("title_attr", "title_text")).alias("title"),
+        _title().alias("title"),
         "channel", "thumb_src",
         FF.progress_pct("progress_style").alias("progress"),
         FF.badge_length("length_text").alias("_badge"),
@@ -71,6 +86,16 @@ def first_per_link(items: DataFrame) -> DataFrame:
     return keyed.join(first, ["link", "_order"], "left_semi").dropDuplicates(["link", "_order"]).select(*items.columns)
 
 
+def first_cards(cards: DataFrame, site_base: str = K.SITE_BASE) -> DataFrame:
+    """T3 on raw cards: ``cards`` with ``link``, the first storable card of every link.
+
+    Only what decides is computed (flags, link, title), so the other fields
+    are cleaned for the winners alone; ``clean_cards`` of the result is
+    ``first_per_link`` of all cleaned cards.
+    """
+    return first_per_link(kept_cards(cards, site_base))
+
+
 def skip_known(items: DataFrame, library: DataFrame) -> DataFrame:
     """Drop items whose link is already stored (hidden rows included).
 
@@ -142,9 +167,9 @@ def to_library_rows(items: DataFrame, as_of: str) -> DataFrame:
 
 def new_items(cards: DataFrame, library: DataFrame, as_of: str,
               site_base: str = K.SITE_BASE, two_field: str = "ms") -> DataFrame:
-    """Cards -> cleaned, first-per-link, unknown items with length and problem."""
-    items = first_per_link(clean_cards(cards, as_of, site_base))
-    return with_length(skip_known(items, library), two_field)
+    """Cards -> cleaned, first-per-link, unknown items with length and problem; cleaned last."""
+    fresh = skip_known(first_cards(cards, site_base), library)
+    return with_length(clean_cards(fresh.drop("link"), as_of, site_base), two_field)
 
 
 def append_items(library: DataFrame, items: DataFrame, as_of: str) -> DataFrame:

@@ -47,6 +47,8 @@ REJECT_SCHEMA = "link string, stage string, attempts bigint, problem string, las
 COUNT_SCHEMA = "category string, hidden boolean, n bigint"
 #: Columns that an update may not set: rows are clustered by one and indexed by the other.
 FIXED = ("id", "link")
+#: Names of commits that a manifest remembers, so that a job started again does not commit twice.
+RUNS = 1000
 #: Losing a race this many times ends a commit.
 TRIES = 20
 
@@ -67,6 +69,7 @@ class Manifest:
     links: dict[str, list[str]] = field(default_factory=dict)   # link bucket -> folders
     counts: str | None = None
     rejects: str | None = None
+    runs: list[str] = field(default_factory=list)               # the last ``RUNS`` named commits
 
     def folders(self) -> set[str]:
         """Every folder that this version needs."""
@@ -128,6 +131,13 @@ def open_version(spark: SparkSession, root: str, version: int | None = None) ->
     return _manifest(spark, f"{root}/versions/{version:012d}.json")
 
 
+def try_commit(spark: SparkSession, root: str, new: Manifest) -> Manifest | None:
+    """``new`` under the number after its own, or None if another writer took that number."""
+    new = replace(new, version=new.version + 1)
+    claimed = _claim(spark, f"{root}/versions/{new.version:012d}.json", json.dumps(asdict(new), sort_keys=True))
+    return new if claimed else None
+
+
 def commit(spark: SparkSession, root: str, build: Callable[[Manifest], Manifest | None]) -> Manifest:
     """Make ``build(newest version)`` the next version; built anew whenever another writer was faster.
 
@@ -140,9 +150,9 @@ def commit(spark: SparkSession, root: str, build: Callable[[Manifest], Manifest
         new = build(base)
         if new is None:
             return base
-        new = replace(new, version=base.version + 1)
-        if _claim(spark, f"{root}/versions/{new.version:012d}.json", json.dumps(asdict(new), sort_keys=True)):
-            return new
+        done = try_commit(spark, root, new)
+        if done is not None:
+            return done
     raise Conflict(f"{root}: no version number free in {TRIES} tries")
 
 
@@ -202,7 +212,7 @@ def lookup(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
 def category_counts(spark: SparkSession, root: str) -> DataFrame:
     """A1 from the maintained counts: visible items of each category, with its label."""
     m = open_version(spark, root)
-    counts = _read(spark, root, [m.counts] if m.counts else [], COUNT_SCHEMA)
+    counts = stored_categories(spark, root, m)
     shown = counts.where("not hidden and category is not null").groupBy("category").agg(F.sum("n").alias("n"))
     return shown.select("category", "n", FF.count_label("category", "n").alias("label")).orderBy("category")
 
@@ -210,11 +220,21 @@ def category_counts(spark: SparkSession, root: str) -> DataFrame:
 def distinct_categories(spark: SparkSession, root: str, include_hidden: bool = True) -> DataFrame:
     """A2 from the maintained counts."""
     m = open_version(spark, root)
-    counts = _read(spark, root, [m.counts] if m.counts else [], COUNT_SCHEMA).where("category is not null")
+    counts = stored_categories(spark, root, m).where("category is not null")
     shown = counts if include_hidden else counts.where("not hidden")
     return shown.select("category").distinct().orderBy("category")
 
 
+def stored_categories(spark: SparkSession, root: str, m: Manifest) -> DataFrame:
+    """``(category, hidden, n)`` of a version, as maintained."""
+    return _read(spark, root, [m.counts] if m.counts else [], COUNT_SCHEMA)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
 def rejects(spark: SparkSession, root: str) -> DataFrame:
     """K6: ``(link, stage, attempts, problem, last_version)`` of what could not be stored so far."""
     m = open_version(spark, root)
@@ -256,7 +276,7 @@ def _counted(spark: SparkSession, root: str, m: Manifest, added: DataFrame, remo
     def counts(rows: DataFrame, sign: int) -> DataFrame:
         return rows.groupBy("category", "hidden").agg((F.count(F.lit(1)) * sign).alias("n"))
 
-    total = _read(spark, root, [m.counts] if m.counts else [], COUNT_SCHEMA).unionByName(counts(added, 1))
+    total = stored_categories(spark, root, m).unionByName(counts(added, 1))
     if removed is not None:
         total = total.unionByName(counts(removed, -1))
     folder = f"counts/{uuid.uuid4().hex}"
@@ -314,23 +334,28 @@ def create(library: DataFrame, root: str, bucket_rows: int = 100_000, link_bucke
 
 
 def append(items: DataFrame, root: str, as_of: str, failed: DataFrame | None = None,
-           stage: str = "import") -> Manifest:
+           stage: str = "import", run: str | None = None) -> Manifest:
     """K1, K6: store the items whose link is new, numbered after the newest version's last id.
 
     ``items``: cleaned cards with ``page_id`` and ``pos``; it is read for every
     try of the commit, so it should be a table.  ``failed (link, problem)``
     goes to the stored rejects, where each further failure of a link at a stage
-    counts as one more attempt; what is stored at last leaves them.
+    counts as one more attempt; what is stored at last leaves them.  A ``run``
+    that is committed already changes nothing.
     """
     spark = items.sparkSession
 
     def build(base: Manifest) -> Manifest | None:
+        if run is not None and run in base.runs:
+            return None
         fresh = unknown(spark, root, base, items)
         rows = I.to_library_rows(I.assign_ids(fresh, base.max_id, ["page_id", "pos"]), as_of)
         new = base if fresh.isEmpty() else _appended(spark, root, base, rows)
         if failed is not None:
             again = unknown(spark, root, new, failed.select("link", "problem"))
             new = replace(new, rejects=_rejected(spark, root, new, again, stage))
+        if run is not None:
+            new = replace(new, runs=[*new.runs, run][-RUNS:])
         return None if new is base else new
 
     return commit(spark, root, build)

@@ -1,3 +1,3 @@
 """Importing this module registers every named query."""
 
-from reelhouse.plans import enrich, imports, maintenance, pages, views  # noqa: F401
+from reelhouse.plans import enrich, imports, maintenance, pages, stored, views  # noqa: F401

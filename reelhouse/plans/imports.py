@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from reelhouse.functions import dates as D
 from reelhouse.functions import fields as FF
 from reelhouse.operators import ingest as I
+from reelhouse.operators.joins import stable
 from reelhouse.plans.registry import query
 from reelhouse.sources import fixtures as X
 from reelhouse.sources.tables import read_table
@@ -76,13 +77,14 @@ def clean_cards(spark, sf_dir):
 
 @query("first_per_link")
 def first_per_link(spark, sf_dir):
-    return I.first_per_link(I.clean_cards(_feed(spark, sf_dir), X.AS_OF, X.MEDIA_BASE))
+    first = I.first_cards(_feed(spark, sf_dir), X.MEDIA_BASE)
+    return I.clean_cards(first.drop("link"), X.AS_OF, X.MEDIA_BASE)
 
 
 @query("import_new_links")
 def import_new_links(spark, sf_dir):
-    items = I.first_per_link(I.clean_cards(_feed(spark, sf_dir), X.AS_OF, X.MEDIA_BASE))
-    return I.skip_known(items, X.library(spark, sf_dir)).select("link", "page_id", "pos", "title")
+    items = I.new_items(_feed(spark, sf_dir), X.library(spark, sf_dir), X.AS_OF, X.MEDIA_BASE)
+    return items.select("link", "page_id", "pos", "title")
 
 
 @query("ingest_rejects")
@@ -95,6 +97,6 @@ def ingest_rejects(spark, sf_dir):
 @query("append_items")
 def append_items(spark, sf_dir):
     lib = X.library(spark, sf_dir)
-    items = I.new_items(_feed(spark, sf_dir), lib, X.AS_OF, X.MEDIA_BASE)
+    items = stable(I.new_items(_feed(spark, sf_dir), lib, X.AS_OF, X.MEDIA_BASE))  # read for the ids and the rows
     ok, _ = I.split_rejects(items)
     return I.append_items(lib, ok, X.AS_OF)

@@ -20,8 +20,10 @@ from reelhouse.operators import ingest as I
 from reelhouse.operators import library as L
 from reelhouse.operators import models as M
 from reelhouse.operators import snapshots as S
+from reelhouse.operators import store as ST
 from reelhouse.operators import updates as U
 from reelhouse.operators import vocabulary as V
+from reelhouse.operators.joins import stable
 from reelhouse.schema import LIBRARY_SCHEMA
 from reelhouse.sources import captions as CP
 from reelhouse.sources import html_cards as H
@@ -57,27 +59,38 @@ def ingest(cards: DataFrame, library: DataFrame, captions: DataFrame, as_of: str
     item whose length cannot be stored or whose model call failed is a reject
     with its problem; the others are not held up by it.
     """
-    items = I.new_items(cards, library, as_of, cfg.site_base, cfg.two_field)
+    items = stable(I.new_items(cards, library, as_of, cfg.site_base, cfg.two_field))
+    done, rejects = enrich(items, library, captions, cfg, model, category_model)
+    return I.append_items(library, done, as_of), rejects
+
+
+def enrich(items: DataFrame, stored: DataFrame, captions: DataFrame, cfg: ImportConfig = ImportConfig(),
+           model=None, category_model=None) -> tuple[DataFrame, DataFrame]:
+    """New items with transcript, summary and category, and those that cannot be stored with their problem.
+
+    ``items`` should be a table, as it is read more than once; of ``stored``
+    only the ``category`` is read.
+    """
     ok, rejects = I.split_rejects(items)
     with_subs = CP.attach(ok, captions)
     summed = M.summarize(with_subs, "subtitles", "summary", model=model, size=cfg.summary_size,
                          title_col="title", key="link", **_model_kw(cfg))
     summed, failed = M.split_failures(summed, "summary")
     rejects = rejects.unionByName(failed.select(*[c for c in rejects.columns]))
-    vocab = vocabulary(library, cfg)
+    vocab = vocabulary(stored, cfg)
     if category_model is not None:
         item = CM.item_text(F.col("title"), F.col("summary"))
         if cfg.allow_any_category:
-            cat = CM.categorize_free_by_model(summed, "link", item, vocab, library, category_model)
+            cat = CM.categorize_free_by_model(summed, "link", item, vocab, stored, category_model)
         else:
             cat = CM.categorize_by_model(summed, "link", item, vocab, category_model)
         cat, failed = M.split_failures(cat, "category")
         rejects = rejects.unionByName(failed.select(*[c for c in rejects.columns]))
     elif cfg.allow_any_category:
-        cat = C.categorize_free(summed, "link", TX.category_text(F.col("title"), F.col("summary")), vocab, library)
+        cat = C.categorize_free(summed, "link", TX.category_text(F.col("title"), F.col("summary")), vocab, stored)
     else:
         cat = C.categorize(summed, "link", TX.category_text(F.col("title"), F.col("summary")), vocab)
-    return I.append_items(library, cat, as_of), rejects
+    return cat, rejects
 
 
 def import_pages(pages: DataFrame, root: str, captions: DataFrame, as_of: str,
@@ -89,11 +102,51 @@ def import_pages(pages: DataFrame, root: str, captions: DataFrame, as_of: str,
     same pages adds nothing.
     """
     library = S.read_latest(pages.sparkSession, root, LIBRARY_SCHEMA)
-    rows, rejects = ingest(H.extract_cards(pages), library, captions, as_of, cfg, model, category_model)
-    S.publish(library.unionByName(rows), root)
+    # pages are parsed once: what follows reads the first card of each link
+    cards = stable(I.first_cards(H.extract_cards(pages), cfg.site_base)).drop("link")
+    rows, rejects = ingest(cards, library, captions, as_of, cfg, model, category_model)
+    S.publish(library.unionByName(stable(rows)), root)
     return rejects
 
 
+def import_stored(pages: DataFrame, root: str, captions: DataFrame, as_of: str, run: str,
+                  cfg: ImportConfig = ImportConfig(), model=None, category_model=None) -> ST.Manifest:
+    """L1 from stored pages to the bucketed library under ``root`` (:mod:`reelhouse.operators.store`).
+
+    Every stage is written once under ``root/staging/<run>`` and read by what
+    follows: the pages are parsed once, a model is asked once.  The same
+    ``run`` started again goes on after the last stage that was finished; a
+    run that is committed changes nothing any more.  Rejects are stored with
+    the version, so items + rejects are the new links.
+    """
+    spark, stages = pages.sparkSession, f"{root}/staging/{run}"
+    m = ST.open_version(spark, root)
+    if run in m.runs:
+        return m
+    cards = staged(spark, f"{stages}/cards", lambda: I.first_cards(H.extract_cards(pages), cfg.site_base))
+    fresh = staged(spark, f"{stages}/fresh", lambda: I.with_length(I.clean_cards(
+        ST.unknown(spark, root, m, cards).drop("link"), as_of, cfg.site_base), cfg.two_field))
+    parts = {}
+
+    def enriched(name: str) -> DataFrame:
+        if not parts:
+            parts["items"], parts["rejects"] = enrich(fresh, ST.stored_categories(spark, root, m), captions, cfg, model, category_model)
+        return parts[name]
+
+    items = staged(spark, f"{stages}/items", lambda: enriched("items"))
+    rejects = staged(spark, f"{stages}/rejects", lambda: enriched("rejects"))
+    done = ST.append(items, root, as_of, failed=rejects.select("link", "problem"), run=run)
+    ST.drop_folder(spark, stages)
+    return done
+
+
+def staged(spark, path: str, make) -> DataFrame:
+    """The table at ``path``, made and written first unless an earlier attempt finished it."""
+    if not S._complete(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def backfill_subtitles(library: DataFrame, captions: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
     """L2: attach transcripts to visible items that have none; returns the new library.
 

@@ -618,3 +618,52 @@ SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY o.page_id, o.
        o.link, o.title, rk.category, sha256(coalesce(s.x, '')) AS summary_hash
 FROM ok o LEFT JOIN summ s ON s.id = o.link LEFT JOIN rk ON rk.id = o.link AND rk.rank = 1
 UNION ALL SELECT id, link, title, category, sha256(coalesce(summary, '')) FROM library"""
+
+# ---- the stored library ------------------------------------------------------------
+
+SQL["update_stored"] = SQL["apply_updates"]
+SQL["append_stored"] = SQL["append_items"]
+SQL["library_top50_stored"] = SQL["library_top50"]
+SQL["library_top50_category_stored"] = SQL["library_top50_category"]
+SQL["lookup_links_stored"] = SQL["lookup_links"]
+SQL["import_stored"] = SQL["ingest_pages"]
+
+SQL["publish_race"] = _with(LIBRARY, FEED, ITEMS) + """
+SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY pos % 2, page_id, pos) AS id, link, title
+FROM fresh WHERE problem IS NULL"""
+
+SQL["category_counts_stored"] = _with(LIBRARY, FEED, ITEMS, """
+every AS (
+  SELECT category, CASE WHEN b.doc_id IS NOT NULL THEN b.quality = 0 ELSE l.hidden END AS hidden
+  FROM library l LEFT JOIN labels b ON b.doc_id = l.id
+  UNION ALL SELECT CASE WHEN pos % 3 = 0 THEN 'cat_new' ELSE 'cat_fr' END, false FROM fresh WHERE problem IS NULL),
+renamed AS (
+  SELECT CASE category WHEN 'cat_de' THEN 'Deutsch' WHEN 'German' THEN 'Deutsch'
+                       WHEN 'cat_fr' THEN 'cat_en' ELSE category END AS category, hidden FROM every)""") + """
+SELECT category, count(*) AS n, category || ' (' || CAST(count(*) AS VARCHAR) || ')' AS label
+FROM renamed WHERE category IS NOT NULL AND NOT hidden GROUP BY category"""
+
+SQL["snapshots_by_reference"] = _with(LIBRARY) + """
+SELECT '202402' || lpad(CAST(d AS VARCHAR), 2, '0') AS snapshot_date, count(*) AS n,
+       CAST(sum(CAST(l.hidden OR (b.doc_id IS NOT NULL AND l.id % 7 BETWEEN 1 AND d - 1) AS BIGINT)) AS BIGINT) AS hidden
+FROM range(3, 8) r(d), library l LEFT JOIN labels b ON b.doc_id = l.id GROUP BY d"""
+
+SQL["ingest_rejects_stored"] = _with(LIBRARY, FEED, FEED_HTML, items_sql("feed_html")) + """
+SELECT link, 'import' AS stage, CAST(2 AS BIGINT) AS attempts, problem FROM fresh WHERE problem IS NOT NULL"""
+
+SQL["stream_import"] = _with(LIBRARY, FEED, ITEMS, f"""
+timed AS (
+  SELECT *, {seconds_sql('length_text', 'ms')} AS length_seconds, {problem_sql('length_text')} AS problem, page_id > 15 AS late
+  FROM clean c WHERE NOT EXISTS (SELECT 1 FROM library l WHERE l.link = c.link)),
+early AS (
+  SELECT * FROM timed WHERE NOT late QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id, pos) = 1),
+later AS (
+  SELECT * FROM timed t WHERE late AND NOT EXISTS (SELECT 1 FROM early e WHERE e.link = t.link AND e.problem IS NULL)
+  QUALIFY row_number() OVER (PARTITION BY link ORDER BY page_id, pos) = 1),
+stored AS (SELECT * FROM early WHERE problem IS NULL UNION ALL SELECT * FROM later WHERE problem IS NULL)""") + f"""
+SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY late, page_id, pos) AS id,
+       title, link, channel, thumbnail, CAST(NULL AS VARCHAR) AS subtitles,
+       CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS blurb, CAST(NULL AS VARCHAR) AS themes,
+       progress, CAST(NULL AS VARCHAR) AS category, video_created, length_seconds,
+       {AS_OF} AS record_created, false AS hidden
+FROM stored"""

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from reelhouse import constants as K
 from reelhouse.operators import ingest as I
+from reelhouse.operators import store as ST
+from reelhouse.operators.joins import stable
 from reelhouse.schema import CARD_SCHEMA
 
 OUTPUT_COLUMNS = ["link", "page_id", "pos", "title"]
@@ -78,6 +80,26 @@ def run_import(spark: SparkSession, cards_dir: str, library: DataFrame, out_dir:
     q.awaitTermination()
 
 
+def run_stored_import(spark: SparkSession, cards_dir: str, root: str, checkpoint: str, as_of: str,
+                      site_base: str = K.SITE_BASE, files_per_batch: int | None = None, two_field: str = "ms") -> None:
+    """The incremental import into the bucketed library under ``root``, until the folder is drained.
+
+    Whole rows with ids are committed, rejects are stored.  The link index is
+    the state: a micro-batch reads the index folders that its links fall into,
+    never what earlier batches wrote.  A commit is named by the stream's
+    checkpoint and the epoch, so a replayed micro-batch commits nothing more.
+    """
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        cards = stable(I.first_cards(batch, site_base))
+        fresh = ST.unknown(spark, root, ST.open_version(spark, root), cards).drop("link")
+        items = stable(I.with_length(I.clean_cards(fresh, as_of, site_base), two_field))
+        ok, bad = I.split_rejects(items)
+        ST.append(ok, root, as_of, failed=bad.select("link", "problem"), run=f"{checkpoint}#{epoch}")
+
+    (card_stream(spark, cards_dir, files_per_batch).writeStream.foreachBatch(write_batch)
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+
+
 def read_output(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.parquet(out_dir).drop("batch")
 
