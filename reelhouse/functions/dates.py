@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from reelhouse import constants as K
 from reelhouse.functions.fields import ColumnOrName, _col
 
-# "2 hours ago", "an hour ago", "2 hrs ago", "1 mo ago", "yesterday", "today".
-RELATIVE_PATTERN = (r"(?:^|[^a-z0-9])([0-9]+|an?|one|a few|yesterday|today)\s*"
-                    r"(seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|wks?|months?|mos?|years?|yrs?)?\s*(?:ago|$)")
+_AMOUNT = r"([0-9]+|an?|one|a few)\s*"
+_UNIT = r"(seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|wks?|months?|mos?|years?|yrs?)"
+# "2 hours ago", "an hour ago", "2 hrs ago", "Streamed 1 mo ago".
+AGO_PATTERN = rf"(?:^|[^a-z0-9]){_AMOUNT}{_UNIT}\s*ago"
+# The whole text "2 hours", "yesterday" or "today": "in 2 hours" and "scheduled for today" lie ahead.
+BARE_PATTERN = rf"^{_AMOUNT}{_UNIT}$"
 
 _SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "day": 86400, "week": 604800, "wk": 604800}
 _MONTHS = {"month": 1, "mo": 1, "year": 12, "yr": 12}
@@ -40,7 +43,8 @@ def relative_created(text: ColumnOrName, as_of: Column) -> Column:
     """``as_of`` minus the amount in "N unit(s) ago"; NULL when unmatched.
 
     The amount may be "a", "an", "one" or "a few" (three), the unit shortened
-    ("hrs", "mo"); "yesterday" is one day, "today" none.
+    ("hrs", "mo"); "yesterday" is one day, "today" none.  Without "ago" only a
+    whole text counts, so "in 2 hours" is no date.
 
     Months and years move the calendar (31 Mar - 1 month = 29 Feb); the other
     units are exact durations.  The unit is looked up in two literal maps
@@ -48,11 +52,15 @@ def relative_created(text: ColumnOrName, as_of: Column) -> Column:
     the text is matched a fixed number of times whatever the unit list.
     """
     low = F.trim(F.lower(_col(text)))
-    amount = F.regexp_extract(low, RELATIVE_PATTERN, 1)
-    unit = F.regexp_replace(F.regexp_extract(low, RELATIVE_PATTERN, 2), "s$", "")
+    day = low.isin("yesterday", "today")
+
+    def part(group: int) -> Column:
+        return F.when(low.contains("ago"), F.regexp_extract(low, AGO_PATTERN, group)).otherwise(
+            F.regexp_extract(low, BARE_PATTERN, group))
+
+    amount, unit = part(1), F.regexp_replace(part(2), "s$", "")
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    day = amount.isin("yesterday", "today")
-    n = F.when(day, (amount == "yesterday").cast("bigint")).otherwise(
+    n = F.when(day, (low == "yesterday").cast("bigint")).otherwise(
         F.coalesce(F.try_element_at(table(_AMOUNTS), amount).cast("bigint"), amount.try_cast("bigint")))
     unit = F.when(day, "day").otherwise(unit)
     secs = F.try_element_at(table(_SECONDS), unit)

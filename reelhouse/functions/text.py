@@ -35,10 +35,8 @@ def chunks(text: ColumnOrName, size: int) -> Column:
     if size <= 0:
         raise ValueError("chunk size must be positive")
     t = _col(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(size))
-    arr = F.filter(F.transform(starts, lambda i: F.substring(t, i + 1, size)),
-                   lambda x: x != "")
-    return F.when(t.isNotNull(), arr)
+    # one pass over the text: a substring for each chunk would count characters from the start each time
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def strip_preamble(text: ColumnOrName) -> Column:

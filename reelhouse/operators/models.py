@@ -22,7 +22,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelhouse import constants as K
@@ -52,9 +52,16 @@ class ExprModel:
 
 @dataclass(frozen=True)
 class BatchModel:
-    """A Python model answering lists of (instruction, text) pairs, ``batch_size`` at a time."""
+    """A Python model answering lists of (instruction, text) pairs, ``batch_size`` at a time.
+
+    ``memo``: folder of the answers given so far; what was answered under the
+    same ``version``, instruction and text is not asked again, whichever run,
+    retry or shortening pass asked it.  Failed calls are not remembered.
+    """
     fn: Callable[[list[str], list[str]], list[str]]
     batch_size: int = 64
+    memo: str | None = None
+    version: str = "1"
 
 
 def _sentences(chunk: Column) -> Column:
@@ -105,8 +112,42 @@ def complete_expr(text: Column, instruction: str, model: ExprModel, chunk_size:
     return TX.join_responses(F.transform(parts, lambda c: model.answer(instruction, c)))
 
 
+MEMO_SCHEMA = "_d binary, _r string"
+
+
+def remembered(spark: SparkSession, model: BatchModel) -> DataFrame:
+    """``(_d, _r)``: the answers that ``model``'s memo holds for its version, one a digest."""
+    path = f"{model.memo}/version={model.version}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], MEMO_SCHEMA)
+    return spark.read.schema(MEMO_SCHEMA).parquet(path).groupBy("_d").agg(F.min("_r").alias("_r"))
+
+
 def answer_rows(rows: DataFrame, text_col: str, instruction: str, model: BatchModel) -> DataFrame:
-    """``rows`` with ``_r``, the answer to ``text_col``, and ``_e``, the error instead of one."""
+    """``rows`` with ``_r``, the answer to ``text_col``, and ``_e``, the error instead of one.
+
+    With a memo, each distinct text that it lacks is asked once and the answers
+    are appended to it; texts meet digests only, answers are joined by digest.
+    """
+    if model.memo is None:
+        return _asked(rows, text_col, instruction, model)
+    spark = rows.sparkSession
+    said = F.concat(F.lit(f"{len(instruction)}:{instruction}"), F.col(text_col))
+    keyed = stable(rows.withColumn("_d", F.unhex(F.sha2(said.cast("binary"), 256))))
+    known = remembered(spark, model)
+    new = keyed.join(known, "_d", "left_anti").groupBy("_d").agg(F.first(text_col).alias(text_col))
+    got = stable(_asked(new.repartition("_d"), text_col, instruction, model))
+    got.where("_e is null").select("_d", "_r").write.mode("append").parquet(f"{model.memo}/version={model.version}")
+    failed = got.where("_e is not null").select("_d", "_e")
+    # read anew: what was just appended is part of it
+    out = keyed.drop(text_col).join(remembered(spark, model), "_d", "left").join(failed, "_d", "left")
+    return out.withColumn("_r", F.when(F.col("_e").isNull(), F.col("_r"))).select(
+        *[c for c in rows.columns if c != text_col], "_r", "_e")
+
+
+def _asked(rows: DataFrame, text_col: str, instruction: str, model: BatchModel) -> DataFrame:
+    """``answer_rows`` that asks the model about every row."""
     fn, size = model.fn, model.batch_size
 
     def ask(texts: list[str]) -> tuple[list[str | None], list[str | None]]:

@@ -194,16 +194,16 @@ def backfill_themes(spark, sf_dir):
 @query("categorize_keyword")
 def categorize_keyword(spark, sf_dir):
     lib = X.library(spark, sf_dir)
-    items = L.visible(lib).select("id", "title", "summary")
-    out = C.categorize(items, "id", TX.category_text(F.col("title"), F.col("summary")), _vocab(spark, lib))
+    items = L.visible(lib).select("id", "title").join(X.texts(spark, sf_dir), "id")
+    out = C.categorize(items, "id", TX.category_text(F.col("title"), F.col("text")), _vocab(spark, lib))
     return out.select("id", "category")
 
 
 @query("categorize_free")
 def categorize_free(spark, sf_dir):
     lib = X.library(spark, sf_dir)
-    items = L.visible(lib).select("id", "title", "summary", "themes")
-    text = TX.category_text(F.col("title"), F.col("summary"), F.col("themes"))
+    items = L.visible(lib).select("id", "title", "themes").join(X.texts(spark, sf_dir), "id")
+    text = TX.category_text(F.col("title"), F.col("text"), F.col("themes"))
     out = C.categorize_free(items, "id", text, _vocab(spark, lib), lib)
     return out.select("id", "category")
 
@@ -228,7 +228,8 @@ def _naming_model() -> M.BatchModel:
 
 def _marked_items(spark, sf_dir):
     lib = X.library(spark, sf_dir)
-    items = L.visible(lib).select("id", "title", "summary", "themes")
+    whole = L.visible(lib).select("id", "title", "themes").join(X.texts(spark, sf_dir), "id")
+    items = M.summarize(whole, "text", "summary").drop("text")
     mark = F.concat(F.col("title"), F.lit(" #"), (F.col("id") % 5).cast("string"))
     return lib, items, CM.item_text(mark, F.col("summary"), F.col("themes"))
 

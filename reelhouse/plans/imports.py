@@ -53,7 +53,7 @@ def created_from_relative(spark, sf_dir):
 
 
 PHRASES = ("an hour ago", "a day ago", "Yesterday", "2 hrs ago", "today", "Streamed one week ago", "3 mos ago",
-           "a few minutes ago", "soon", "10yrs ago")
+           "a few minutes ago", "soon", "10yrs ago", "premieres in 2 hours", "live in 3 days", "scheduled for today", "5 days")
 
 
 @query("created_phrases")

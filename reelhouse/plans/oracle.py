@@ -362,7 +362,7 @@ SELECT id, category, {words_sql('category')} AS words, contains(category, '"') A
 
 SQL["category_membership"] = _with(LIBRARY, CAT_ANSWERS, f"""
 pats AS (SELECT -doc_id - 1 AS id, (['AC\\DC', 'cat\\', '%', 'cat\\_en', 'c_t\\_FR', '______', '_', 'c%\\n', 'zz%', 'C%_d%'])
-                [((doc_id // 50) % 10 + 1)::INT] AS category FROM documents WHERE doc_id % 50 = 0),
+                [(doc_id % 10 + 1)::INT] AS category FROM documents),
 c AS (SELECT id, {clean_cat_sql('answer')} AS category FROM cat_answers UNION ALL SELECT id, category FROM pats),
 names AS (SELECT DISTINCT category FROM library WHERE category IS NOT NULL),
 -- a backslash before an ordinary character stands for nothing, one at the end matches nothing
@@ -479,13 +479,14 @@ items AS (SELECT id, title AS t FROM q)""", keyword_scores_sql("items")) + """
 SELECT th.id, th.x AS themes, rk.category FROM th LEFT JOIN rk ON rk.id = th.id AND rk.rank = 1"""
 
 SQL["categorize_keyword"] = _with(LIBRARY, VOCAB, """
-items AS (SELECT id, title || chr(10) || coalesce(summary, '') AS t FROM library WHERE NOT hidden)""",
+items AS (SELECT l.id, l.title || chr(10) || coalesce(d.text, '') AS t
+          FROM library l JOIN documents d ON d.doc_id = l.id WHERE NOT hidden)""",
                                    keyword_scores_sql("items")) + """
 SELECT items.id, rk.category FROM items LEFT JOIN rk ON rk.id = items.id AND rk.rank = 1"""
 
 SQL["categorize_free"] = _with(LIBRARY, VOCAB, """
-items AS (SELECT id, title || chr(10) || coalesce(summary, '') || chr(10) || coalesce(themes, '') AS t
-          FROM library WHERE NOT hidden)""", keyword_scores_sql("items"), f"""
+items AS (SELECT l.id, l.title || chr(10) || coalesce(d.text, '') || chr(10) || coalesce(themes, '') AS t
+          FROM library l JOIN documents d ON d.doc_id = l.id WHERE NOT hidden)""", keyword_scores_sql("items"), f"""
 ans AS (SELECT id, rank, {clean_cat_sql('category')} AS answer FROM rk WHERE rank <= 4),
 val AS (SELECT *, (EXISTS (SELECT 1 FROM library l WHERE l.category ILIKE ans.answer))
                   AND NOT contains(answer, '"') AND {words_sql('answer')} <= 3 AS valid,
@@ -581,10 +582,10 @@ SELECT CAST(event_id // 100 AS BIGINT) AS page_id, count(*) AS cards FROM events
 
 
 SQL["created_phrases"] = f"""
-SELECT event_id, CASE event_id % 10 WHEN 0 THEN {AS_OF} - INTERVAL 1 HOUR WHEN 1 THEN {AS_OF} - INTERVAL 1 DAY
+SELECT event_id, CASE event_id % 14 WHEN 0 THEN {AS_OF} - INTERVAL 1 HOUR WHEN 1 THEN {AS_OF} - INTERVAL 1 DAY
   WHEN 2 THEN {AS_OF} - INTERVAL 1 DAY WHEN 3 THEN {AS_OF} - INTERVAL 2 HOUR WHEN 4 THEN {AS_OF}
   WHEN 5 THEN {AS_OF} - INTERVAL 7 DAY WHEN 6 THEN {AS_OF} - INTERVAL 3 MONTH WHEN 7 THEN {AS_OF} - INTERVAL 3 MINUTE
-  WHEN 9 THEN {AS_OF} - INTERVAL 120 MONTH END AS video_created
+  WHEN 9 THEN {AS_OF} - INTERVAL 120 MONTH WHEN 13 THEN {AS_OF} - INTERVAL 5 DAY END AS video_created
 FROM events"""
 
 SQL["enrich_rejects"] = _with(LIBRARY, f"""

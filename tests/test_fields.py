@@ -119,3 +119,25 @@ def test_declared_table_schemas_match_files(spark):
         for name in GIVEN_SCHEMAS:
             inferred = spark.read.parquet(table_path(sf, name)).schema
             assert read_table(spark, sf, name).schema.simpleString() == inferred.simpleString(), name
+
+
+def test_dates_ahead_are_no_dates(spark):
+    texts = ["premieres in 2 hours", "live in 3 days", "scheduled for today", "in an hour", "not yesterday", "2 hours",
+             " Yesterday ", "today", "streamed 2 hrs ago", "a few days ago", "99999999999999999999 days ago", "ago", ""]
+    got = col_values(one_col(spark, texts).select(D.relative_created("x", D.as_of_literal("2024-03-31 00:00:00"))))
+    day = dt.datetime(2024, 3, 31)
+    assert got == [None] * 5 + [day - dt.timedelta(hours=2), day - dt.timedelta(days=1), day, day - dt.timedelta(hours=2),
+                                day - dt.timedelta(days=3), None, None, None]
+
+
+def test_chunks_of_a_long_text_take_linear_time(spark):
+    import time
+
+    from reelhouse.functions import text as TX
+    text = "añ\n日\U0001f600\r " * 750_000  # over 5 million characters
+    df = one_col(spark, [text, "", None, "ab"])
+    start = time.time()
+    got = col_values(df.select(TX.chunks("x", 4096)))
+    assert time.time() - start < 30
+    assert "".join(got[0]) == text and {len(c) for c in got[0][:-1]} == {4096}
+    assert got[1:] == [[], None, ["ab"]]

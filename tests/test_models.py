@@ -121,3 +121,56 @@ def test_prompts_and_model_categories(spark):
     assert one == {1: "Sport", 2: None}
     free = {r.id: r.category for r in CM.categorize_free_by_model(items, "id", item, vocab, lib, M.BatchModel(fn)).collect()}
     assert free == {1: "SPORT", 2: "music"}
+
+
+def _counting_model(log, memo=None, version="1"):
+    """Answers in upper case, refuses "bad", and writes each text it is asked to a file."""
+    def fn(instructions, texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        with open(log, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return [t.upper() for t in texts]
+    return M.BatchModel(fn, 2, memo, version)
+
+
+def _asked_so_far(log):
+    import os
+    return sorted(open(log).read().split()) if os.path.exists(log) else []
+
+
+def test_memo_asks_once_per_instruction_text_and_version(spark, tmp_path):
+    log, memo = str(tmp_path / "log"), str(tmp_path / "memo")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad"), (5, "c")], "k int, t string")
+    want = [(1, "A", None), (2, "B", None), (3, "A", None), (4, None, "ValueError: refused"), (5, "C", None)]
+
+    def run(df=rows, instruction="do", version="1"):
+        return sorted(map(tuple, M.answer_rows(df, "t", instruction, _counting_model(log, memo, version)).collect()))
+
+    assert run() == want and _asked_so_far(log) == ["a", "b", "c"]
+    assert run() == want and _asked_so_far(log) == ["a", "b", "c"]  # only the failed one is asked again
+    more = spark.createDataFrame([(9, "d"), (8, "a")], "k int, t string")
+    assert run(more) == [(8, "A", None), (9, "D", None)] and _asked_so_far(log) == ["a", "b", "c", "d"]
+    run(more, instruction="other")
+    run(more, version="2")
+    assert _asked_so_far(log) == ["a", "a", "a", "b", "c", "d", "d", "d"]
+    assert run(more.limit(0)) == []
+
+
+def test_memo_serves_shortening_and_free_categories(spark, tmp_path):
+    from reelhouse.operators import categorize_model as CM
+    log, memo = str(tmp_path / "log"), str(tmp_path / "memo")
+    docs = spark.createDataFrame([(1, "one two"), (2, "three"), (3, None), (4, "")], "id int, x string")
+    for _ in range(2):
+        out = M.shorten_loop(docs, "x", 4, "first", "again", _counting_model(log, memo), passes=2)
+        assert {r.id: r.x for r in out.collect()} == {1: "ONE TWO", 2: "THREE", 3: None, 4: ""}
+    first = _asked_so_far(log)
+    assert len(first) == len("one two three ONE TWO THREE".split())  # a text that an earlier pass asked is known
+    lib = spark.createDataFrame([("cat",)], "category string")
+    items = spark.createDataFrame([(1, "i"), (2, "j")], "id int, title string")
+    answers = []
+    for _ in range(2):
+        got = CM.categorize_free_by_model(items, "id", CM.item_text(F.col("title")), lib, lib, _counting_model(log, memo))
+        answers.append(sorted(map(str, got.collect())))
+        answers.append(_asked_so_far(log))
+    assert answers[0] == answers[2] and answers[1] == answers[3]
