@@ -19,9 +19,9 @@ AGO_PATTERN = rf"(?:^|[^a-z0-9]){_AMOUNT}{_UNIT}\s*ago"
 # The whole text "2 hours", "yesterday" or "today": "in 2 hours" and "scheduled for today" lie ahead.
 BARE_PATTERN = rf"^{_AMOUNT}{_UNIT}$"
 
-_SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "day": 86400, "week": 604800, "wk": 604800}
-_MONTHS = {"month": 1, "mo": 1, "year": 12, "yr": 12}
-_AMOUNTS = {"a": 1, "an": 1, "one": 1, "a few": 3}
+SECONDS = {"second": 1, "sec": 1, "minute": 60, "min": 60, "hour": 3600, "hr": 3600, "day": 86400, "week": 604800, "wk": 604800}
+MONTHS = {"month": 1, "mo": 1, "year": 12, "yr": 12}
+AMOUNTS = {"a": 1, "an": 1, "one": 1, "a few": 3}
 
 
 def as_of_literal(as_of: str) -> Column:
@@ -61,10 +61,10 @@ def relative_created(text: ColumnOrName, as_of: Column) -> Column:
     amount, unit = part(1), F.regexp_replace(part(2), "s$", "")
     table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     n = F.when(day, (low == "yesterday").cast("bigint")).otherwise(
-        F.coalesce(F.try_element_at(table(_AMOUNTS), amount).cast("bigint"), amount.try_cast("bigint")))
+        F.coalesce(F.try_element_at(table(AMOUNTS), amount).cast("bigint"), amount.try_cast("bigint")))
     unit = F.when(day, "day").otherwise(unit)
-    secs = F.try_element_at(table(_SECONDS), unit)
-    months = F.try_element_at(table(_MONTHS), unit)
+    secs = F.try_element_at(table(SECONDS), unit)
+    months = F.try_element_at(table(MONTHS), unit)
     shifted = F.timestamp_add("SECOND", -n * F.coalesce(secs, F.lit(0)), F.timestamp_add("MONTH", -n * F.coalesce(months, F.lit(0)), as_of))
     return F.when(n.isNotNull() & (secs.isNotNull() | months.isNotNull()), shifted)
 

@@ -668,3 +668,6 @@ SELECT (SELECT max(id) FROM library) + row_number() OVER (ORDER BY late, page_id
        progress, CAST(NULL AS VARCHAR) AS category, video_created, length_seconds,
        {AS_OF} AS record_created, false AS hidden
 FROM stored"""
+
+SQL["import_sql"] = _with(LIBRARY, FEED, FEED_HTML, items_sql("feed_html")) + """
+SELECT * FROM fresh"""

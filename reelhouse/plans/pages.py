@@ -19,6 +19,32 @@ def page_links(spark, sf_dir):
     return H.page_anchors(read_table(spark, sf_dir, "pages"))
 
 
+IMPORT_SQL = """
+WITH cards AS (
+  SELECT c.*, canonical_link(c.href, '{site}') AS link
+  FROM {pages} p, LATERAL extract_cards(p.page_id, p.html) c
+  WHERE NOT (coalesce(c.is_ad, false) OR coalesce(c.is_sponsored, false) OR coalesce(c.is_collection, false))),
+kept AS (SELECT * FROM cards WHERE link IS NOT NULL AND title_text IS NOT NULL),
+firsts AS (SELECT link, min(struct(page_id, pos)) AS place FROM kept GROUP BY link),
+fresh AS (
+  SELECT k.* FROM kept k JOIN firsts f ON f.link = k.link AND f.place.page_id = k.page_id AND f.place.pos = k.pos
+  WHERE NOT EXISTS (SELECT 1 FROM {library} l WHERE l.link = k.link))
+SELECT page_id, pos, link, card_title(title_attr, title_text) AS title, channel, thumbnail_url(thumb_src, link) AS thumbnail,
+       progress_percent(progress_style) AS progress, length_text(length_text) AS length_text,
+       relative_created(date_span(meta_spans), TIMESTAMP_NTZ '{as_of}') AS video_created,
+       length_seconds(length_text(length_text)) AS length_seconds, length_problem(length_text(length_text)) AS problem
+FROM fresh"""
+
+
+@query("import_sql")
+def import_sql(spark, sf_dir):
+    """The import of feed pages up to the new items, in SQL alone."""
+    H.register_sql_functions(spark)
+    X.feed_pages(spark, sf_dir).createOrReplaceTempView("import_sql_pages")
+    X.library(spark, sf_dir).createOrReplaceTempView("import_sql_library")
+    return spark.sql(IMPORT_SQL.format(site=X.MEDIA_BASE, as_of=X.AS_OF, pages="import_sql_pages", library="import_sql_library"))
+
+
 @query("feed_html_cards")
 def feed_html_cards(spark, sf_dir):
     cards = H.extract_cards(X.feed_pages(spark, sf_dir))

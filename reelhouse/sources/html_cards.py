@@ -17,10 +17,11 @@ simple selectors read as "descendant of".
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelhouse import constants as K
+from reelhouse.functions.sql import register
 from reelhouse.schema import CARD_SCHEMA
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
@@ -321,17 +323,33 @@ CARD_DDL = ("page_id bigint, pos bigint, href string, title_attr string, title_t
             "meta_spans array<string>, is_ad boolean, is_sponsored boolean, is_collection boolean")
 
 
+def rules_from_json(text: str | None) -> CardRules:
+    """Card rules from a JSON object of the fields to change: ``[tag, class, id]`` selectors, chains as lists of them."""
+    def chain(value):
+        return value if isinstance(value, str) or value is None else tuple(map(chain, value))
+
+    return replace(CARD_RULES, **{k: chain(v) for k, v in json.loads(text or "{}").items()})
+
+
 def register_sql_functions(spark) -> None:
-    """Register ``extract_cards`` as a table function for SQL users::
+    """Register the field rules and the table function ``extract_cards`` for SQL users::
 
         SELECT c.* FROM pages, LATERAL extract_cards(page_id, html) c
+        SELECT c.* FROM pages, LATERAL extract_cards(page_id, html, '{"card": "article"}') c
     """
     from pyspark.sql.functions import udtf
 
     @udtf(returnType=CARD_DDL)
     class ExtractCards:
-        def eval(self, page_id: int, html: str):
-            for c in cards_of_page(int(page_id), html):
+        def __init__(self):
+            self.rules = {}
+
+        def eval(self, page_id: int, html: str, rules: str = None):
+            if rules not in self.rules:
+                self.rules[rules] = rules_from_json(rules)
+            for c in cards_of_page(int(page_id), html, self.rules[rules]):
                 yield tuple(c[f.name] for f in CARD_SCHEMA.fields)
 
+    register(spark)
+
     spark.udtf.register("extract_cards", ExtractCards)

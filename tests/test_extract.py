@@ -160,3 +160,36 @@ def test_malformed_markup_takes_linear_time():
         H.parse(piece * (n // len(piece)))
         assert time.time() - began < 20, piece  # a quadratic scan of 1 MB takes hours
     assert H.parse("<p>x</p><a href='y").iter()[0].text() == "x"
+
+
+def test_rules_are_an_argument_in_sql(spark):
+    page = ('<article><a class="go" href="/x&y">n</a><h1 title="A">b</h1></article>' + card(image_link() + title()))
+    spark.createDataFrame([(1, page)], "page_id long, html string").createOrReplaceTempView("sql_pages")
+    H.register_sql_functions(spark)
+    rules = '{"card": "article", "links": [[["a", "go", null]]], "title": [["h1", null, null]]}'
+    got = spark.sql(f"SELECT canonical_link(c.href, 'https://m') AS link, card_title(c.title_attr, c.title_text) AS t "
+                    f"FROM sql_pages p, LATERAL extract_cards(p.page_id, p.html, '{rules}') c").collect()
+    assert [tuple(r) for r in got] == [("https://m/x", "A")]
+    assert spark.sql("SELECT c.* FROM sql_pages p, LATERAL extract_cards(p.page_id, p.html) c").count() == 1
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    from pyspark.sql import functions as F
+
+    from reelhouse.functions import dates as D
+    from reelhouse.functions import fields as FF
+    H.register_sql_functions(spark)
+    texts = [None, "", " 4:05 ", "5:75", "1:02:03", "live", "UPCOMING", "x", "/watch?v=a&t=1", "http://h/?v=b", "width: 61%;",
+             "width:61.5%", "2 hours ago", "in 2 hours", "a few days ago", "yesterday", " Today ", "5 mos", " t\n"]
+    df = spark.createDataFrame([(t, u) for t in texts for u in texts], "a string, b string")
+    as_of = D.as_of_literal("2024-03-31 00:00:00")
+    n = FF.normalize_length(FF.badge_length("a"))
+    want = [FF.strip("a"), n, FF.length_seconds(n), FF.length_seconds(n, "hm"), FF.length_problem(n), FF.canonical_link("a", "https://s"),
+            FF.thumbnail("a", "b"), FF.progress_pct("a"), FF.title("a", "b"), D.relative_created("a", as_of)]
+    got = ["strip_text(a)", "length_text(a)", "length_seconds(length_text(a))", "length_seconds(length_text(a), 'hm')",
+           "length_problem(length_text(a))", "canonical_link(a, 'https://s')", "thumbnail_url(a, b)", "progress_percent(a)",
+           "card_title(a, b)", "relative_created(a, TIMESTAMP_NTZ '2024-03-31 00:00:00')"]
+    both = df.select("a", "b", *[F.struct(w.alias("w"), F.expr(g).alias("g")).alias(f"c{i}") for i, (w, g) in enumerate(zip(want, got))])
+    for r in both.collect():
+        for i, g in enumerate(got):
+            assert r[f"c{i}"].w == r[f"c{i}"].g, (g, r.a, r.b)
