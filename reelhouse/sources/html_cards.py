@@ -1,14 +1,10 @@
 """Feed pages -> raw card rows (S1, H1-H4), and generic page facts.
 
-Pages are rows of ``(page_id, url, html)``.  Each Spark task parses its own
-pages inside ``mapInPandas`` (Arrow batches in, Arrow batches out) and emits
-raw strings only; every cleaning rule is a Column expression applied
-afterwards (see :func:`reelhouse.operators.ingest.clean_cards`).
-
-The parser is a small tolerant tokenizer that reads a page once, front to
-back, in time linear in its length whatever the markup, and builds an element
-tree; each element knows its span in the document-order element list, so
-"descendants of" is a list slice.  Markup is never assumed well-formed.
+Pages are rows of ``(page_id, url, html)``.  Cards are cut and their fields
+read by the expressions of :mod:`reelhouse.sources.markup`, in the JVM, in the
+task that reads the page: no HTML is shuffled.  Only raw strings come out;
+every cleaning rule is a Column expression applied afterwards (see
+:func:`reelhouse.operators.ingest.clean_cards`).
 
 Element rules are plain tuples, not CSS text: a *simple selector* is
 ``(tag, class, id)`` with ``None`` for "any", and a *chain* is a tuple of
@@ -17,187 +13,15 @@ simple selectors read as "descendant of".
 
 from __future__ import annotations
 
-import json
-import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from html import unescape
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelhouse import constants as K
-from reelhouse.functions.sql import register
+from reelhouse.functions.sql import _text, register
 from reelhouse.schema import CARD_SCHEMA
-
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-        "param", "source", "track", "wbr"}
-
-
-class Node:
-    """An element.  ``doc`` lists every element of the document in order;
-    the descendants of a node are ``doc[index + 1:end]``."""
-    __slots__ = ("tag", "attrs", "classes", "children", "parent", "doc", "index", "end")
-
-    def __init__(self, tag: str, attrs: dict, parent: "Node | None", doc: list):
-        self.tag = tag
-        self.attrs = attrs
-        self.classes = set((attrs.get("class") or "").split())
-        self.children: list = []          # Node or str, in document order
-        self.parent = parent
-        self.doc = doc
-        self.index = len(doc) - 1         # the root is not in doc
-        self.end = len(doc)
-
-    def get(self, name: str, default=None):
-        v = self.attrs.get(name, default)
-        return default if v is None and default is not None else v
-
-    def iter(self) -> list["Node"]:
-        """Descendant elements in document order (not self)."""
-        return self.doc[self.index + 1:self.end]
-
-    def strings(self) -> Iterator[str]:
-        stack = list(reversed(self.children))
-        while stack:
-            c = stack.pop()
-            if isinstance(c, str):
-                yield c
-            else:
-                stack.extend(reversed(c.children))
-
-    def text(self) -> str:
-        """Text nodes stripped one by one and joined with no separator."""
-        return "".join(s.strip() for s in self.strings() if s.strip())
-
-
-# Markup is read in one forward pass: from every "<" to the ">" that ends it.
-# Where no ">" is left, the rest of the page is an unfinished tag and is
-# dropped, as HTML5 does at the end of a file, so no text is scanned twice.
-_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />]*+")
-# Up to the ">" of a start tag; quotes only count right after "=".
-_TAG_END = re.compile(r"""(?:[^>=]++|=++\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
-# One attribute: a name, and the value after "=" (quoted, or up to a space).
-_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/=>][^\s/=>]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+""")
-# Elements whose content is raw text up to the matching end tag.
-RAW_TEXT = {"script", "style"}
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW_TEXT}
-
-
-def _attributes(text: str) -> tuple[dict[str, str], bool]:
-    """Attributes of a start tag's text after its name, and whether the tag closes itself.
-
-    A repeated attribute keeps its last value; one without a value is ``''``.
-    A slash at the end that belongs to an unquoted value closes nothing.
-    """
-    out, end = {}, 0
-    for m in _ATTRIBUTE.finditer(text):
-        value, end = m[2] or "", m.end()
-        if value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0]:
-            value = value[1:-1]
-        out[m[1].lower()] = unescape(value)
-    return out, text[end:].strip() == "/"
-
-
-def parse(html: str) -> Node:
-    """Element tree of ``html``; end tags close the nearest open element of
-    their name (unmatched end tags are ignored)."""
-    html = html or ""
-    doc: list[Node] = []
-    root = Node("#root", {}, None, doc)
-    stack = [root]
-    opened: Counter[str] = Counter()  # names on the stack
-
-    def close(k: int) -> None:
-        for node in stack[k:]:
-            node.end = len(doc)
-            opened[node.tag] -= 1
-        del stack[k:]
-
-    def text(a: int, b: int) -> None:
-        if b > a:
-            stack[-1].children.append(unescape(html[a:b]))
-
-    pos, n = 0, len(html)
-    while pos < n:
-        start = html.find("<", pos)
-        if start < 0:
-            text(pos, n)
-            break
-        text(pos, start)
-        mark = html[start + 1:start + 2]
-        if html.startswith("<!--", start):
-            end = html.find("-->", start + 4)
-            pos = n if end < 0 else end + 3
-        elif mark in ("!", "?", "/"):
-            end = html.find(">", start)
-            if end < 0:
-                break
-            name = _NAME.match(html, start + 2) if mark == "/" else None
-            if name and opened[name[0].lower()]:
-                tag = name[0].lower()
-                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
-            pos = end + 1
-        elif name := _NAME.match(html, start + 1):
-            end = _TAG_END.match(html, name.end())
-            if end is None:
-                break
-            tag, inside = name[0].lower(), html[name.end():end.end() - 1]
-            attributes, closed = _attributes(inside) if inside else ({}, False)
-            doc.append(None)
-            node = doc[-1] = Node(tag, attributes, stack[-1], doc)
-            stack[-1].children.append(node)
-            pos = end.end()
-            if closed or tag in VOID:
-                continue
-            stack.append(node)
-            opened[tag] += 1
-            if tag in RAW_TEXT:
-                stop = _RAW_END[tag].search(html, pos)
-                raw = html[pos:stop.start() if stop else n]
-                if raw:
-                    node.children.append(raw)
-                close(len(stack) - 1)
-                pos = stop.end() if stop else n
-        else:
-            stack[-1].children.append("<")
-            pos = start + 1
-    close(1)
-    root.end = len(doc)
-    return root
-
-
-def _simple(node: Node, sel) -> bool:
-    tag, cls, ident = sel
-    return (tag is None or node.tag == tag) and (cls is None or cls in node.classes) and \
-        (ident is None or node.attrs.get("id") == ident)
-
-
-def matches(node: Node, chain, scope: Node) -> bool:
-    """``node`` matches the last selector and has ancestors (below ``scope``)
-    matching the earlier ones in order."""
-    if not _simple(node, chain[-1]):
-        return False
-    want = len(chain) - 2
-    anc = node.parent
-    while want >= 0 and anc is not None and anc is not scope:
-        if _simple(anc, chain[want]):
-            want -= 1
-        anc = anc.parent
-    return want < 0
-
-
-def select(scope: Node, chain) -> list[Node]:
-    return [n for n in scope.iter() if matches(n, chain, scope)]
-
-
-def select_one(scope: Node, chain) -> Node | None:
-    for n in scope.iter():
-        if matches(n, chain, scope):
-            return n
-    return None
+from reelhouse.sources import markup as M
 
 
 @dataclass(frozen=True)
@@ -222,113 +46,92 @@ class CardRules:
 
 CARD_RULES = CardRules()
 
+_CHAIN = "ARRAY<ARRAY<STRING>>"
+RULES_DDL = (f"card STRING, links ARRAY<{_CHAIN}>, " + ", ".join(f"{f} {_CHAIN}" for f in (
+    "title", "channel", "thumbnail", "length", "progress", "row", "span")) + ", ad STRING, sponsored STRING, collection STRING")
 
-def cards_of_page(page_id: int, html: str, rules: CardRules = CARD_RULES) -> list[dict]:
-    """Raw card fields of one page, one dict per card element, in order.
 
-    A card inside another is a card of its own as well.
-    """
-    root = parse(html)
-    out = []
-    cards = [n for n in root.iter() if n.tag == rules.card]
-    for pos, card in enumerate(cards):
-        link_el = next((el for chain in rules.links if (el := select_one(card, chain)) is not None), None)
-        title_el = select_one(card, rules.title)
-        channel_el = select_one(card, rules.channel)
-        thumb_el = select_one(card, rules.thumbnail)
-        length_el = select_one(card, rules.length)
-        progress_el = select_one(card, rules.progress)
-        rows = select(card, rules.row)
-        spans = [s.text() for s in select(rows[1], rules.span)] if len(rows) >= 2 else None
-        out.append({
-            "page_id": page_id, "pos": pos,
-            "href": None if link_el is None else link_el.attrs.get("href", ""),
-            "title_attr": None if title_el is None else title_el.attrs.get("title"),
-            "title_text": None if title_el is None else title_el.text(),
-            "channel": None if channel_el is None else channel_el.text(),
-            "thumb_src": None if thumb_el is None else thumb_el.attrs.get("src"),
-            "length_text": None if length_el is None else length_el.text(),
-            "progress_style": None if progress_el is None else progress_el.attrs.get("style", ""),
-            "meta_spans": spans,
-            "is_ad": any(n.tag == rules.ad for n in card.iter()),
-            "is_sponsored": any(s == rules.sponsored for s in card.strings()),
-            "is_collection": any(rules.collection in n.classes for n in card.iter()),
-        })
-    return out
+_REFERENCES = f"named_struct('refs', {M.references()})"
 
 
-def extract_cards(pages: DataFrame, rules: CardRules = CARD_RULES) -> DataFrame:
-    """Pages -> raw cards (schema :data:`reelhouse.schema.CARD_SCHEMA`).
+def _literal(value) -> str:
+    """A rule as SQL."""
+    if value is None or isinstance(value, str):
+        return "cast(NULL AS STRING)" if value is None else _text(value)
+    return f"array({', '.join(map(_literal, value))})"
+
 
-    Every page is parsed once, whole, in the task that reads it: no HTML is
-    shuffled, and the SQL table function gives the same cards.
+def _rules(rules: CardRules, json: str | None = None) -> str:
+    """A struct of the rules and the character references; those that the JSON object ``json`` names come from there."""
+    fields, refs = vars(rules), f"'refs', {M.references()}"
+    if json is None:
+        return f"named_struct({refs}, " + ", ".join(f"'{k}', {_literal(v)}" for k, v in fields.items()) + ")"
+    given = ", ".join(f"'{k}', coalesce(g.{k}, {_literal(v)})" for k, v in fields.items())
+    return M.let(f"from_json({json}, '{RULES_DDL}')", "g", f"named_struct({refs}, {given})")
+
+
+def cards_sql(page_id: str, html: str, rules: str) -> str:
+    """SQL of one page's cards, an array of structs (fields of :data:`reelhouse.schema.CARD_SCHEMA`).
+
+    A card inside another is a card of its own as well.
     """
-    cols = [f.name for f in CARD_SCHEMA.fields]
+    # places of the links, the title, the thumbnail and the progress bar
+    places = f"transform(concat(r.links, array(r.title, r.thumbnail, r.progress)), l -> {M.place('c', 'l')})"
+    link = "coalesce(get(filter(slice(at, 1, size(r.links)), l -> l > 0), 0), 0)"
+    wanted = [(link, "href"), ("element_at(at, -3)", "title"), ("element_at(at, -2)", "src"), ("element_at(at, -1)", "style")]
+    tags = "array(" + ", ".join(f"named_struct('at', {at}, 'name', '{name}')" for at, name in wanted) + ")"
+    value = f"if(z.at > 0, {M.let(M.attribute('element_at(c, z.at).raw', 'z.name'), 'h', M.unescape('h'))}, NULL)"
+    attributes = M.let(places, "at", f"transform({tags}, z -> named_struct('found', z.at > 0, 'value', {value}))")
+    read = M.let(M.find("c", "l", "1"), "f", f"if(f.start > 0, {M.text(M.content('c', 'f'))}, NULL)")
+    texts = f"transform(array(r.title, r.channel, r.length), l -> {read})"
+    spans = M.let(M.content("c", "f"), "w", M.let(M.find("w", "r.span", "0"), "u", "if(u.seen = 0, cast(array() AS ARRAY<STRING>), "
+                  f"transform(sequence(1, u.seen), y -> {M.let(M.find('w', 'r.span', 'y'), 'h', M.text(M.content('w', 'h')))}))"))
+    values = {
+        "page_id": f"cast({page_id} AS BIGINT)", "pos": "cast(j AS BIGINT)",
+        "href": "if(m.attributes[0].found, coalesce(m.attributes[0].value, ''), NULL)",
+        "title_attr": "m.attributes[1].value", "title_text": "m.texts[0]", "channel": "m.texts[1]",
+        "thumb_src": "m.attributes[2].value", "length_text": "m.texts[2]",
+        "progress_style": "if(m.attributes[3].found, coalesce(m.attributes[3].value, ''), NULL)",
+        "meta_spans": M.let(M.find("c", "r.row", "2"), "f", f"if(f.start > 0, {spans}, NULL)"),
+        "is_ad": "coalesce(exists(c, e -> coalesce(e.tag = r.ad AND e.step >= 0, false)), false)",
+        "is_sponsored": "exists(c, x -> x.step IS NULL AND x.raw = r.sponsored)",
+        "is_collection": "exists(c, e -> coalesce(array_contains(e.classes, r.collection), false))",
+    }
+    card = "named_struct(" + ", ".join(f"'{f.name}', {values[f.name]}" for f in CARD_SCHEMA.fields) + ")"
+    read = M.let(f"named_struct('attributes', {attributes}, 'texts', {texts})", "m", card)
+    return M.let(rules, "r", M.let(M.tokens(html), "els", M.elements("els", "r.card", read)))
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([c for pid, html in zip(pdf["page_id"], pdf["html"])
-                                for c in cards_of_page(int(pid), html, rules)], columns=cols)
 
-    return pages.select("page_id", "html").mapInPandas(run, CARD_SCHEMA)
+def extract_cards(pages: DataFrame, rules: CardRules = CARD_RULES) -> DataFrame:
+    """Pages -> raw cards (schema :data:`reelhouse.schema.CARD_SCHEMA`)."""
+    return pages.select(F.inline(F.expr(cards_sql("page_id", "html", _rules(rules)))))
 
 
 def card_counts(pages: DataFrame, card: str = K.CARD_TAG) -> DataFrame:
-    """``(page_id, cards)``, by counting start tags outside comments and raw text, in the JVM."""
+    """``(page_id, cards)``, by counting start tags outside comments and raw text."""
     bare = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]).*?(?:</\1\s*>|\z)", "")
     return pages.select("page_id", F.regexp_count(bare, F.lit(rf"(?i)<{card}(?=[\s/>])")).cast("bigint").alias("cards"))
 
 
-PAGE_FACTS_SCHEMA = "page_id bigint, title string, heading string, has_ad boolean, n_links bigint"
-ANCHOR_SCHEMA = "page_id bigint, pos bigint, href string, text string"
-
-
 def page_facts(pages: DataFrame) -> DataFrame:
     """Per page: ``<title>`` text, first ``<h1>`` text, ad block present, link count."""
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
-                root = parse(html)
-                t = select_one(root, (("title", None, None),))
-                h = select_one(root, (("h1", None, None),))
-                rows.append({
-                    "page_id": int(pid),
-                    "title": None if t is None else t.text(),
-                    "heading": None if h is None else h.text(),
-                    "has_ad": select_one(root, ((None, "ad", None),)) is not None,
-                    "n_links": sum(1 for n in root.iter() if n.tag == "a"),
-                })
-            yield pd.DataFrame(rows, columns=["page_id", "title", "heading", "has_ad", "n_links"])
-
-    return pages.select("page_id", "html").mapInPandas(run, PAGE_FACTS_SCHEMA)
+    def first(tag: str) -> str:
+        return M.let(M.find("els", _literal(((tag, None, None),)), "1"), "f",
+                     f"if(f.start > 0, {M.text(M.content('els', 'f'))}, NULL)")
+
+    facts = (f"named_struct('title', {first('title')}, 'heading', {first('h1')}, "
+             "'has_ad', exists(els, e -> coalesce(array_contains(e.classes, 'ad'), false)), "
+             "'n_links', cast(size(filter(els, e -> e.tag = 'a' AND e.step >= 0)) AS BIGINT))")
+    page = M.let(_REFERENCES, "r", M.let(M.tokens("coalesce(html, '')"), "els", facts))
+    return pages.select("page_id", F.inline(F.array(F.expr(page))))
 
 
 def page_anchors(pages: DataFrame) -> DataFrame:
     """Every ``<a>`` of every page: position, ``href`` ('' when absent), text."""
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
-                for pos, a in enumerate(n for n in parse(html).iter() if n.tag == "a"):
-                    rows.append({"page_id": int(pid), "pos": pos,
-                                 "href": a.attrs.get("href", ""), "text": a.text()})
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "href", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, ANCHOR_SCHEMA)
-
-
-CARD_DDL = ("page_id bigint, pos bigint, href string, title_attr string, title_text string, "
-            "channel string, thumb_src string, length_text string, progress_style string, "
-            "meta_spans array<string>, is_ad boolean, is_sponsored boolean, is_collection boolean")
-
-
-def rules_from_json(text: str | None) -> CardRules:
-    """Card rules from a JSON object of the fields to change: ``[tag, class, id]`` selectors, chains as lists of them."""
-    def chain(value):
-        return value if isinstance(value, str) or value is None else tuple(map(chain, value))
-
-    return replace(CARD_RULES, **{k: chain(v) for k, v in json.loads(text or "{}").items()})
+    href = M.let(M.attribute("element_at(els, a).raw", "'href'", "href"), "h", M.unescape("h"))
+    anchor = f"named_struct('pos', cast(j AS BIGINT), 'href', coalesce({href}, ''), 'text', {M.text('c')})"
+    page = M.let(_REFERENCES, "r", M.let(M.tokens("html"), "els", M.elements("els", "'a'", anchor)))
+    return pages.select("page_id", F.inline(F.expr(page)))
 
 
 def register_sql_functions(spark) -> None:
@@ -336,20 +139,12 @@ def register_sql_functions(spark) -> None:
 
         SELECT c.* FROM pages, LATERAL extract_cards(page_id, html) c
         SELECT c.* FROM pages, LATERAL extract_cards(page_id, html, '{"card": "article"}') c
-    """
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType=CARD_DDL)
-    class ExtractCards:
-        def __init__(self):
-            self.rules = {}
-
-        def eval(self, page_id: int, html: str, rules: str = None):
-            if rules not in self.rules:
-                self.rules[rules] = rules_from_json(rules)
-            for c in cards_of_page(int(page_id), html, self.rules[rules]):
-                yield tuple(c[f.name] for f in CARD_SCHEMA.fields)
 
+    The third argument is a JSON object of the rules to change: selectors
+    ``[tag, class, id]``, chains as lists of them.
+    """
     register(spark)
-
-    spark.udtf.register("extract_cards", ExtractCards)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CARD_SCHEMA.fields)
+    body = cards_sql("extract_cards.page_id", "extract_cards.html", _rules(CARD_RULES, "extract_cards.rules"))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION extract_cards(page_id BIGINT, html STRING, rules STRING DEFAULT NULL) "
+              f"RETURNS TABLE ({fields}) RETURN SELECT * FROM inline({body})")
