@@ -103,7 +103,7 @@ def import_pages(pages: DataFrame, root: str, captions: DataFrame, as_of: str,
     """
     library = S.read_latest(pages.sparkSession, root, LIBRARY_SCHEMA)
     # pages are parsed once: what follows reads the first card of each link
-    cards = stable(I.first_cards(H.extract_cards(pages), cfg.site_base)).drop("link")
+    cards = stable(I.first_cards(stable(H.extract_cards(pages)), cfg.site_base)).drop("link")
     rows, rejects = ingest(cards, library, captions, as_of, cfg, model, category_model)
     S.publish(library.unionByName(stable(rows)), root)
     return rejects
@@ -123,7 +123,7 @@ def import_stored(pages: DataFrame, root: str, captions: DataFrame, as_of: str,
     m = ST.open_version(spark, root)
     if run in m.runs:
         return m
-    cards = staged(spark, f"{stages}/cards", lambda: I.first_cards(H.extract_cards(pages), cfg.site_base))
+    cards = staged(spark, f"{stages}/cards", lambda: I.first_cards(stable(H.extract_cards(pages)), cfg.site_base))
     fresh = staged(spark, f"{stages}/fresh", lambda: I.with_length(I.clean_cards(
         ST.unknown(spark, root, m, cards).drop("link"), as_of, cfg.site_base), cfg.two_field))
     parts = {}
