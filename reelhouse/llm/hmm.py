@@ -1,22 +1,32 @@
 """Hidden Markov language model (operator 1).
 
-Tokens are the words of a text (A-Z lower-cased), then one end.  Latent states
-emit word classes, a fixed number of them (a word's class is the low bits of
-its hash; the end has its own), and a class emits its words by their smoothed
-counts in the training texts.  So the states' tables have a fixed size whatever
-the vocabulary, and every word of the corpus counts.
+Tokens are the words of a text (A-Z lower-cased), then one end.  Every latent
+state emits every word of the training texts by its own expected count, so what
+is learnt grows with the corpus.
 
 Training: all texts become blocks of about ``BLOCK`` bytes, a block's words as
-numbers into its own vocabulary.  Word counts are summed by ranges of the
-words' hashes: a block sends each range one packed row and gets the sums back
-as one.  In each Baum-Welch round every task runs
-the scaled forward-backward recursion over its blocks and emits its expected
-counts as fixed-point integers, which one grouping sums, so that the sum does
-not depend on the order of tasks; the driver reads tables of fixed size.
+numbers into its own vocabulary.  The first Baum-Welch rounds tie the words
+that share a class (the low bits of their hash; the end has its own), so that
+start, moves and the classes' emissions are small tables: every task runs the
+scaled forward-backward recursion over its blocks and emits its expected counts
+as fixed-point integers, which one grouping sums, so that the sum does not
+depend on the order of tasks; the driver reads tables of fixed size.  The last
+round unties them: a block sends each range of hashes its words with their
+counts and their occurrences' shares by state, a range sums them over the
+corpus, and the block gets its own words' sums back.  These tables are as long
+as the vocabulary and stay on Spark.
+
+A state emits the end by the tied rounds' probability, and a word by its
+expected count there, smoothed by the words' corpus-wide shares with the weight
+of one token for each distinct word, one unseen word included.
 
 Scoring: a block meets its words' counts again, and the scaled forward
-recursion gives each whole text's exact likelihood: that of
-its class sequence, and its words' given their classes.
+recursion gives each whole text's exact likelihood.
+
+Long texts run in windows of ``WINDOW`` tokens side by side.  A window's
+matrix product tells what it makes of any state before it, so the vectors that
+enter and follow every window are those of the whole text, and so are the
+likelihood and the expected counts.
 
 Cases: a null text counts as the empty text (one token, its end); a null id
 is kept and trains the model; repeated rows are texts like others; without
@@ -40,23 +50,25 @@ from reelhouse.llm.common import text_of, written
 from reelhouse.llm.ranges import by_range, held_by_range, range_count
 
 BLOCK = 4 << 20
-#: Word classes (a power of two), latent states, training rounds.
+#: Word classes of the tied rounds (a power of two), latent states, tied rounds.
 CLASSES = 4096
 STATES = 8
 ROUNDS = 4
-#: Longer texts are trained in windows of so many tokens; they are scored whole.
+#: Tokens of a long text's windows; they change speed only.
 WINDOW = 1024
 #: Tokens of the forward-backward recursion at once.
 GROUP = 1 << 17
 #: Expected counts travel as integers of this unit.
 UNIT = float(1 << 20)
+#: A word's shares by state travel in these parts: from a block, and summed.
+PART, WHOLE = 255, 65535
 #: Weight of the corpus-wide class shares in a state's emissions.
 PRIOR = 10.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """start[k], move[k, k], emit[class, k]; the last class is the end."""
+    """start[k], move[k, k], emit[symbol, k]; the last symbol is the end."""
 
     start: np.ndarray
     move: np.ndarray
@@ -112,6 +124,10 @@ class Block:
         of_word = (self.vocabulary & np.uint64(n - 1)).astype(np.int32)[self.words]
         return np.insert(of_word, np.cumsum(self.sizes), n)
 
+    def symbols(self) -> np.ndarray:
+        """Number in the vocabulary of every token, the ends the number after the last."""
+        return np.insert(self.words.astype(np.int64), np.cumsum(self.sizes), len(self.vocabulary))
+
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
@@ -119,66 +135,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(batch.slice(i, 1).to_pylist()[0])
 
 
-_COUNTED = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("counts", pa.binary()), ("class", pa.int32()),
-                      ("n", pa.int64()), ("v", pa.int64())])
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
 
 
-def word_counts(rows: DataFrame, classes: int) -> DataFrame:
-    """Rows ``(block, range, counts)`` and rows ``(class, n, v)``.
+def _packed(kind: int, total: np.ndarray) -> pa.RecordBatch:
+    """``(kind, i, j, n)`` of the non-zero cells of a table of integers."""
+    i, j = np.nonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)),
+                                       pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["kind", "i", "j", "n"])
 
-    counts: how often each of the block's words of that range occurs in all
-    training texts (uint64).  n and v: tokens and distinct words of a class in
-    one range's training words.
-    """
-    ranges = range_count(rows)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def class_totals(rows: DataFrame, classes: int) -> np.ndarray:
+    """Tokens of each class in the training texts; the end last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes + 1, np.int64)
         for b in _blocks(batches):
-            n = np.bincount(b.words[np.repeat(~b.held, b.sizes)], minlength=len(b.vocabulary))
-            order, bounds = by_range(b.vocabulary, ranges)
-            word, n = b.vocabulary[order], n[order].astype("<u4")
-            some = np.flatnonzero(np.diff(bounds))
-            if len(some):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(some), pa.array(np.full(len(some), b.number)),
-                    pa.array([word[bounds[r]:bounds[r + 1]].tobytes() for r in some], pa.binary()),
-                    pa.array([n[bounds[r]:bounds[r + 1]].tobytes() for r in some], pa.binary())],
-                    ["range", "block", "words", "n"])
+            total += np.bincount(b.classes(classes)[np.repeat(~b.held, b.sizes + 1)], minlength=classes + 1)
+        yield _packed(0, total[:, None])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in held_by_range(batches):
-            words = [np.frombuffer(r["words"], "<u8") for r in held]
-            word, at = np.unique(np.concatenate(words), return_inverse=True)
-            total = np.bincount(at, np.concatenate([np.frombuffer(r["n"], "<u4") for r in held])).astype(np.int64)
-            parts = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
-            k = len(held)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r["block"] for r in held], pa.int64()), pa.array([r["range"] for r in held], pa.int64()),
-                pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary()), pa.nulls(k, pa.int32()),
-                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=_COUNTED)
-            own = (word & np.uint64(classes - 1)).astype(np.int64)[total > 0]
-            n, v = np.bincount(own, total[total > 0]).astype(np.int64), np.bincount(own)
-            some = np.flatnonzero(v)
-            k = len(some)
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(some.astype(np.int32)),
-                pa.array(n[some]), pa.array(v[some])], schema=_COUNTED)
-
-    packed = rows.select("block", "held", "sizes", "words", "vocabulary").mapInArrow(
-        spread, "range bigint, block bigint, words binary, n binary")
-    return written(packed.repartition("range").sortWithinPartitions("range").mapInArrow(
-        count, "block bigint, range bigint, counts binary, class int, n bigint, v bigint"), "lm-counts", "zstd")
-
-
-def class_totals(rows: DataFrame, counts: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, distinct words) of each class in the training texts; the end last."""
-    tokens, distinct = np.zeros(classes + 1, np.int64), np.zeros(classes + 1, np.int64)
-    # at most one row a class
-    for g, n, v in counts.where("class is not null").groupBy("class").agg(F.sum("n"), F.sum("v")).collect():
-        tokens[g], distinct[g] = n, v
-    ends = rows.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    tokens[classes], distinct[classes] = ends, int(ends > 0)
-    return tokens, distinct
+    tokens = np.zeros(classes + 1, np.int64)
+    parts = rows.select("block", "held", "sizes", "words", "vocabulary").mapInArrow(run, "kind int, i int, j int, n bigint")
+    for _, i, _, n in _summed(parts).collect():  # at most one row a class
+        tokens[i] = n
+    return tokens
 
 
 def first_model(tokens: np.ndarray, states: int) -> Model:
@@ -191,116 +171,167 @@ def first_model(tokens: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1.0 / states), move, emit / emit.sum(0))
 
 
-def _by_time(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Longest sequences first: (their order, tokens by time then sequence, active at each time, offsets)."""
-    order = np.argsort(-sizes, kind="stable")
-    lengths = sizes[order]
-    begins = (np.cumsum(sizes) - sizes)[order]
-    time = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.repeat(begins, lengths) + time
-    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths.max(initial=0)), side="right")
-    return order, place[np.argsort(time, kind="stable")], active, np.concatenate([[0], np.cumsum(active)])
-
-
-def log_likelihood(classes: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
-    """Natural log likelihood of each class sequence, by the scaled forward recursion."""
-    out = np.zeros(len(sizes))
-    order, tokens, active, offsets = _by_time(sizes)
-    emit = model.emit[classes[tokens]]
-    logs = np.zeros(len(sizes))
-    state = np.empty((0, 0))
-    for t, n in enumerate(active):
-        now = emit[offsets[t]:offsets[t + 1]]
-        state = (model.start * now) if t == 0 else (state[:n] @ model.move) * now
-        scale = state.sum(1)
-        state /= scale[:, None]
-        logs[:n] += np.log(scale)
-    out[order] = logs
-    return out
-
-
-def expected_counts(classes: np.ndarray, sizes: np.ndarray, fresh: np.ndarray, model: Model,
-                    start_later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Windows:
+    """Texts in windows: each one's first token, size, text and rank in its text; ``more``: another follows."""
+
+    begins: np.ndarray
+    sizes: np.ndarray
+    text: np.ndarray
+    rank: np.ndarray
+    more: np.ndarray
+
+    @staticmethod
+    def of(lengths: np.ndarray) -> Windows:
+        n = -(-lengths // WINDOW)
+        text = np.repeat(np.arange(len(lengths)), n)
+        rank = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        more = rank < n[text] - 1
+        sizes = np.where(more, WINDOW, lengths[text] - rank * WINDOW)
+        return Windows(np.cumsum(sizes) - sizes, sizes, text, rank, more)
+
+    def groups(self, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some windows in groups of about ``GROUP`` tokens, like sizes together, longest first.
+
+        Of each: the windows, their tokens by time then window, how many are
+        active at each time, and the offsets of the times.
+        """
+        some = some[np.argsort(self.sizes[some], kind="stable")]
+        split = np.flatnonzero(np.diff((np.cumsum(self.sizes[some]) - 1) // GROUP)) + 1
+        for group in np.split(some, split) if len(some) else []:
+            group = group[::-1]
+            sizes = self.sizes[group]
+            time = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            token = (np.repeat(self.begins[group], sizes) + time)[np.argsort(time, kind="stable")]
+            active = len(group) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), side="right")
+            yield group, token, active, np.concatenate([[0], np.cumsum(active)])
+
+
+def boundaries(symbols: np.ndarray, windows: Windows, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(enter, ahead) of every window, both up to a factor.
+
+    enter: the probabilities of the first token's state, by all tokens before.
+    ahead: by the next window's first state, the probability of all tokens
+    after this window; 0 where there are none.
+    """
+    states = len(model.start)
+    enter, ahead = np.tile(model.start, (len(windows.sizes), 1)), np.zeros((len(windows.sizes), states))
+    if not windows.more.any():
+        return enter, ahead
+    long = np.flatnonzero(windows.more | (windows.rank > 0))
+    whole = np.zeros((len(windows.sizes), states, states))
+    for group, token, active, offsets in windows.groups(long):
+        emit = model.emit[symbols[token]]
+        product = emit[:active[0], :, None] * np.eye(states)
+        for t, n in enumerate(active[1:], 1):
+            now = (product[:n] @ model.move) * emit[offsets[t]:offsets[t + 1], None, :]
+            product[:n] = now / now.sum((1, 2))[:, None, None]
+        whole[group] = product
+    by_rank = long[np.argsort(windows.rank[long], kind="stable")]
+    for at in np.split(by_rank, np.flatnonzero(np.diff(windows.rank[by_rank])) + 1)[1:]:
+        enter[at] = np.einsum("ni,nij->nj", enter[at - 1], whole[at - 1]) @ model.move
+        enter[at] /= enter[at].sum(1, keepdims=True)
+    back = long[windows.more[long]]
+    back = back[np.argsort(-windows.rank[back], kind="stable")]
+    for at in np.split(back, np.flatnonzero(np.diff(windows.rank[back])) + 1):
+        follows = np.where(windows.more[at + 1, None], ahead[at + 1] @ model.move.T, 1.0)
+        ahead[at] = np.einsum("nij,nj->ni", whole[at + 1], follows)
+        ahead[at] /= ahead[at].sum(1, keepdims=True)
+    return enter, ahead
+
+
+def log_likelihood(symbols: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+    """Natural log likelihood of each sequence of symbols, by the scaled forward recursion."""
+    windows = Windows.of(lengths)
+    enter, _ = boundaries(symbols, windows, model)
+    logs = np.zeros(len(windows.sizes))
+    for group, token, active, offsets in windows.groups(np.arange(len(logs))):
+        emit = model.emit[symbols[token]]
+        part, state = np.zeros(len(group)), np.empty((0, 0))
+        for t, n in enumerate(active):
+            state = (enter[group] if t == 0 else state[:n] @ model.move) * emit[offsets[t]:offsets[t + 1]]
+            scale = state.sum(1)
+            state /= scale[:, None]
+            part[:n] += np.log(scale)
+        logs[group] = part
+    return np.bincount(windows.text, logs, len(lengths))
+
+
+def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: Model, names: np.ndarray | None = None,
+                    count: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts (start, move, emit) of some sequences.
 
-    ``fresh`` tells a text's first window, which starts from ``model.start``;
-    others start from ``start_later``.
+    The last are by the tokens' ``names`` (numbers below ``count``), else by
+    their symbols.
     """
-    order, tokens, active, offsets = _by_time(sizes)
-    own = classes[tokens]
-    emit = model.emit.astype(np.float32)[own]
-    move = model.move.astype(np.float32)
-    forward = np.empty_like(emit)
-    scale = np.empty(len(own), np.float32)
-    first = fresh[order]
-    for t, n in enumerate(active):
-        a, b = offsets[t], offsets[t + 1]
-        if t == 0:
-            forward[a:b] = np.where(first[:, None], model.start, start_later) * emit[a:b]
-        else:
-            np.matmul(forward[offsets[t - 1]:offsets[t - 1] + n], move, out=forward[a:b])
-            forward[a:b] *= emit[a:b]
-        scale[a:b] = forward[a:b].sum(1)
-        forward[a:b] /= scale[a:b, None]
-    # what follows a token: emission times backward probability, scaled
-    emit /= scale[:, None]
-    back = np.ones_like(forward)
+    names, count = (symbols, len(model.emit)) if names is None else (names, count)
+    states = len(model.start)
+    starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((count, states))
+    windows = Windows.of(lengths)
+    enter, ahead = boundaries(symbols, windows, model)
+    table, move = model.emit.astype(np.float32), model.move.astype(np.float32)
     turned = np.ascontiguousarray(move.T)
-    for t in range(len(active) - 2, -1, -1):
-        a, n = offsets[t], active[t + 1]
-        emit[offsets[t + 1]:offsets[t + 1] + n] *= back[offsets[t + 1]:offsets[t + 1] + n]
-        np.matmul(emit[offsets[t + 1]:offsets[t + 1] + n], turned, out=back[a:a + n])
-    follows = np.arange(active[0], len(own))  # all tokens but the first of each sequence
-    before = follows - np.repeat(active[:-1], active[1:])
-    moves = model.move * (forward[before].T.astype(np.float64) @ emit[follows])
-    forward *= back
-    starts = forward[:active[0]][first].sum(0, dtype=np.float64)
-    emits = np.stack([np.bincount(own, forward[:, k], len(model.emit)) for k in range(len(move))], 1)
+    for group, token, active, offsets in windows.groups(np.arange(len(windows.sizes))):
+        emit = table[symbols[token]]
+        forward = np.empty_like(emit)
+        scale = np.empty(len(token), np.float32)
+        for t, n in enumerate(active):
+            a, b = offsets[t], offsets[t + 1]
+            if t == 0:
+                forward[a:b] = enter[group] * emit[a:b]
+            else:
+                np.matmul(forward[offsets[t - 1]:offsets[t - 1] + n], move, out=forward[a:b])
+                forward[a:b] *= emit[a:b]
+            scale[a:b] = forward[a:b].sum(1)
+            forward[a:b] /= scale[a:b, None]
+        # what follows a token: emission times backward probability, scaled
+        emit /= scale[:, None]
+        back = np.ones_like(forward)
+        more = np.flatnonzero(windows.more[group])
+        if len(more):
+            last = offsets[windows.sizes[group[more]] - 1] + more
+            follows = ahead[group[more]]
+            leave = follows @ model.move.T
+            unit = (forward[last] * leave).sum(1, keepdims=True)
+            back[last] = leave / unit
+            moves += model.move * (forward[last].T.astype(np.float64) @ (follows / unit))
+        for t in range(len(active) - 2, -1, -1):
+            a, n = offsets[t], active[t + 1]
+            emit[offsets[t + 1]:offsets[t + 1] + n] *= back[offsets[t + 1]:offsets[t + 1] + n]
+            np.matmul(emit[offsets[t + 1]:offsets[t + 1] + n], turned, out=back[a:a + n])
+        follows = np.arange(active[0], len(token))  # all tokens but the first of each window
+        before = follows - np.repeat(active[:-1], active[1:])
+        moves += model.move * (forward[before].T.astype(np.float64) @ emit[follows])
+        forward *= back
+        starts += forward[:active[0]][windows.rank[group] == 0].sum(0, dtype=np.float64)
+        named = names[token]
+        for k in range(states):
+            emits[:, k] += np.bincount(named, forward[:, k], count)
     return starts, moves, emits
 
 
 def _round(rows: DataFrame, model: Model) -> DataFrame:
-    """Summed expected counts ``(kind, i, j, n)`` of one Baum-Welch round over all blocks."""
+    """Summed expected counts ``(kind, i, j, n)`` of one tied Baum-Welch round over all blocks."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # fixed size: states x classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         states, classes = len(m.start), len(m.emit) - 1
-        later = np.full(states, 1.0 / states)
-        for _ in range(50):
-            later = later @ m.move
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((classes + 1, states))]
         for b in _blocks(batches):
             lengths = b.sizes + 1
             every = b.classes(classes)[np.repeat(~b.held, lengths)]
-            lengths = lengths[~b.held]
-            windows = -(-lengths // WINDOW)
-            sizes = np.full(windows.sum(), WINDOW)
-            last = np.cumsum(windows) - 1
-            sizes[last] = lengths - (windows - 1) * WINDOW
-            fresh = np.zeros(len(sizes), bool)
-            fresh[last - windows + 1] = True
-            begins = np.cumsum(sizes) - sizes
-            # like lengths together, so that most sequences of a group are active
-            order = np.argsort(sizes, kind="stable")
-            group = (np.cumsum(sizes[order]) - 1) // GROUP
-            for some in np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else []:
-                at = np.repeat(begins[some] - (np.cumsum(sizes[some]) - sizes[some]), sizes[some]) + np.arange(sizes[some].sum())
-                for total, part in zip(sums, expected_counts(every[at], sizes[some], fresh[some], m, later)):
-                    total += part
+            for total, part in zip(sums, expected_counts(every, lengths[~b.held], m)):
+                total += part
         for kind, total in enumerate(sums):
-            whole = np.rint(total.reshape(len(total), -1) * UNIT).astype(np.int64)
-            i, j = np.nonzero(whole)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), kind, np.int32)), pa.array(i.astype(np.int32)),
-                                                  pa.array(j.astype(np.int32)), pa.array(whole[i, j])], ["kind", "i", "j", "n"])
+            yield _packed(kind, np.rint(total.reshape(len(total), -1) * UNIT).astype(np.int64))
 
-    counts = rows.select("block", "held", "sizes", "words", "vocabulary").mapInArrow(run, "kind int, i int, j int, n bigint")
-    return counts.groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
+    return _summed(rows.select("block", "held", "sizes", "words", "vocabulary").mapInArrow(
+        run, "kind int, i int, j int, n bigint"))
 
 
 def train(rows: DataFrame, tokens: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts."""
+    """Tied Baum-Welch rounds over all training texts."""
     model = first_model(tokens, states)
     shares = (tokens + 1.0) / (tokens + 1.0).sum()
     for _ in range(rounds if tokens.sum() else 0):
@@ -314,44 +345,130 @@ def train(rows: DataFrame, tokens: np.ndarray, states: int = STATES, rounds: int
     return model
 
 
-def score(rows: DataFrame, counts: DataFrame, model: Model, tokens: np.ndarray, distinct: np.ndarray,
-          id_col: str) -> DataFrame:
+_COUNTED = pa.schema([("block", pa.int64()), ("range", pa.int64()), ("counts", pa.binary()), ("shares", pa.binary()),
+                      ("n", pa.int64()), ("v", pa.int64()), ("by_state", pa.list_(pa.int64()))])
+
+
+def word_counts(rows: DataFrame, model: Model) -> DataFrame:
+    """The untied round: rows ``(block, range, counts, shares)`` and rows ``(n, v, by_state)``.
+
+    counts: how often each of the block's words of that range occurs in all
+    training texts (uint64); shares: by state, the part of these occurrences
+    (uint16 of ``WHOLE``).  n and v: tokens and distinct words of one range in
+    the training texts; by_state: their counts by state, in parts of ``WHOLE``.
+    """
+    ranges = range_count(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # fixed size
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in _blocks(batches):
+            types, trained = len(b.vocabulary), np.repeat(~b.held, b.sizes + 1)
+            _, _, expected = expected_counts(b.classes(len(m.emit) - 1)[trained], b.sizes[~b.held] + 1, m,
+                                             b.symbols()[trained], types + 1)
+            n = np.bincount(b.words[np.repeat(~b.held, b.sizes)], minlength=types)
+            share = np.clip(np.rint(expected[:types] * (PART / np.maximum(n, 1))[:, None]), 0, PART).astype("u1")
+            order, bounds = by_range(b.vocabulary, ranges)
+            word, n, share = b.vocabulary[order], n[order].astype("<u4"), share[order]
+            some = np.flatnonzero(np.diff(bounds))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some), pa.array(np.full(len(some), b.number)),
+                    *(pa.array([x[bounds[r]:bounds[r + 1]].tobytes() for r in some], pa.binary()) for x in (word, n, share))],
+                    ["range", "block", "words", "n", "shares"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states = len(shared.value.start)
+        for held in held_by_range(batches):
+            words = [np.frombuffer(r["words"], "<u8") for r in held]
+            word, at = np.unique(np.concatenate(words), return_inverse=True)
+            n = np.concatenate([np.frombuffer(r["n"], "<u4") for r in held]).astype(np.int64)
+            share = np.concatenate([np.frombuffer(r["shares"], "u1") for r in held]).reshape(-1, states)
+            total, by_state = np.zeros(len(word), np.int64), np.zeros((len(word), states), np.int64)
+            np.add.at(total, at, n)
+            for k in range(states):
+                np.add.at(by_state[:, k], at, n * share[:, k])
+            by_state = np.rint(by_state * (WHOLE / np.maximum(by_state.sum(1), 1))[:, None]).astype("<u2")
+            ends = np.cumsum([len(w) for w in words])[:-1]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r["block"] for r in held], pa.int64()), pa.array([r["range"] for r in held], pa.int64()),
+                pa.array([p.astype("<u8").tobytes() for p in np.split(total[at], ends)], pa.binary()),
+                pa.array([p.tobytes() for p in np.split(by_state[at], ends)], pa.binary()),
+                pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.list_(pa.int64()))],
+                schema=_COUNTED)
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()),
+                pa.array([int(total.sum())]), pa.array([int((total > 0).sum())]),
+                pa.array([(total @ by_state.astype(np.int64)).tolist()], pa.list_(pa.int64()))], schema=_COUNTED)
+
+    packed = rows.select("block", "held", "sizes", "words", "vocabulary").mapInArrow(
+        spread, "range bigint, block bigint, words binary, n binary, shares binary")
+    return written(packed.repartition("range").sortWithinPartitions("range").mapInArrow(
+        count, "block bigint, range bigint, counts binary, shares binary, n bigint, v bigint, by_state array<bigint>"),
+        "lm-counts", "zstd")
+
+
+@dataclass(frozen=True)
+class Words:
+    """What all blocks share of the untied model: tokens, distinct words, by state their expected count; ends."""
+
+    model: Model
+    tokens: int
+    distinct: int
+    by_state: np.ndarray
+    ends: int
+
+    def emissions(self, known: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """emit[word, k] of words with these counts and shares by state; the end last."""
+        end, weight = self.model.emit[-1], max(self.distinct, 1)
+        unigram = (known + 1.0) / (self.tokens + self.distinct + 1.0)
+        own = known[:, None] * (shares / WHOLE) + weight * unigram[:, None]
+        return np.concatenate([own * ((1.0 - end) / (self.by_state + weight)), end[None]])
+
+
+def untied(counts: DataFrame, model: Model, ends: int) -> Words:
+    """The untied model's totals: one row."""
+    found = counts.agg(F.sum("n"), F.sum("v"), *[F.sum(F.col("by_state")[k]) for k in range(len(model.start))]).first()
+    tokens, distinct, *by_state = (int(x or 0) for x in found)
+    return Words(model, tokens, distinct, np.array(by_state) / WHOLE, ends)
+
+
+def score(rows: DataFrame, counts: DataFrame, words: Words, id_col: str) -> DataFrame:
     """Base and model scores of every text of the blocks."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, tokens, distinct))  # fixed size
+    shared = rows.sparkSession.sparkContext.broadcast(words)  # fixed size
     kind = rows.schema["ids"].dataType.elementType.simpleString()
     ranges = range_count(rows)
 
-    def scored(b: Block, ids: pa.Array, raw: dict[int, bytes]) -> pa.RecordBatch:
-        m, n_class, v_class = shared.value
-        classes, total, types = len(m.emit) - 1, int(n_class.sum()), int(v_class.sum())
-        in_class = np.log10(n_class + v_class + 1.0)  # one unseen word a class
-        known = np.zeros(len(b.vocabulary), np.int64)
+    def scored(b: Block, ids: pa.Array, raw: dict[int, tuple[bytes, bytes]]) -> pa.RecordBatch:
+        w = shared.value
+        total, types, states = w.tokens + w.ends, w.distinct + (w.ends > 0), len(w.model.start)
+        known, shares = np.zeros(len(b.vocabulary), np.int64), np.zeros((len(b.vocabulary), states), np.uint16)
         order, bounds = by_range(b.vocabulary, ranges)
-        for r, counted in raw.items():
-            known[order[bounds[r]:bounds[r + 1]]] = np.frombuffer(counted, "<u8")
-        lengths = b.sizes + 1
-        count = np.insert(known[b.words], np.cumsum(b.sizes), n_class[classes])
-        own = b.classes(classes)
+        for r, (counted, by_state) in raw.items():
+            at = order[bounds[r]:bounds[r + 1]]
+            known[at] = np.frombuffer(counted, "<u8")
+            shares[at] = np.frombuffer(by_state, "<u2").reshape(-1, states)
+        lengths, symbols = b.sizes + 1, b.symbols()
+        count = np.append(known, w.ends)[symbols]
         ends = np.cumsum(lengths)
 
         def per_text(values: np.ndarray) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(values)])
             return sums[ends] - sums[ends - lengths]
 
-        log_count = np.log10(count + 1.0)
-        # the end is alone in its class, whatever its count
-        words = per_text(np.where(own == classes, 0.0, log_count - in_class[own]))
-        likelihood = log_likelihood(own, lengths, m) / np.log(10.0)
+        model = Model(w.model.start, w.model.move, w.emissions(known, shares))
         return pa.RecordBatch.from_arrays([
             ids, pa.array(b.held), pa.array(lengths), pa.array(per_text((count > 0).astype(np.int64))),
-            pa.array(np.full(len(lengths), total)), pa.array(per_text(log_count) - lengths * np.log10(total + types + 1.0)),
-            pa.array(likelihood + words)],
+            pa.array(np.full(len(lengths), total)),
+            pa.array(per_text(np.log10(count + 1.0)) - lengths * np.log10(total + types + 1.0)),
+            pa.array(log_likelihood(symbols, lengths, model) / np.log(10.0))],
             ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, raw = None, None, {}
         for batch in batches:
-            at, column = batch.schema.get_field_index("range"), batch.schema.get_field_index("ids")
+            names = ("range", "ids", "counts", "shares")
+            at, column, counted, by_state = (batch.schema.get_field_index(n) for n in names)
             for i in range(batch.num_rows):  # a block's own row, then its counts
                 one = batch.slice(i, 1)
                 if one.column(at)[0].as_py() < 0:
@@ -359,12 +476,13 @@ def score(rows: DataFrame, counts: DataFrame, model: Model, tokens: np.ndarray,
                         yield scored(block, ids, raw)
                     block, ids, raw = Block(one.to_pylist()[0]), one.column(column).flatten(), {}
                 else:
-                    raw[one.column(at)[0].as_py()] = one.column(at + 1)[0].as_py()
+                    raw[one.column(at)[0].as_py()] = (one.column(counted)[0].as_py(), one.column(by_state)[0].as_py())
         if block is not None:
             yield scored(block, ids, raw)
 
-    both = rows.withColumns({"range": F.lit(-1).cast("long"), "counts": F.lit(None).cast("binary")}).unionByName(
-        counts.where("block is not null").select("block", "range", "counts"), allowMissingColumns=True)
+    none = F.lit(None).cast("binary")
+    both = rows.withColumns({"range": F.lit(-1).cast("long"), "counts": none, "shares": none}).unionByName(
+        counts.where("block is not null").select("block", "range", "counts", "shares"), allowMissingColumns=True)
     return both.repartition("block").sortWithinPartitions("block", "range").mapInArrow(
         run, f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
              "base_score double, score double").withColumnRenamed("_id", id_col)
@@ -374,6 +492,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
                           states: int = STATES, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """Train on the texts that are not held out and score all."""
     rows = blocks(docs, id_col, text_col, held_out(id_col) if held is None else held)
-    counts = word_counts(rows, classes)
-    tokens, distinct = class_totals(rows, counts, classes)
-    return score(rows, counts, train(rows, tokens, states, rounds), tokens, distinct, id_col)
+    tokens = class_totals(rows, classes)
+    model = train(rows, tokens, states, rounds)
+    counts = word_counts(rows, model)
+    return score(rows, counts, untied(counts, model, int(tokens[-1])), id_col)

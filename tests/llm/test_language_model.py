@@ -1,4 +1,6 @@
+import dataclasses
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -75,15 +77,61 @@ def test_expected_counts_match_enumeration():
         for g, k in zip(seq, path):
             emits[g, k] += p
     # a second, shorter sequence beside it must not disturb the counts
-    one = hmm.expected_counts(seq, np.array([5]), np.array([True]), model, model.start)
+    one = hmm.expected_counts(seq, np.array([5]), model)
     for got, want in zip(one, (starts, moves, emits)):
         assert np.allclose(got, want / total, atol=1e-4)
-    two = hmm.expected_counts(np.concatenate([[1], seq]), np.array([1, 5]), np.array([True, True]), model, model.start)
-    alone = hmm.expected_counts(np.array([1]), np.array([1]), np.array([True]), model, model.start)
+    two = hmm.expected_counts(np.concatenate([[1], seq]), np.array([1, 5]), model)
+    alone = hmm.expected_counts(np.array([1]), np.array([1]), model)
     for a, b, c in zip(one, alone, two):
         assert np.allclose(a + b, c, atol=1e-4)
 
 
+@pytest.mark.parametrize("window", [1, 3, 64])
+def test_windows_change_neither_likelihood_nor_counts(monkeypatch, window):
+    model = random_model(3, 5, 4)
+    r = np.random.default_rng(5)
+    sizes = np.array([1, 200, 3, 64, 65, 2, 128])
+    symbols = r.integers(0, 5, sizes.sum())
+    names = r.integers(0, 9, sizes.sum())
+    whole = hmm.log_likelihood(symbols, sizes, model), *hmm.expected_counts(symbols, sizes, model, names, 9)
+    monkeypatch.setattr(hmm, "WINDOW", window)
+    monkeypatch.setattr(hmm, "GROUP", 100)
+    cut = hmm.log_likelihood(symbols, sizes, model), *hmm.expected_counts(symbols, sizes, model, names, 9)
+    for a, b in zip(whole, cut):
+        assert np.allclose(a, b, rtol=1e-5, atol=1e-3)
+    assert cut[1].sum() == pytest.approx(len(sizes), rel=1e-4)
+    assert cut[2].sum() == pytest.approx((sizes - 1).sum(), rel=1e-4)
+
+
+def test_a_very_long_text_takes_few_steps():
+    model = random_model(4, 50, 6)
+    symbols = np.random.default_rng(7).integers(0, 50, 1_000_000)
+    begin = time.process_time()
+    got = hmm.log_likelihood(symbols, np.array([len(symbols)]), model)
+    assert time.process_time() - begin < 20
+    assert got[0] == pytest.approx(plain_likelihood(model, symbols[:1000].tolist()) * 1000, rel=0.05)
+
+
+def test_word_emissions_sum_to_one(spark):
+    words_ = hmm.Words(random_model(3, 6, 8), 100, 4, np.array([40.0, 30.0, 30.0]), 10)
+    shares = np.array([[.5, .2, .3], [.1, .6, .3], [.4, .3, .3], [.45, .15, .4]])
+    known = np.array([50, 20, 20, 10])
+    by_state = (known[:, None] * np.rint(shares * hmm.WHOLE) / hmm.WHOLE).sum(0)
+    words_ = dataclasses.replace(words_, by_state=by_state)
+    emit = words_.emissions(np.append(known, 0), np.vstack([np.rint(shares * hmm.WHOLE), np.zeros(3)]))
+    assert np.allclose(emit.sum(0), 1.0)  # four words, one unseen, the end
+
+
+def test_untied_round_counts_every_word_by_state(spark):
+    df = table(spark)
+    rows = hmm.blocks(df, "doc_id", "text", F.lit(False))
+    model = hmm.train(rows, hmm.class_totals(rows, 64), 3, 1)
+    found = hmm.untied(hmm.word_counts(rows, model), model, 0)
+    every = [w for r in df.collect() for w in words(r.text, True)]
+    assert (found.tokens, found.distinct) == (len(every), len(set(every)))
+    assert found.by_state.sum() == pytest.approx(len(every), rel=1e-3)
+
+
 def test_states_learn_and_held_out_text_scores_better(spark):
     r = np.random.default_rng(3)
     tongues = [[f"{p}{i}" for i in range(300)] for p in ("a", "b", "c")]
