@@ -152,7 +152,9 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       scale: int = SCALE) -> DataFrame:
-    """Fingerprints of every text and of its edit with the next text, and their likeness.
+    """Fingerprints of every text and of its edit with the next text, their likeness and containment.
+
+    Containment is the share of the text's own shingles that the other has.
 
     The edit replaces a text's last half by as much of the next one's start.
     """
@@ -167,12 +169,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 part.column(2).take(pa.array(own, pa.int64())), pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits]),
                 pa.array([to_text(x) for x in a]), pa.array([to_text(x) for x in b]),
-                pa.array([likeness(x, y) for x, y in zip(a, b)], pa.float64()),
-                pa.array([likeness(x, y) for x, y in zip(a, c)], pa.float64()),
-            ], ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                *(pa.array([of(x, y) for x, y in zip(a, other)], pa.float64())
+                  for of in (likeness, containment) for other in (b, c)),
+            ], ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+                "contain_edited", "contain_next"])
 
     rows = in_order(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
-                           "edited_fingerprint string, near_edited double, near_next double"
+                           "edited_fingerprint string, near_edited double, near_next double, "
+                           "contain_edited double, contain_next double"
                            ).withColumnRenamed("_id", id_col)

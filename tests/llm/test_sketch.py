@@ -25,6 +25,8 @@ def test_edits_and_next_documents_match_brute_force(spark):
         assert r.edited_fingerprint == sketch.to_text(sketch.sketches(pa.array([edit]))[0])
         assert r.near_edited == sketch.likeness(marks[0], sketch.from_text(r.edited_fingerprint))
         assert r.near_next == sketch.likeness(*marks)
+        assert r.contain_edited == sketch.containment(marks[0], sketch.from_text(r.edited_fingerprint))
+        assert r.contain_next == sketch.containment(*marks)
     assert len({r.fingerprint for r in list(got.values())[:3]}) >= 1
 
 
