@@ -83,9 +83,10 @@ def held_out(id_col: str) -> Column:
 def blocks(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFrame:
     """``(block, ids, held, sizes, words, vocabulary)``: one row a block.
 
-    ``words`` numbers the block's words in order (uint32) into ``vocabulary``
-    (sorted hashes, uint64).
+    ``words`` numbers the block's words in order (uint32, byte by byte) into
+    ``vocabulary`` (hashes by range, uint64).
     """
+    ranges = range_count(docs)
     rows = docs.select(F.col(id_col).alias("_id"), held.alias("_held"), text_of(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +95,16 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFra
             for part in kernel.slices(batch, "_text", BLOCK):
                 word, first = kernel.words(*kernel.utf8(part.column(2)), fold=True)
                 vocabulary, at = np.unique(word, return_inverse=True)
+                order, _ = by_range(vocabulary, ranges)
+                place = np.empty(len(order), "<u4")
+                place[order] = np.arange(len(order))
                 ids = part.column(0)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                     pa.array([part.column(1).to_pylist()]), pa.array([np.diff(first).tolist()], pa.list_(pa.int64())),
-                    pa.array([at.astype("<u4").tobytes()], pa.binary()),
-                    pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()),
+                    # the high bytes, mostly 0, side by side
+                    pa.array([place[at].view("u1").reshape(-1, 4).T.tobytes()], pa.binary()),
+                    pa.array([vocabulary[order].astype("<u8").tobytes()], pa.binary()),
                 ], ["block", "ids", "held", "sizes", "words", "vocabulary"])
                 number += 1
 
@@ -116,17 +121,17 @@ class Block:
         self.ids = row.get("ids")
         self.held = np.array(row["held"], bool)
         self.sizes = np.array(row["sizes"], np.int64)
-        self.words = np.frombuffer(row["words"], "<u4")
-        self.vocabulary = np.frombuffer(row["vocabulary"], "<u8")
+        self.words = np.frombuffer(row["words"], "u1").reshape(4, -1).T.copy().view("<u4").ravel()
+        self.vocabulary = np.frombuffer(row.get("vocabulary") or b"", "<u8")
 
     def classes(self, n: int) -> np.ndarray:
         """Class of every token, the ends included, texts one after another."""
         of_word = (self.vocabulary & np.uint64(n - 1)).astype(np.int32)[self.words]
         return np.insert(of_word, np.cumsum(self.sizes), n)
 
-    def symbols(self) -> np.ndarray:
-        """Number in the vocabulary of every token, the ends the number after the last."""
-        return np.insert(self.words.astype(np.int64), np.cumsum(self.sizes), len(self.vocabulary))
+    def symbols(self, types: int) -> np.ndarray:
+        """Number in the vocabulary (of so many words) of every token, the ends the number after the last."""
+        return np.insert(self.words.astype(np.int64), np.cumsum(self.sizes), types)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -365,11 +370,11 @@ def word_counts(rows: DataFrame, model: Model) -> DataFrame:
         for b in _blocks(batches):
             types, trained = len(b.vocabulary), np.repeat(~b.held, b.sizes + 1)
             _, _, expected = expected_counts(b.classes(len(m.emit) - 1)[trained], b.sizes[~b.held] + 1, m,
-                                             b.symbols()[trained], types + 1)
+                                             b.symbols(types)[trained], types + 1)
             n = np.bincount(b.words[np.repeat(~b.held, b.sizes)], minlength=types)
             share = np.clip(np.rint(expected[:types] * (PART / np.maximum(n, 1))[:, None]), 0, PART).astype("u1")
-            order, bounds = by_range(b.vocabulary, ranges)
-            word, n, share = b.vocabulary[order], n[order].astype("<u4"), share[order]
+            _, bounds = by_range(b.vocabulary, ranges)  # the vocabulary is in this order
+            word, n = b.vocabulary, n.astype("<u4")
             some = np.flatnonzero(np.diff(bounds))
             if len(some):
                 yield pa.RecordBatch.from_arrays([
@@ -437,18 +442,14 @@ def score(rows: DataFrame, counts: DataFrame, words: Words, id_col: str) -> Data
     """Base and model scores of every text of the blocks."""
     shared = rows.sparkSession.sparkContext.broadcast(words)  # fixed size
     kind = rows.schema["ids"].dataType.elementType.simpleString()
-    ranges = range_count(rows)
 
-    def scored(b: Block, ids: pa.Array, raw: dict[int, tuple[bytes, bytes]]) -> pa.RecordBatch:
+    def scored(b: Block, ids: pa.Array, raw: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         w = shared.value
         total, types, states = w.tokens + w.ends, w.distinct + (w.ends > 0), len(w.model.start)
-        known, shares = np.zeros(len(b.vocabulary), np.int64), np.zeros((len(b.vocabulary), states), np.uint16)
-        order, bounds = by_range(b.vocabulary, ranges)
-        for r, (counted, by_state) in raw.items():
-            at = order[bounds[r]:bounds[r + 1]]
-            known[at] = np.frombuffer(counted, "<u8")
-            shares[at] = np.frombuffer(by_state, "<u2").reshape(-1, states)
-        lengths, symbols = b.sizes + 1, b.symbols()
+        # the ranges' words one after another are the block's vocabulary
+        known = np.frombuffer(b"".join(counted for counted, _ in raw), "<u8").astype(np.int64)
+        shares = np.frombuffer(b"".join(by_state for _, by_state in raw), "<u2").reshape(-1, states)
+        lengths, symbols = b.sizes + 1, b.symbols(len(known))
         count = np.append(known, w.ends)[symbols]
         ends = np.cumsum(lengths)
 
@@ -465,23 +466,23 @@ def score(rows: DataFrame, counts: DataFrame, words: Words, id_col: str) -> Data
             ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, raw = None, None, {}
+        block, ids, raw = None, None, []
         for batch in batches:
             names = ("range", "ids", "counts", "shares")
             at, column, counted, by_state = (batch.schema.get_field_index(n) for n in names)
-            for i in range(batch.num_rows):  # a block's own row, then its counts
+            for i in range(batch.num_rows):  # a block's own row, then its counts by range
                 one = batch.slice(i, 1)
                 if one.column(at)[0].as_py() < 0:
                     if block is not None:
                         yield scored(block, ids, raw)
-                    block, ids, raw = Block(one.to_pylist()[0]), one.column(column).flatten(), {}
+                    block, ids, raw = Block(one.to_pylist()[0]), one.column(column).flatten(), []
                 else:
-                    raw[one.column(at)[0].as_py()] = (one.column(counted)[0].as_py(), one.column(by_state)[0].as_py())
+                    raw.append((one.column(counted)[0].as_py(), one.column(by_state)[0].as_py()))
         if block is not None:
             yield scored(block, ids, raw)
 
     none = F.lit(None).cast("binary")
-    both = rows.withColumns({"range": F.lit(-1).cast("long"), "counts": none, "shares": none}).unionByName(
+    both = rows.drop("vocabulary").withColumns({"range": F.lit(-1).cast("long"), "counts": none, "shares": none}).unionByName(
         counts.where("block is not null").select("block", "range", "counts", "shares"), allowMissingColumns=True)
     return both.repartition("block").sortWithinPartitions("block", "range").mapInArrow(
         run, f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
