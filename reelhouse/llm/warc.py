@@ -341,6 +341,11 @@ def keys_of(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") ->
     return pages.select(F.col(id_col).cast("long"), F.col(url_col)).mapInArrow(run, "key string").distinct()
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a read: the rows are narrow, so merging partitions by their size would leave one for all archives."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def look_up(keys: DataFrame, index: Index) -> DataFrame:
     """``(key, file, at, length)`` of every capture of the given keys."""
     kind = pa.schema([("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
@@ -350,7 +355,7 @@ def look_up(keys: DataFrame, index: Index) -> DataFrame:
         yield from _batches(((key, *hit) for batch in batches for key in batch.column(0).to_pylist()
                              for hit in finder.find(key)), kind)
 
-    return keys.select("key").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(
+    return keys.select("key").repartitionByRange(_tasks(keys), "key").sortWithinPartitions("key").mapInArrow(
         run, "key string, file string, at bigint, length bigint")
 
 
@@ -388,7 +393,7 @@ def read_records(hits: DataFrame, folder: str, with_payload: bool = True) -> Dat
         yield from _batches(rows(batches), kind, 500 if with_payload else 5000)
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return hits.select("file", "at", "length").repartition("file").sortWithinPartitions("file", "at").mapInArrow(
+    return hits.select("file", "at", "length").repartition(_tasks(hits), "file").sortWithinPartitions("file", "at").mapInArrow(
         run, schema + (", payload binary" if with_payload else ""))
 
 

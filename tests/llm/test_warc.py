@@ -95,3 +95,10 @@ def test_base32_column_is_the_librarys(spark):
     df = spark.createDataFrame([(f"t{i}",) for i in range(50)], "t string").withColumn("d", F.unhex(F.sha1("t")))
     for r in df.withColumn("b", warc._base32_column("d")).collect():
         assert r.b == warc.base32(bytes(r.d))
+
+
+def test_reading_is_dealt_over_all_partitions(spark):
+    hits = spark.createDataFrame([(f"f{i}", 0, 1) for i in range(64)], "file string, at bigint, length bigint")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = warc.read_records(hits, "/nowhere")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file#" in plan and f", {n}), REPARTITION_BY_NUM" in plan
