@@ -25,10 +25,9 @@ WITH cards AS (
   FROM {pages} p, LATERAL extract_cards(p.page_id, p.html) c
   WHERE NOT (coalesce(c.is_ad, false) OR coalesce(c.is_sponsored, false) OR coalesce(c.is_collection, false))),
 kept AS (SELECT * FROM cards WHERE link IS NOT NULL AND title_text IS NOT NULL),
-firsts AS (SELECT link, min(struct(page_id, pos)) AS place FROM kept GROUP BY link),
-fresh AS (
-  SELECT k.* FROM kept k JOIN firsts f ON f.link = k.link AND f.place.page_id = k.page_id AND f.place.pos = k.pos
-  WHERE NOT EXISTS (SELECT 1 FROM {library} l WHERE l.link = k.link))
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY page_id NULLS LAST, pos NULLS LAST) AS place FROM kept) WHERE place = 1),
+fresh AS (SELECT f.* FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM {library} l WHERE l.link = f.link))
 SELECT page_id, pos, link, card_title(title_attr, title_text) AS title, channel, thumbnail_url(thumb_src, link) AS thumbnail,
        progress_percent(progress_style) AS progress, length_text(length_text) AS length_text,
        relative_created(date_span(meta_spans), TIMESTAMP_NTZ '{as_of}') AS video_created,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from reelhouse.functions import text as TX
 from reelhouse.operators import categorize as C
 from reelhouse.operators import ingest as I
@@ -65,3 +66,8 @@ def test_keyword_scores_broadcast_vocab_and_combine_map_side(spark):
     items = X.library(spark, SF_CHECK).select("id", "title")
     p = plan(C.scores(items, "id", TX.category_text(F.col("title")), vocab))
     assert "partial_count" in p and "partial_sum" in p and "CartesianProduct" not in p
+
+
+def test_import_sql_parses_pages_once(spark):
+    p = plan(queries()["import_sql"](spark, SF_CHECK))
+    assert p.count("Generate inline") == 1 and p.count("events.parquet") == 1
