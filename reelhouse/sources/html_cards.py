@@ -61,50 +61,81 @@ def _literal(value) -> str:
     return f"array({', '.join(map(_literal, value))})"
 
 
-def _rules(rules: CardRules, json: str | None = None) -> str:
+def _given(rules: CardRules, json: str) -> str:
     """A struct of the rules and the character references; those that the JSON object ``json`` names come from there."""
-    fields, refs = vars(rules), f"'refs', {M.references()}"
-    if json is None:
-        return f"named_struct({refs}, " + ", ".join(f"'{k}', {_literal(v)}" for k, v in fields.items()) + ")"
-    given = ", ".join(f"'{k}', coalesce(g.{k}, {_literal(v)})" for k, v in fields.items())
-    return M.let(f"from_json({json}, '{RULES_DDL}')", "g", f"named_struct({refs}, {given})")
+    fields = ", ".join(f"'{k}', coalesce(g.{k}, {_literal(v)})" for k, v in vars(rules).items())
+    return M.let(f"from_json({json}, '{RULES_DDL}')", "g", f"named_struct('refs', {M.references()}, {fields})")
 
 
-def cards_sql(page_id: str, html: str, rules: str) -> str:
+def cards_sql(page_id: str, html: str, rules: CardRules = CARD_RULES, json: str | None = None) -> str:
     """SQL of one page's cards, an array of structs (fields of :data:`reelhouse.schema.CARD_SCHEMA`).
 
-    A card inside another is a card of its own as well.
+    A card inside another is a card of its own as well.  Rules that the JSON
+    object ``json`` (SQL) names are looked up in it for every token; without it
+    they stand in the expression.
     """
+    def rule(name: str):
+        return f"r.{name}" if json is not None else getattr(rules, name)
+
+    def value(name: str) -> str:
+        return f"r.{name}" if json is not None else _literal(getattr(rules, name))
+
     # places of the links, the title, the thumbnail and the progress bar
-    places = f"transform(concat(r.links, array(r.title, r.thumbnail, r.progress)), l -> {M.place('c', 'l')})"
-    link = "coalesce(get(filter(slice(at, 1, size(r.links)), l -> l > 0), 0), 0)"
+    if json is not None:
+        places, n_links = f"transform(concat(r.links, array(r.title, r.thumbnail, r.progress)), l -> {M.place('c', 'l')})", "size(r.links)"
+    else:
+        places, n_links = f"array({', '.join(M.place('c', l) for l in (*rules.links, rules.title, rules.thumbnail, rules.progress))})", len(rules.links)
+    link = f"coalesce(get(filter(slice(at, 1, {n_links}), l -> l > 0), 0), 0)"
     wanted = [(link, "href"), ("element_at(at, -3)", "title"), ("element_at(at, -2)", "src"), ("element_at(at, -1)", "style")]
     tags = "array(" + ", ".join(f"named_struct('at', {at}, 'name', '{name}')" for at, name in wanted) + ")"
-    value = f"if(z.at > 0, {M.let(M.attribute('element_at(c, z.at).raw', 'z.name'), 'h', M.unescape('h'))}, NULL)"
-    attributes = M.let(places, "at", f"transform({tags}, z -> named_struct('found', z.at > 0, 'value', {value}))")
-    read = M.let(M.find("c", "l", "1"), "f", f"if(f.start > 0, {M.text(M.content('c', 'f'))}, NULL)")
-    texts = f"transform(array(r.title, r.channel, r.length), l -> {read})"
-    spans = M.let(M.content("c", "f"), "w", M.let(M.find("w", "r.span", "0"), "u", "if(u.seen = 0, cast(array() AS ARRAY<STRING>), "
-                  f"transform(sequence(1, u.seen), y -> {M.let(M.find('w', 'r.span', 'y'), 'h', M.text(M.content('w', 'h')))}))"))
+    names = tuple(name for _, name in wanted)
+    read = f"if(z.at > 0, {M.let(M.attribute('element_at(c, z.at).raw', 'z.name', names), 'h', M.unescape('h'))}, NULL)"
+    attributes = M.let(places, "at", f"transform({tags}, z -> named_struct('found', z.at > 0, 'value', {read}))")
+
+    def first_text(chain) -> str:
+        return M.let(M.find("c", chain, "1"), "f", f"if(f.start > 0, {M.text(M.content('c', 'f'))}, NULL)")
+
+    if json is not None:
+        texts = f"transform(array(r.title, r.channel, r.length), l -> {first_text('l')})"
+    else:
+        texts = f"array({', '.join(map(first_text, (rules.title, rules.channel, rules.length)))})"
+    spans = M.let(M.content("c", "f"), "w", M.let(M.find("w", rule("span"), "0"), "u", "if(u.seen = 0, cast(array() AS ARRAY<STRING>), "
+                  f"transform(sequence(1, u.seen), y -> {M.let(M.find('w', rule('span'), 'y'), 'h', M.text(M.content('w', 'h')))}))"))
     values = {
         "page_id": f"cast({page_id} AS BIGINT)", "pos": "cast(j AS BIGINT)",
         "href": "if(m.attributes[0].found, coalesce(m.attributes[0].value, ''), NULL)",
         "title_attr": "m.attributes[1].value", "title_text": "m.texts[0]", "channel": "m.texts[1]",
         "thumb_src": "m.attributes[2].value", "length_text": "m.texts[2]",
         "progress_style": "if(m.attributes[3].found, coalesce(m.attributes[3].value, ''), NULL)",
-        "meta_spans": M.let(M.find("c", "r.row", "2"), "f", f"if(f.start > 0, {spans}, NULL)"),
-        "is_ad": "coalesce(exists(c, e -> coalesce(e.tag = r.ad AND e.step >= 0, false)), false)",
-        "is_sponsored": "exists(c, x -> x.step IS NULL AND x.raw = r.sponsored)",
-        "is_collection": "exists(c, e -> coalesce(array_contains(e.classes, r.collection), false))",
+        "meta_spans": M.let(M.find("c", rule("row"), "2"), "f", f"if(f.start > 0, {spans}, NULL)"),
+        "is_ad": f"coalesce(exists(c, e -> coalesce(e.tag = {value('ad')} AND e.step >= 0, false)), false)",
+        "is_sponsored": f"exists(c, x -> x.step IS NULL AND x.raw = {value('sponsored')})",
+        "is_collection": f"exists(c, e -> coalesce(array_contains(e.classes, {value('collection')}), false))",
     }
     card = "named_struct(" + ", ".join(f"'{f.name}', {values[f.name]}" for f in CARD_SCHEMA.fields) + ")"
-    read = M.let(f"named_struct('attributes', {attributes}, 'texts', {texts})", "m", card)
-    return M.let(rules, "r", M.let(M.tokens(html), "els", M.elements("els", "r.card", read)))
+    card = M.let(f"named_struct('attributes', {attributes}, 'texts', {texts})", "m", card)
+    # the classes and ids that the rules ask for
+    fields = ("title", "channel", "thumbnail", "length", "progress", "row", "span")
+    if json is not None:
+        def asked(n: int, more: str) -> str:
+            chains = f"concat(r.links, array({', '.join(map(rule, fields))}))"
+            return f"array_distinct(filter(concat(transform(flatten({chains}), s -> get(s, {n})), {more}), s -> s IS NOT NULL))"
+        classes, ids = asked(1, "array(r.collection)"), asked(2, "cast(array() AS ARRAY<STRING>)")
+    else:
+        selectors = [s for chain in (*rules.links, *(getattr(rules, f) for f in fields)) for s in chain]
+
+        def asked(n: int, *more: str) -> str:
+            found = dict.fromkeys([s[n] for s in selectors if s[n] is not None] + list(more))
+            return f"cast({_literal(tuple(found))} AS ARRAY<STRING>)"
+        classes, ids = asked(1, rules.collection), asked(2)
+    page = M.let(M.tokens(html, "names.classes", "names.ids"), "els", M.elements("els", value("card"), card))
+    page = M.let(f"named_struct('classes', {classes}, 'ids', {ids})", "names", page)
+    return M.let(_REFERENCES if json is None else _given(rules, json), "r", page)
 
 
 def extract_cards(pages: DataFrame, rules: CardRules = CARD_RULES) -> DataFrame:
     """Pages -> raw cards (schema :data:`reelhouse.schema.CARD_SCHEMA`)."""
-    return pages.select(F.inline(F.expr(cards_sql("page_id", "html", _rules(rules)))))
+    return pages.select(F.inline(F.expr(cards_sql("page_id", "html", rules))))
 
 
 def card_counts(pages: DataFrame, card: str = K.CARD_TAG) -> DataFrame:
@@ -116,19 +147,19 @@ def card_counts(pages: DataFrame, card: str = K.CARD_TAG) -> DataFrame:
 def page_facts(pages: DataFrame) -> DataFrame:
     """Per page: ``<title>`` text, first ``<h1>`` text, ad block present, link count."""
     def first(tag: str) -> str:
-        return M.let(M.find("els", _literal(((tag, None, None),)), "1"), "f",
+        return M.let(M.find("els", ((tag, None, None),), "1"), "f",
                      f"if(f.start > 0, {M.text(M.content('els', 'f'))}, NULL)")
 
     facts = (f"named_struct('title', {first('title')}, 'heading', {first('h1')}, "
              "'has_ad', exists(els, e -> coalesce(array_contains(e.classes, 'ad'), false)), "
              "'n_links', cast(size(filter(els, e -> e.tag = 'a' AND e.step >= 0)) AS BIGINT))")
-    page = M.let(_REFERENCES, "r", M.let(M.tokens("coalesce(html, '')"), "els", facts))
+    page = M.let(_REFERENCES, "r", M.let(M.tokens("coalesce(html, '')", "array('ad')"), "els", facts))
     return pages.select("page_id", F.inline(F.array(F.expr(page))))
 
 
 def page_anchors(pages: DataFrame) -> DataFrame:
     """Every ``<a>`` of every page: position, ``href`` ('' when absent), text."""
-    href = M.let(M.attribute("element_at(els, a).raw", "'href'", "href"), "h", M.unescape("h"))
+    href = M.let(M.attribute("element_at(els, a).raw", "'href'", ("href",)), "h", M.unescape("h"))
     anchor = f"named_struct('pos', cast(j AS BIGINT), 'href', coalesce({href}, ''), 'text', {M.text('c')})"
     page = M.let(_REFERENCES, "r", M.let(M.tokens("html"), "els", M.elements("els", "'a'", anchor)))
     return pages.select("page_id", F.inline(F.expr(page)))
@@ -145,6 +176,7 @@ def register_sql_functions(spark) -> None:
     """
     register(spark)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CARD_SCHEMA.fields)
-    body = cards_sql("extract_cards.page_id", "extract_cards.html", _rules(CARD_RULES, "extract_cards.rules"))
+    page = ("extract_cards.page_id", "extract_cards.html", CARD_RULES)
+    body = f"if(extract_cards.rules IS NULL, {cards_sql(*page)}, {cards_sql(*page, 'extract_cards.rules')})"
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION extract_cards(page_id BIGINT, html STRING, rules STRING DEFAULT NULL) "
               f"RETURNS TABLE ({fields}) RETURN SELECT * FROM inline({body})")

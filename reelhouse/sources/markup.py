@@ -5,15 +5,17 @@ Every function returns the text of one SQL expression, so that DataFrames
 array of tokens in one pass of one pattern; a token is ``(tag, step, classes,
 id, raw)`` with step 1 for a start tag, 0 for an element without content, -1
 for an end tag and null for text; raw is a start tag as it stands, or the text with
-its character references read.
+its character references read.  Classes and id are read only of start tags that can
+hold a name that somebody asks for.
 
 An element ends where its own tag is balanced; one that is never closed ends
 with what it is looked for in.  Comments, declarations, stray end tags and tags
 without their ``>`` are no tokens, ``script`` and ``style`` are elements without
 content.  All passes take time linear in the tokens.
 
-A selector is ``array(tag, class, id)`` with null for any; a chain is an array
-of selectors, each somewhere inside an element of the one before.
+A selector is ``(tag, class, id)`` with None for any; a chain is a tuple of
+selectors, each somewhere inside an element of the one before.  Either may be the
+SQL of such an array (null for any) instead, which costs more for every token.
 """
 
 from __future__ import annotations
@@ -73,25 +75,31 @@ def unescape(text: str) -> str:
     return f"if(contains({text}, '&'), array_join(transform(regexp_extract_all({text}, {pattern}, 0), p -> {piece}), ''), {text})"
 
 
-def attribute(tag: str, name: str, plain: str | None = None) -> str:
+def attribute(tag: str, name: str, plain: tuple = ()) -> str:
     """Value of the start tag's attribute ``name`` (SQL), its references unread.
 
-    The last one of that name, '' without a value, null if there is none.  A
-    known name as ``plain`` spares the list of attributes where all are quoted.
+    The last one of that name, '' without a value, null if there is none.  The
+    names it can have as ``plain`` spare the list of attributes where all are quoted.
     """
     pattern = _text(ATTRIBUTE)  # it takes "<" and the tag's name for an attribute, which nobody asks for
     at = f"array_position(reverse(transform(regexp_extract_all({tag}, {pattern}, 1), x -> lower(x))), {name})"
     value = f"element_at(regexp_extract_all({tag}, {pattern}, 2), cast(-k AS INT))"
     listed = let(at, "k", f"if(k > 0, regexp_replace({value}, {_text(QUOTED)}, '$2'), NULL)")
-    if plain is None:
-        return f"if(contains(lower({tag}), {name}), {listed}, NULL)"
-    only = _text(rf"""(?i)^<{_NAME}(?:\s++(?!{plain}=)[^\s/=>"']++="[^"]*+")*+\s++{plain}="([^"]++)"(?![\s\S]*{plain})""")
-    near = _text(rf"""(?i)["'\s/]{plain}""")
-    return f"if(contains(lower({tag}), {name}) AND {tag} RLIKE {near}, coalesce(nullif(regexp_extract({tag}, {only}, 1), ''), {listed}), NULL)"
 
+    def only(n):  # the value behind its quote; every attribute is quoted or bare, and one has the name
+        other = rf"""\s++(?!{n}[\s=/>])[^\s/=>"']++"""
+        return _text(rf"""(?i)^<{_NAME}(?:{other}(?:="[^"]*+")?+)*+\s++{n}=("[^"]*+")(?:{other}(?:="[^"]*+")?+)*+\s*+/?+>$""")
 
-def tokens(page: str) -> str:
-    """The page's tokens in order."""
+    if plain:
+        quoted = " ".join(f"WHEN {_text(n)} THEN regexp_extract({tag}, {only(n)}, 1)" for n in plain)
+        near = _text(rf"""(?i)["'\s/](?:{'|'.join(plain)})""")
+        listed = let(f"CASE {name} {quoted} ELSE '' END", "v",
+                     f"CASE WHEN v <> '' THEN substring(v, 2, length(v) - 2) WHEN {tag} RLIKE {near} THEN {listed} END")
+    return f"if(contains(lower({tag}), {name}), {listed}, NULL)"
+
+
+def tokens(page: str, classes: str | None = None, ids: str | None = None) -> str:
+    """The page's tokens in order; classes are null where a start tag holds none of ``classes`` (an array), and so is its id."""
     def token(tag, step, classes="cast(NULL AS ARRAY<STRING>)", ident="cast(NULL AS STRING)", raw="cast(NULL AS STRING)"):
         return f"named_struct('tag', {tag}, 'step', {step}, 'classes', {classes}, 'id', {ident}, 'raw', {raw})"
 
@@ -99,70 +107,96 @@ def tokens(page: str) -> str:
         return f"lower(regexp_extract(t, {_text(f'^{mark}({_NAME})')}, 1))"
 
     void = ", ".join(f"'{v}'" for v in VOID)
-    named = f"array({attribute('t', _text('class'), 'class')}, {attribute('t', _text('id'), 'id')})"
-    read = f"transform({named}, h -> if(contains(h, '&'), {unescape('h')}, h))"
-    start = let(f"named_struct('tag', {name('<')}, 'read', {read})", "a", token(
-        "a.tag", f"if(a.tag IN ({void}) OR (NOT endswith(t, '\">') AND t RLIKE {_text(SELF_CLOSED)}), 0, 1)",
-        f"split(a.read[0], {_text(chr(92) + 's+')})", "a.read[1]", "t"))
+    def asked(names, attr):  # a character reference may stand for any part of a name
+        value = let(attribute("t", _text(attr), (attr,)), "h", f"if(contains(h, '&'), {unescape('h')}, h)")
+        return "cast(NULL AS STRING)" if names is None else f"if(exists({names}, h -> contains(t, h)) OR contains(t, '&'), {value}, NULL)"
+
+    space = _text(chr(92) + "s")
+    start = let(f"named_struct('tag', {name('<')}, 'class', {asked(classes, 'class')}, 'id', {asked(ids, 'id')})", "a", token(
+        "a.tag", f"if(a.tag IN ({void}) OR (NOT endswith(t, '\">') AND contains(t, '/') AND t RLIKE {_text(SELF_CLOSED)}), 0, 1)",
+        f"CASE WHEN a.class RLIKE {space} THEN split(a.class, {_text(chr(92) + 's+')}) WHEN a.class IS NOT NULL THEN array(a.class) END", "a.id", "t"))
     text_ = token("cast(NULL AS STRING)", "cast(NULL AS INT)", raw=unescape("t"))
     kinds = (f"CASE WHEN NOT startswith(t, '<') OR t = '<' THEN {text_} "
              f"WHEN startswith(t, '</') THEN if(endswith(t, '>') AND t RLIKE '^</[a-zA-Z]', {token(name('</'), '-1')}, NULL) "
              "WHEN startswith(t, '<!') OR startswith(t, '<?') THEN NULL "
-             "WHEN startswith(lower(t), '<s') AND t RLIKE '(?i)^<(script|style)(?=[ \\t\\n\\r\\f/>])' "
+             "WHEN (startswith(t, '<s') OR startswith(t, '<S')) AND t RLIKE '(?i)^<(script|style)(?=[ \\t\\n\\r\\f/>])' "
              f"THEN {token(name('<'), '0', raw='t')} WHEN endswith(t, '>') THEN {start} END")
     return f"filter(transform(regexp_extract_all({page}, {_text(TOKEN)}, 0), t -> {kinds}), e -> e IS NOT NULL)"
 
 
-def matches(e: str, selector: str) -> str:
+def matches(e: str, selector: tuple | str) -> str:
+    if not isinstance(selector, str):
+        tag, css, ident = map(lambda v: v and _text(v), selector)
+        tests = [tag and f"{e}.tag = {tag}", css and f"array_contains({e}.classes, {css})", ident and f"{e}.id = {ident}"]
+        return f"coalesce({' AND '.join([f'{e}.step >= 0', *filter(None, tests)])}, false)"
     return (f"coalesce({e}.step >= 0 AND (get({selector}, 0) IS NULL OR {e}.tag = get({selector}, 0)) AND "
             f"(get({selector}, 1) IS NULL OR array_contains({e}.classes, get({selector}, 1))) AND "
             f"(get({selector}, 2) IS NULL OR {e}.id = get({selector}, 2)), false)")
 
 
-def extent(els: str, tag: str) -> str:
-    """How many tokens after place ``a`` come before the end tag that balances ``tag`` (all, if none does)."""
-    return (f"aggregate(slice({els}, a + 1, size({els})), named_struct('bal', 1, 'n', 0), (s, e) -> if(s.bal = 0, s, "
+def extent(els: str, tag: str, at: str = "a") -> str:
+    """How many tokens after place ``at`` come before the end tag that balances ``tag`` (all, if none does)."""
+    return (f"aggregate(slice({els}, {at} + 1, size({els})), named_struct('bal', 1, 'n', 0), (s, e) -> if(s.bal = 0, s, "
             f"named_struct('bal', s.bal + if(e.tag = {tag}, e.step, 0), 'n', s.n + 1)), s -> if(s.bal = 0, s.n - 1, s.n))")
 
 
-def find(els: str, chain: str, nth: str) -> str:
+def find(els: str, chain: tuple | str, nth: str) -> str:
     """``(start, end, seen)`` of the nth element of the chain; start 0 if there are fewer, ``seen`` of them.
 
     start is its place in the tokens, end that of its end tag.  A chain of one
-    selector asks every token.  Others take one pass: open elements of the
-    chain's earlier selectors are kept with the balance of their tags, the
-    element itself with that of its own.
+    selector asks every token.  Others take one pass from the first token of the
+    chain's first selector to the last one of its last: open elements of the
+    earlier selectors are kept with the balance of their tags.
     """
-    every = f"filter(transform({els}, (e, i) -> if({matches('e', f'get({chain}, 0)')}, i + 1, NULL)), a -> a IS NOT NULL)"
-    own = f"element_at({els}, a)"
-    alone = let(every, "ps", let(f"if({nth} > 0, coalesce(get(ps, {nth} - 1), 0), 0)", "a",
-                f"named_struct('start', a, 'end', CASE WHEN a = 0 THEN size({els}) + 1 WHEN {own}.step = 0 THEN a + 1 "
-                f"ELSE a + 1 + {extent(els, own + '.tag')} END, 'seen', size(ps))"))
-    def state(i="s.i + 1", open_="s.levels", seen="s.seen", start="s.start", end="s.end", bal="s.bal", tag="s.tag"):
-        return (f"named_struct('i', {i}, 'levels', {open_}, 'seen', {seen}, 'start', {start}, 'end', {end}, "
-                f"'bal', {bal}, 'tag', {tag})")
-
-    inside = let("s.bal + if(e.tag = s.tag, e.step, 0)", "b", state(bal="b", end="if(b = 0, s.i + 1, 0)"))
+    given = not isinstance(chain, str)
+    size = str(len(chain)) if given else f"size({chain})"
+
+    def level(n: str | int) -> tuple | str:
+        return chain[n] if given else f"get({chain}, {n})"
+
+    head, tail = level(0), level(-1 if given else f"{size} - 1")
+
+    def result(a: str, seen: str) -> str:
+        own = f"element_at({els}, {a})"
+        return (f"named_struct('start', {a}, 'end', CASE WHEN {a} = 0 THEN size({els}) + 1 WHEN {own}.step = 0 THEN {a} + 1 "
+                f"ELSE {a} + 1 + {extent(els, own + '.tag', a)} END, 'seen', {seen})")
+
+    every = f"filter(transform({els}, (e, i) -> if({matches('e', head)}, i + 1, NULL)), a -> a IS NOT NULL)"
+    alone = let(every, "ps", let(f"if({nth} > 0, coalesce(get(ps, {nth} - 1), 0), 0)", "a", result("a", "size(ps)")))
+
+    def state(i="s.i + 1", open_="s.levels", seen="s.seen", start="s.start"):
+        return f"named_struct('i', {i}, 'levels', {open_}, 'seen', {seen}, 'start', {start})"
+
     # levels whose tag is balanced now are closed, and all inside them
     balanced = "transform(s.levels, l -> named_struct('tag', l.tag, 'bal', l.bal + if(l.tag = e.tag, e.step, 0)))"
     left = let(balanced, "u", "if(exists(u, l -> l.bal <= 0), slice(u, 1, cast(array_position(transform(u, l -> l.bal <= 0), true) AS INT) - 1), u)")
-    hit = f"size(o) = size({chain}) - 1 AND {matches('e', f'get({chain}, size(o))')}"
-    opens = f"size(o) < size({chain}) - 1 AND e.step = 1 AND {matches('e', f'get({chain}, size(o))')}"
-    chosen = state(open_="o", seen="s.seen + 1", start="s.i + 1", end="if(e.step = 0, s.i + 1, 0)", bal="1", tag="e.tag")
-    step = (f"CASE WHEN s.end > 0 THEN s WHEN s.start > 0 THEN {inside} WHEN e.step IS NULL THEN {state()} ELSE "
+    hit = f"size(o) = {size} - 1 AND {matches('e', tail)}"
+    opened = (" OR ".join(f"(size(o) = {n} AND {matches('e', chain[n])})" for n in range(len(chain) - 1)) or "false") if given else matches(
+        "e", level("size(o)"))
+    opens = f"size(o) < {size} - 1 AND e.step = 1 AND ({opened})"
+    step = (f"CASE WHEN s.start > 0 THEN s WHEN e.step IS NULL THEN {state()} ELSE "
             + let(f"if(size(s.levels) = 0, s.levels, {left})", "o",
-                  f"CASE WHEN {hit} THEN if(s.seen + 1 = {nth}, {chosen}, {state(open_='o', seen='s.seen + 1')}) "
+                  f"CASE WHEN {hit} THEN {state(open_='o', seen='s.seen + 1', start=f'if(s.seen + 1 = {nth}, s.i + 1, 0)')} "
                   f"WHEN {opens} THEN {state(open_='concat(o, array(named_struct(%s)))' % chr(39).join(['', 'tag', ', e.tag, ', 'bal', ', 1']))} "
                   f"ELSE {state(open_='o')} END") + " END")
-    first = state("0", "cast(array() AS ARRAY<STRUCT<tag: STRING, bal: INT>>)", "0", "0", "0", "0", "cast(NULL AS STRING)")
-    return (f"if(size({chain}) = 1, {alone}, aggregate({els}, {first}, (s, e) -> {step}, "
-            f"s -> named_struct('start', s.start, 'end', if(s.end > 0, s.end, size({els}) + 1), 'seen', s.seen)))")
+    first = state("b.first - 1", "cast(array() AS ARRAY<STRUCT<tag: STRING, bal: INT>>)", "0", "0")
+    bounds = (f"named_struct('first', cast(array_position(transform({els}, e -> coalesce(e.step = 1, false) AND {matches('e', head)}), true) AS INT), "
+              f"'after', cast(array_position(reverse(transform({els}, e -> {matches('e', tail)})), true) AS INT))")
+    part = f"slice({els}, greatest(b.first, 1), if(b.first = 0 OR b.after = 0, 0, greatest(size({els}) + 2 - b.after - b.first, 0)))"
+    chained = let(bounds, "b", f"aggregate({part}, {first}, (s, e) -> {step}, d -> {result('d.start', 'd.seen')})")
+    if given:
+        return alone if len(chain) == 1 else chained
+    return f"if({size} = 1, {alone}, {chained})"
 
 
-def place(els: str, chain: str) -> str:
+def place(els: str, chain: tuple | str) -> str:
     """Place of the first element of the chain, 0 if there is none."""
-    return (f"if(size({chain}) = 1, cast(array_position(transform({els}, e -> {matches('e', f'get({chain}, 0)')}), true) AS INT), "
-            f"{find(els, chain, '1')}.start)")
+    given = not isinstance(chain, str)
+    alone = f"cast(array_position(transform({els}, e -> {matches('e', chain[0] if given else f'get({chain}, 0)')}), true) AS INT)"
+    if given and len(chain) == 1:
+        return alone
+    chained = f"{find(els, chain, '1')}.start"
+    return chained if given else f"if(size({chain}) = 1, {alone}, {chained})"
 
 
 def content(els: str, at: str) -> str:

@@ -240,3 +240,19 @@ def test_hostile_pages_take_linear_time(spark):
         began = time.time()
         assert H.extract_cards(spark.createDataFrame([(1, page)], "page_id bigint, html string")).count() == n
         assert time.time() - began < 30
+
+
+def test_only_tags_that_can_hold_an_asked_name_are_read(spark):
+    page = '<p class="zz b" id="x"></p><p class="c"></p><i class="&#122;z"></i><b class="czz"></b>'
+    tokens = spark.createDataFrame([(page,)], "html string").selectExpr(
+        H.M.let(H._REFERENCES, "r", H.M.tokens("html", "array('zz')", "array('x')")) + " AS t").first().t
+    assert [(t.classes, t.id) for t in tokens if t.step == 1] == [(["zz", "b"], "x"), (None, None), (["zz"], None), (["czz"], None)]
+
+
+def test_fixed_rules_stand_in_the_expression_and_given_ones_agree(spark):
+    pages = spark.createDataFrame([(1, PAGE)], "page_id bigint, html string")
+    assert "r.links" not in H.cards_sql("page_id", "html")
+    H.register_sql_functions(spark)
+    pages.createOrReplaceTempView("rule_pages")
+    given = spark.sql("SELECT c.* FROM rule_pages, LATERAL extract_cards(page_id, html, '{\"card\": \"ytd-rich-item-renderer\"}') c")
+    assert given.collect() == H.extract_cards(pages).collect()
