@@ -212,8 +212,10 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<div"), cls("yt-content-metadata-view-model__metadata-row"), F.lit(">"), spans, F.lit("</div>"),
         F.lit("</div></ytd-rich-item-renderer>\n"),
     )
+    # pages compress well, so that their bytes would ask for a few tasks only; parsing them wants all
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_page = f.select((k / CARDS_PER_PAGE).cast("bigint").alias("page_id"), k, card.alias("card")) \
-                .groupBy("page_id").agg(F.array_join(F.transform(
+                .repartition(tasks, "page_id").groupBy("page_id").agg(F.array_join(F.transform(
                     F.array_sort(F.collect_list(F.struct("pos", "card"))), lambda x: x["card"]), "").alias("body"))
     return per_page.select(
         "page_id",

@@ -114,22 +114,14 @@ def cards_sql(page_id: str, html: str, rules: CardRules = CARD_RULES, json: str
     }
     card = "named_struct(" + ", ".join(f"'{f.name}', {values[f.name]}" for f in CARD_SCHEMA.fields) + ")"
     card = M.let(f"named_struct('attributes', {attributes}, 'texts', {texts})", "m", card)
-    # the classes and ids that the rules ask for
     fields = ("title", "channel", "thumbnail", "length", "progress", "row", "span")
     if json is not None:
-        def asked(n: int, more: str) -> str:
-            chains = f"concat(r.links, array({', '.join(map(rule, fields))}))"
-            return f"array_distinct(filter(concat(transform(flatten({chains}), s -> get(s, {n})), {more}), s -> s IS NOT NULL))"
-        classes, ids = asked(1, "array(r.collection)"), asked(2, "cast(array() AS ARRAY<STRING>)")
+        chains = f"concat(r.links, array({', '.join(map(rule, fields))}))"
+        ids = f"filter(transform(flatten({chains}), s -> get(s, 2)), s -> s IS NOT NULL)"
     else:
         selectors = [s for chain in (*rules.links, *(getattr(rules, f) for f in fields)) for s in chain]
-
-        def asked(n: int, *more: str) -> str:
-            found = dict.fromkeys([s[n] for s in selectors if s[n] is not None] + list(more))
-            return f"cast({_literal(tuple(found))} AS ARRAY<STRING>)"
-        classes, ids = asked(1, rules.collection), asked(2)
-    page = M.let(M.tokens(html, "names.classes", "names.ids"), "els", M.elements("els", value("card"), card))
-    page = M.let(f"named_struct('classes', {classes}, 'ids', {ids})", "names", page)
+        ids = f"cast({_literal(tuple(dict.fromkeys(s[2] for s in selectors if s[2] is not None)))} AS ARRAY<STRING>)"
+    page = M.let(ids, "ids", M.let(M.tokens(html, True, "ids"), "els", M.elements("els", value("card"), card)))
     return M.let(_REFERENCES if json is None else _given(rules, json), "r", page)
 
 
@@ -153,7 +145,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     facts = (f"named_struct('title', {first('title')}, 'heading', {first('h1')}, "
              "'has_ad', exists(els, e -> coalesce(array_contains(e.classes, 'ad'), false)), "
              "'n_links', cast(size(filter(els, e -> e.tag = 'a' AND e.step >= 0)) AS BIGINT))")
-    page = M.let(_REFERENCES, "r", M.let(M.tokens("coalesce(html, '')", "array('ad')"), "els", facts))
+    page = M.let(_REFERENCES, "r", M.let(M.tokens("coalesce(html, '')", classes=True), "els", facts))
     return pages.select("page_id", F.inline(F.array(F.expr(page))))
 
 

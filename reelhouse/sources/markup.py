@@ -5,8 +5,8 @@ Every function returns the text of one SQL expression, so that DataFrames
 array of tokens in one pass of one pattern; a token is ``(tag, step, classes,
 id, raw)`` with step 1 for a start tag, 0 for an element without content, -1
 for an end tag and null for text; raw is a start tag as it stands, or the text with
-its character references read.  Classes and id are read only of start tags that can
-hold a name that somebody asks for.
+its character references read.  Classes are read where somebody asks for any, an id
+only of start tags that can hold one that somebody asks for.
 
 An element ends where its own tag is balanced; one that is never closed ends
 with what it is looked for in.  Comments, declarations, stray end tags and tags
@@ -98,8 +98,8 @@ def attribute(tag: str, name: str, plain: tuple = ()) -> str:
     return f"if(contains(lower({tag}), {name}), {listed}, NULL)"
 
 
-def tokens(page: str, classes: str | None = None, ids: str | None = None) -> str:
-    """The page's tokens in order; classes are null where a start tag holds none of ``classes`` (an array), and so is its id."""
+def tokens(page: str, classes: bool = False, ids: str | None = None) -> str:
+    """The page's tokens in order; an id is null where a start tag holds none of ``ids`` (an array)."""
     def token(tag, step, classes="cast(NULL AS ARRAY<STRING>)", ident="cast(NULL AS STRING)", raw="cast(NULL AS STRING)"):
         return f"named_struct('tag', {tag}, 'step', {step}, 'classes', {classes}, 'id', {ident}, 'raw', {raw})"
 
@@ -107,21 +107,23 @@ def tokens(page: str, classes: str | None = None, ids: str | None = None) -> str
         return f"lower(regexp_extract(t, {_text(f'^{mark}({_NAME})')}, 1))"
 
     void = ", ".join(f"'{v}'" for v in VOID)
-    def asked(names, attr):  # a character reference may stand for any part of a name
-        value = let(attribute("t", _text(attr), (attr,)), "h", f"if(contains(h, '&'), {unescape('h')}, h)")
-        return "cast(NULL AS STRING)" if names is None else f"if(exists({names}, h -> contains(t, h)) OR contains(t, '&'), {value}, NULL)"
+    def read(attr):
+        return let(attribute("t", _text(attr), (attr,)), "h", f"if(contains(h, '&'), {unescape('h')}, h)")
 
+    css = read("class") if classes else "cast(NULL AS STRING)"
+    # a character reference may stand for any part of an id
+    ident = "cast(NULL AS STRING)" if ids is None else f"if(exists({ids}, h -> contains(t, h)) OR contains(t, '&'), {read('id')}, NULL)"
     space = _text(chr(92) + "s")
-    start = let(f"named_struct('tag', {name('<')}, 'class', {asked(classes, 'class')}, 'id', {asked(ids, 'id')})", "a", token(
+    start = let(f"named_struct('tag', {name('<')}, 'class', {css}, 'id', {ident})", "a", token(
         "a.tag", f"if(a.tag IN ({void}) OR (NOT endswith(t, '\">') AND contains(t, '/') AND t RLIKE {_text(SELF_CLOSED)}), 0, 1)",
         f"CASE WHEN a.class RLIKE {space} THEN split(a.class, {_text(chr(92) + 's+')}) WHEN a.class IS NOT NULL THEN array(a.class) END", "a.id", "t"))
     text_ = token("cast(NULL AS STRING)", "cast(NULL AS INT)", raw=unescape("t"))
     kinds = (f"CASE WHEN NOT startswith(t, '<') OR t = '<' THEN {text_} "
-             f"WHEN startswith(t, '</') THEN if(endswith(t, '>') AND t RLIKE '^</[a-zA-Z]', {token(name('</'), '-1')}, NULL) "
+             f"WHEN startswith(t, '</') THEN if(endswith(t, '>'), {token(name('</'), '-1')}, NULL) "
              "WHEN startswith(t, '<!') OR startswith(t, '<?') THEN NULL "
              "WHEN (startswith(t, '<s') OR startswith(t, '<S')) AND t RLIKE '(?i)^<(script|style)(?=[ \\t\\n\\r\\f/>])' "
              f"THEN {token(name('<'), '0', raw='t')} WHEN endswith(t, '>') THEN {start} END")
-    return f"filter(transform(regexp_extract_all({page}, {_text(TOKEN)}, 0), t -> {kinds}), e -> e IS NOT NULL)"
+    return f"filter(transform(regexp_extract_all({page}, {_text(TOKEN)}, 0), t -> {kinds}), e -> e IS NOT NULL AND (e.tag IS NULL OR e.tag <> ''))"  # '' is no end tag
 
 
 def matches(e: str, selector: tuple | str) -> str:

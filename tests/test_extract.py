@@ -242,11 +242,11 @@ def test_hostile_pages_take_linear_time(spark):
         assert time.time() - began < 30
 
 
-def test_only_tags_that_can_hold_an_asked_name_are_read(spark):
-    page = '<p class="zz b" id="x"></p><p class="c"></p><i class="&#122;z"></i><b class="czz"></b>'
+def test_only_tags_that_can_hold_an_asked_id_are_read_for_it(spark):
+    page = '<p class="zz b" id="x"></p></1><p class="c" id="y"></p><i id="&#120;"></i><b width="id"></b>'
     tokens = spark.createDataFrame([(page,)], "html string").selectExpr(
-        H.M.let(H._REFERENCES, "r", H.M.tokens("html", "array('zz')", "array('x')")) + " AS t").first().t
-    assert [(t.classes, t.id) for t in tokens if t.step == 1] == [(["zz", "b"], "x"), (None, None), (["zz"], None), (["czz"], None)]
+        H.M.let(H._REFERENCES, "r", H.M.tokens("html", True, "array('x')")) + " AS t").first().t
+    assert [(t.classes, t.id) for t in tokens if t.step == 1] == [(["zz", "b"], "x"), (["c"], None), (None, "x"), (None, None)]
 
 
 def test_fixed_rules_stand_in_the_expression_and_given_ones_agree(spark):
