@@ -5,16 +5,21 @@ keyword overlap: a candidate's keywords are the tokens of its name, an
 item's score for it is the number of the item's text tokens that are among
 those keywords.  It is computed as joins and grouped counts:
 
-    item tokens (exploded in place)  JOIN  candidate keywords   on token
+    item tokens (exploded in place)  SEMI JOIN  candidate keywords  on token
+      -> count per (item, token)  JOIN  candidate keywords  on token
       -> count per (item, candidate)  -> best candidate per item
 
-Tokens are counted per item before the join (combined map side, so an item
-with a third of all tokens leaves each task as one row a token), and adaptive
-execution decides by bytes how the keyword side is joined.
+Tokens that no candidate has are dropped where they are made.  The others are
+counted per item before the join (combined map side, so an item with a third of
+all tokens leaves each task as one row a keyword).  The keywords are a small
+written table, so that Spark knows their bytes and decides by them how they are
+joined.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +27,7 @@ from pyspark.sql.window import Window
 from reelhouse import constants as K
 from reelhouse.functions import text as TX
 from reelhouse.operators.vocabulary import is_valid_answer, membership
+from reelhouse.session import checkpoint_dir
 
 
 def keywords(vocab: DataFrame) -> DataFrame:
@@ -29,15 +35,24 @@ def keywords(vocab: DataFrame) -> DataFrame:
     return vocab.select("category", F.explode(TX.tokens("category")).alias("token")).distinct()
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared scratch folder, of a known size."""
+    path = f"{checkpoint_dir(rows.sparkSession)}/keywords-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def scores(items: DataFrame, key: str, text: F.Column, vocab: DataFrame) -> DataFrame:
     """``(key, category, score)`` for candidates with a positive score.
 
-    An item's equal tokens are counted before the join, so a token said a
-    thousand times joins once.
+    Only tokens that are keywords are counted, so a task holds as many counts as
+    its items say keywords, not words.  An item's equal tokens are counted before
+    the join, so a token said a thousand times joins once.
     """
-    toks = items.select(key, F.explode(TX.tokens(text)).alias("token")).groupBy(key, "token").agg(
-        F.count(F.lit(1)).alias("times"))
-    return toks.join(keywords(vocab), "token").groupBy(key, "category").agg(F.sum("times").alias("score"))
+    words = _written(keywords(vocab))
+    toks = items.select(key, F.explode(TX.tokens(text)).alias("token")).join(words, "token", "left_semi").groupBy(
+        key, "token").agg(F.count(F.lit(1)).alias("times"))
+    return toks.join(words, "token").groupBy(key, "category").agg(F.sum("times").alias("score"))
 
 
 def categorize(items: DataFrame, key: str, text: F.Column, vocab: DataFrame,

@@ -71,3 +71,12 @@ def test_keyword_scores_broadcast_vocab_and_combine_map_side(spark):
 def test_import_sql_parses_pages_once(spark):
     p = plan(queries()["import_sql"](spark, SF_CHECK))
     assert p.count("Generate inline") == 1 and p.count("events.parquet") == 1
+
+
+def test_only_keywords_are_counted(spark):
+    vocab = spark.createDataFrame([("News",), ("Music",)], "category string")
+    items = spark.createDataFrame([(1, "news of many other words news"), (1, "news"), (2, "nothing")], "id bigint, title string")
+    scores = C.scores(items, "id", F.col("title"), vocab)
+    p = plan(scores)
+    assert "LeftSemi" in p and p.rindex("LeftSemi") > p.rindex("partial_count")  # below the first count
+    assert [tuple(r) for r in scores.collect()] == [(1, "News", 3)]
