@@ -49,6 +49,8 @@ COUNT_SCHEMA = "category string, hidden boolean, n bigint"
 FIXED = ("id", "link")
 #: Names of commits that a manifest remembers, so that a job started again does not commit twice.
 RUNS = 1000
+#: Changes of at most so many bytes are sent to the tasks that read the buckets, so that no stored row is shuffled.
+SENT_BYTES = 10 * 2 ** 20
 #: Losing a race this many times ends a commit.
 TRIES = 20
 
@@ -256,11 +258,20 @@ def unknown(spark: SparkSession, root: str, m: Manifest, items: DataFrame) -> Da
 
 # ---- writing -----------------------------------------------------------------------
 
-def _written(rows: DataFrame, root: str, bucket: Column, order: str, kind: str) -> tuple[str, list[str]]:
-    """Write ``rows`` sorted by ``order`` into one folder a bucket; the folder and its buckets."""
+def _written(rows: DataFrame, root: str, bucket: Column, order: str, kind: str,
+             links: int | None = None, clustered: bool = False) -> tuple[str, list[str]]:
+    """Write ``rows`` sorted by ``order`` into one folder a bucket; the folder and its buckets.
+
+    ``links``: about how many links a bucket holds, which is what the filter of a
+    file is made for (else it takes a megabyte).  ``clustered`` rows lie bucket by bucket already (a task holds few buckets) and are not shuffled.
+    """
     folder = f"{kind}/{uuid.uuid4().hex}"
-    out = rows.withColumn("bucket", bucket).repartitionByRange("bucket", order).sortWithinPartitions("bucket", order)
-    (out.write.option("parquet.bloom.filter.enabled#link", "true").partitionBy("bucket").parquet(f"{root}/{folder}"))
+    out = rows.withColumn("bucket", bucket)
+    out = (out if clustered else out.repartitionByRange("bucket", order)).sortWithinPartitions("bucket", order)
+    writer = out.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#link", "true")
+    if links is not None:
+        writer = writer.option("parquet.bloom.filter.expected.ndv#link", str(links))
+    writer.partitionBy("bucket").parquet(f"{root}/{folder}")
     names = [n for n in _names(rows.sparkSession, f"{root}/{folder}") if n.startswith("bucket=")]
     return folder, [n[len("bucket="):] for n in names]
 
@@ -300,7 +311,7 @@ def _nulls(rows: DataFrame) -> dict[str, int]:
 def _appended(spark: SparkSession, root: str, m: Manifest, rows: DataFrame) -> Manifest:
     """``m`` with new library rows; they are checked, everything stored before is not read again."""
     rows = conform(rows)
-    folder, buckets = _written(rows, root, _bucket("id", m.bucket_rows), "id", "data")
+    folder, buckets = _written(rows, root, _bucket("id", m.bucket_rows), "id", "data", m.bucket_rows)
     new = _read(spark, root, [f"{folder}/bucket={b}" for b in buckets], LIBRARY_SCHEMA)
     fresh = unknown(spark, root, m, new)
     got = new.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.min("id").alias("first")).first()
@@ -374,21 +385,33 @@ def _rejected(spark: SparkSession, root: str, m: Manifest, failed: DataFrame, st
     return folder
 
 
+def _bytes(rows: DataFrame) -> int:
+    """About how many bytes the rows take in memory."""
+    row = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in rows.columns), F.lit(16))
+    return rows.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
+
+
 def update(changes: DataFrame, cols: list[str], root: str, order: str | None = None) -> Manifest:
-    """Set ``cols`` of the rows whose ids ``changes`` holds; only their buckets are written anew."""
+    """Set ``cols`` of the rows whose ids ``changes`` holds; only their buckets are written anew.
+
+    Up to ``SENT_BYTES`` of changes go to the rows: a bucket is written by the
+    tasks that read it.  More of them are joined by a shuffle.
+    """
     wrong = [c for c in cols if c in FIXED]
     if wrong:
         raise ValueError(f"an update cannot set {wrong}")
     spark = changes.sparkSession
     changes = stable(changes.where("id is not null").select("id", *cols, *([order] if order and order not in cols else [])))
 
+    sent = _bytes(changes) <= SENT_BYTES
+
     def build(base: Manifest) -> Manifest | None:
         touched = _touched(changes, "id", base.bucket_rows, base.data)
         if not touched:
             return None
         old = read(spark, root, base, touched)
-        folder, buckets = _written(conform(U.apply_updates(old, changes, cols, order)), root,
-                                   _bucket("id", base.bucket_rows), "id", "data")
+        folder, buckets = _written(conform(U.apply_updates(old, changes, cols, order, sent)), root,
+                                   _bucket("id", base.bucket_rows), "id", "data", base.bucket_rows, clustered=sent)
         new = _read(spark, root, [f"{folder}/bucket={b}" for b in buckets], LIBRARY_SCHEMA)
         _refuse(spark, root, folder, _nulls(new))
         return replace(base, data={**base.data, **{b: [f"{folder}/bucket={b}"] for b in buckets}},

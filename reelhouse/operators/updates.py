@@ -28,14 +28,16 @@ def last_changes(changes: DataFrame, cols: list[str], order: str | None) -> Data
     return ties.select("id", *cols, F.lit(1).alias("_one"))
 
 
-def apply_updates(library: DataFrame, changes: DataFrame, cols: list[str], order: str | None = None) -> DataFrame:
+def apply_updates(library: DataFrame, changes: DataFrame, cols: list[str], order: str | None = None,
+                  sent: bool = False) -> DataFrame:
     """K2: set ``cols`` from ``changes`` (keyed by ``id``) on matching rows.
 
     ``order`` names the column that tells which change of an id came last.
+    ``sent``: the changes are known to be few and go to where the rows are read.
     """
     one = last_changes(changes, cols, order)
     ch = one.select(F.col("id").alias("_cid"), "_one", *[F.col(c).alias(f"_new_{c}") for c in cols])
-    joined = library.join(ch, library["id"] == ch["_cid"], "left")
+    joined = library.join(F.broadcast(ch) if sent else ch, library["id"] == ch["_cid"], "left")
     matched = F.col("_one") == 1
     return joined.select(*[F.when(matched, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                            for c in library.columns])

@@ -11,6 +11,8 @@ from reelhouse.operators import store as ST
 from reelhouse.operators import updates as U
 from reelhouse.operators import vocabulary as V
 from reelhouse.schema import LIBRARY_SCHEMA
+from reelhouse.sources import fixtures as X
+from tests.conftest import SF_SMALL
 
 AS_OF = "2024-02-01 00:00:00"
 WHEN = dt.datetime(2024, 1, 1)
@@ -183,3 +185,16 @@ def test_empty_library(spark, root):
     assert ST.read(spark, root).count() == 0 and ST.newest(spark, root).count() == 0
     ST.append(items(spark, ["a"]), root, AS_OF)
     assert [r.id for r in ST.read(spark, root).collect()] == [1]
+
+
+def test_an_update_shuffles_no_stored_row_and_writes_small_filters(spark, tmp_path):
+    root = str(tmp_path / "store")
+    ST.create(X.library(spark, SF_SMALL), root, bucket_rows=20, link_buckets=2)
+    first = ST.open_version(spark, root)
+    ids = [r.id for r in ST.read(spark, root).select("id").collect()][::3]
+    done = ST.update(spark.createDataFrame([(i, "new") for i in ids], "id bigint, summary string"), ["summary"], root)
+    rows = {r.id: r.summary for r in ST.read(spark, root).collect()}
+    before = {r.id: r.summary for r in ST.read(spark, root, first).collect()}
+    assert rows == {i: "new" if i in set(ids) else s for i, s in before.items()}
+    files = [f for own in done.data.values() for folder in own for f in (tmp_path / "store" / folder).glob("*.parquet")]
+    assert len(files) == len(done.data) and sum(f.stat().st_size for f in files) < 2 ** 20
