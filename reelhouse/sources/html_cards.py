@@ -72,8 +72,11 @@ def cards_sql(page_id: str, html: str, rules: CardRules = CARD_RULES, json: str
 
     A card inside another is a card of its own as well.  Rules that the JSON
     object ``json`` (SQL) names are looked up in it for every token; without it
-    they stand in the expression.
+    they stand in the expression, and tokens hold which of them they match.
     """
+    if json is None and len(_selectors(rules)) <= M.MAX_BITS:
+        return M.let(_REFERENCES, "r", _marked_cards(page_id, html, rules))
+
     def rule(name: str):
         return f"r.{name}" if json is not None else getattr(rules, name)
 
@@ -101,30 +104,84 @@ def cards_sql(page_id: str, html: str, rules: CardRules = CARD_RULES, json: str
         texts = f"array({', '.join(map(first_text, (rules.title, rules.channel, rules.length)))})"
     spans = M.let(M.content("c", "f"), "w", M.let(M.find("w", rule("span"), "0"), "u", "if(u.seen = 0, cast(array() AS ARRAY<STRING>), "
                   f"transform(sequence(1, u.seen), y -> {M.let(M.find('w', rule('span'), 'y'), 'h', M.text(M.content('w', 'h')))}))"))
-    values = {
-        "page_id": f"cast({page_id} AS BIGINT)", "pos": "cast(j AS BIGINT)",
-        "href": "if(m.attributes[0].found, coalesce(m.attributes[0].value, ''), NULL)",
-        "title_attr": "m.attributes[1].value", "title_text": "m.texts[0]", "channel": "m.texts[1]",
-        "thumb_src": "m.attributes[2].value", "length_text": "m.texts[2]",
-        "progress_style": "if(m.attributes[3].found, coalesce(m.attributes[3].value, ''), NULL)",
-        "meta_spans": M.let(M.find("c", rule("row"), "2"), "f", f"if(f.start > 0, {spans}, NULL)"),
+    flags = {
         "is_ad": f"coalesce(exists(c, e -> coalesce(e.tag = {value('ad')} AND e.step >= 0, false)), false)",
         "is_sponsored": f"exists(c, x -> x.step IS NULL AND x.raw = {value('sponsored')})",
         "is_collection": f"exists(c, e -> coalesce(array_contains(e.classes, {value('collection')}), false))",
     }
-    card = "named_struct(" + ", ".join(f"'{f.name}', {values[f.name]}" for f in CARD_SCHEMA.fields) + ")"
-    card = M.let(f"named_struct('attributes', {attributes}, 'texts', {texts})", "m", card)
+    row = M.let(M.find("c", rule("row"), "2"), "f", f"if(f.start > 0, {spans}, NULL)")
+    card = M.let(f"named_struct('attributes', {attributes}, 'texts', {texts})", "m", _card(page_id, row, flags))
     fields = ("title", "channel", "thumbnail", "length", "progress", "row", "span")
     if json is not None:
         chains = f"concat(r.links, array({', '.join(map(rule, fields))}))"
         ids = f"filter(transform(flatten({chains}), s -> get(s, 2)), s -> s IS NOT NULL)"
     else:
-        selectors = [s for chain in (*rules.links, *(getattr(rules, f) for f in fields)) for s in chain]
-        ids = f"cast({_literal(tuple(dict.fromkeys(s[2] for s in selectors if s[2] is not None)))} AS ARRAY<STRING>)"
+        ids = f"cast({_literal(_ids(_selectors(rules)))} AS ARRAY<STRING>)"
     page = M.let(ids, "ids", M.let(M.tokens(html, True, "ids"), "els", M.elements("els", value("card"), card)))
     return M.let(_REFERENCES if json is None else _given(rules, json), "r", page)
 
 
+def _card(page_id: str, row: str, flags: dict) -> str:
+    """A card's struct, of ``m.attributes`` (link, title, thumbnail, progress) and ``m.texts`` (title, channel, length)."""
+    values = {
+        "page_id": f"cast({page_id} AS BIGINT)", "pos": "cast(j AS BIGINT)",
+        "href": "if(m.attributes[0].found, coalesce(m.attributes[0].value, ''), NULL)",
+        "title_attr": "m.attributes[1].value", "title_text": "m.texts[0]", "channel": "m.texts[1]",
+        "thumb_src": "m.attributes[2].value", "length_text": "m.texts[2]",
+        "progress_style": "if(m.attributes[3].found, coalesce(m.attributes[3].value, ''), NULL)",
+        "meta_spans": row, **flags,
+    }
+    return "named_struct(" + ", ".join(f"'{f.name}', {values[f.name]}" for f in CARD_SCHEMA.fields) + ")"
+
+
+def _selectors(rules: CardRules) -> list:
+    """Every selector the rules ask for, the text of a sponsored card among them."""
+    chains = (*rules.links, rules.title, rules.channel, rules.thumbnail, rules.length, rules.progress, rules.row, rules.span)
+    wanted = [tuple(s) for chain in chains for s in chain] + list(filter(None, _flags(rules).values()))
+    return list(dict.fromkeys(wanted))
+
+
+def _flags(rules: CardRules) -> dict:
+    """What each flag of a card looks for, None if for nothing."""
+    return {"is_ad": rules.ad and (rules.ad, None, None), "is_sponsored": rules.sponsored, "is_collection": rules.collection and (None, rules.collection, None)}
+
+
+def _ids(selectors: list) -> tuple:
+    return tuple(dict.fromkeys(s[2] for s in selectors if not isinstance(s, str) and s[2] is not None))
+
+
+def _marked_cards(page_id: str, html: str, rules: CardRules) -> str:
+    """One page's cards by the bits of its tokens; wants ``r.refs``."""
+    selectors = _selectors(rules)
+    table = M.bits(selectors)
+
+    def chain(name: str) -> tuple:
+        return tuple(table[tuple(s)] for s in getattr(rules, name))
+
+    links = [M.marked_place("c", tuple(table[tuple(s)] for s in link)) for link in rules.links]
+    link = M.let(f"filter(array({', '.join(links)}), l -> l > 0)", "ls", "coalesce(get(ls, 0), 0)") if links else "0"
+    names = ("href", "title", "src", "style")
+    places = [link, *(M.marked_place("c", chain(f)) for f in ("title", "thumbnail", "progress"))]
+    tags = "array(" + ", ".join(f"named_struct('at', {at}, 'name', '{name}')" for at, name in zip(places, names)) + ")"
+    read = f"if(z.at > 0, {M.let(M.attribute('element_at(c, z.at).raw', 'z.name', names), 'h', M.unescape('h'))}, NULL)"
+    attributes = f"transform({tags}, z -> named_struct('found', z.at > 0, 'value', {read}))"
+    texts = (f"transform(array({', '.join(M.marked_place('c', chain(f)) for f in ('title', 'channel', 'length'))}), "
+             f"y -> if(y > 0, {M.text(M.inside('c', 'y'))}, NULL))")
+    span = chain("span")
+    if len(span) == 1:
+        spans = (f"transform(filter(transform(w, (e, i) -> if({M.matches('e', span[0])}, i + 1, NULL)), y -> y IS NOT NULL), "
+                 f"y -> {M.text(M.inside('w', 'y'))})")
+    else:
+        spans = M.let(M.find("w", span, "0"), "u", "if(u.seen = 0, cast(array() AS ARRAY<STRING>), "
+                      f"transform(sequence(1, u.seen), y -> {M.let(M.find('w', span, 'y'), 'f', M.text(M.content('w', 'f')))}))")
+    row = M.let(M.marked_place("c", chain("row"), 2), "y", f"if(y > 0, {M.let(M.inside('c', 'y'), 'w', spans)}, NULL)")
+    flags = {f: f"exists(marks, h -> {M.matches('h', table[s])})" if s else "false" for f, s in _flags(rules).items()}
+    card = M.let(f"named_struct('attributes', {attributes}, 'texts', {texts})", "m", _card(page_id, row, flags))
+    ids = f"cast({_literal(_ids(selectors))} AS ARRAY<STRING>)"
+    return M.let(M.tokens(html, True, ids, table), "els",
+                 M.elements("els", _literal(rules.card), M.let(M.marked("c"), "marks", card)))
+
+
 def extract_cards(pages: DataFrame, rules: CardRules = CARD_RULES) -> DataFrame:
     """Pages -> raw cards (schema :data:`reelhouse.schema.CARD_SCHEMA`)."""
     return pages.select(F.inline(F.expr(cards_sql("page_id", "html", rules))))

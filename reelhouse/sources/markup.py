@@ -16,11 +16,15 @@ content.  All passes take time linear in the tokens.
 A selector is ``(tag, class, id)`` with None for any; a chain is a tuple of
 selectors, each somewhere inside an element of the one before.  Either may be the
 SQL of such an array (null for any) instead, which costs more for every token.
+Selectors known beforehand are numbered (``bits``): a token then holds the bits of
+those that it matches in place of its classes and id, and a card lists its tokens
+with any (``marked``), so that nobody asks every token for every selector.
 """
 
 from __future__ import annotations
 
 import html
+import re
 from html.entities import html5
 
 from reelhouse import constants as K
@@ -39,9 +43,12 @@ TOKEN = (r"<!--[\s\S]*?(?:-->|\z)"
 # a name, and the value after "=" (quoted, or up to a space)
 ATTRIBUTE = r"""[\s/]*+([^\s/=>][^\s/=>]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 SELF_CLOSED = rf"""(?:["'\s]|^<{_NAME}|\s[^\s/=>"']++)\s*+/\s*+>$"""
+#: Text that begins and ends with what is no space for sure.
+BARE_TEXT = r"(?s)^[!-~](?:.*[!-~])?\z"
 QUOTED = r"""^(["'])([\s\S]*)\1\z"""
 #: Character references that need no semicolon, longest first.
 _BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+NONE = "cast(NULL AS STRING)"
 #: Code points that a numeric reference may not name.
 NO_CHARACTER = "n BETWEEN 64976 AND 65007 OR n % 65536 IN (65534, 65535)"
 
@@ -98,9 +105,43 @@ def attribute(tag: str, name: str, plain: tuple = ()) -> str:
     return f"if(contains(lower({tag}), {name}), {listed}, NULL)"
 
 
-def tokens(page: str, classes: bool = False, ids: str | None = None) -> str:
-    """The page's tokens in order; an id is null where a start tag holds none of ``ids`` (an array)."""
-    def token(tag, step, classes="cast(NULL AS ARRAY<STRING>)", ident="cast(NULL AS STRING)", raw="cast(NULL AS STRING)"):
+#: Selectors that the bits of a token can tell apart.
+MAX_BITS = 62
+
+
+def bits(selectors) -> dict:
+    """A bit for each distinct selector; a str stands for a piece of text that is equal to it."""
+    return {s: 1 << n for n, s in enumerate(dict.fromkeys(selectors))}
+
+
+def _fitting(table: dict, part: int, value: str) -> str:
+    """Bits of the selectors whose tag, class or id (part 0, 1, 2) ``value`` is, or that ask for none."""
+    chosen = {s: b for s, b in table.items() if not isinstance(s, str)}
+    free = sum(b for s, b in chosen.items() if s[part] is None)
+    # what holds a space is no class
+    named = {s[part] for s in chosen if s[part] is not None and not (part == 1 and re.search(r"\s", s[part], re.ASCII))}
+    if not named:
+        return f"{free}L"
+    pairs = ", ".join(f"{_text(n)}, {free + sum(b for s, b in chosen.items() if s[part] == n)}L" for n in sorted(named))
+
+    def known(v: str) -> str:
+        return f"try_element_at(map({pairs}), {v})"
+
+    if part != 1:
+        return f"coalesce({known(value)}, {free}L)"
+    space = _text(chr(92) + "s")
+    several = f"aggregate(split({value}, {_text(chr(92) + 's+')}), {free}L, (m, x) -> m | coalesce({known('x')}, 0L))"
+    return f"if({value} IS NULL, {free}L, coalesce({known(value)}, if({value} RLIKE {space}, {several}, {free}L)))"
+
+
+def tokens(page: str, classes: bool = False, ids: str | None = None, table: dict | None = None) -> str:
+    """The page's tokens in order; an id is null where a start tag holds none of ``ids`` (an array).
+
+    With a ``table`` (see ``bits``) a token is ``(tag, step, bits, raw)``.
+    """
+    def token(tag, step, classes="cast(NULL AS ARRAY<STRING>)", ident="cast(NULL AS STRING)", raw="cast(NULL AS STRING)", own="0L"):
+        if table is not None:
+            return f"named_struct('tag', {tag}, 'step', {step}, 'bits', {own}, 'raw', {raw})"
         return f"named_struct('tag', {tag}, 'step', {step}, 'classes', {classes}, 'id', {ident}, 'raw', {raw})"
 
     def name(mark):
@@ -116,17 +157,22 @@ def tokens(page: str, classes: bool = False, ids: str | None = None) -> str:
     space = _text(chr(92) + "s")
     start = let(f"named_struct('tag', {name('<')}, 'class', {css}, 'id', {ident})", "a", token(
         "a.tag", f"if(a.tag IN ({void}) OR (NOT endswith(t, '\">') AND contains(t, '/') AND t RLIKE {_text(SELF_CLOSED)}), 0, 1)",
-        f"CASE WHEN a.class RLIKE {space} THEN split(a.class, {_text(chr(92) + 's+')}) WHEN a.class IS NOT NULL THEN array(a.class) END", "a.id", "t"))
-    text_ = token("cast(NULL AS STRING)", "cast(NULL AS INT)", raw=unescape("t"))
+        f"CASE WHEN a.class RLIKE {space} THEN split(a.class, {_text(chr(92) + 's+')}) WHEN a.class IS NOT NULL THEN array(a.class) END", "a.id", "t",
+        " & ".join(_fitting(table, n, f"a.{part}") for n, part in enumerate(("tag", "class", "id"))) if table is not None else ""))
+    said = " ".join(f"WHEN {_text(s)} THEN {b}L" for s, b in (table or {}).items() if isinstance(s, str))
+    text_ = token("cast(NULL AS STRING)", "cast(NULL AS INT)", raw="x", own=f"CASE x {said} ELSE 0L END" if said else "0L")
+    text_ = let(unescape("t"), "x", text_) if said else token("cast(NULL AS STRING)", "cast(NULL AS INT)", raw=unescape("t"))
     kinds = (f"CASE WHEN NOT startswith(t, '<') OR t = '<' THEN {text_} "
              f"WHEN startswith(t, '</') THEN if(endswith(t, '>'), {token(name('</'), '-1')}, NULL) "
              "WHEN startswith(t, '<!') OR startswith(t, '<?') THEN NULL "
              "WHEN (startswith(t, '<s') OR startswith(t, '<S')) AND t RLIKE '(?i)^<(script|style)(?=[ \\t\\n\\r\\f/>])' "
-             f"THEN {token(name('<'), '0', raw='t')} WHEN endswith(t, '>') THEN {start} END")
+             f"THEN {token(name('<'), '0', raw='t', own=_fitting(table, 0, name('<')) + ' & ' + _fitting(table, 1, NONE) + ' & ' + _fitting(table, 2, NONE) if table is not None else '')} WHEN endswith(t, '>') THEN {start} END")
     return f"filter(transform(regexp_extract_all({page}, {_text(TOKEN)}, 0), t -> {kinds}), e -> e IS NOT NULL AND (e.tag IS NULL OR e.tag <> ''))"  # '' is no end tag
 
 
-def matches(e: str, selector: tuple | str) -> str:
+def matches(e: str, selector: tuple | int | str) -> str:
+    if isinstance(selector, int):
+        return f"({e}.bits & {selector}L) <> 0"
     if not isinstance(selector, str):
         tag, css, ident = map(lambda v: v and _text(v), selector)
         tests = [tag and f"{e}.tag = {tag}", css and f"array_contains({e}.classes, {css})", ident and f"{e}.id = {ident}"]
@@ -201,6 +247,41 @@ def place(els: str, chain: tuple | str) -> str:
     return chained if given else f"if(size({chain}) = 1, {alone}, {chained})"
 
 
+def marked(els: str) -> str:
+    """``(at, bits, opens)`` of the tokens that have bits, in order; the functions below want it as ``marks``."""
+    own = "named_struct('at', i + 1, 'bits', e.bits, 'opens', coalesce(e.step = 1, false))"
+    return f"filter(transform({els}, (e, i) -> if(e.bits <> 0, {own}, NULL)), h -> h IS NOT NULL)"
+
+
+def marked_place(els: str, chain: tuple, nth: int = 1) -> str:
+    """Place of the nth element of a chain of bits, 0 if there are fewer.
+
+    The first element of a chain of two is mostly the first that fits behind the
+    first token that opens the outer one; if that was closed in between, all
+    tokens are gone through.
+    """
+    if len(chain) == 1:
+        return f"coalesce(get(filter(marks, h -> {matches('h', chain[0])}), {nth - 1}).at, 0)"
+    whole = f"{find(els, chain, str(nth))}.start"
+    if len(chain) > 2 or nth > 1:
+        return whole
+    outer = f"get(filter(marks, h -> h.opens AND {matches('h', chain[0])}), 0).at"
+    inner = f"get(filter(marks, h -> h.at > p AND {matches('h', chain[1])}), 0).at"
+    closed = f"exists(slice({els}, p + 1, b - p - 1), e -> coalesce(e.step = -1 AND e.tag = element_at({els}, p).tag, false))"
+    return let(outer, "p", f"if(p IS NULL, 0, {let(inner, 'b', f'CASE WHEN b IS NULL THEN 0 WHEN {closed} THEN {whole} ELSE b END')})")
+
+
+def inside(els: str, a: str) -> str:
+    """The tokens between the tags of the element at place ``a``; only one that holds another of its kind is balanced."""
+    own = f"element_at({els}, {a})"
+    near = f"cast(array_position(transform(slice({els}, {a} + 1, size({els})), e -> coalesce(e.step <> 0 AND e.tag = g, false)), true) AS INT)"
+    n = let(f"{own}.tag", "g", let(near, "n", f"CASE WHEN n = 0 THEN size({els}) - {a} WHEN element_at({els}, {a} + n).step = -1 THEN n - 1 "
+                                              f"ELSE {extent(els, 'g', a)} END"))
+    # most hold one piece of text
+    plain = f"get({els}, {a}).step IS NULL AND get({els}, {a} + 1).step = -1 AND get({els}, {a} + 1).tag = {own}.tag"
+    return f"slice({els}, {a} + 1, CASE WHEN {own}.step = 0 THEN 0 WHEN {plain} THEN 1 ELSE {n} END)"
+
+
 def content(els: str, at: str) -> str:
     """The tokens between an element's tags, as ``find`` gives its place."""
     return f"slice({els}, {at}.start + 1, greatest({at}.end - {at}.start - 1, 0))"
@@ -209,7 +290,7 @@ def content(els: str, at: str) -> str:
 def text(els: str) -> str:
     """Text of tokens: each piece stripped, joined without a separator."""
     ws = K.WHITESPACE_CLASS
-    stripped = f"regexp_replace(x.raw, {_text(f'^{ws}+|{ws}+$')}, '')"
+    stripped = f"if(x.raw RLIKE {_text(BARE_TEXT)}, x.raw, regexp_replace(x.raw, {_text(f'^{ws}+|{ws}+$')}, ''))"
     return f"array_join(transform(filter({els}, x -> x.step IS NULL), x -> {stripped}), '')"
 
 
@@ -221,7 +302,8 @@ def elements(els: str, tag: str, body: str) -> str:
     """
     starts = f"filter(transform({els}, (e, i) -> if(e.tag = {tag} AND e.step >= 0, i + 1, NULL)), a -> a IS NOT NULL)"
     close = f"cast(array_position(transform(q, e -> coalesce(e.tag = {tag} AND e.step = -1, false)), true) AS INT)"
-    inside = let(f"slice({els}, a + 1, coalesce(get(st, j + 1), size({els}) + 1) - a - 1)", "q",
-                 let(close, "k", f"if(k > 0, slice(q, 1, k - 1), slice({els}, a + 1, {extent(els, tag)}))"))
-    own = let(f"if(element_at({els}, a).step = 0, slice({els}, 1, 0), {inside})", "c", body)
+    # a number of tokens, not the tokens: what a let gives is copied
+    n = let(f"slice({els}, a + 1, coalesce(get(st, j + 1), size({els}) + 1) - a - 1)", "q",
+            let(close, "k", f"if(k > 0, k - 1, {extent(els, tag)})"))
+    own = let(f"slice({els}, a + 1, if(element_at({els}, a).step = 0, 0, {n}))", "c", body)
     return let(starts, "st", f"transform(st, (a, j) -> {own})")

@@ -256,3 +256,46 @@ def test_fixed_rules_stand_in_the_expression_and_given_ones_agree(spark):
     pages.createOrReplaceTempView("rule_pages")
     given = spark.sql("SELECT c.* FROM rule_pages, LATERAL extract_cards(page_id, html, '{\"card\": \"ytd-rich-item-renderer\"}') c")
     assert given.collect() == H.extract_cards(pages).collect()
+
+
+def test_tokens_hold_the_bits_of_the_selectors_they_match(spark):
+    table = H.M.bits([("a", "x", None), (None, "y", None), (None, None, "k"), ("b", None, None), "said"])
+    page = '<a class="x y">said</a><A class=x id=k><b class="z">said so</b><script class="y"></script><br class="x&#32;y"/>'
+    tokens = spark.createDataFrame([(page,)], "html string").selectExpr(
+        H.M.let(H._REFERENCES, "r", H.M.tokens("html", True, "array('k')", table)) + " AS t").first().t
+    assert [(t.tag, t.step, t.bits) for t in tokens] == [
+        ("a", 1, 3), (None, None, 16), ("a", -1, 0), ("a", 1, 5), ("b", 1, 8), (None, None, 0), ("b", -1, 0), ("script", 0, 0), ("br", 0, 2)]
+    assert "classes" not in H.cards_sql("page_id", "html")
+
+
+def test_bits_and_selectors_agree(spark, monkeypatch):
+    """Chains of one to three selectors over few tags, many of them nested, open or closed too early."""
+    import random
+    draw = random.Random(7)
+    rules = H.CardRules(card="card", links=((("a", "x", None),), (("p", None, None), ("a", None, "k"))), title=(("i", None, None), ("i", "y", None)),
+                        channel=(("p", None, None), ("i", None, None), ("a", None, None)), thumbnail=((None, "x", None), ("img", None, None)),
+                        length=(("p", "x", None), (None, "y", None)), progress=((None, None, "k"),), row=(("p", None, None),),
+                        span=(("i", None, None), ("a", None, None)), ad="br", sponsored="s", collection="z")
+    marks = ["", "", ' class="x"', ' class="y x"', ' id="k"', " class=z", ' href="/h" class="x" title="t&amp;"', ' style="w" src="u" id=k', ' class="z y"']
+    pieces = [f"<{t}{m}>" for t in ("a", "i", "p", "p", "i") for m in marks] + ["</a>", "</i>", "</p>"] * 12 + ["s", " t \r", "\x85u", "<br>", '<img src="s">'] * 3
+
+    def page():
+        return "".join("<card>" + "".join(draw.choice(pieces) for _ in range(draw.randint(0, 16))) + draw.choice(["</card>", "</card>", ""])
+                       for _ in range(3))
+
+    pages = dict(enumerate(page() for _ in range(400)))
+    df = spark.createDataFrame(list(pages.items()), "page_id bigint, html string")
+    for own in (rules, H.CardRules(**{**vars(rules), "span": (("i", None, None),), "row": (("p", None, None), ("p", None, None))})):
+        got = []
+        for most in (62, 0):  # without bits every token is asked for every selector
+            monkeypatch.setattr(H.M, "MAX_BITS", most)
+            got.append({(r.page_id, r.pos): r for r in H.extract_cards(df, own).collect()})
+        assert got[0] == got[1] and len(got[0]) == 1200
+
+
+def test_spans_of_a_row_take_linear_time(spark):
+    import time
+    html = card(image_link() + title() + rows(["x"], ["1 day ago"] * 20000))
+    began = time.time()
+    got = H.extract_cards(spark.createDataFrame([(1, html)], "page_id bigint, html string")).selectExpr("size(meta_spans) AS n").first().n
+    assert got == 20000 and time.time() - began < 30
