@@ -34,10 +34,19 @@ def _title() -> F.Column:
     return F.when(F.col("title_text").isNotNull(), FF.title("title_attr", "title_text"))
 
 
+def _storable(cards: DataFrame) -> DataFrame:
+    """Cards that are shown and have a link and a title element.
+
+    Asked of the raw columns: a filter on the link and the title would repeat
+    their rules in the generated code, which the JVM then no longer compiles
+    (it leaves methods over 8000 bytes to the interpreter).
+    """
+    return _shown(cards).where((F.col("href") != "") & F.col("title_text").isNotNull())
+
+
 def kept_cards(cards: DataFrame, site_base: str = K.SITE_BASE) -> DataFrame:
     """Raw cards that cleaning keeps, with their ``link``."""
-    linked = _shown(cards).withColumn("link", FF.canonical_link("href", site_base))
-    return linked.where(F.col("link").isNotNull() & _title().isNotNull())
+    return _storable(cards).withColumn("link", FF.canonical_link("href", site_base))
 
 
 def clean_cards(cards: DataFrame, as_of: str, site_base: str = K.SITE_BASE) -> DataFrame:
@@ -48,7 +57,7 @@ def clean_cards(cards: DataFrame, as_of: str, site_base: str = K.SITE_BASE) -> D
     projection and filter: no shuffle, runs in one codegen stage.
     """
     ts = D.as_of_literal(as_of)
-    kept = _shown(cards)
+    kept = _storable(cards)
     # Stage 1 computes the values later rules read more than once; Catalyst
     # keeps the two projections apart (one codegen stage, each value once).
     staged = kept.select(
@@ -60,14 +69,13 @@ def clean_cards(cards: DataFrame, as_of: str, site_base: str = K.SITE_BASE) -> D
         FF.badge_length("length_text").alias("_badge"),
         first_date_span(F.col("meta_spans")).alias("_date"),
     )
-    items = staged.select(
+    return staged.select(
         "page_id", "pos", "link", "title", "channel",
         FF.thumbnail("thumb_src", "link").alias("thumbnail"),
         "progress",
         FF.normalize_length("_badge").alias("length_text"),
         D.relative_created("_date", ts).alias("video_created"),
     )
-    return items.where(F.col("link").isNotNull() & F.col("title").isNotNull())
 
 
 def first_per_link(items: DataFrame) -> DataFrame:
@@ -76,14 +84,17 @@ def first_per_link(items: DataFrame) -> DataFrame:
     The order is packed in one fixed-width decimal, so the grouped minimum is
     a hash aggregate (no sort of wide rows) and a link that fills a third of
     the feed leaves each map task as one row.  The winners are then joined to
-    their rows; rows equal in link and order are one card.
+    their rows; rows equal in link and order are one card.  The keys are
+    compared null-safely, as an equality would add filters that repeat their
+    rules for every card (see ``_storable``); items without a link are dropped.
     """
     last = F.lit(2 ** 63 - 1)  # a missing page or position comes last
     part = lambda c: F.coalesce(F.col(c), last).cast("decimal(19,0)")
     order = (part("page_id") * F.lit(str(2 ** 63)).cast("decimal(19,0)") + part("pos")).cast("decimal(38,0)")
     keyed = items.withColumn("_order", order)
-    first = keyed.groupBy("link").agg(F.min("_order").alias("_order"))
-    return keyed.join(first, ["link", "_order"], "left_semi").dropDuplicates(["link", "_order"]).select(*items.columns)
+    first = keyed.where(F.col("link").isNotNull()).groupBy(F.col("link").alias("_link")).agg(F.min("_order").alias("_first"))
+    same = F.col("link").eqNullSafe(F.col("_link")) & F.col("_order").eqNullSafe(F.col("_first"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["link", "_order"]).select(*items.columns)
 
 
 def first_cards(cards: DataFrame, site_base: str = K.SITE_BASE) -> DataFrame:

@@ -36,7 +36,7 @@ def _labels(spark, sf_dir):
 
 
 def _new_items(spark, sf_dir, root):
-    cards = I.first_cards(X.feed(spark, sf_dir), X.MEDIA_BASE)
+    cards = stable(I.first_cards(X.feed(spark, sf_dir), X.MEDIA_BASE))  # read by the index look-up and by what follows
     fresh = ST.unknown(spark, root, ST.open_version(spark, root), cards).drop("link")
     return stable(I.with_length(I.clean_cards(fresh, X.AS_OF, X.MEDIA_BASE)))
 
