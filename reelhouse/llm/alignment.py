@@ -17,6 +17,12 @@ pairs once, with a count, so a pair that stands in every document is as many
 rows as there are blocks.  What tasks share besides are vectors over the
 vocabularies: A's identity counts and B's highest counts.
 
+Memory: the pass that encodes also counts, so links are written with their text
+and read once.  A row holds the links of one text, never those of a block, as
+the JVM keeps batches of rows outside its heap and long ones in regions of their
+own.  A task remembers parts up to a number and a size, and the tasks that come
+after the encoding drop what a worker knows.
+
 Cases: a null or empty text, and one whose tokens do not give back its bytes,
 has no tokens (zeros, an empty ``groups_sha256``); null ids and repeated rows
 are kept, one result row each; an empty table gives an empty result; only the
@@ -31,7 +37,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +52,19 @@ from reelhouse.llm.common import text_of, tidy, written
 
 #: Bytes of text in a block (one text at least).
 BLOCK = 4 << 20
+#: Bytes of text whose groups are put together at once (one text at least).
+SLICE = 1 << 20
+#: Links whose counts are looked up at once (one text's at least).
+LINKS = 1 << 18
+#: Pairs in a row.
+PAIRS = 1 << 14
 #: Characters encoded by one library call (one part at least).
 CALL = 1 << 18
 #: Sequences put together at once.
 RUN = 1 << 16
-#: Parts a task remembers between blocks (then it starts anew).
+#: Parts a worker remembers between slices, and the bytes of these and their groups (beyond either it starts anew).
 REMEMBERED = 300_000
+REMEMBERED_BYTES = 32 << 20
 #: A space between a character that is no white space in any table and another character.
 _BETWEEN = re.compile("(?<=[!-~\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff\u3041-\u30ff\u4e00-\u9fff]) (?=.)", re.S)
 
@@ -225,14 +238,21 @@ class Known:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.held = Parts(self.pair, [])
+        self.chars = 0
+
+    def full(self) -> bool:
+        held = self.chars + sum(x.data.nbytes for x in (self.held.same, self.held.odd, self.held.text))
+        return len(self.place) > REMEMBERED or held > REMEMBERED_BYTES
 
     def look_up(self, parts: list[str]) -> np.ndarray:
         """The places of the parts in ``held``."""
-        if len(self.place) > REMEMBERED:
+        if self.full():
             self.clear()
         before, place = len(self.place), self.place
         out = np.array([place.setdefault(p, len(place)) for p in parts], np.int64)
-        new = Parts(self.pair, list(islice(place, before, None)))
+        unmet = list(islice(place, before, None))
+        self.chars += sum(map(len, unmet))
+        new = Parts(self.pair, unmet)
         for name in ("whole", "n_a", "n_b"):
             setattr(self.held, name, np.concatenate([getattr(self.held, name), getattr(new, name)]))
         for name in ("same", "odd", "text"):
@@ -269,47 +289,112 @@ def _gives_back(raw: Ragged, ids: np.ndarray, counts: np.ndarray, texts: list[st
     return np.array([joined[a:b] == b" " + t.encode() for a, b, t in zip(ends, ends[1:], texts)], bool)
 
 
+def _forget() -> None:
+    """Drops what this worker knows of the tokenizers."""
+    known.cache_clear()
+    pair.cache_clear()
+
+
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of all arrays and the sum of each one's counts."""
+    code, which = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_inverse=True)
+    n = np.zeros(len(code), np.int64)
+    np.add.at(n, which, np.concatenate([np.empty(0, np.int64), *counts]))
+    return code, n
+
+
+def _cells(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """One binary cell a text, which holds its values."""
+    ends = _bounds(sizes) * values.itemsize
+    cells = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(values)])
+    return cells.cast(pa.binary())
+
+
+def _values(cells: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of all cells, their number in each) of binary cells, none of them null."""
+    cells = cells.cast(pa.large_binary())
+    ends = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset:cells.offset + len(cells) + 1]
+    data = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    return data.view(kind), np.diff(ends) // kind.itemsize
+
+
+def _structs(names: tuple[str, str], first: np.ndarray, second: np.ndarray) -> pa.Array:
+    """One row that lists the pairs of both arrays."""
+    pairs = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], list(names))
+    return pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), pairs)
+
+
+def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to at most ``limit`` (one row at least)."""
+    bounds, at = _bounds(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, side="right")) - 1)
+        yield at, to
+        at = to
+
+
+def link_type(p: Pair) -> np.dtype:
+    """Of A's ids in a ``same`` cell."""
+    return np.dtype("<u2" if len(p.same) <= 1 << 16 else "<i4")
+
+
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
-    """One row a block: its ids, their measures, and its links (``same``: int32, ``odd``: int64)."""
+    """Rows of three kinds, each with the other kinds' columns null.
+
+    One a text: its id, measures and links (``same``: A ids, ``odd``: int64
+    codes).  Some a block: its distinct irregular links (``pairs``) and how
+    often it has each.  Some a task: how often it has each identity group
+    (``counts``).
+    """
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    columns = ["block", "_id", "n_a", "n_b", "digest", "same", "odd", "pairs", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known(path_a, path_b)
+        links, size = link_type(own.pair), len(own.pair.same)
         number = TaskContext.get().partitionId() << 32
+        total, id_type = np.zeros(size, np.int64), None
+        listed = {"pairs": ("code", "n"), "counts": ("a", "n")}
+        kinds = {k: pa.list_(pa.struct([(x, pa.int64()) for x in v])) for k, v in listed.items()}
+
+        def made(n: int, **given: pa.Array) -> pa.RecordBatch:
+            types = {"block": pa.int64(), "_id": id_type, "n_a": pa.int64(), "n_b": pa.int64(), "digest": pa.string(),
+                     "same": pa.binary(), "odd": pa.binary()} | kinds
+            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(n, types[c])) for c in columns], columns)
+
         for batch in batches:
-            for part in kernel.slices(batch, "_text", BLOCK):
-                got = Aligned(own, part.column(1).to_pylist())
-                whole = pa.array([0, part.num_rows], pa.int32())
-                lists = [pa.ListArray.from_arrays(whole, x) for x in (
-                    part.column(0), *map(pa.array, (got.n_a, got.n_b, got.n_same, got.n_odd)),
-                    pa.array(got.digests, pa.string()))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), *lists, pa.array([got.same.astype("<i4").tobytes()], pa.binary()),
-                     pa.array([got.odd.astype("<i8").tobytes()], pa.binary())],
-                    ["block", "ids", "n_a", "n_b", "n_same", "n_odd", "digests", "same", "odd"])
+            id_type = batch.column(0).type
+            for block in kernel.slices(batch, "_text", BLOCK):
+                codes, counts = [], []
+                for part in kernel.slices(block, "_text", SLICE):
+                    got = Aligned(own, part.column(1).to_pylist())
+                    total += np.bincount(got.same, minlength=size)
+                    for x, y in zip(np.unique(got.odd, return_counts=True), (codes, counts)):
+                        y.append(x)
+                    yield made(part.num_rows, block=pa.array(np.full(part.num_rows, number)), _id=part.column(0),
+                               n_a=pa.array(got.n_a), n_b=pa.array(got.n_b), digest=pa.array(got.digests, pa.string()),
+                               same=_cells(got.same.astype(links), got.n_same), odd=_cells(got.odd.astype("<i8"), got.n_odd))
+                code, n = _added(codes, counts)
+                for at in range(0, len(code), PAIRS):
+                    yield made(1, block=pa.array([number]),
+                               pairs=_structs(listed["pairs"], code[at:at + PAIRS], n[at:at + PAIRS]))
                 number += 1
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), PAIRS):
+            a = some[at:at + PAIRS]
+            yield made(1, counts=_structs(listed["counts"], a, total[a]))
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    longs = ", ".join(f"{c} array<bigint>" for c in ("n_a", "n_b", "n_same", "n_odd"))
-    return written(rows.mapInArrow(tidy(run), f"block bigint, ids array<{kind}>, {longs}, digests array<string>, "
-                                        "same binary, odd binary"), "alignment", "zstd")
+    return written(rows.mapInArrow(tidy(run), (
+        f"block bigint, _id {kind}, n_a bigint, n_b bigint, digest string, same binary, odd binary, "
+        "pairs array<struct<code: bigint, n: bigint>>, counts array<struct<a: bigint, n: bigint>>")), "alignment", "zstd")
 
 
 def identity_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """How often each A id is an identity group, over all blocks: a vector of A's vocabulary.
-
-    Every task sums its blocks in one such vector.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                total += np.bincount(np.frombuffer(raw.as_py(), "<i4"), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["a", "n"])
-
+    """How often each A id is an identity group, over all tasks: a vector of A's vocabulary."""
     out = np.zeros(size, np.int64)
-    sums = rows.select("same").mapInArrow(tidy(run), "a bigint, n bigint").groupBy("a").agg(F.sum("n"))
+    sums = rows.where("counts is not null").select(F.inline("counts")).groupBy("a").agg(F.sum("n"))
     for a, n in sums.collect():  # at most one row an id of A
         out[a] = n
     return out
@@ -317,17 +402,7 @@ def identity_counts(rows: DataFrame, size: int) -> np.ndarray:
 
 def irregular_pairs(rows: DataFrame) -> DataFrame:
     """``(block, code, n)``: the distinct irregular links of every block and how often it has each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                code, n = np.unique(np.frombuffer(batch.column(1)[i].as_py(), "<i8"), return_counts=True)
-                for at in range(0, len(code), 1 << 16):
-                    some = slice(at, at + (1 << 16))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(code[some]), batch.column(0)[i].as_py(), np.int64)),
-                         pa.array(code[some]), pa.array(n[some])], ["block", "code", "n"])
-
-    return rows.select("block", "odd").mapInArrow(tidy(run), "block bigint, code bigint, n bigint")
+    return rows.where("pairs is not null").select("block", F.inline("pairs"))
 
 
 def best_counts(identity: np.ndarray, same: np.ndarray, counts: DataFrame, size: int) -> np.ndarray:
@@ -350,55 +425,75 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     rows = blocks(docs, path_a, path_b, id_col, text_col)
     p = pair(path_a, path_b)
-    size_b = len(p.raw_b.size)
+    size_b, links = len(p.raw_b.size), link_type(p)
     identity = identity_counts(rows, len(p.same))
-    pairs = written(irregular_pairs(rows), "alignment-pairs", "zstd")
+    pairs = irregular_pairs(rows)
     counts = written(pairs.groupBy("code").agg(F.sum("n").alias("total")), "alignment-counts", "zstd")
     best = best_counts(identity, p.same, counts, size_b)
-    shared = spark.sparkContext.broadcast((identity, best, p.same))  # as long as the vocabularies
+    held = p.same >= 0
+    top = np.zeros(len(p.same), bool)
+    top[held] = identity[held] == best[p.same[held]]
+    shared = spark.sparkContext.broadcast((identity, top, best))  # as long as the vocabularies
+    kind = rows.schema["_id"].dataType.simpleString()
+    sums = ["n_groups", "n_best", "count_sum"]
+
+    def regular(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        same_n, same_top, _ = shared.value
+        for batch in batches:
+            same, n_same = _values(batch.column(5), links)
+            bounds = _bounds(n_same)
+            for at, to in _runs(n_same, LINKS):
+                own, sizes = same[bounds[at]:bounds[to]], n_same[at:to]
+                some = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns[:5], pa.array(sizes), pa.array(_per_text(same_top[own].astype(np.int64), sizes)),
+                     pa.array(_per_text(same_n[own], sizes)), some.column(6)],
+                    ["block", "_id", "n_a", "n_b", "digest", *sums, "odd"])
+
+    # the identity groups are summed up where they lie; only what other links need is dealt out by block
+    texts = rows.where("n_a is not null").select("block", "_id", "n_a", "n_b", "digest", "same", "odd").mapInArrow(
+        tidy(regular), f"block bigint, _id {kind}, n_a bigint, n_b bigint, digest string, "
+                       f"{', '.join(f'{c} bigint' for c in sums)}, odd binary")
     # both sides are bare shuffles, so that Spark can split a frequent pair's rows
     answers = pairs.select("block", "code").join(counts.hint("merge"), "code").select("block", "code", "total")
 
-    def finished(row: dict, ids: pa.Array, code: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-        same_n, best_n, map_b = shared.value
-        order = np.argsort(code)
-        code, total = code[order], total[order]
-        same, odd = np.frombuffer(row["same"], "<i4"), np.frombuffer(row["odd"], "<i8")
-        n_odd_link = total[np.searchsorted(code, odd)] if len(odd) else np.empty(0, np.int64)
-        n_same_link = same_n[same]
-        n_same, n_odd = np.array(row["n_same"], np.int64), np.array(row["n_odd"], np.int64)
-        top = (_per_text((n_same_link == best_n[map_b[same]]).astype(np.int64), n_same)
-               + _per_text((n_odd_link == best_n[odd % size_b]).astype(np.int64), n_odd))
-        count_sum = _per_text(n_same_link, n_same) + _per_text(n_odd_link, n_odd)
-        groups = n_same + n_odd
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(row["n_a"], pa.int64()), pa.array(row["n_b"], pa.int64()), pa.array(groups), pa.array(groups),
-             pa.array(top), pa.array(count_sum), pa.array(row["digests"], pa.string())],
-            ["_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+    def finished(some: pa.RecordBatch, code: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best_n = shared.value[2]
+        odd, n_odd = _values(some.column(8), np.dtype("<i8"))
+        bounds = _bounds(n_odd)
+        for at, to in _runs(n_odd, LINKS):
+            own, sizes, part = odd[bounds[at]:bounds[to]], n_odd[at:to], some.slice(at, to - at)
+            n_link = total[np.searchsorted(code, own)] if len(own) else np.empty(0, np.int64)
+            n_same, n_best, count_sum = (part.column(i).to_numpy() for i in (5, 6, 7))
+            groups = pa.array(n_same + sizes)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[1:4], groups, groups,
+                 pa.array(n_best + _per_text((n_link == best_n[own % size_b]).astype(np.int64), sizes)),
+                 pa.array(count_sum + _per_text(n_link, sizes)), part.column(4)],
+                ["_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, totals = [], []
-        for batch in batches:  # of every block its answers, then its own row
+        _forget()
+        now, found = None, []
+        for batch in batches:  # of every block its answers, then its texts
+            block = batch.column(0).to_numpy()
             own = batch.column(batch.schema.get_field_index("own")).to_numpy(zero_copy_only=False)
-            code = batch.column(batch.schema.get_field_index("code"))
-            total = batch.column(batch.schema.get_field_index("total"))
-            at = 0
-            for i in [*np.flatnonzero(own).tolist(), batch.num_rows]:
-                if i > at:
-                    codes.append(code.slice(at, i - at).to_numpy(zero_copy_only=False))
-                    totals.append(total.slice(at, i - at).to_numpy(zero_copy_only=False))
-                if i < batch.num_rows:
-                    one = batch.slice(i, 1)
-                    ids = one.column(one.schema.get_field_index("ids")).flatten()
-                    row = one.drop_columns(["ids"]).to_pylist()[0]
-                    none = np.empty(0, np.int64)
-                    yield finished(row, ids, np.concatenate([none, *codes]).astype(np.int64),
-                                   np.concatenate([none, *totals]).astype(np.int64))
-                    codes, totals = [], []
-                at = i + 1
-
-    kind = rows.schema["ids"].dataType.elementType.simpleString()
-    both = rows.withColumn("own", F.lit(True)).unionByName(
+            turns = np.flatnonzero((np.diff(block) != 0) | (own[1:] != own[:-1])) + 1
+            for at, to in pairwise([0, *turns.tolist(), batch.num_rows]):
+                if at == to:
+                    continue
+                if block[at] != now:
+                    now, found = block[at], []
+                some = batch.slice(at, to - at)
+                if not own[at]:
+                    found.append([some.column(some.schema.get_field_index(c)).to_numpy() for c in ("code", "total")])
+                    continue
+                code, total = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+                order = np.argsort(code)
+                yield from finished(some, code[order], total[order])
+
+    both = texts.withColumn("own", F.lit(True)).unionByName(
         answers.withColumn("own", F.lit(False)), allowMissingColumns=True)
     longs = ", ".join(f"{c} bigint" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
     return both.repartition("block").sortWithinPartitions("block", "own").mapInArrow(

@@ -124,3 +124,35 @@ def test_identity_pairs_never_end_an_irregular_group():
     got = alignment.Aligned(alignment.Known(p), [t for t in ODD if t] + ["The quick brown fox, 1234567 times: naïveté."])
     a, b = got.odd // len(p.raw_b.size), got.odd % len(p.raw_b.size)
     assert len(got.same) and not (p.same[a] == b).any()
+
+
+def test_no_row_is_longer_than_a_texts_links(spark):
+    """Rows as long as blocks filled the executors' memory outside the heap (op11 on 6 GB)."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = alignment.blocks(given.coalesce(1), A, B, "doc_id", "text")
+    got = rows.selectExpr("coalesce(length(same), 0) + coalesce(length(odd), 0) as n").collect()
+    longest = given.selectExpr("max(octet_length(text)) as n").first().n
+    assert len(got) > given.count() and 0 < max(r.n for r in got) <= 8 * (longest + 1)
+
+
+def test_long_parts_are_remembered_up_to_a_size(monkeypatch):
+    known = alignment.Known(alignment.pair(A, B))
+    monkeypatch.setattr(alignment, "REMEMBERED_BYTES", 100_000, raising=False)
+    for i in range(30):
+        alignment.Aligned(known, ["".join(chr(0x4E00 + (i * 7 + j * j) % 20_000) for j in range(5_000))])
+        assert sum(map(len, known.place)) + known.held.text.data.nbytes < 200_000
+
+
+def test_blocks_of_several_slices_and_batches(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(500)
+    rows = [(r.doc_id, r.text) for r in given.select("doc_id", "text").collect()]
+    rows += [(-1, " ".join(t for _, t in rows)), (-2, ""), (-3, None)]
+    assert len(rows[-3][1]) > alignment.SLICE
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 7)
+    try:
+        got = alignment.align(table(spark, rows).coalesce(1), A, B).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert same(map(tuple, got)) == same(brute(rows))
